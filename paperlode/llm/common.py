@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
-from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,49 +65,11 @@ class Memo(dict):
         if value is None:
             value = self.compute(key)
         if len(key) <= 64:
-            if len(self) >= self.cap:
-                self.old = dict(self)
-                self.clear()
+            self.make_room(1)
             self[key] = value
         return value
 
-
-class IdEncoder:
-    """Ids of whole texts as little-endian unsigned 16-bit bytes, equal to the library's own encode().
-
-    A text is cut before each run of white space, where neither tokenizer ever joins characters, and the
-    library's ids of each distinct piece are remembered. Texts holding a special token's marker go to the
-    library whole.
-    """
-
-    def __init__(self, name: str, cap: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.drops_space = self.tok.normalizer is not None
-        self.pieces = re.compile(f"[^{WHITE}]+" if self.drops_space else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        # a second cut inside a piece: letters stay with the character before them, other characters stand alone
-        self.inner = re.compile(r"[^\W\d_]+|[^a-zA-Z]+" if self.drops_space else r" ?[^\W\d_]+|[^a-zA-Z]+")
-        self.memo = Memo(self._piece, cap)
-        self.part = Memo(self._ids, cap)
-
-    def _ids(self, text: str) -> bytes:
-        return array("H", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, text: str) -> bytes:
-        # plain ASCII letters followed by closing marks split exactly there; everything else goes whole
-        m = _TAILED.fullmatch(text)
-        if m:
-            return self.part[m[1]] + self.part[m[2]]
-        return self.part[text]
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._ids(text)
-        return b"".join(map(self.memo.__getitem__, self.pieces.findall(text)))
-
-
-#: white space, letters, then marks other than an apostrophe: both tokenizers cut between letters and marks.
-_TAILED = re.compile(r"([ \n]?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+    def make_room(self, n: int) -> None:
+        if len(self) + n > self.cap and self:
+            self.old = dict(self)
+            self.clear()

@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from . import simhash, substring_dedup
-from .common import table
+import uuid
+
+from . import packing, simhash, substring_dedup, token_counts, token_store
+from .common import shared_dir, table
+from .token_ids import vocabulary
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
+def op8_token_store(spark, sf_dir):
+    at = f"{shared_dir(spark)}/paperlode-ids-{uuid.uuid4().hex}"
+    token_store.write_ids(table(spark, sf_dir, "documents"), at, vocabulary("word_bpe_49k.json"), end_id=1)
+    return token_store.read_ids(spark, at)
 
 
 def op9_substring_dedup(spark, sf_dir):
@@ -14,5 +31,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op8_token_store, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
