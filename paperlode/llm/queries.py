@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from . import packing, simhash, substring_dedup, token_counts, token_store
+from pyspark.sql import functions as F
+
+from . import decontaminate, packing, simhash, substring_dedup, token_counts, token_store, toxicity
 from .common import shared_dir, table
 from .token_ids import vocabulary
 
@@ -13,10 +15,20 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op4_decontamination(spark, sf_dir):
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op8_token_store(spark, sf_dir):
     at = f"{shared_dir(spark)}/paperlode-ids-{uuid.uuid4().hex}"
     token_store.write_ids(table(spark, sf_dir, "documents"), at, vocabulary("word_bpe_49k.json"), end_id=1)
@@ -31,5 +43,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_token_counts, op8_token_store, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op8_token_store, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
