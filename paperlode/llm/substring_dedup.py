@@ -5,9 +5,10 @@ falls in the round's left half of the alphabet and whose right symbol falls in i
 fingerprint of what it spells, so a round names runs and pairs alike over the whole corpus without a dictionary,
 and equal substrings get equal symbols inside. For each symbol the words that decided it are tracked; where they lie
 inside a window, every equal window holds the same symbol at the same place. Each window is represented by the
-smallest such symbol name, so a window can repeat only where its symbol repeats:
+smallest such symbol name, so a window can repeat only where its symbol repeats, with the words that decided it:
 
-1. every document emits its representative symbols, with the windows they stand for and a fingerprint of them all;
+1. every document emits its representative symbols (spelled with those words), with the windows they stand for and a
+   fingerprint of them all;
 2. Spark counts symbols and keeps the repeated ones;
 3. occurrences that spell the same words throughout are repeated as a whole; the rest are verified window by window,
    one document for each spelling;
@@ -118,8 +119,9 @@ def parse(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS, full: int =
 
 
 def represent(names: np.ndarray, doc: np.ndarray, bounds: np.ndarray, window: int, rounds: int = ROUNDS, full: int = FULL):
-    """(symbol, first window, last window) so that each window of each document is stood for, by a rule that reads
-    nothing but the window's own words. bounds: where documents begin, and the end."""
+    """(start and end of the words that decided a symbol, first window, last window) so that each window of each
+    document is stood for, by a rule that reads nothing but the window's own words; and the windows that are not.
+    bounds: where documents begin, and the end."""
     n = len(names)
     first_ok = np.zeros(n, bool)
     for_doc = bounds[1:] - bounds[:-1] >= window
@@ -132,7 +134,7 @@ def represent(names: np.ndarray, doc: np.ndarray, bounds: np.ndarray, window: in
     a = np.maximum(hi - window, bounds[:-1][d])
     b = np.minimum(lo, bounds[1:][d] - window)
     use = np.flatnonzero(a <= b)
-    sym, a, b = sym[use], a[use], b[use]
+    sym, a, b, lo, hi = sym[use], a[use], b[use], lo[use], hi[use]
     best = np.full(n, _NONE, np.uint64)
     who = np.full(n, len(sym), np.int64)
     if len(a):
@@ -150,7 +152,7 @@ def represent(names: np.ndarray, doc: np.ndarray, bounds: np.ndarray, window: in
     owner, first = np.unique(who[w], return_index=True)
     last = np.zeros(len(sym) + 1, np.int64)
     last[who[w]] = w  # the last one written stays: w ascends
-    return sym[owner], w[first], last[owner], lone
+    return lo[owner], hi[owner], w[first], last[owner], lone
 
 
 def _batches(docs):
@@ -195,8 +197,9 @@ def _anchors(window: int):
 
         for group in _batches(docs()):
             names, doc, bounds = _names(group)
-            sym, first, last, lone = represent(names, doc, bounds, window)
+            lo, hi, first, last, lone = represent(names, doc, bounds, window)
             spelled = Spelling(names)
+            sym = spelled(lo, hi)
             own = spelled(lone, lone + window)
             sym, spell = np.concatenate([sym, _mix(own + _M1)]), np.concatenate([spelled(first, last + window), own])
             first, last = np.concatenate([first, lone]), np.concatenate([last, lone])

@@ -57,7 +57,7 @@ def test_every_window_is_stood_for_by_its_own_words():
     rng = np.random.default_rng(0)
     names = S._mix(rng.integers(0, 6, 3000).astype(np.uint64) + np.uint64(1))
     doc, bounds = np.zeros(3000, np.int64), np.array([0, 3000])
-    sym, first, last, lone = S.represent(names, doc, bounds, 20)
+    _, _, first, last, lone = S.represent(names, doc, bounds, 20)
     held = np.zeros(3000, bool)
     for a, b in zip(first, last):
         held[a : b + 1] = True
