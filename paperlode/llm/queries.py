@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity
+from . import ann, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity
 from .common import shared_dir, table
 from .token_ids import vocabulary
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark, sf_dir):
     return found.withColumn("contaminated", F.lit(True))
 
 
+def op5_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
