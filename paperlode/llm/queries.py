@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity
+from . import ann, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
 from .common import shared_dir, table
 from .token_ids import vocabulary
 
@@ -33,6 +33,13 @@ def op5_nearest_neighbours(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op6_url_templates(spark, sf_dir):
+    # a page's label is that of the document with its id: of low quality, or toxic
+    labels = table(spark, sf_dir, "labels")
+    bad = ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) > 0)).cast("int")
+    return url_templates.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def op7_license_scan(spark, sf_dir):
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -51,5 +58,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
