@@ -125,6 +125,31 @@ def _matcher(key: str, shipped, rate: float) -> Matcher:
     return _LAST["matcher"]
 
 
+def _blocks(items: DataFrame, block_chars: int):
+    """(key, broadcast of (item_id, normalised text)) for blocks of about block_chars characters, one after another."""
+    spark = items.sparkSession
+    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_chars))
+    for b in range(blocks):
+        block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block.collect()])
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that no item leaks into; rate and blocks as in find_leaks."""
+    at = docs.columns.index("text")
+    for key, shipped in _blocks(items, block_chars):
+
+        def run(batches, key=key, shipped=shipped):
+            matcher = _matcher(key, shipped, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([next(matcher.matches(normal(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per (document, item) that leaks: doc_id, item_id, distance, budget, start, end (in the normalised document).
 
@@ -134,16 +159,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_char
     repeat give a row each. Items are matched in blocks of about `block_chars` characters, so that what tasks hold is
     bounded; every block passes over all documents.
     """
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
     out = None
-    for b in range(blocks):
-        block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shipped = spark.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block.collect()])
-        key = uuid.uuid4().hex
+    for key, shipped in _blocks(items, block_chars):
 
         def run(batches, key=key, shipped=shipped):
             matcher = _matcher(key, shipped, rate)

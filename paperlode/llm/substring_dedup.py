@@ -245,36 +245,52 @@ def cover(n_words: int, spans, window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _strip(window: int, with_text: bool):
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    schema = pa.schema(fields + [("kept", pa.string())] * with_text)
+def _kept(text: str | None, spans, window: int) -> tuple[int, list[bytes]]:
+    """How many words text has, and those that stay."""
+    words = _words(text)
+    if not spans:
+        return len(words), words
+    return len(words), [w for w, gone in zip(words, cover(len(words), spans, window)) if not gone]
+
+
+def _digest(window: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = _words(text)
-                kept = words
-                if spans:
-                    gone = cover(len(words), spans, window)
-                    kept = [w for w, x in zip(words, gone) if not x]
-                kept_text = b" ".join(kept)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(kept_text).hexdigest()) + ((text if len(kept) == len(words) else kept_text.decode("utf-8", "surrogatepass")),) * with_text)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+                n, kept = _kept(text, spans, window)
+                rows.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 (and the kept text with with_text).
+def _rewrite(window: int, text_at: int, chars_at: int | None, names: list[str]):
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                texts.append(b" ".join(_kept(text, spans, window)[1]).decode("utf-8", "surrogatepass") if spans else text)
+            columns = batch.columns[:-1]
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], columns[chars_at].type)
+            yield pa.record_batch(columns, names=names)
 
-    docs: doc_id, text; other columns are left out of the result. Null or empty text: no words. Every row counts as
-    a document, also one that repeats a doc_id; a null doc_id stays null. With with_text, a text from which nothing
-    goes is returned unchanged, any other is its kept words joined by one space.
-    """
-    tag = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), tag.alias("tag"), F.col("text").cast("string").alias("text"))
-    found = stage(own.select("k", "tag", "text").mapInArrow(_anchors(window), _ANCHOR), "anchors")
+    return run
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of a row: k for its doc_id, tag for its text."""
+    return docs.withColumns({"__k": id_key(), "__tag": F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 24))})
+
+
+def repeat_spans(docs: DataFrame, window: int = 35) -> DataFrame:
+    """(__k, __tag, spans) of every document of docs (doc_id, text) that holds repeated windows, as packed positions."""
+    own = _keyed(docs.select("doc_id", "text")).select(F.col("__k").alias("k"), F.col("__tag").alias("tag"), F.col("text").cast("string").alias("text"))
+    found = stage(own.mapInArrow(_anchors(window), _ANCHOR), "anchors")
     again = found.groupBy("sym").agg(F.count("*").alias("n")).filter("n > 1").select("sym")
     shared = stage(found.join(again, "sym"), "shared")
     release(found)
@@ -285,13 +301,33 @@ def remove_repeats(docs: DataFrame, window: int = 35, with_text: bool = False) -
     todo = spellings.join(several, "sym").select("k", "sym", "pos", (F.col("n") == 1).alias("single"))
     per_doc = todo.groupBy("k", F.col("pos").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.struct("sym", "pos", "single")).alias("todo"))
     # rows that repeat in full hold one text: any of them will do
-    texts = own.select("k", "tag", "text")
-    windows = texts.join(per_doc, ["k", "tag"]).select("k", "text", "todo").mapInArrow(_fine(window), _WINDOWS)
+    windows = own.join(per_doc, ["k", "tag"]).select("k", "text", "todo").mapInArrow(_fine(window), _WINDOWS)
     windows = stage(windows, "windows")
     place = F.struct("k", "pos")
     twice = windows.groupBy("sym", "spell").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("sym", "spell")
     fine = windows.filter("single").join(twice, ["sym", "spell"]).select("k", "pos")
     whole = shared.join(spellings.filter("n > 1").select("sym", "spell"), ["sym", "spell"]).select("k", "pos")
-    spans = whole.union(fine).groupBy("k", F.col("pos").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_set("pos").alias("spans"))
-    joined = own.join(spans, ["k", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_strip(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return whole.union(fine).groupBy(F.col("k").alias("__k"), F.col("pos").bitwiseAND(0xFFFFFF).alias("__tag")).agg(F.collect_set("pos").alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256.
+
+    docs: doc_id, text; other columns are left out. Null or empty text: no words. Every row counts as a document,
+    also one that repeats a doc_id; a null doc_id stays null.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = _keyed(own).join(repeat_spans(own, window), ["__k", "__tag"], "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(_digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs with all their columns, text without the words that remove_repeats removes.
+
+    A text from which nothing goes is unchanged; any other is its kept words joined by one space. Where docs have
+    n_chars, it is that of the text.
+    """
+    rest = docs.withColumnRenamed("spans", "__spans") if "spans" in docs.columns else docs
+    joined = _keyed(rest).join(repeat_spans(docs, window), ["__k", "__tag"], "left").drop("__k", "__tag")
+    # spans come last
+    return joined.select(*rest.columns, "spans").mapInArrow(_rewrite(window, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None, docs.columns), docs.schema)

@@ -178,6 +178,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose expected severity stays below the threshold. docs: text."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        weigh = _weigher(shipped)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            eta = np.array([sum(sorted(map(weigh.__getitem__, words_of(t)))) for t in texts], float)
+            yield batch.filter(pa.array(model_of(shipped).severity(eta)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def model_of(shipped) -> Model:
     return shipped.value
 

@@ -48,9 +48,9 @@ def test_empty_table(spark):
 
 
 def test_text_kept_as_it_was_where_nothing_goes(spark):
-    df = spark.createDataFrame([(1, "a  b\nc"), (2, None), (3, "p q r s t u"), (4, "z p q r s t u")], "doc_id long, text string")
-    got = {r.doc_id: r.kept for r in S.remove_repeats(df, 6, with_text=True).collect()}
-    assert got == {1: "a  b\nc", 2: None, 3: "", 4: "z"}
+    df = spark.createDataFrame([(1, "a  b\nc", "s", 0), (2, None, "s", 0), (3, "p q r s t u", None, 9), (4, "z p q r s t u", "s", 0), (None, "y y", "s", 0)], "doc_id long, text string, spans string, n_chars long")
+    got = {tuple(r) for r in S.strip_repeats(df, 6).collect()}
+    assert got == {(1, "a  b\nc", "s", 6), (2, None, "s", None), (3, "", None, 0), (4, "z", "s", 1), (None, "y y", "s", 3)}
 
 
 def test_every_window_is_stood_for_by_its_own_words():
