@@ -15,6 +15,7 @@ from .common import WHITE, Memo
 
 #: Texts within this range, whose only white space is single spaces and single line ends, are cut by str.split.
 _HARD = re.compile(r"[\t\x0b-\x0d\x1c-\x1f\x85\xa0İ-\U0010ffff]")
+_SPACES = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 _LETTERS = r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+"
 _MARKS = r"[!-&(-/:-@\[-`{-~]+"
 _ONE, _TWO = re.compile(f"{_LETTERS}|{_MARKS}"), re.compile(f"{_LETTERS}{_MARKS}")
@@ -23,7 +24,7 @@ _ONE, _TWO = re.compile(f"{_LETTERS}|{_MARKS}"), re.compile(f"{_LETTERS}{_MARKS}
 class IdEncoder:
     """encode(texts) -> little-endian unsigned 16-bit ids of each text, as bytes; vocabularies of at most 65,536 ids."""
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,59 +37,79 @@ class IdEncoder:
         for token, i in vocab.items():
             self.marks[i] = token.endswith("</w>") if self.drops_space else token[0] in "ĠĊ"
         self.pieces = re.compile(f"[^{WHITE}]+" if self.drops_space else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        self.memo = Memo(self.alone, cap)
+        self.memo = Memo(self._of_key, cap)
+        self.heads = Memo(self.alone, 10_000)
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def _cut(self, text: str) -> list[str] | None:
+    def _of_key(self, key: str) -> bytes:
+        """A key is a piece; where space counts, a key that begins with none stands for itself after a space."""
+        return self.alone(key if self.drops_space or key[:1] in _SPACES else " " + key)
+
+    def _cut(self, text: str) -> tuple[str, list[str]] | None:
+        """The first piece where it has no space before it, and the keys of the others."""
         if "<|" in text:
             return None
         if self.drops_space:
-            return text.lower().split() if not _HARD.search(text) else self.pieces.findall(text)
+            return "", text.lower().split() if not _HARD.search(text) else self.pieces.findall(text)
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _HARD.search(text) or text[:1] in " \n":
-            return self.pieces.findall(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[:1] == "\n" else " " + x for x in rest]]
+            found = self.pieces.findall(text)
+            head = "" if found[0][0] in _SPACES else found.pop(0)
+            return head, [p[1:] if p[0] == " " and p[1:2] not in _SPACES and p[1:] else p for p in found]
+        head, *keys = text.replace("\n", " \n").split(" ")
+        return head, keys
 
     def _joined(self, pieces: list[str], ends: list[int], glue: str) -> None:
-        """pieces whose ids are told apart by self.marks; ends: how many marks each has."""
+        """Keys that, joined by glue, are told apart by self.marks in the ids; ends: how many marks each has."""
         step = 64
         for at in range(0, len(pieces), step * 32):
             some, many = pieces[at : at + step * 32], np.array(ends[at : at + step * 32])
-            lines = [glue.join(some[i : i + step]) for i in range(0, len(some), step)]
+            lead = "" if self.drops_space else glue
+            lines = [lead + glue.join(some[i : i + step]) for i in range(0, len(some), step)]
             ids = [np.array(e.ids, "<u2") for e in self.tok.encode_batch_fast(lines, add_special_tokens=False)]
             for i, line in enumerate(ids):
                 own, n = some[i * step : i * step + step], many[i * step : i * step + step]
                 found = np.flatnonzero(self.marks[line])
                 if len(found) != n.sum():  # never seen; the library then encodes them one by one
-                    self.memo.update((p, self.alone(p)) for p in own)
+                    self.memo.update((p, self._of_key(p)) for p in own)
                     continue
                 at_mark = np.cumsum(n)
-                cuts = [0, *(found[at_mark - 1] + 1)] if self.drops_space else [*found[at_mark - n], len(line)]
-                raw = line.tobytes()
-                for p, a, b in zip(own, cuts, cuts[1:]):
-                    self.memo[p] = raw[2 * a : 2 * b]
+                edges = np.append(0, found[at_mark - 1] + 1) if self.drops_space else np.append(found[at_mark - n], len(line))
+                raw, cuts = line.tobytes(), (2 * edges).tolist()
+                self.memo.update(zip(own, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _learn(self, fresh: set[str]) -> None:
-        self.memo.make_room(len(fresh))
         short = [p for p in fresh if len(p) <= 64]
         if self.drops_space:
             one, two = [p for p in short if _ONE.fullmatch(p)], [p for p in short if _TWO.fullmatch(p)]
             self._joined(one + two, [1] * len(one) + [2] * len(two), " ")
         else:
-            for lead in (" ", "\n"):
-                own = [p for p in short if p[0] == lead and len(p) > 1 and p[1] not in " \n" and not _HARD.search(p)]
-                self._joined(own, [1] * len(own), "")
+            plain = [p for p in short if p[0] not in _SPACES]
+            self._joined(plain, [1] * len(plain), " ")
+            line = [p for p in short if p[0] == "\n" and p[1:2] not in _SPACES]
+            self._joined(line, [1] * len(line), "")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t) if t else [] for t in texts]
-        fresh = set().union(*(c for c in cut if c)) - self.memo.keys()
-        fresh.difference_update(self.memo.old.keys() if self.memo.old else ())
+        cut = [self._cut(t) if t else ("", []) for t in texts]
+        get, known, old = self.memo.get, self.memo.__getitem__, self.memo.old
+        found = [list(map(get, c[1])) if c else [] for c in cut]
+        fresh = {k for c, values in zip(cut, found) if None in values for k, v in zip(c[1], values) if v is None}
         fresh.discard("")
+        self.memo.make_room(len(fresh))
+        for k in fresh & old.keys() if old else ():
+            self.memo[k] = old[k]
+            fresh.discard(k)
         self._learn(fresh)
-        known = self.memo.__getitem__
-        return [self.alone(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
+        out = []
+        for t, c, values in zip(texts, cut, found):
+            if c is None:
+                out.append(self.alone(t))
+                continue
+            if None in values:
+                values = [known(k) if v is None else v for k, v in zip(c[1], values)]
+            out.append((self.heads[c[0]] if c[0] else b"") + b"".join(values))
+        return out
 
 
 _LOADED: dict[str, IdEncoder] = {}
