@@ -19,7 +19,7 @@ from .common import stage
 from .token_ids import encoder, groups
 
 #: Rows that take their ranks in one sort; a length with more of them is ranked in several parts.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 2_000
 
 
 def plan(counts: Mapping[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
