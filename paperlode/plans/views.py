@@ -34,7 +34,7 @@ VIEWS = {
         FROM (SELECT *, CASE WHEN is_handwritten OR confidence IS NULL THEN 'in_review' WHEN confidence >= 0.85 THEN 'machine' ELSE 'in_review' END AS status
           FROM (SELECT l_orderkey * 100 + rn AS fact_id, l_orderkey % 1000 AS doc_id,
               CASE l_linenumber % 6 WHEN 0 THEN 'owner' WHEN 1 THEN 'area' WHEN 2 THEN 'village' WHEN 3 THEN 'survey_no' WHEN 4 THEN 'valuation' ELSE '_marginalia' END AS field_name,
-              CAST(CAST(l_quantity AS BIGINT) AS STRING) AS value, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount * 10 END AS confidence,
+              CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) AS value, CASE WHEN l_tax = 0 THEN NULL ELSE l_discount * 10 END AS confidence,
               l_returnflag = 'R' AS is_handwritten, l_linestatus = 'F' AND l_quantity > 40 AS verified, rn, l_linenumber
             FROM v_lines) AS a) AS b""",
     "v_regions": """
@@ -44,10 +44,10 @@ VIEWS = {
     "v_register": """
         SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY l_orderkey, rn) AS pos,
           CASE WHEN rn % 4 = 0 THEN NULL ELSE CAST(l_orderkey * 100 + rn AS STRING) END AS serial,
-          CASE WHEN CAST(l_quantity AS BIGINT) % 3 = 0 AND page_number % 3 <> 2 THEN 'Do.' WHEN page_number % 3 = 2 THEN NULL ELSE concat('o', CAST(l_partkey % 50 AS STRING)) END AS owner,
-          CASE WHEN CAST(l_quantity AS BIGINT) % 5 = 0 AND page_number % 3 <> 2 THEN ',,' WHEN page_number % 3 = 2 THEN NULL ELSE concat('v', CAST(l_partkey % 9 AS STRING)) END AS village,
-          CASE WHEN page_number % 4 = 1 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS area,
-          CASE WHEN page_number % 3 = 2 OR page_number = 5 THEN CAST(CAST(l_extendedprice AS BIGINT) AS STRING) END AS valuation,
+          CASE WHEN CAST(floor(l_quantity) AS BIGINT) % 3 = 0 AND page_number % 3 <> 2 THEN 'Do.' WHEN page_number % 3 = 2 THEN NULL ELSE concat('o', CAST(l_partkey % 50 AS STRING)) END AS owner,
+          CASE WHEN CAST(floor(l_quantity) AS BIGINT) % 5 = 0 AND page_number % 3 <> 2 THEN ',,' WHEN page_number % 3 = 2 THEN NULL ELSE concat('v', CAST(l_partkey % 9 AS STRING)) END AS village,
+          CASE WHEN page_number % 4 = 1 THEN NULL ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS area,
+          CASE WHEN page_number % 3 = 2 OR page_number = 5 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) END AS valuation,
           CASE WHEN l_tax = 0 THEN NULL ELSE l_discount * 10 END AS confidence, l_returnflag = 'R' AS is_handwritten,
           (l_linenumber - 1) / 8.0 AS y0, (l_linenumber - 1) / 8.0 + 0.1 AS y1
         FROM (SELECT *, l_suppkey AS doc_id, 1 + l_orderkey % 6 AS page_number FROM v_lines) AS r""",
@@ -65,11 +65,11 @@ VIEWS = {
           FROM orders) AS e""",
     "v_records": """
         SELECT o_orderkey AS record_id, concat('c', CAST(o_custkey AS STRING)) AS subject_node, CASE WHEN o_orderkey % 2 = 0 THEN 'title' ELSE 'grant' END AS record_type,
-          o_orderkey % 4 AS tenant_id, CAST(CAST(o_totalprice AS BIGINT) AS STRING) AS total, o_orderpriority AS priority, o_orderstatus AS order_status, o_orderkey * 100 + 1 AS evidence_fact_id
+          o_orderkey % 4 AS tenant_id, CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS total, o_orderpriority AS priority, o_orderstatus AS order_status, o_orderkey * 100 + 1 AS evidence_fact_id
         FROM orders""",
     "v_amendments": """
         SELECT l_orderkey * 100 + rn AS amendment_id, l_orderkey AS record_id, CAST(l_shipdate AS DATE) AS effective_date, rn AS created_order,
-          CASE WHEN rn % 2 = 0 THEN 'total' ELSE 'quantity' END AS field, CAST(CAST(CASE WHEN rn % 2 = 0 THEN l_extendedprice ELSE l_quantity END AS BIGINT) AS STRING) AS value,
+          CASE WHEN rn % 2 = 0 THEN 'total' ELSE 'quantity' END AS field, CAST(CAST(floor(CASE WHEN rn % 2 = 0 THEN l_extendedprice ELSE l_quantity END) AS BIGINT) AS STRING) AS value,
           CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'under stay' WHEN l_returnflag = 'R' THEN 'set aside' WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN 'superseded' END AS legal_status
         FROM v_lines WHERE rn >= 2""",
     "v_audit": "SELECT event_id AS id, user_id % 4 AS tenant_id, user_id AS actor_id, event_type AS action, props AS details, ts AS created_at FROM events",
