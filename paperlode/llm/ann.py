@@ -29,7 +29,7 @@ class Plan(NamedTuple):
     hashes: int = 6
     width: float = 1.6
     probes: int = 80
-    part_rows: int = 8_000
+    part_rows: int = 60_000
     seed: int = 7
 
 
