@@ -1,0 +1,19 @@
+"""Plug-in model stages: a user's function over small pandas batches."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def apply_model(df: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch_rows: int = 20) -> DataFrame:
+    """model is called with at most batch_rows rows at a time; no model comes with the library."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), batch_rows):
+                yield model(pdf.iloc[at : at + batch_rows])
+
+    return df.mapInPandas(run, schema)

@@ -1 +1,214 @@
-"""To be filled."""
+"""D: hybrid search over a table of queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import analytics as A
+from ..operators import search as S
+from .group_e import COS
+from .registry import op
+from .views import view
+
+ITEMS = "it AS (SELECT d.doc_id AS item_id, d.tenant_id, d.text AS content, e.embedding FROM v_docs AS d LEFT JOIN embeddings AS e ON e.vec_id = d.doc_id WHERE d.status = 'indexed' AND NOT d.is_trashed)"
+_W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+_STEM = "CASE WHEN length({0}) > 5 THEN regexp_replace({0}, '(?:ing|ed|es|ly|s)$', '') ELSE {0} END"
+_STOP = ", ".join(f"'{w}'" for w in S.STOP)
+VEC = f"vec AS (SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank, 'vector' AS leg FROM (SELECT q.query_id, 0 AS variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM v_queries AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL) QUALIFY rank < 20)"
+
+
+def _kw(name, words_q, words_i):
+    return f"""{name} AS (SELECT query_id, item_id, sum(1 + ln(tf)) AS score FROM (SELECT query_id, tenant_id, len(ts) AS n, unnest(ts) AS term FROM (SELECT query_id, tenant_id, list_distinct({words_q}) AS ts FROM v_queries)) AS q
+      JOIN (SELECT item_id, tenant_id, term, count(*) AS tf FROM (SELECT item_id, tenant_id, unnest({words_i}) AS term FROM it) GROUP BY ALL) AS p USING (tenant_id, term) GROUP BY query_id, item_id, n HAVING count(*) = n)"""
+
+
+_en = lambda c: f"list_transform(list_filter({_W.format(c)}, lambda x: x NOT IN ({_STOP})), lambda x: {_STEM.format('x')})"
+KW = _kw("ken", _en("query"), _en("content")) + ", " + _kw("ksi", _W.format("query"), _W.format("content")) + ", kw AS (SELECT query_id, item_id, round(max(score), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 6) DESC, item_id) - 1 AS rank, 'keyword' AS leg FROM (SELECT * FROM ken UNION ALL SELECT * FROM ksi) GROUP BY 1, 2 QUALIFY rank < 20)"
+_G = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring(concat('  ', {0}, ' '), i, 3)))"
+FZ = f"""fq AS (SELECT query_id, tenant_id, list_sort(list_transform({_W.format('query')}, lambda x: (length(x), x)))[-1][2] AS qw FROM v_queries WHERE len({_W.format('query')}) > 0), fi AS (SELECT item_id, tenant_id, unnest(list_distinct({_W.format('content')})) AS iw FROM it),
+  fs AS (SELECT qw, iw, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS s FROM (SELECT qw, {_G.format('qw')} AS a FROM (SELECT DISTINCT qw FROM fq)) JOIN (SELECT iw, {_G.format('iw')} AS b FROM (SELECT DISTINCT iw FROM fi)) ON list_has_any(a, b)),
+  fz AS (SELECT query_id, item_id, round(max(s), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(s), 6) DESC, item_id) - 1 AS rank, 'fuzzy' AS leg FROM fi JOIN fs USING (iw) JOIN fq USING (tenant_id, qw) WHERE s > 0.3 GROUP BY 1, 2 QUALIFY rank < 20)"""
+FUSED = "fu AS (SELECT * FROM (SELECT query_id, item_id, round(sum(1.0 / (60 + rank + 1)), 9) AS score, string_agg(leg, '+' ORDER BY CASE leg WHEN 'vector' THEN 0 WHEN 'keyword' THEN 1 ELSE 2 END) AS legs, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank + 1)), 9) DESC, item_id) - 1 AS rank FROM (SELECT query_id, item_id, rank, leg FROM vec UNION ALL SELECT query_id, item_id, rank, leg FROM kw UNION ALL SELECT query_id, item_id, rank, leg FROM fz) GROUP BY 1, 2) WHERE rank < 20)"
+ALL = f"{ITEMS}, {VEC}, {KW}, {FZ}, {FUSED}"
+
+
+def items(spark, d):
+    docs = view(spark, d, "v_docs").filter("status = 'indexed' AND NOT is_trashed").select(F.col("doc_id").alias("item_id"), "tenant_id", F.col("text").alias("content"))
+    return docs.join(view(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left")
+
+
+def _queries(spark, d):
+    return view(spark, d, "v_queries").withColumn("variant", F.lit(0))
+
+
+def legs(spark, d):
+    q, i = _queries(spark, d), items(spark, d)
+    return [S.vector_leg(q, i.filter("embedding is not null")), S.keyword_leg(q, i), S.fuzzy_leg(q, i)]
+
+
+def fused(spark, d):
+    return S.fuse(legs(spark, d))
+
+
+@op("D1", f"WITH {ITEMS}, {VEC} SELECT query_id, item_id, score, rank FROM vec")
+def d1(spark, d):
+    return legs(spark, d)[0].select("query_id", "item_id", "score", "rank")
+
+
+VARIANTS = "vq AS (SELECT query_id, tenant_id, 0 AS variant, embedding FROM v_queries UNION ALL SELECT q.query_id, q.tenant_id, 1, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1)"
+
+
+@op("D2", f"WITH {ITEMS}, {VARIANTS} SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank FROM (SELECT q.query_id, q.variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM vq AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL) QUALIFY rank < 20")
+def d2(spark, d):
+    q = _queries(spark, d).select("query_id", "tenant_id", "variant", "embedding")
+    more = q.drop("embedding").join(view(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding"), "query_id").withColumn("variant", F.lit(1))
+    return S.vector_leg(q.unionByName(more), items(spark, d).filter("embedding is not null")).drop("leg")
+
+
+@op("D3", f"WITH {ITEMS}, {KW} SELECT query_id, item_id, score, rank FROM kw")
+def d3(spark, d):
+    return legs(spark, d)[1].drop("leg")
+
+
+@op("D4", f"WITH {ITEMS}, {FZ} SELECT query_id, item_id, score, rank FROM fz")
+def d4(spark, d):
+    return legs(spark, d)[2].drop("leg")
+
+
+_ASK = "SELECT q.query_id, q.tenant_id, CASE q.query_id % 3 WHEN 0 THEN 'Own' WHEN 1 THEN '4' ELSE '%' END AS query FROM v_queries AS q"
+
+
+@op("D5", f"SELECT query_id, item_id, rank FROM (SELECT q.query_id, f.fact_id AS item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY f.confidence DESC NULLS LAST, f.fact_id) - 1 AS rank FROM ({_ASK}) AS q JOIN v_facts AS f USING (tenant_id) WHERE f.field_name <> '_marginalia' AND (contains(lower(f.field_name), lower(q.query)) OR contains(lower(f.value), lower(q.query)))) WHERE rank < 20")
+def d5(spark, d):
+    asked = F.element_at(F.array(F.lit("Own"), F.lit("4"), F.lit("%")), (F.col("query_id") % 3 + 1).cast("int"))
+    q = view(spark, d, "v_queries").select("query_id", "tenant_id", asked.alias("query"))
+    return S.structured_leg(q, view(spark, d, "v_facts")).drop("leg")
+
+
+@op("D6", "WITH kv AS (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION SELECT doc_id, field_name, value FROM v_facts), f AS (SELECT q.query_id, u.k, u.v FROM v_queries AS q, (VALUES ('lang', 'en'), ('owner', '17')) AS u(k, v) WHERE u.k = 'lang' OR q.query_id % 2 = 1) SELECT query_id, doc_id FROM (SELECT f.query_id, kv.doc_id, count(DISTINCT f.k) AS n FROM f JOIN kv USING (k, v) GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS want FROM f GROUP BY 1) USING (query_id) WHERE n = want")
+def d6(spark, d):
+    kv = view(spark, d, "documents").select("doc_id", F.lit("lang").alias("k"), F.col("lang").alias("v")).unionByName(view(spark, d, "v_facts").select("doc_id", F.col("field_name").alias("k"), F.col("value").alias("v")))
+    wanted = F.filter(F.array(F.struct(F.lit("lang").alias("k"), F.lit("en").alias("v")), F.struct(F.lit("owner").alias("k"), F.lit("17").alias("v"))), lambda x: (x["k"] == "lang") | (F.col("query_id") % 2 == 1))
+    q = view(spark, d, "v_queries").select("query_id", F.size(wanted).alias("want"), F.explode(wanted).alias("f")).select("query_id", "want", "f.k", "f.v")
+    met = kv.join(S.small(q), ["k", "v"]).groupBy("query_id", "doc_id", "want").agg(F.count_distinct("k").alias("n"))
+    return met.filter("n = want").select("query_id", "doc_id")
+
+
+@op("D7", f"WITH {ALL} SELECT query_id, item_id, score, rank FROM fu")
+def d7(spark, d):
+    return fused(spark, d).drop("legs")
+
+
+@op("D8", f"WITH {ALL} SELECT query_id, item_id, legs FROM fu")
+def d8(spark, d):
+    return fused(spark, d).select("query_id", "item_id", "legs")
+
+
+SCORES = "sc AS (SELECT query_id, item_id, ((query_id * 7 + item_id * 13) % 100) / 100.0 AS outside FROM fu WHERE query_id % 3 <> 0)"
+
+
+def _scores(f):
+    return f.filter("query_id % 3 <> 0").select("query_id", "item_id", (((F.col("query_id") * 7 + F.col("item_id") * 13) % 100) / 100.0).alias("outside"))
+
+
+CUT = f"""cut AS (SELECT query_id, item_id, CASE WHEN h THEN outside ELSE 0.0 END AS score, h AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN h THEN outside ELSE 0.0 END DESC, rank) AS place FROM (SELECT fu.query_id, fu.item_id, fu.rank, sc.outside, count(sc.outside) OVER (PARTITION BY fu.query_id) > 0 AS h FROM fu LEFT JOIN sc USING (query_id, item_id) WHERE fu.rank < 10) WHERE NOT h OR outside >= 0.15 QUALIFY place <= 5)"""
+
+
+@op("D9", f"WITH {ALL}, {SCORES}, {CUT} SELECT query_id, item_id, score, reranked, place FROM cut")
+def d9(spark, d):
+    f = fused(spark, d)
+    return S.cut_by_relevance(f, _scores(f))
+
+
+@op("D10", f"WITH {ALL}, {SCORES} SELECT query_id, item_id, greatest(outside, (item_id % 10) / 10.0) AS score, rank FROM fu JOIN sc USING (query_id, item_id)")
+def d10(spark, d):
+    f = fused(spark, d)
+    second = f.select("query_id", "item_id", ((F.col("item_id") % 10) / 10.0).alias("other"))
+    return f.select("query_id", "item_id", "rank").join(_scores(f), ["query_id", "item_id"]).join(second, ["query_id", "item_id"], "left").select("query_id", "item_id", F.greatest("outside", "other").alias("score"), "rank")
+
+
+@op("D11", f"WITH {ALL}, h AS (SELECT query_id, item_id % 5 AS doc_id, item_id % 2 AS page_number, CASE WHEN item_id % 4 = 0 THEN item_id END AS fact_id, rank FROM fu), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, coalesce(concat('f', fact_id), CAST(page_number AS STRING)) ORDER BY rank) AS r FROM h) SELECT query_id, doc_id, page_number, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM o WHERE r = 1) WHERE p <= 5")
+def d11(spark, d):
+    i = F.col("item_id")
+    return S.first_per_page(fused(spark, d).select("query_id", (i % 5).alias("doc_id"), (i % 2).alias("page_number"), F.when(i % 4 == 0, i).alias("fact_id"), "rank"))
+
+
+@op("D12", f"WITH {ALL} SELECT query_id, item_id, (SELECT string_agg(concat(k, '=', v), ',' ORDER BY k) FROM (SELECT 'lang' AS k, doc_type AS v UNION ALL SELECT 'status', status UNION ALL SELECT 'folder', folder_id) WHERE v IS NOT NULL) AS metadata FROM fu JOIN v_docs ON doc_id = item_id")
+def d12(spark, d):
+    docs = view(spark, d, "v_docs").select(F.col("doc_id").alias("item_id"), F.map_from_arrays(F.array(F.lit("folder"), F.lit("lang"), F.lit("status")), F.array("folder_id", "doc_type", "status")).alias("m"))
+    shown = F.array_join(F.transform(F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull()), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return fused(spark, d).join(docs, "item_id").select("query_id", "item_id", shown.alias("metadata"))
+
+
+@op("D13", "SELECT query_id, doc_id, 0.0 AS score FROM (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS r FROM v_queries AS q JOIN v_docs AS d USING (tenant_id) WHERE d.status = 'pending' AND contains(lower(d.title), CAST(q.query_id % 10 AS STRING))) WHERE r <= 5")
+def d13(spark, d):
+    q = view(spark, d, "v_queries").select("query_id", "tenant_id", (F.col("query_id") % 10).cast("string").alias("q"))
+    hits = view(spark, d, "v_docs").filter("status = 'pending'").join(S.small(q), "tenant_id").filter(F.contains(F.lower("title"), F.lower("q")))
+    return A.top(hits.select("query_id", "doc_id", F.lit(0.0).alias("score")), 5, ["doc_id"], ["query_id"])
+
+
+@op("D14", f"WITH {ITEMS}, {KW}, none AS (SELECT * FROM v_queries WHERE query_id NOT IN (SELECT query_id FROM kw WHERE rank = 0 AND item_id % 2 = 0)), s AS (SELECT q.query_id, i.item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round({COS.format('e.embedding', 'i.embedding')}, 6) DESC, i.item_id) - 1 AS rank FROM none AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1 JOIN it AS i ON i.tenant_id = q.tenant_id AND i.embedding IS NOT NULL) SELECT n.query_id, CASE WHEN s.query_id IS NULL THEN 'failed_all' ELSE 'substitute' END AS mode, s.item_id, s.rank FROM none AS n LEFT JOIN s ON s.query_id = n.query_id AND s.rank < 20")
+def d14(spark, d):
+    """Queries without a hit run again with a substitute vector; here a hit is a first keyword result of even id."""
+    q, i = _queries(spark, d), items(spark, d)
+    done = S.keyword_leg(q, i).filter("rank = 0 AND item_id % 2 = 0").select("query_id")
+    none = q.join(done, "query_id", "left_anti")
+    other = none.drop("embedding").join(view(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding"), "query_id")
+    hits = S.vector_leg(other, i.filter("embedding is not null")).select("query_id", "item_id", "rank")
+    return none.select("query_id").join(hits, "query_id", "left").select("query_id", F.when(F.col("item_id").isNull(), "failed_all").otherwise("substitute").alias("mode"), "item_id", "rank")
+
+
+@op("D15", "SELECT q.query_id, d.doc_id, t.place, 1.0 AS score FROM v_queries AS q JOIN v_docs AS d ON d.doc_id = q.query_id AND q.query_id % 3 = 1, LATERAL (SELECT unnest(range(1, 1 + least(30, len(string_split(d.text, chr(10)))))) AS place) AS t")
+def d15(spark, d):
+    """A query with a document filter and no hit takes its document's first 30 chunks (lines here) in order."""
+    q = view(spark, d, "v_queries").filter("query_id % 3 = 1").select("query_id", F.col("query_id").alias("doc_id"))
+    docs = view(spark, d, "v_docs").select("doc_id", F.slice(F.split("text", "\n"), 1, 30).alias("x"))
+    return q.join(docs, "doc_id").select("query_id", "doc_id", F.posexplode("x").alias("p", "c")).select("query_id", "doc_id", (F.col("p") + 1).cast("long").alias("place"), F.lit(1.0).alias("score"))
+
+
+GLOSSARY = [("waqf", "waqf"), ("wakf", "waqf"), ("village", "village"), ("mouje", "village"), ("survey number", "survey number"), ("survey no", "survey number"), ("s no", "survey number"), ("owner", "khatedar"), ("khatedar", "khatedar"), ("the", "article"), ("that", "article")]
+_GL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in GLOSSARY) + ") AS t(term, canonical_key)"
+_Q16 = "SELECT conv_id * 100 + turn AS query_id, concat(left(text, 40), CASE turn % 3 WHEN 0 THEN ' survey no 12' WHEN 1 THEN ' of Waqf village' ELSE '' END) AS query FROM conversations"
+
+
+@op("D16", f"WITH q AS ({_Q16}), w AS (SELECT query_id, {_W.format('query')} AS w FROM q), g AS (SELECT DISTINCT query_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM w), gl AS ({_GL}), h AS (SELECT g.query_id, g.term, gl.canonical_key FROM g JOIN gl USING (term)), m AS (SELECT DISTINCT h.query_id, gl.term FROM h JOIN gl USING (canonical_key)) SELECT query_id, string_agg(term, ',' ORDER BY term) AS expansions FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.term = m.term) GROUP BY 1")
+def d16(spark, d):
+    from .views import spark_sql
+
+    glossary = spark.createDataFrame(GLOSSARY, "term string, canonical_key string")  # a fixed list
+    return S.expand(spark_sql(spark, d, _Q16), glossary)
+
+
+CLAIMS = "SELECT conv_id, turn, (turn * 7 + conv_id) % 5 AS s1, (turn * 3 + conv_id) % 5 AS s2, role = 'assistant' AS valid FROM conversations"
+
+
+@op("D17", f"WITH c AS ({CLAIMS}), e AS (SELECT conv_id, turn, 0 AS i, s1 AS src FROM c WHERE valid UNION ALL SELECT conv_id, turn, 1, s2 FROM c WHERE valid AND s2 <> s1), n AS (SELECT conv_id, src, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 10 + i)) AS marker FROM e GROUP BY 1, 2), k AS (SELECT e.conv_id, e.turn, string_agg(CAST(marker AS STRING), ',' ORDER BY marker) AS markers FROM e JOIN n USING (conv_id, src) GROUP BY 1, 2) SELECT a.conv_id, k.turn, k.markers, k.turn IS NULL AS refused FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN k USING (conv_id)")
+def d17(spark, d):
+    from .views import spark_sql
+
+    c = spark_sql(spark, d, CLAIMS)
+    e = c.filter("valid").select("conv_id", "turn", F.posexplode(F.array_distinct(F.array("s1", "s2"))).alias("i", "src"))
+    first = e.groupBy("conv_id", "src").agg(F.min(F.col("turn") * 10 + F.col("i")).alias("at"))
+    n = first.withColumn("marker", F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))).select("conv_id", "src", "marker")
+    k = e.join(n, ["conv_id", "src"]).groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list("marker")), lambda x: x.cast("string")), ",").alias("markers"))
+    return c.select("conv_id").distinct().join(k, "conv_id", "left").select("conv_id", "turn", "markers", F.col("turn").isNull().alias("refused"))
+
+
+@op("D18", f"WITH {ALL} SELECT query_id, 'search.query' AS action, count(*) AS results, concat('{{\"mode\":\"hybrid\",\"results\":', count(*), '}}') AS details FROM fu GROUP BY 1")
+def d18(spark, d):
+    n = fused(spark, d).groupBy("query_id").agg(F.count("*").alias("results"))
+    return n.select("query_id", F.lit("search.query").alias("action"), "results", F.to_json(F.struct(F.lit("hybrid").alias("mode"), "results")).alias("details"))
+
+
+@op("D19", "SELECT t.doc_id, count(*) AS wanted, round(avg(CASE WHEN f.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT DISTINCT doc_id, field_name, CASE WHEN fact_id % 3 = 0 THEN 'none' ELSE value END AS value FROM v_facts) AS t LEFT JOIN (SELECT DISTINCT doc_id, field_name, value FROM v_facts) AS f ON (t.doc_id, t.field_name, t.value) = (f.doc_id, f.field_name, f.value) GROUP BY 1")
+def d19(spark, d):
+    f = view(spark, d, "v_facts")
+    truth = f.select("doc_id", "field_name", F.when(F.col("fact_id") % 3 == 0, "none").otherwise(F.col("value")).alias("value")).distinct()
+    have = f.select("doc_id", "field_name", "value").distinct().withColumn("found", F.lit(1.0))
+    return truth.join(have, ["doc_id", "field_name", "value"], "left").groupBy("doc_id").agg(F.count("*").alias("wanted"), F.round(F.avg(F.coalesce("found", F.lit(0.0))), 6).alias("recall"))
+
+
+@op("D20", "SELECT n, min, max, mean, v[1 + least(CAST(floor(n * 0.5) AS BIGINT), n - 1)] AS p50, v[1 + least(CAST(floor(n * 0.95) AS BIGINT), n - 1)] AS p95 FROM (SELECT count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, list(value ORDER BY value) AS v FROM events)")
+def d20(spark, d):
+    return A.nearest_rank(view(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95})

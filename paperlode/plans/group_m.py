@@ -1 +1,62 @@
-"""To be filled."""
+"""M: conversations and plug-in stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators.plugins import apply_model
+from .group_c import facts_without_region
+from .registry import op
+from .views import view
+
+
+@op("M1a", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1")
+def m1a(spark, d):
+    return view(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("turn").alias("last_turn"))
+
+
+@op("M1b", r"SELECT conv_id, CASE WHEN length(t) > 40 THEN concat(left(t, 37), '...') ELSE t END AS title FROM (SELECT conv_id, concat(upper(left(h, 1)), lower(substring(h, 2))) AS t FROM (SELECT conv_id, array_to_string(list_slice(list_filter(string_split_regex(arg_min(text, turn), '\s+'), lambda x: x <> ''), 1, 5), ' ') AS h FROM conversations WHERE role = 'user' GROUP BY 1))")
+def m1b(spark, d):
+    first = view(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("x"))
+    head = F.array_join(F.slice(F.filter(F.split("x", r"\s+"), lambda w: w != ""), 1, 5), " ")
+    first = first.select("conv_id", F.concat(F.upper(F.left(head, F.lit(1))), F.lower(F.substring(head, 2, 10**6))).alias("t"))
+    return first.select("conv_id", F.when(F.length("t") > 40, F.concat(F.left("t", F.lit(37)), F.lit("..."))).otherwise(F.col("t")).alias("title"))
+
+
+_UP = Window.partitionBy("conv_id").orderBy("turn")
+
+
+@op("M1c", "SELECT conv_id, turn, last_value(CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_turn FROM conversations")
+def m1c(spark, d):
+    has = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 != 0), F.col("turn"))
+    return view(spark, d, "conversations").select("conv_id", "turn", F.last(has, ignorenulls=True).over(_UP.rowsBetween(Window.unboundedPreceding, -1)).alias("context_turn"))
+
+
+@op("M1d", "SELECT conv_id, turn, coalesce(string_agg(concat(role, ':', left(text, 20)), '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
+def m1d(spark, d):
+    said = F.concat("role", F.lit(":"), F.left("text", F.lit(20)))
+    return view(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(said).over(_UP.rowsBetween(-4, -1)), "|").alias("context"))
+
+
+@op("M1e", "WITH a AS (SELECT conv_id, turn % 4 AS doc, 0 AS src, turn, 1.0 / (1 + turn) AS score FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn % 4, 1, turn, 1.0 / (2 + turn) FROM conversations WHERE role = 'assistant') SELECT conv_id, doc, src, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, doc ORDER BY src, turn) AS r FROM a) WHERE r = 1 AND score >= 0.2")
+def m1e(spark, d):
+    c = view(spark, d, "conversations")
+    side = lambda role, src, add: c.filter(F.col("role") == role).select("conv_id", (F.col("turn") % 4).alias("doc"), F.lit(src).alias("src"), "turn", (1.0 / (add + F.col("turn"))).alias("score"))
+    both = side("user", 0, 1).unionByName(side("assistant", 1, 2))
+    first = both.groupBy("conv_id", "doc").agg(F.min(F.struct("src", "turn", "score")).alias("x")).select("conv_id", "doc", "x.src", F.round("x.score", 6).alias("score"))
+    return first.filter("score >= 0.2")
+
+
+@op("M2")
+def m2(spark, d):
+    """A user's model over batches of 20 rows: here, the length of each embedding."""
+    import numpy as np
+
+    rows = view(spark, d, "embeddings").select("vec_id", "embedding")
+    return apply_model(rows, lambda pdf: pdf.assign(norm=[float(np.linalg.norm(x)) for x in pdf["embedding"]])[["vec_id", "norm"]], "vec_id long, norm double", 20)
+
+
+@op("M3", "SELECT f.fact_id FROM v_facts AS f WHERE f.fact_id NOT IN (SELECT fact_id FROM v_regions)")
+def m3(spark, d):
+    return facts_without_region(view(spark, d, "v_facts"), view(spark, d, "v_regions"))

@@ -38,9 +38,9 @@ VIEWS = {
               l_returnflag = 'R' AS is_handwritten, l_linestatus = 'F' AND l_quantity > 40 AS verified, rn, l_linenumber
             FROM v_lines) AS a) AS b""",
     "v_regions": """
-        SELECT fact_id, doc_id, 1 + fact_id % 3 AS page_number, 0.1 AS x0, (l_linenumber - 1) / 8.0 AS y0, 0.9 AS x1, (l_linenumber - 1) / 8.0 + 0.1 AS y1 FROM v_facts WHERE rn % 97 <> 0
+        SELECT fact_id, doc_id, 1 + fact_id % 3 AS page_number, 0.1 AS x0, (l_linenumber - 1) / 8.0 AS y0, 0.9 AS x1, (l_linenumber - 1) / 8.0 + 0.1 AS y1 FROM v_facts WHERE fact_id % 97 <> 0
         UNION ALL
-        SELECT fact_id, doc_id, 2 + fact_id % 3 AS page_number, 0.1 AS x0, 0.8 AS y0, 0.9 AS x1, 0.9 AS y1 FROM v_facts WHERE rn % 97 <> 0 AND rn % 5 = 0""",
+        SELECT fact_id, doc_id, 2 + fact_id % 3 AS page_number, 0.1 AS x0, 0.8 AS y0, 0.9 AS x1, 0.9 AS y1 FROM v_facts WHERE fact_id % 97 <> 0 AND rn % 5 = 0""",
     "v_register": """
         SELECT doc_id, page_number, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY l_orderkey, rn) AS pos,
           CASE WHEN rn % 4 = 0 THEN NULL ELSE CAST(l_orderkey * 100 + rn AS STRING) END AS serial,
