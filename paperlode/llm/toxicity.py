@@ -37,7 +37,7 @@ def features_of(word: str) -> list[int]:
 
 
 class Rows(NamedTuple):
-    """A sparse matrix by rows."""
+    """A sparse matrix by rows; a row's features are distinct."""
 
     index: np.ndarray
     value: np.ndarray
@@ -51,6 +51,14 @@ class Rows(NamedTuple):
         return np.bincount(self.index, np.repeat(g, np.diff(self.begin)) * self.value, size)
 
 
+def rows_of(lists: list[list[int]]) -> Rows:
+    """Rows of features, repeats counted."""
+    parts = [np.unique(np.array(r, np.int64), return_counts=True) for r in lists]
+    begin = np.cumsum([0, *(len(i) for i, _ in parts)])
+    index, value = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return Rows(index, value.astype(float), begin)
+
+
 class Model(NamedTuple):
     """weights: feature -> weight; thresholds ascend."""
 
@@ -63,23 +71,18 @@ class Model(NamedTuple):
         return (np.sum(over, axis=0), over[0]) if over else (np.zeros(len(eta)), np.zeros(len(eta)))
 
 
-def fit(rows: list[list[int]], grades: np.ndarray, penalty: float = 0.001, rounds: int = 80, least: int = 4) -> Model:
-    """Proximal gradient with momentum. rows: features of each text, repeats counting; grades: 0, 1, ..."""
+def fit(rows: Rows, grades: np.ndarray, penalty: float = 0.001, rounds: int = 80, least: int = 4) -> Model:
+    """Proximal gradient with momentum. grades: 0, 1, ... of each row; features of fewer than `least` rows are left out."""
     top = int(grades.max(initial=0))
-    if not rows or top == 0:
+    if not len(grades) or top == 0:
         return Model({}, [])
-    flat, counts = [], [0]
-    for r in rows:
-        i, n = np.unique(np.array(r, np.int64), return_counts=True)
-        flat.append((i, np.minimum(n, 5)))
-        counts.append(len(i))
-    index, value, begin = np.concatenate([f[0] for f in flat]), np.concatenate([f[1] for f in flat]).astype(float), np.cumsum(counts)
-    kept, held = np.unique(index, return_counts=True)
-    kept = kept[held >= least]
-    use = np.isin(index, kept)
-    begin = np.append(0, np.cumsum(use))[begin]
-    x = Rows(np.searchsorted(kept, index[use]), value[use], begin)
-    n = len(rows)
+    held = np.bincount(rows.index, minlength=FEATURES)
+    kept = np.flatnonzero(held >= least)
+    use = held[rows.index] >= least
+    place = np.zeros(FEATURES, np.int32)
+    place[kept] = np.arange(len(kept))
+    x = Rows(place[rows.index[use]], np.minimum(rows.value[use], 5), np.append(0, np.cumsum(use))[rows.begin])
+    n = len(grades)
     share = np.array([(grades > k).mean() for k in range(top)]).clip(1e-6, 1 - 1e-6)
     theta = np.log((1 - share) / share)
     theta = np.maximum.accumulate(theta + 1e-3 * np.arange(top))
@@ -112,36 +115,42 @@ def fit(rows: list[list[int]], grades: np.ndarray, penalty: float = 0.001, round
     return Model({int(kept[i]): float(w[i]) for i in np.flatnonzero(w)}, [float(t) for t in theta])
 
 
-def severity_grades(rows: list[list[int]], toxic: np.ndarray) -> np.ndarray:
+def severity_grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 2 from a yes-or-no label: toxic texts with more distinct marker features than the toxic texts'
     median are graded 2, other toxic texts 1. Markers: features at least 20 times as likely in toxic texts."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    seen = [np.unique(np.array(r, np.int64)) for r in rows]
-    ones = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if t] or [np.zeros(0, np.int64)]), minlength=FEATURES)
-    zeros = np.bincount(np.concatenate([s for s, t in zip(seen, toxic) if not t] or [np.zeros(0, np.int64)]), minlength=FEATURES)
+    by = np.repeat(toxic, np.diff(rows.begin)) > 0
+    ones, zeros = np.bincount(rows.index[by], minlength=FEATURES), np.bincount(rows.index[~by], minlength=FEATURES)
     marker = (ones >= 3) & ((ones + 0.5) / (n1 + 1) > 20 * (zeros + 0.5) / (n0 + 1))
-    held = np.array([marker[s].sum() for s in seen])
+    sums = np.append(0, np.cumsum(marker[rows.index]))
+    held = sums[rows.begin[1:]] - sums[rows.begin[:-1]]
     middle = np.median(held[toxic > 0]) if toxic.any() else 0
     return np.where(toxic > 0, 1 + (held > middle), 0).astype(np.int64)
 
 
-def sample(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: int = FIT_GRADED) -> tuple[list[list[int]], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: int = FIT_GRADED) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most clean + graded labelled documents, first by a hash of doc_id."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.filter("toxic = 0").orderBy(*order).limit(clean).union(known.filter("toxic > 0").orderBy(*order).limit(graded))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", pa.list_(pa.int32()))])
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", ints), ("counts", ints)])
 
     def run(batches):
         for batch in batches:
-            found = [sorted(f for w in words_of(t) for f in features_of(w)) for t in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
+            for a, b in groups(batch):
+                found = [np.unique(np.array([f for w in words_of(t) for f in features_of(w)], np.int32), return_counts=True) for t in batch.column(2).slice(a, b - a).to_pylist()]
+                own = [pa.array([f[k].astype(np.int32) for f in found], ints) for k in (0, 1)]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *own], schema=schema)
 
     # at most clean + graded rows of two numbers
-    own = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<int>")
-    rows = own.orderBy("doc_id").limit(clean + graded).toArrow().to_pydict()
-    return rows["features"], np.array(rows["toxic"], np.int64)
+    own = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<int>, counts array<int>")
+    found = own.orderBy("doc_id").limit(clean + graded).toArrow().combine_chunks()
+    features, counts = found.column("features").combine_chunks(), found.column("counts").combine_chunks()
+    begin = np.append(0, np.cumsum(features.value_lengths().to_numpy(zero_copy_only=False)))
+    rows = Rows(features.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(float), begin)
+    return rows, found.column("toxic").to_numpy().astype(np.int64)
 
 
 _WEIGHTS: dict = {}

@@ -35,7 +35,7 @@ def test_thresholds_are_ordered_and_shared():
     r = np.random.default_rng(1)
     rows = [[int(f) for f in r.integers(10, 60, 8)] + [1] * int(k) for k in r.integers(0, 4, 900)]
     grades = np.array([row.count(1) for row in rows])
-    m = T.fit(rows, grades, penalty=0.001)
+    m = T.fit(T.rows_of(rows), grades, penalty=0.001)
     assert m.thresholds == sorted(m.thresholds) and len(m.thresholds) == 3
     e, p = m.severity(np.array([m.weights.get(1, 0) * k for k in range(4)]))
     assert list(e) == sorted(e) and e[0] < 0.6 and e[3] > 2.2 and p[0] < 0.5 < p[3]
