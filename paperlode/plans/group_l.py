@@ -1 +1,58 @@
-"""To be filled."""
+"""L: streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import governance as G
+from ..operators import pages as P
+from ..streaming import jobs as J
+from .group_b import CH, PG
+from .group_h import AUDIT
+from .registry import op
+from .views import AS_OF, view
+
+
+@op("L1", f"WITH {PG}, {CH}, one AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT file_hash, one.doc_id, count(*) AS chunks FROM one JOIN ch ON ch.doc_id = one.doc_id GROUP BY 1, 2")
+def l1(spark, d):
+    docs = J.read(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("file_hash"))
+    chunks = J.ingest(docs, J.folder(spark, "ingest"), lambda df: P.chunk(P.split_pages(df), 64, 8))
+    return chunks.groupBy("file_hash", "doc_id").agg(F.count("*").alias("chunks"))
+
+
+@op("L2", "SELECT path, min(poll_no) AS poll_no, arg_min(size, poll_no) AS size FROM (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY poll_no) AS before FROM (SELECT concat('f', user_id) AS path, event_id AS poll_no, CAST(floor(value / 100) AS BIGINT) AS size, event_id % 3 = 0 AS old_enough FROM events)) WHERE size = before AND old_enough GROUP BY 1")
+def l2(spark, d):
+    e = J.read(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("poll_no"), F.floor(F.col("value") / 100).alias("size"), (F.col("event_id") % 3 == 0).alias("old_enough"))
+    return J.run(J.stability_guard(e), J.folder(spark, "guard"))
+
+
+@op("L3", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal, id) AS n FROM ({AUDIT})),
+  c(id, tenant_id, n, previous_hash, event_hash) AS (SELECT id, tenant_id, n, SHA256(concat('genesis:', tenant_id)), SHA256(concat(SHA256(concat('genesis:', tenant_id)), payload)) FROM r WHERE n = 1
+    UNION ALL SELECT r.id, r.tenant_id, r.n, c.event_hash, SHA256(concat(c.event_hash, r.payload)) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.n = c.n + 1)
+  SELECT id, tenant_id, previous_hash, event_hash FROM c""")
+def l3(spark, d):
+    e = J.read(spark, d, "events").filter("event_id % 10 = 3").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("tenant_id"), (F.col("event_id") + 1000000).cast("string").alias("ordinal"), G.payload("user_id", "event_type", "props").alias("payload"))
+    return J.run(J.audit_chain(e), J.folder(spark, "chain"))
+
+
+@op("L4", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error' OR event_id % 10 = 0) AS errors, round(avg(value), 4) AS avg_ms FROM events GROUP BY 1")
+def l4(spark, d):
+    code = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 10 == 0, 404).otherwise(200)
+    e = J.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), code.alias("status_code"), F.col("value").alias("response_time_ms"))
+    return J.run(J.windowed_metrics(e), J.folder(spark, "metrics"), "complete")
+
+
+@op("L5", "SELECT event_type AS field_name, count(*) FILTER (event_id % 3 = 0) AS confirmed, count(*) FILTER (event_id % 3 = 1) AS corrected FROM events GROUP BY 1")
+def l5(spark, d):
+    e = J.read(spark, d, "events").groupBy(F.col("event_type").alias("field_name")).agg(F.count_if(F.col("event_id") % 3 == 0).alias("confirmed"), F.count_if(F.col("event_id") % 3 == 1).alias("corrected"))
+    return J.run(e, J.folder(spark, "trust"), "complete")
+
+
+@op("L6", f"SELECT doc_id, CASE WHEN doc_id % 3 <> 1 THEN 'protected' WHEN DATE '{AS_OF}' - (DATE '2023-12-01' + CAST(doc_id % 60 AS INT)) < 30 THEN 'pending' ELSE 'purge' END AS outcome FROM documents WHERE doc_id % 11 = 0")
+def l6(spark, d):
+    """The retention sweep as a scheduled run over newly trashed documents."""
+    actors = G.policy_actors(view(spark, d, "v_users")).select("tenant_id", "actor_id")
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(F.lit("unclassified_permanent"), F.lit("operational_trash"), F.lit("statutory_record")), (i % 3 + 1).cast("int"))
+    docs = J.read(spark, d, "documents").filter(i % 11 == 0).select("doc_id", (i % 4).alias("tenant_id"), F.lit(True).alias("is_trashed"), F.date_add(F.lit("2023-12-01").cast("date"), (i % 60).cast("int")).alias("trashed_at"), kind.alias("retention_class"))
+    return J.run(G.sweep_documents(docs, view(spark, d, "v_retention"), actors, AS_OF).select("doc_id", "outcome"), J.folder(spark, "sweep"))
