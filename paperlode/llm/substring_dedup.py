@@ -291,20 +291,21 @@ def repeat_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     """(__k, __tag, spans) of every document of docs (doc_id, text) that holds repeated windows, as packed positions."""
     own = _keyed(docs.select("doc_id", "text")).select(F.col("__k").alias("k"), F.col("__tag").alias("tag"), F.col("text").cast("string").alias("text"))
     found = stage(own.mapInArrow(_anchors(window), _ANCHOR), "anchors")
-    again = found.groupBy("sym").agg(F.count("*").alias("n")).filter("n > 1").select("sym")
+    # keys are written before they are joined: Spark can then split a hot key's rows in the join
+    again = stage(found.groupBy("sym").agg(F.count("*").alias("n")).filter("n > 1").select("sym"), "again")
     shared = stage(found.join(again, "sym"), "shared")
-    release(found)
+    release(found, again)
 
     spellings = shared.groupBy("sym", "spell").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("one"))
     spellings = stage(spellings.select("sym", "spell", "n", "one.k", "one.pos"), "spellings")
-    several = spellings.groupBy("sym").agg(F.count("*").alias("c")).filter("c > 1").select("sym")
+    several = stage(spellings.groupBy("sym").agg(F.count("*").alias("c")).filter("c > 1").select("sym"), "several")
     todo = spellings.join(several, "sym").select("k", "sym", "pos", (F.col("n") == 1).alias("single"))
     per_doc = todo.groupBy("k", F.col("pos").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.struct("sym", "pos", "single")).alias("todo"))
     # rows that repeat in full hold one text: any of them will do
     windows = own.join(per_doc, ["k", "tag"]).select("k", "text", "todo").mapInArrow(_fine(window), _WINDOWS)
     windows = stage(windows, "windows")
     place = F.struct("k", "pos")
-    twice = windows.groupBy("sym", "spell").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("sym", "spell")
+    twice = stage(windows.groupBy("sym", "spell").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("sym", "spell"), "twice")
     fine = windows.filter("single").join(twice, ["sym", "spell"]).select("k", "pos")
     whole = shared.join(spellings.filter("n > 1").select("sym", "spell"), ["sym", "spell"]).select("k", "pos")
     return whole.union(fine).groupBy(F.col("k").alias("__k"), F.col("pos").bitwiseAND(0xFFFFFF).alias("__tag")).agg(F.collect_set("pos").alias("spans"))
