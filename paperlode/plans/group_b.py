@@ -151,3 +151,32 @@ def b15(spark, d):
 @op("B17", r"SELECT page_id, CASE WHEN contains(t, '.') THEN lower(string_split(t, '.')[-1]) ELSE 'text/html' END AS file_type FROM (SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS t FROM pages)")
 def b17(spark, d):
     return view(spark, d, "pages").select("page_id", T.file_type(F.regexp_extract("url", "([^/]*)$", 1), F.lit("text/html")).alias("file_type"))
+
+
+@op("B11", r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 50 AS STRING) || '/2A;' || CAST(l_suppkey AS STRING) || '/2B' AS survey_numbers, CAST(l_linenumber AS STRING) AS cts,
+  CASE l_partkey % 4 WHEN 0 THEN CAST(floor(l_quantity) AS BIGINT) * 10000.0 + (l_partkey % 9) * 100.0 WHEN 1 THEN CAST(floor(l_quantity) AS BIGINT) * 101.0 WHEN 2 THEN (l_partkey % 9) * 100.0 END AS area_sqm,
+  round(CAST(floor(l_extendedprice) AS BIGINT) * 0.092903, 2) AS built_sqm, CAST(l_suppkey AS DOUBLE) AS open_space_sqm, CASE WHEN l_partkey % 4 = 3 THEN 'Akker 5: unit differs by district, needs review' END AS flag FROM lineitem WHERE l_linenumber = 1""")
+def b11(spark, d):
+    """Register cells made of line items, each with a survey number, areas in one of several units, and open space."""
+    from ..functions.cells import parse_cell
+
+    s = lambda c: F.col(c).cast("string")
+    q, p9 = F.floor("l_quantity").cast("string"), (F.col("l_partkey") % 9).cast("string")
+    kind = F.col("l_partkey") % 4
+    area = F.when(kind == 0, F.concat(F.lit("area "), q, F.lit(" ha "), p9, F.lit(" are"))).when(kind == 1, F.concat(F.lit("Area "), q, F.lit(" guntha"))).when(kind == 2, F.concat(F.lit("area "), p9, F.lit(" आर"))).otherwise(F.lit("Akker 5"))
+    text = F.concat(F.lit("S.No. "), (F.col("l_partkey") % 50).cast("string"), F.lit("/2A & "), s("l_suppkey"), F.lit("/2B, CTS no. "), s("l_linenumber"), F.lit(", "), area, F.lit(", construction "), F.floor("l_extendedprice").cast("string"), F.lit(" sq.ft, open space "), s("l_suppkey"), F.lit(" sqm"))
+    rows = view(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse_cell(text).alias("p"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.*")
+
+
+@op("B16", "SELECT event_id, CASE WHEN event_id % 5 < 4 THEN event_type END AS relation, CASE WHEN event_id % 5 < 4 THEN event_id % 100 END AS score FROM events")
+def b16(spark, d):
+    """Archived replies: plain, fenced, after thoughts, with words around them and a raw line break, or none at all."""
+    from ..functions.cells import lenient_json
+
+    body = F.concat(F.lit('{"relation": "'), "event_type", F.lit('", "score": '), (F.col("event_id") % 100).cast("string"))
+    kind = F.col("event_id") % 5
+    reply = F.when(kind == 0, F.concat(body, F.lit("}"))).when(kind == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("}\n```"))).when(kind == 2, F.concat(F.lit("<think>{no}</think> "), body, F.lit("}")))
+    reply = reply.when(kind == 3, F.concat(F.lit("The answer is "), body, F.lit(', "why": "a\nb"} as said'))).otherwise(F.lit("no { json"))
+    out = view(spark, d, "events").select("event_id", lenient_json(reply, "relation string, score bigint").alias("j"))
+    return out.select("event_id", "j.relation", "j.score")

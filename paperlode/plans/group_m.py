@@ -24,19 +24,21 @@ def m1b(spark, d):
     return first.select("conv_id", F.when(F.length("t") > 40, F.concat(F.left("t", F.lit(37)), F.lit("..."))).otherwise(F.col("t")).alias("title"))
 
 
-_UP = Window.partitionBy("conv_id").orderBy("turn")
+def _up():
+    """A conversation in its order."""
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 @op("M1c", "SELECT conv_id, turn, last_value(CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context_turn FROM conversations")
 def m1c(spark, d):
     has = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 != 0), F.col("turn"))
-    return view(spark, d, "conversations").select("conv_id", "turn", F.last(has, ignorenulls=True).over(_UP.rowsBetween(Window.unboundedPreceding, -1)).alias("context_turn"))
+    return view(spark, d, "conversations").select("conv_id", "turn", F.last(has, ignorenulls=True).over(_up().rowsBetween(Window.unboundedPreceding, -1)).alias("context_turn"))
 
 
 @op("M1d", "SELECT conv_id, turn, coalesce(string_agg(concat(role, ':', left(text, 20)), '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations")
 def m1d(spark, d):
     said = F.concat("role", F.lit(":"), F.left("text", F.lit(20)))
-    return view(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(said).over(_UP.rowsBetween(-4, -1)), "|").alias("context"))
+    return view(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(said).over(_up().rowsBetween(-4, -1)), "|").alias("context"))
 
 
 @op("M1e", "WITH a AS (SELECT conv_id, turn % 4 AS doc, 0 AS src, turn, 1.0 / (1 + turn) AS score FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn % 4, 1, turn, 1.0 / (2 + turn) FROM conversations WHERE role = 'assistant') SELECT conv_id, doc, src, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, doc ORDER BY src, turn) AS r FROM a) WHERE r = 1 AND score >= 0.2")
