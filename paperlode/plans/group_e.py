@@ -12,11 +12,13 @@ COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / sqrt(lis
 
 
 def vectors(spark, d):
+    # every tenth document stands for a second upload of the one four before it
     docs, e = view(spark, d, "v_docs"), view(spark, d, "embeddings")
-    return docs.join(e, docs.doc_id == e.vec_id).select("tenant_id", "doc_id", (~F.col("is_trashed")).alias("can_match"), F.col("embedding").alias("e"))
+    first = F.when(docs.doc_id % 10 == 4, docs.doc_id - 4).otherwise(docs.doc_id)
+    return docs.join(e, first == e.vec_id).select("tenant_id", "doc_id", (~F.col("is_trashed")).alias("can_match"), F.col("embedding").alias("e"))
 
 
-@op("E1", f"""WITH v AS (SELECT tenant_id, doc_id, is_trashed, embedding FROM v_docs JOIN embeddings ON vec_id = doc_id), p AS (SELECT a.tenant_id, a.doc_id, b.doc_id AS other_id, {COS.format('a.embedding', 'b.embedding')} AS s FROM v AS a JOIN v AS b ON a.tenant_id = b.tenant_id AND a.doc_id <> b.doc_id AND NOT b.is_trashed)
+@op("E1", f"""WITH v AS (SELECT tenant_id, doc_id, is_trashed, embedding FROM v_docs JOIN embeddings ON vec_id = CASE WHEN doc_id % 10 = 4 THEN doc_id - 4 ELSE doc_id END), p AS (SELECT a.tenant_id, a.doc_id, b.doc_id AS other_id, {COS.format('a.embedding', 'b.embedding')} AS s FROM v AS a JOIN v AS b ON a.tenant_id = b.tenant_id AND a.doc_id <> b.doc_id AND NOT b.is_trashed)
   SELECT tenant_id, doc_id, other_id, round_even(s, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, doc_id ORDER BY round(s, 6) DESC, other_id) AS r FROM p WHERE s >= 0.92) WHERE r <= 10""")
 def e1(spark, d):
     return G.fuzzy_duplicates(vectors(spark, d))
