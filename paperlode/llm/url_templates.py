@@ -110,9 +110,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES) ->
     overall = (total.bad or 0) / (total.labelled or 1)
     pooled = counted.join(joined, ["host", "template"]).groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     purity = (F.col("bad") + PRIOR_WEIGHT * overall) / (F.col("labelled") + PRIOR_WEIGHT)
-    verdicts = pooled.select("host", "merged", purity.alias("purity"), ((F.col("labelled") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected"))
+    # written before the paths of a hot host join it, so that Spark can split them
+    verdicts = stage(pooled.select("host", "merged", purity.alias("purity"), ((F.col("labelled") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected")), "purity")
     by_path = stage(tree.join(joined, ["host", "template"]).join(verdicts, ["host", "merged"]).select("host", "path", F.col("merged").alias("template"), "purity", "rejected"), "verdicts")
-    release(paths, tree, counted, joined)
+    release(paths, tree, counted, joined, verdicts)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     out = own.join(by_path, ["host", "path"])
     method = F.when(F.col("rejected"), "block").otherwise("allow")
