@@ -15,25 +15,35 @@ from .components import components
 _BITS = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.int64)
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 majority bits of the XXH64 (seed 42) of every run of `shingle` words; no words: 0."""
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of every run of `shingle` words, repeats included; texts of fewer words are one run."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     k = min(shingle, len(words))
     digest, join = xxhash.xxh64_intdigest, b" ".join
     n = len(words) - k + 1
-    hashes = np.fromiter((digest(join(x), 42) for x in zip(*(words[i : i + n] for i in range(k)))), np.uint64, n)
+    return np.fromiter((digest(join(x), 42) for x in zip(*(words[i : i + n] for i in range(k)))), np.uint64, n)
+
+
+def majority(found: np.ndarray) -> int:
+    """64 bits, each set where more than half of the hashes have it; no hashes: 0."""
+    n = len(found)
     if n < 400:
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones = np.unpackbits(found.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
-        columns = hashes.view(np.uint8).reshape(n, 8)
+        columns = found.view(np.uint8).reshape(n, 8)
         ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BITS for i in range(8)])
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """The majority bits of a text's hashes."""
+    return majority(hashes(text, shingle))
+
+
 def _fingerprints(shingle: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -65,7 +75,7 @@ def block_masks(n: int, distance: int) -> list[int]:
     return [sum(x) for x in combinations(parts, blocks - distance)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
@@ -77,7 +87,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     largest component against every row; so no link is lost, and no pair inside a component is formed.
     """
     fps = fps.select("fp")
-    masks = [_signed(m) for m in block_masks(fps.count(), distance)]
+    masks = [signed(m) for m in block_masks(fps.count(), distance)]
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(masks)))).alias("b")).select("fp", "b.t", "b.key")
     order = F.struct(F.xxhash64("fp", "t"), "fp")
     hubs = keyed.groupBy("t", "key").agg(F.min(order)["fp"].alias("h1"), F.max(order)["fp"].alias("h2")).filter("h1 <> h2")
