@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, stage
 from .token_ids import groups
 
 #: Characters of items matched in one pass over the documents; a larger benchmark takes several passes.
@@ -23,8 +24,9 @@ _WORD = re.compile(r"\w+")
 
 
 def normal(text: str | None) -> str:
-    """Lower case, words joined by one space."""
-    return " ".join(_WORD.findall(text.lower())) if text else ""
+    """Lower case, words joined by one space, with one at either end: a match begins and ends at words."""
+    words = _WORD.findall(text.lower()) if text else ()
+    return f" {' '.join(words)} " if words else ""
 
 
 def budget(m: int, rate: float) -> int:
@@ -115,38 +117,49 @@ class Matcher:
                 yield item_id, distance, k, end - length, end
 
 
-_LAST: dict = {}
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def _matcher(key: str, shipped, rate: float) -> Matcher:
-    if _LAST.get("key") != key:
-        _LAST.update(key=key, matcher=Matcher(shipped.value, rate))
-    return _LAST["matcher"]
+    return held(("items", key), lambda: Matcher(shipped.value, rate))
 
 
 def _blocks(items: DataFrame, block_chars: int):
-    """(key, broadcast of (item_id, normalised text)) for blocks of about block_chars characters, one after another."""
+    """How many blocks of about block_chars characters there are, and a function that ships one:
+    its key and the broadcast of (item_id, normalised text)."""
     spark = items.sparkSession
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = wanted.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
-    for b in range(blocks):
+    blocks = max(1, -(-(wanted.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+
+    def ship(b: int):
         block = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block.collect()])
+        return uuid.uuid4().hex, spark.sparkContext.broadcast([(r.item_id, normal(r.text)) for r in block.collect()])
+
+    return blocks, ship
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that no item leaks into; rate and blocks as in find_leaks."""
+    """The rows of docs, with all their columns, that no item leaks into; rate and blocks as in find_leaks.
+
+    A text that is null, empty or without words stays. With several blocks each but the last is applied and written
+    before the next is shipped.
+    """
     at = docs.columns.index("text")
-    for key, shipped in _blocks(items, block_chars):
+    blocks, ship = _blocks(items, block_chars)
+    for b in range(blocks):
+        key, shipped = ship(b)
 
         def run(batches, key=key, shipped=shipped):
             matcher = _matcher(key, shipped, rate)
             for batch in batches:
-                yield batch.filter(pa.array([next(matcher.matches(normal(t)), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
+                for a, z in groups(batch, at):
+                    some = batch.slice(a, z - a)
+                    yield some.filter(pa.array([next(matcher.matches(normal(t)), None) is None for t in some.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if b < blocks - 1:
+            docs = stage(docs, "clean")
+            shipped.destroy()
     return docs
 
 
@@ -156,12 +169,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_char
     docs: doc_id, text; items: item_id, text; other columns are left out. Texts are compared in lower case, words
     joined by one space; null, empty or wordless texts match nothing. An item leaks where some passage is within
     `rate` of its length in edits; its nearest and then first place is given. Rows that repeat count each; items that
-    repeat give a row each. Items are matched in blocks of about `block_chars` characters, so that what tasks hold is
-    bounded; every block passes over all documents.
+    repeat give a row each. Items are matched in blocks of about `block_chars` characters, one after another, so that what
+    the driver and tasks hold is bounded; every block passes over all documents.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for key, shipped in _blocks(items, block_chars):
+    blocks, ship = _blocks(items, block_chars)
+    for b in range(blocks):
+        key, shipped = ship(b)
 
         def run(batches, key=key, shipped=shipped):
             matcher = _matcher(key, shipped, rate)
@@ -174,5 +189,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_char
                         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
         found = own.mapInArrow(run, "doc_id long, item_id long, distance int, budget int, start long, end long")
+        if b < blocks - 1:
+            found = stage(found, "leaks")
+            shipped.destroy()
         out = found if out is None else out.union(found)
     return out
