@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 
@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it is unset (tests), a new one is set."""
+    """The folder that the session names in spark.checkpoint.dir; a new one where that is unset and all tasks run on
+    this machine. A cluster must name one, as its executors share no local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="paperlode-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,8 +52,25 @@ def id_key(col: str = "doc_id"):
     return F.coalesce(F.col(col).cast("long"), F.lit(-(2**63)))
 
 
-def buckets(n_rows: int, rows_each: int, least: int = 1) -> int:
-    return max(least, -(-n_rows // rows_each))
+_HELD: dict = {}
+
+
+def held(key, make):
+    """make(), kept in this Python worker until another key is asked for: a worker that goes on to other work holds
+    one large object, not one for each kind of work that it has done."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 class Memo(dict):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Memo
+from .common import WHITE, Memo, held
 from .token_ids import groups
 
 #: The byte-level pre-tokenizer's pattern, a fixed value of the vocabulary, with white space written out.
@@ -37,45 +37,38 @@ def prove_whole(path: str) -> frozenset[str]:
     return frozenset(t for t, i, e in zip(texts, ids, found) if e.ids == [i])
 
 
-_STATE: dict = {}
-
-
 def _counter(path: str, whole: frozenset[str]):
-    if path not in _STATE:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        # longest first, as a text may hold one that begins another
-        cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        find = regex.compile(PATTERN).findall
-        merged = Memo(lambda p: len(tok.encode(p, add_special_tokens=False).ids), 400_000)
-
-        def count(text: str) -> tuple[int, int]:
-            n = direct = 0
-            parts = [text]
-            if cut and any(s in text for s in special):
-                n, parts = len(cut.findall(text)), cut.split(text)
-            for part in parts:
-                pre = find(part)
-                rest = [p for p in pre if p not in whole]
-                direct += len(pre) - len(rest)
-                n += len(pre) - len(rest) + sum(map(merged.__getitem__, rest))
-            return n, direct
-
-        _STATE[path] = count
-    return _STATE[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    # longest first, as a text may hold one that begins another
+    cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+    find = regex.compile(PATTERN).findall
+    merged = Memo(lambda p: len(tok.encode(p, add_special_tokens=False).ids), 400_000)
+
+    def count(text: str) -> tuple[int, int]:
+        n = direct = 0
+        parts = [text]
+        if cut and any(s in text for s in special):
+            n, parts = len(cut.findall(text)), cut.split(text)
+        for part in parts:
+            pre = find(part)
+            rest = [p for p in pre if p not in whole]
+            direct += len(pre) - len(rest)
+            n += len(pre) - len(rest) + sum(map(merged.__getitem__, rest))
+        return n, direct
+
+    return count
 
 
 def _library_counter(path: str):
-    if path not in _STATE:
-        import sentencepiece
+    import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        _STATE[path] = lambda text: (len(model.encode(text, num_threads=1)), 0)
-    return _STATE[path]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda text: (len(model.encode(text, num_threads=1)), 0)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
@@ -90,7 +83,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_whole", pa.int64())])
 
     def run(batches):
-        count = _counter(path, proven.value) if byte_level else _library_counter(path)
+        count = held(("counts", path), lambda: _counter(path, proven.value) if byte_level else _library_counter(path))
         for batch in batches:
             for a, b in groups(batch):
                 ids, n_bytes = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)

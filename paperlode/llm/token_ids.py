@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from .common import WHITE, Memo
+from .common import WHITE, Memo, held, trim
 
 #: Texts within this range, whose only white space is single spaces and single line ends, are cut by str.split.
 _HARD = re.compile(r"[\t\x0b-\x0d\x1c-\x1f\x85\xa0İ-\U0010ffff]")
@@ -24,7 +24,7 @@ _ONE, _TWO = re.compile(f"{_LETTERS}|{_MARKS}"), re.compile(f"{_LETTERS}{_MARKS}
 class IdEncoder:
     """encode(texts) -> little-endian unsigned 16-bit ids of each text, as bytes; vocabularies of at most 65,536 ids."""
 
-    def __init__(self, path: str, cap: int = 700_000):
+    def __init__(self, path: str, cap: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -112,14 +112,9 @@ class IdEncoder:
         return out
 
 
-_LOADED: dict[str, IdEncoder] = {}
-
-
 def encoder(path: str) -> IdEncoder:
-    """One for each vocabulary file and Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = IdEncoder(path)
-    return _LOADED[path]
+    """The one of a vocabulary file in this Python worker."""
+    return held(("ids", path), lambda: IdEncoder(path))
 
 
 def vocabulary(name: str) -> str:
@@ -128,15 +123,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def groups(batch, size: int = 1 << 20):
-    """(first row, end row) of an Arrow batch with a text column last, of about `size` characters each."""
+def groups(batch, at: int = -1, size: int = 1 << 20):
+    """(first row, end row) of pieces of an Arrow batch of about `size` characters each in its text column, `at`."""
     import pyarrow.compute as pc
 
-    lengths = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
-    at = 0
+    lengths = pc.fill_null(pc.utf8_length(batch.column(at % batch.num_columns)), 0).to_numpy(zero_copy_only=False)
+    begin = 0
     sums = np.cumsum(lengths)
-    while at < len(lengths):
-        base = sums[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sums, base + size, "right")))
-        yield at, end
-        at = end
+    while begin < len(lengths):
+        base = sums[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sums, base + size, "right")))
+        yield begin, end
+        begin = end
+    trim()

@@ -8,6 +8,7 @@ leaves few of them, none negative. The expected severity is the sum over k of P(
 from __future__ import annotations
 
 import re
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, held
 from .token_ids import groups
 
 #: Labelled rows that the fit may take from each side (graded 0, graded above). Scoring and everything else see all rows.
@@ -153,14 +154,19 @@ def sample(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: i
     return rows, found.column("toxic").to_numpy().astype(np.int64)
 
 
-_WEIGHTS: dict = {}
+def _weigher(key: str, shipped) -> Memo:
+    """word -> weight, by the model broadcast under key."""
 
-
-def _weigher(shipped):
-    if _WEIGHTS.get("of") != shipped.value.thresholds:
+    def make():
         weights = shipped.value.weights
-        _WEIGHTS.update(of=shipped.value.thresholds, memo=Memo(lambda w: sum(weights.get(f, 0.0) for f in features_of(w)), 400_000))
-    return _WEIGHTS["memo"]
+        return Memo(lambda w: sum(weights.get(f, 0.0) for f in features_of(w)), 300_000)
+
+    return held(("toxicity", key), make)
+
+
+def _eta(weigh: Memo, texts: list[str | None]) -> np.ndarray:
+    # sorted: a sum of floats then has one value
+    return np.array([sum(sorted(map(weigh.__getitem__, words_of(t)))) for t in texts], float)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -170,17 +176,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     may repeat, a null doc_id stays null. toxic: the expected severity reaches the threshold. A model fitted without
     graded rows gives severity 0 to all. The model is bounded by the number of features.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("expected_severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
 
     def run(batches):
-        weigh = _weigher(shipped)
+        weigh = _weigher(key, shipped)
         for batch in batches:
             for a, b in groups(batch):
-                texts = batch.column(1).slice(a, b - a).to_pylist()
-                # sorted: a sum of floats then has one value
-                eta = np.array([sum(sorted(map(weigh.__getitem__, words_of(t)))) for t in texts], float)
-                severity, p = model_of(shipped).severity(eta)
+                severity, p = shipped.value.severity(_eta(weigh, batch.column(1).slice(a, b - a).to_pylist()))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(severity), pa.array(p), pa.array(np.rint(severity).astype(np.int32)), pa.array(severity >= threshold)], schema=schema)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -188,24 +191,23 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose expected severity stays below the threshold. docs: text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, with all their columns, whose expected severity stays below the threshold.
+
+    docs: text, and any other columns. A text that is null, empty or without words is judged by the thresholds alone.
+    """
+    key, shipped = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
-        weigh = _weigher(shipped)
+        weigh = _weigher(key, shipped)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            eta = np.array([sum(sorted(map(weigh.__getitem__, words_of(t)))) for t in texts], float)
-            yield batch.filter(pa.array(model_of(shipped).severity(eta)[0] < threshold))
+            for a, b in groups(batch, at):
+                some = batch.slice(a, b - a)
+                yield some.filter(pa.array(shipped.value.severity(_eta(weigh, some.column(at).to_pylist()))[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def model_of(shipped) -> Model:
-    return shipped.value
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: int = FIT_GRADED) -> Model:
     rows, toxic = sample(docs, labels, clean, graded)
     return fit(rows, severity_grades(rows, toxic))
