@@ -1,9 +1,10 @@
 """License scans by diagonal voting.
 
-All rolling word pairs of all documents are joined by hash to the pairs of the license templates. A joined row votes
-for the diagonal (place in the document minus place in the template). Votes are counted for each diagonal,
-neighbouring diagonals are merged, so that a few inserted or missing words do no harm, and the merged spans are
-verified: a phrase stands where one diagonal has all its pairs; a longer template counts where enough of it is covered.
+All rolling word k-grams of all documents are joined by hash to the k-grams of the license templates: pairs for the
+short base phrases, runs of four words for license notices. A joined row votes for the diagonal (place in the document
+minus place in the template). Votes are counted for each diagonal, neighbouring diagonals are merged, so that a few
+inserted or missing words do no harm, and the merged span is verified by the distinct template places that it covers:
+a phrase stands where one diagonal has all its places; a notice counts where a large enough share of them is covered.
 """
 
 from __future__ import annotations
@@ -18,31 +19,38 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Longer templates of common licenses, with labels of the method's own.
+#: Notices of common licenses (fixed texts, in words), with labels of the method's own.
 TEMPLATES = {
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "licensed under the apache license version 2 0": "apache",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "mozilla public license": "mpl",
-    "creative commons attribution": "cc",
-    "all rights reserved": "proprietary",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software": "mit",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
+    "this work is licensed under the creative commons attribution": "cc",
 }
-#: Share of a longer template that must be covered, and how far apart diagonals may be that are merged.
-COVERAGE, NEIGHBOURS = 0.8, 2
+#: Words of a gram, of phrases and of notices. A template has at most 63 grams, one bit each.
+PHRASE_GRAM, NOTICE_GRAM = 2, 4
+#: Share of a notice's places that must be covered, and how far above a diagonal others are merged with it.
+COVERAGE, NEIGHBOURS = 0.8, 4
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+_GRAM = "template int, label string, base boolean, grams int, place int, ta string, tb string, tc string, td string"
+
+
 def _templates(spark: SparkSession) -> DataFrame:
-    """A row for each word pair of each template: a fixed list of a few dozen rows."""
-    rows = []
+    """A row for each gram of each template, a fixed list; and a mark that stands for the end of a document."""
+    rows = [(-1, None, False, 0, 0, "", "", None, None)]
     for i, (text, label) in enumerate([*PHRASES.items(), *TEMPLATES.items()]):
-        words = text.split(" ")
-        rows += [(i, label, i < len(PHRASES), len(words) - 1, p, a, b) for p, (a, b) in enumerate(zip(words, words[1:]))]
-    pairs = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, place int, ta string, tb string")
-    return pairs.withColumn("th", F.xxhash64("ta", "tb"))
+        words, base = text.split(" "), i < len(PHRASES)
+        k = PHRASE_GRAM if base else NOTICE_GRAM
+        for p in range(len(words) - k + 1):
+            rows.append((i, label, base, len(words) - k + 1, p, *words[p : p + k], *[None] * (4 - k)))
+    grams = spark.createDataFrame(rows, _GRAM)
+    return grams.withColumn("th", F.when(F.col("tc").isNull(), F.xxhash64("ta", "tb")).otherwise(F.xxhash64("ta", "tb", "tc", "td")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -56,41 +64,35 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # the two characters beyond ASCII whose lower case holds an ASCII letter stay what they are
-    odd = F.contains(text, F.lit("K")) | F.contains(text, F.lit("İ"))
+    odd = F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130"))
     lower = F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"))
     own = own.withColumn("n_words", F.size("w").cast("long"))
-    # the pairs, and last a mark that keeps documents without hits
-    pairs = F.arrays_zip(F.concat("w", F.array(F.lit(""))).alias("a"), F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit(""), F.lit(""))).alias("b"))
-    pairs = own.select("doc_id", "tag", "n_words", F.posexplode(pairs).alias("at", "p")).select("doc_id", "tag", "n_words", "at", "p.a", "p.b")
-    marked = spark.createDataFrame([(-1, None, False, 0, 0, "", "")], "template int, label string, base boolean, pairs int, place int, ta string, tb string").withColumn("th", F.xxhash64("ta", "tb"))
+    # grams from each word on, and last a mark that keeps documents without hits; "" stands beyond the end
+    after = lambda i: F.concat(F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))), F.array(*[F.lit("")] * (i + 1)))
+    zipped = F.arrays_zip(*(after(i).alias(c) for i, c in enumerate("abcd")))
+    grams = own.select("doc_id", "tag", "n_words", F.posexplode(zipped).alias("at", "g")).select("doc_id", "tag", "n_words", "at", "g.a", "g.b", "g.c", "g.d")
+    grams = grams.withColumn("h", F.explode(F.array(F.xxhash64("a", "b"), F.xxhash64("a", "b", "c", "d"))))
     # a fixed list: broadcast whatever the input
-    templates = F.broadcast(_templates(spark).union(marked))
-    votes = pairs.withColumn("h", F.xxhash64("a", "b")).join(templates, (F.col("h") == F.col("th")) & (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")))
+    templates = F.broadcast(_templates(spark))
+    same = (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & (F.col("tc").isNull() | ((F.col("c") == F.col("tc")) & (F.col("d") == F.col("td"))))
+    votes = grams.join(templates, (F.col("h") == F.col("th")) & same)
     document = ["doc_id", "tag", "n_words"]
-    lines = votes.groupBy(*document, "template", "label", "base", "pairs", (F.col("at") - F.col("place")).cast("long").alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high")
+    lines = votes.groupBy(*document, "template", "label", "base", "grams", (F.col("at") - F.col("place")).cast("long").alias("diagonal")).agg(
+        F.count("*").alias("votes"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places")
     )
     # rows that repeat vote together: the mark has one vote for each of them
     copies = F.max(F.when(F.col("template") == -1, F.col("votes"))).over(Window.partitionBy(*document))
-    lines = lines.withColumn("copies", copies).withColumn("votes", F.expr("votes div copies")).filter("template >= 0 or diagonal >= 0")
-    order = Window.partitionBy(*document, "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS, F.lit(True))
-    lines = lines.withColumn("span", F.sum(apart.cast("int")).over(order))
-    whole = F.col("base") & (F.col("votes") == F.col("pairs"))
-    # the merged diagonals of a span cover the places from the lowest to the highest, less those none voted for
-    spans = lines.groupBy(*document, "copies", "template", "label", "base", "pairs", "span").agg(
-        F.least(F.sum("votes"), F.max("high") - F.min("low") + 1, F.first("pairs")).alias("covered"),
-        F.count_if(whole).alias("places"), F.min(F.when(whole, F.col("diagonal"))).alias("first"), F.max(F.when(whole, F.col("diagonal"))).alias("last"),
-    )
-    share = F.when(F.col("pairs") > 0, F.col("covered") / F.col("pairs")).otherwise(0.0)
-    found = (F.col("places") > 0) | (~F.col("base") & (share >= COVERAGE))
+    lines = lines.withColumn("copies", copies).withColumn("votes", F.expr("votes div copies"))
+    near = Window.partitionBy(*document, "template").orderBy("diagonal").rangeBetween(0, NEIGHBOURS)
+    lines = lines.withColumn("covered", F.bit_count(F.bit_or("places").over(near)))
+    whole = F.col("base") & (F.col("votes") == F.col("grams"))
+    share = F.when(F.col("grams") > 0, F.col("covered") / F.col("grams")).otherwise(0.0)
+    found = whole | (~F.col("base") & (share >= COVERAGE))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    out = spans.groupBy(*document, "copies").agg(
-        F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"),
-        joined(F.when(F.col("places") > 0, F.col("label"))).alias("base_labels"), joined(F.when(found, F.col("label"))).alias("labels"), F.max(share).alias("score"),
+    out = lines.groupBy(*document, "copies").agg(
+        F.count_if(whole).alias("n_base"), F.min(F.when(whole, F.col("diagonal"))).alias("first_word"), F.max(F.when(whole, F.col("diagonal"))).alias("last_word"),
+        joined(F.when(whole, F.col("label"))).alias("base_labels"), joined(F.when(found, F.col("label"))).alias("labels"), F.max(share).alias("score"),
     )
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.col("score").cast("double").alias("score"))
-
-
