@@ -1,9 +1,10 @@
 """URL filters by a path-template tree.
 
-Per host, paths are walked a segment at a time. A segment that looks variable (digits, hex, dates), or whose share of
-its branch is small, becomes the wildcard `*`; what lies below the depth of the tree becomes `**`. Sibling branches
-that lead to the same template, and whose labelled rates do not differ by more than chance, are merged into one
-wildcard. A template is rejected when its labelled purity, smoothed by the rate of all labels, is high enough.
+Per host, paths are walked a segment at a time. A segment that looks variable (digits, hex, dates), or that fewer than
+LEAST_ROWS urls of its branch have, becomes the wildcard `*`; any other stays. What lies below the depth of the tree
+is one last segment, its variable parts masked, which stays or becomes `**` alike. Sibling branches that lead to the
+same template, and whose labelled rates do not differ by more than chance, are merged into one wildcard. A template is
+rejected when its labelled purity, smoothed by the rate of all labels, is high enough.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from .common import release, stage
 #: (host and path, verdict): fixed values; of those that fit a url the longest wins.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-DEPTH, LEAST_SHARE, LEAST_ROWS = 4, 0.05, 5
+#: Segments walked one by one, and urls that a literal segment needs.
+DEPTH, LEAST_ROWS = 8, 5
 #: Labelled urls that a template needs, weight of the overall rate, and purity from which it is rejected.
 LEAST_LABELS, PRIOR_WEIGHT, PURITY = 5, 5.0, 0.8
 #: Squared deviation, in units of chance, up to which siblings are alike (5 % of alike ones are kept apart).
@@ -43,34 +45,40 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Co
     return rule, verdict
 
 
-def templates(paths: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, least_rows: int = LEAST_ROWS) -> DataFrame:
+#: Stands for the slashes of the last segment.
+_INNER = "\x1f"
+
+
+def templates(paths: DataFrame, depth: int = DEPTH, least_rows: int = LEAST_ROWS) -> DataFrame:
     """host, path, template. paths: host, path and n, the number of urls, one row for each pair."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    now = paths.select("host", "path", "n", parts.alias("parts"), F.lit("").alias("template"))
-    for d in range(depth):
+    tail = F.transform(F.slice(parts, depth + 1, 1 << 20), lambda s: F.when(s.rlike(_VARIABLE), "*").otherwise(s))
+    steps = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.array_join(tail, _INNER)))).otherwise(parts)
+    now = paths.select("host", "path", "n", steps.alias("parts"), F.lit("").alias("template"))
+    longest = now.agg(F.max(F.size("parts"))).first()[0] or 0  # depth + 1 at most
+    for d in range(longest):
         held = stage(now, f"tree{d}")
         segment = F.element_at("parts", d + 1)
         deep = held.filter(F.size("parts") > d)
         plain = deep.filter(~segment.rlike(_VARIABLE)).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("own"))
-        total = deep.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        kept = stage(plain.join(total, ["host", "template"]).filter((F.col("own") >= least_rows) & (F.col("own") >= least_share * F.col("total"))).select("host", "template", "segment"), f"kept{d}")
+        kept = stage(plain.filter(F.col("own") >= least_rows).select("host", "template", "segment"), f"kept{d}")
         joined = held.withColumn("segment", F.when(F.size("parts") > d, segment)).join(kept.withColumn("literal", F.lit(True)), ["host", "template", "segment"], "left")
-        step = F.when(F.size("parts") <= d, "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*")
+        step = F.when(F.size("parts") <= d, "").when(F.col("literal"), F.concat(F.lit("/"), "segment")).otherwise("/*" if d < depth else "/**")
         now = joined.select("host", "path", "n", "parts", F.concat("template", step).alias("template"))
-    deeper = F.when(F.size("parts") > depth, "/**").otherwise("")
     # a template ends as its paths do: a leaf and a folder of one name stay apart
     end = F.when(F.col("path").endswith("/"), "/").otherwise("")
-    return now.select("host", "path", F.concat("template", deeper, end).alias("template"))
+    return now.select("host", "path", F.concat("template", end).alias("template"))
 
 
-def merged(counts: DataFrame, depth: int = DEPTH, alike: float = ALIKE) -> DataFrame:
+def merged(counts: DataFrame, alike: float = ALIKE) -> DataFrame:
     """host, template, merged: siblings below one wildcard position that are statistically alike share a template.
 
     counts: host, template, labelled, bad. Positions are tried from the deepest to the first, each template being
     pooled with those that differ from it there alone.
     """
     now = counts.select("host", "template", F.col("template").alias("merged"), "labelled", "bad")
-    for d in range(depth, 0, -1):
+    deepest = now.agg(F.max(F.size(F.split("template", "/")))).first()[0] or 1  # bounded by the depth of the tree
+    for d in range(deepest - 1, 0, -1):
         held = stage(now, f"merge{d}")
         parts = F.split("merged", "/")
         masked = F.when((F.size(parts) > d) & (F.element_at(parts, F.least(F.lit(d + 1), F.size(parts))) != ""), F.array_join(F.concat(F.slice(parts, 1, d), F.array(F.lit("*")), F.slice(parts, d + 2, 1000)), "/"))
@@ -112,7 +120,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: dict[str, str] = RULES) ->
     purity = (F.col("bad") + PRIOR_WEIGHT * overall) / (F.col("labelled") + PRIOR_WEIGHT)
     # written before the paths of a hot host join it, so that Spark can split them
     verdicts = stage(pooled.select("host", "merged", purity.alias("purity"), ((F.col("labelled") >= LEAST_LABELS) & (purity >= PURITY)).alias("rejected")), "purity")
-    by_path = stage(tree.join(joined, ["host", "template"]).join(verdicts, ["host", "merged"]).select("host", "path", F.col("merged").alias("template"), "purity", "rejected"), "verdicts")
+    by_path = stage(tree.join(joined, ["host", "template"]).join(verdicts, ["host", "merged"]).select("host", "path", F.translate("merged", _INNER, "/").alias("template"), "purity", "rejected"), "verdicts")
     release(paths, tree, counted, joined, verdicts)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     out = own.join(by_path, ["host", "path"])

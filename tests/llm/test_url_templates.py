@@ -25,21 +25,16 @@ def plain_parts(url):
 
 def plain_templates(urls):
     rows = [(*plain_parts(u),) for u in urls]
-    segs = [[s for s in p.split("/") if s] for _, p in rows]
+    segs = []
+    for _, p in rows:
+        own = [s for s in p.split("/") if s]
+        tail = ["*" if re.match(U._VARIABLE, s) else s for s in own[U.DEPTH :]]
+        segs.append(own[: U.DEPTH] + ["\x1f".join(tail)] * bool(tail))
     now = [""] * len(rows)
-    for d in range(U.DEPTH):
-        own, total = Counter(), Counter()
-        for (h, _), s, t in zip(rows, segs, now):
-            if len(s) > d:
-                total[h, t] += 1
-                if not re.match(U._VARIABLE, s[d]):
-                    own[h, t, s[d]] += 1
-        nxt = []
-        for (h, _), s, t in zip(rows, segs, now):
-            n = own[h, t, s[d]] if len(s) > d else 0
-            nxt.append(t if len(s) <= d else t + "/" + (s[d] if n >= U.LEAST_ROWS and n >= U.LEAST_SHARE * total[h, t] else "*"))
-        now = nxt
-    return [t + ("/**" if len(s) > U.DEPTH else "") + ("/" if p.endswith("/") else "") for (_, p), s, t in zip(rows, segs, now)]
+    for d in range(U.DEPTH + 1):
+        own = Counter((h, t, s[d]) for (h, _), s, t in zip(rows, segs, now) if len(s) > d and not re.match(U._VARIABLE, s[d]))
+        now = [t if len(s) <= d else t + "/" + (s[d] if own[h, t, s[d]] >= U.LEAST_ROWS else "*" if d < U.DEPTH else "**") for (h, _), s, t in zip(rows, segs, now)]
+    return [t + ("/" if p.endswith("/") else "") for (_, p), t in zip(rows, now)]
 
 
 def plain_merge(rows):
@@ -49,7 +44,7 @@ def plain_merge(rows):
         n[h, t] += b is not None
         bad[h, t] += b or 0
     now = {k: k[1] for k in n}
-    for d in range(U.DEPTH, 0, -1):
+    for d in range(U.DEPTH + 2, 0, -1):
         mask = {}
         for k, m in now.items():
             parts = m.split("/")
@@ -78,7 +73,7 @@ def test_equals_brute_force(spark):
     urls = [(None, None), (1, None), (2, "no scheme/path"), (3, "http://"), (4, "http://HOST.NET"), (5, "http://h.net/"), (6, "a://b://c/d"), (7, "http://x.org/fr/é?q#f"), (8, "http://x.org#top"), (8, "http://x.org#top")]
     for i in range(9, 2500):
         h = r.choice(hosts)
-        seg = [r.choice(["en", "de", "fr", "news"]), r.choice(["buy", "item", str(r.randrange(99)), f"p{r.randrange(40)}"]), str(r.randrange(10**6)), "deep", "deeper", "x"][: r.randrange(0, 7)]
+        seg = [r.choice(["en", "de", "fr", "news"]), r.choice(["buy", "item", str(r.randrange(99)), f"p{r.randrange(40)}"]), str(r.randrange(10**6)), "deep", "deeper", "x", "y", r.choice(["z", "w"]), r.choice(["end", "17", "last"]), r.choice(["a", "b", "9"])][: r.randrange(0, 12)]
         urls.append((i, f"https://{h}/" + "/".join(seg) + r.choice(["", "/", "?a=1", "#b"])))
     labels = [(i, int("spam" in (u or "") and "/buy" in u or r.random() < 0.1)) for i, u in urls if i and i % 2] + [(9, None), (None, 1)]
     got = U.judge(spark.createDataFrame([(i, u, "c", 1) for i, u in urls], "page_id long, url string, host string, n int"), spark.createDataFrame([(i, b, "c") for i, b in labels], "page_id long, bad int, url string")).collect()
@@ -97,11 +92,23 @@ def test_equals_brute_force(spark):
         purity = (bad[h, m] + U.PRIOR_WEIGHT * overall) / (n[h, m] + U.PRIOR_WEIGHT)
         rule = plain_rule(*plain_parts(u))
         verdict = U.RULES[rule] if rule else "block" if n[h, m] >= U.LEAST_LABELS and purity >= U.PURITY else "allow"
-        want.append((i, *plain_parts(u), rule, verdict, m, round(purity, 9)))
+        want.append((i, *plain_parts(u), rule, verdict, m.replace("\x1f", "/"), round(purity, 9)))
     assert sorted(((*tuple(x)[:6], round(x.purity, 9)) for x in got), key=str) == sorted(want, key=str)
     assert any(x.verdict == "block" and x.rule is None for x in got)
 
 
+def test_a_small_bad_section_of_a_hot_host_is_rejected(spark):
+    r = random.Random(3)
+    urls = [(i, f"http://hot.io/{r.choice(['bad'] + [f's{k}' for k in range(40)])}/x{i}") for i in range(6000)]
+    deep = "/".join(f"d{k}" for k in range(14))
+    urls += [(9000 + i, f"http://hot.io/{deep}/{'worse' if i % 2 else 'fine'}/{i}") for i in range(240)]
+    urls = [(i, u.replace("/x", "/")) for i, u in urls]
+    bad = lambda u: "/bad/" in u or "/worse/" in u
+    labels = [(i, int(bad(u))) for i, u in urls if i % 3 == 0]
+    got = U.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    assert {x.page_id for x in got if x.verdict == "block"} == {i for i, u in urls if bad(u)}
+
+
 def test_empty_tables(spark):
     pages, labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")
     assert U.judge(pages, labels).collect() == []
