@@ -14,8 +14,8 @@ smallest such symbol name, so a window can repeat only where its symbol repeats,
    one document for each spelling;
 4. words covered by repeated windows leave their documents.
 
-A window in which no symbol is decided (long runs of one word) represents itself, so nothing is lost. Equality is
-always judged by two independent 64-bit fingerprints (symbol and full spelling).
+A window in which no symbol is decided (long runs of one word) represents itself, so nothing is lost. Two windows are
+equal where both their symbols (from the names of words) and a hash of their bytes agree: 128 bits of two kinds.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_key, release, stage
+from .common import release, stage
+from .token_ids import groups
 
 #: Pair rounds, and the length in words from which a symbol is left alone. Both only steer how much is verified.
 ROUNDS, FULL = 5, 5
@@ -177,8 +178,19 @@ def _names(group):
     return names, np.repeat(np.arange(len(group)), bounds[1:] - bounds[:-1]), bounds
 
 
-_ANCHOR = "sym long, spell long, k long, pos long"
-_WINDOWS = "sym long, spell long, k long, pos long, single boolean"
+_MORE = (1 << 32) - 1
+def _bytes_hashed(group, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH64 of the words themselves, joined by one space, of each range of words of a group."""
+    import xxhash
+
+    joined = b" ".join(w for x in group for w in x[-1])
+    at = np.cumsum([0, *(len(w) + 1 for x in group for w in x[-1])])
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], 7) for a, b in zip(at[begin].tolist(), (at[end] - 1).tolist())), np.uint64, len(begin))
+
+
+_ANCHOR = "sym long, spell long, k long, tag long, pos long"
+_WINDOWS = _ANCHOR + ", single boolean"
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -186,51 +198,52 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchors(window: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("sym", "spell", "k", "pos")])
+    schema = pa.schema([(c, pa.int64()) for c in ("sym", "spell", "k", "tag", "pos")])
 
     def run(batches):
         def docs():
             for batch in batches:
-                for k, tag, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    if text and len(words := _words(text)) >= window:
-                        yield k, tag, words
+                for a, b in groups(batch):
+                    for k, tag, text in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(3))):
+                        if text and len(words := _words(text)) >= window:
+                            yield k, tag, words
 
         for group in _batches(docs()):
             names, doc, bounds = _names(group)
             lo, hi, first, last, lone = represent(names, doc, bounds, window)
             spelled = Spelling(names)
-            sym = spelled(lo, hi)
-            own = spelled(lone, lone + window)
-            sym, spell = np.concatenate([sym, _mix(own + _M1)]), np.concatenate([spelled(first, last + window), own])
+            sym = np.concatenate([spelled(lo, hi), _mix(spelled(lone, lone + window) + _M1)])
             first, last = np.concatenate([first, lone]), np.concatenate([last, lone])
+            spell = _bytes_hashed(group, first, last + window)
             d = doc[first]
             k, tag = np.array([x[0] for x in group], np.int64)[d], np.array([x[1] for x in group], np.int64)[d]
-            # first window, how many more, and the text's tag share one long
-            pos = ((first - bounds[d]) << 32) | ((last - first) << 24) | tag
-            yield pa.record_batch([pa.array(_signed(sym)), pa.array(_signed(spell)), pa.array(k), pa.array(pos)], schema=schema)
+            # first window and how many more share one long
+            pos = ((first - bounds[d]) << 32) | (last - first)
+            yield pa.record_batch([pa.array(_signed(sym)), pa.array(_signed(spell)), pa.array(k), pa.array(tag), pa.array(pos)], schema=schema)
 
     return run
 
 
 def _fine(window: int):
-    schema = pa.schema([*((c, pa.int64()) for c in ("sym", "spell", "k", "pos")), ("single", pa.bool_())])
+    schema = pa.schema([*((c, pa.int64()) for c in ("sym", "spell", "k", "tag", "pos")), ("single", pa.bool_())])
 
     def run(batches):
         def docs():
             for batch in batches:
-                for k, text, todo in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    yield k, todo, _words(text)
+                for a, b in groups(batch):
+                    for k, tag, todo, text in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(4))):
+                        yield k, tag, todo, _words(text)
 
         for group in _batches(docs()):
-            names, _, bounds = _names(group)
-            todo = [(i, t["sym"], t["pos"], t["single"]) for i, x in enumerate(group) for t in x[1]]
+            bounds = np.cumsum([0, *(len(x[-1]) for x in group)])
+            todo = [(i, t["sym"], t["pos"], t["single"]) for i, x in enumerate(group) for t in x[2]]
             i, sym, pos, single = (np.array(c, t) for c, t in zip(zip(*todo), (np.int64, np.int64, np.int64, bool)))
-            many = ((pos >> 24) & 255) + 1
+            many = (pos & _MORE) + 1
             row = np.repeat(np.arange(len(i)), many)
             at = (pos >> 32)[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             begin = bounds[i[row]] + at
-            k = np.array([x[0] for x in group], np.int64)[i[row]]
-            out = [sym[row], _signed(Spelling(names)(begin, begin + window)), k, (at << 32) | (pos[row] & 0xFFFFFF)]
+            k, tag = (np.array([x[c] for x in group], np.int64)[i[row]] for c in (0, 1))
+            out = [sym[row], _signed(_bytes_hashed(group, begin, begin + window)), k, tag, at << 32]
             yield pa.record_batch([*map(pa.array, out), pa.array(single[row])], schema=schema)
 
     return run
@@ -241,7 +254,7 @@ def cover(n_words: int, spans, window: int) -> np.ndarray:
     edge = np.zeros(n_words + 1, np.int64)
     pos = np.asarray(spans, np.int64)
     np.add.at(edge, pos >> 32, 1)
-    np.add.at(edge, (pos >> 32) + ((pos >> 24) & 255) + window, -1)
+    np.add.at(edge, (pos >> 32) + (pos & _MORE) + window, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -258,37 +271,43 @@ def _digest(window: int):
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc_id, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                n, kept = _kept(text, spans, window)
-                rows.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
+            for a, b in groups(batch, 1):
+                rows = []
+                for doc_id, text, spans in zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in range(3))):
+                    n, kept = _kept(text, spans, window)
+                    rows.append((doc_id, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
 def _rewrite(window: int, text_at: int, chars_at: int | None, names: list[str]):
     def run(batches):
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                texts.append(b" ".join(_kept(text, spans, window)[1]).decode("utf-8", "surrogatepass") if spans else text)
-            columns = batch.columns[:-1]
-            columns[text_at] = pa.array(texts, columns[text_at].type)
-            if chars_at is not None:
-                columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], columns[chars_at].type)
-            yield pa.record_batch(columns, names=names)
+        for whole in batches:
+            for a, b in groups(whole, text_at):
+                batch, texts = whole.slice(a, b - a), []
+                for text, spans in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                    texts.append(b" ".join(_kept(text, spans, window)[1]).decode("utf-8", "surrogatepass") if spans else text)
+                columns = batch.columns[:-1]
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                if chars_at is not None:
+                    columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], columns[chars_at].type)
+                yield pa.record_batch(columns, names=names)
 
     return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with the key of a row: k for its doc_id, tag for its text."""
-    return docs.withColumns({"__k": id_key(), "__tag": F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(1 << 24))})
+    """docs with the key of a row's text: its doc_id (where null, a hash of the text) and another hash of the text.
+
+    Rows with one key hold one text, so what repeats in one of them repeats in all.
+    """
+    text = F.col("text").cast("string")
+    return docs.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("text"), text)), "__tag": F.xxhash64(text)})
 
 
 def repeat_spans(docs: DataFrame, window: int = 35) -> DataFrame:
-    """(__k, __tag, spans) of every document of docs (doc_id, text) that holds repeated windows, as packed positions."""
+    """(__k, __tag, spans) of every text of docs (doc_id, text) that holds repeated windows, as packed positions."""
     own = _keyed(docs.select("doc_id", "text")).select(F.col("__k").alias("k"), F.col("__tag").alias("tag"), F.col("text").cast("string").alias("text"))
     found = stage(own.mapInArrow(_anchors(window), _ANCHOR), "anchors")
     # keys are written before they are joined: Spark can then split a hot key's rows in the join
@@ -296,19 +315,19 @@ def repeat_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     shared = stage(found.join(again, "sym"), "shared")
     release(found, again)
 
-    spellings = shared.groupBy("sym", "spell").agg(F.count("*").alias("n"), F.min(F.struct("k", "pos")).alias("one"))
-    spellings = stage(spellings.select("sym", "spell", "n", "one.k", "one.pos"), "spellings")
+    spellings = shared.groupBy("sym", "spell").agg(F.count("*").alias("n"), F.min(F.struct("k", "tag", "pos")).alias("one"))
+    spellings = stage(spellings.select("sym", "spell", "n", "one.k", "one.tag", "one.pos"), "spellings")
     several = stage(spellings.groupBy("sym").agg(F.count("*").alias("c")).filter("c > 1").select("sym"), "several")
-    todo = spellings.join(several, "sym").select("k", "sym", "pos", (F.col("n") == 1).alias("single"))
-    per_doc = todo.groupBy("k", F.col("pos").bitwiseAND(0xFFFFFF).alias("tag")).agg(F.collect_list(F.struct("sym", "pos", "single")).alias("todo"))
+    todo = spellings.join(several, "sym").select("k", "tag", "sym", "pos", (F.col("n") == 1).alias("single"))
+    per_doc = todo.groupBy("k", "tag").agg(F.collect_list(F.struct("sym", "pos", "single")).alias("todo"))
     # rows that repeat in full hold one text: any of them will do
-    windows = own.join(per_doc, ["k", "tag"]).select("k", "text", "todo").mapInArrow(_fine(window), _WINDOWS)
+    windows = own.join(per_doc, ["k", "tag"]).select("k", "tag", "todo", "text").mapInArrow(_fine(window), _WINDOWS)
     windows = stage(windows, "windows")
-    place = F.struct("k", "pos")
+    place = F.struct("k", "tag", "pos")
     twice = stage(windows.groupBy("sym", "spell").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("sym", "spell"), "twice")
-    fine = windows.filter("single").join(twice, ["sym", "spell"]).select("k", "pos")
-    whole = shared.join(spellings.filter("n > 1").select("sym", "spell"), ["sym", "spell"]).select("k", "pos")
-    return whole.union(fine).groupBy(F.col("k").alias("__k"), F.col("pos").bitwiseAND(0xFFFFFF).alias("__tag")).agg(F.collect_set("pos").alias("spans"))
+    fine = windows.filter("single").join(twice, ["sym", "spell"]).select("k", "tag", "pos")
+    whole = shared.join(spellings.filter("n > 1").select("sym", "spell"), ["sym", "spell"]).select("k", "tag", "pos")
+    return whole.union(fine).groupBy(F.col("k").alias("__k"), F.col("tag").alias("__tag")).agg(F.collect_set("pos").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:

@@ -63,3 +63,16 @@ def test_every_window_is_stood_for_by_its_own_words():
         held[a : b + 1] = True
     held[lone] = True
     assert held[: 3000 - 19].all()
+
+
+def test_many_rows_without_ids_repeated_ids_and_long_windows(spark):
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, f"{r.randrange(10**9)} {passage} {i}") for i in range(10_000)] + [(None, f"s{i} t{i}") for i in range(10_000)]
+    rows += [(5, f"q{i} " * 3 + passage) for i in range(200)] + [(6, f"u{i} " * 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.remove_repeats(df, 35).collect()), key=str) == brute(rows, 35)
+    long = [f"z{i}" for i in range(400)]
+    rows = [(1, " ".join(long)), (2, "a " + " ".join(long[:300])), (3, " ".join(long[:299])), (4, "one " * 700), (4, "two " * 301)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.remove_repeats(df, 300).collect()), key=str) == brute(rows, 300)
