@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Vectors are scaled to at most unit length and given one more coordinate that makes them unit vectors, so that the
-largest inner product is the smallest distance. In each table a vector's bucket is floor((a.x + b) / w) for a few
-normal vectors a. A query visits its own bucket and those next to it, in the order of estimated success: a step across
-a nearer boundary first. Buckets of a table are dealt to parts; in a part every visited bucket is scored exactly, by
-blocks, and the best of each query are merged over parts and tables.
+Vectors are dealt to bands of nearly one length. In a band they are scaled to at most unit length and given one more
+coordinate that makes them unit vectors, so that the largest inner product is the smallest distance. In each table a
+vector's bucket is floor((a.x + b) / w) for a few normal vectors a. A query visits its own bucket and those next to
+it, in the order of estimated success: a step across a nearer boundary first. Buckets of a table are dealt to parts of
+a bounded number of vectors; in a part every visited bucket is scored exactly, by blocks, and the best of each query
+are merged over parts, tables and bands. The longest bands, up to a fifth of all vectors, are what most queries find
+in when lengths differ, at wide angles that hashing does not favour: they are visited whole. A query that finds fewer than it asked for is scored against all vectors.
 
 Equal vectors are one entry, with its smallest ids: no more of them can be among a query's nearest.
 """
@@ -22,14 +24,20 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-class Plan(NamedTuple):
-    """tables, hashes in each, bucket width and buckets visited in a table; vectors that one part of a table holds."""
+#: One part in so many of all vectors, the longest, is visited whole where lengths differ; and so is a table of few vectors.
+WHOLE = 5
+
 
-    tables: int = 8
-    hashes: int = 6
-    width: float = 1.6
-    probes: int = 80
-    part_rows: int = 60_000
+class Plan(NamedTuple):
+    """tables, hashes in each, bucket width and buckets visited in a table; vectors that one part of a table holds,
+    and queries that are answered together."""
+
+    tables: int = 2
+    hashes: int = 12
+    width: float = 4.0
+    probes: int = 300
+    part_rows: int = 20_000
+    together: int = 2_000
     seed: int = 7
 
 
@@ -87,33 +95,91 @@ def _unit(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 def _directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
 
 
 _DEALT = "part long, rid long, query boolean, e array<double>, keys array<bigint>"
+_DEALT_SCHEMA = pa.schema([("part", pa.int64()), ("rid", pa.int64()), ("query", pa.bool_()), ("e", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64()))])
+
+
+def _vectors(batches, dim: int, rows: int = 500):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            some = batch.slice(at, rows)
+            rid = some.column(0).to_numpy(zero_copy_only=False)
+            yield rid, np.array(some.column(1).to_pylist(), bool), some.column(3).to_numpy(zero_copy_only=False), some.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rid), dim)
+
+
+class Parts(NamedTuple):
+    """Of one dimension: band -> (longest vector, first part, parts of a table, whether it is visited whole); and part -> pieces of it, where it
+    holds more vectors than it should."""
+
+    bands: dict[int, tuple[float, int, int, bool]]
+    pieces: dict[int, int]
 
 
-def _deal(plan: Plan, dim: int, longest: float, parts: int):
-    schema = pa.schema([("part", pa.int64()), ("rid", pa.int64()), ("query", pa.bool_()), ("e", pa.list_(pa.float64())), ("keys", pa.list_(pa.int64()))])
+def _homes(h: Hasher, plan: Plan, parts: Parts, rid: np.ndarray, band: np.ndarray, x: np.ndarray):
+    """(rows, parts, keys) of each table, for vectors at home."""
+    for b in np.unique(band):
+        longest, first, many, whole = parts.bands[int(b)]
+        own = np.flatnonzero(band == b)
+        if whole:
+            yield own, first + _spread(rid[own], np.full(len(own), many)), np.zeros(len(own), np.int64)
+            continue
+        keys = h.keys(_unit(x[own], longest))
+        for t in range(plan.tables):
+            yield own, first + t * many + keys[:, t] % many, keys[:, t]
 
+
+def _counted(plan: Plan, dim: int, parts: Parts):
     def run(batches):
         h = Hasher(plan, dim)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rid, asks = some.column(0).to_numpy(zero_copy_only=False), np.array(some.column(1).to_pylist(), bool)
-                x = some.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(rid), dim)
-                rows = []
-                keys = h.keys(_unit(x, longest))
-                for t in range(plan.tables):
-                    rows += zip((t * parts + keys[:, t] % parts).tolist(), rid.tolist(), [False] * len(rid), x, keys[:, t : t + 1])
-                if asks.any():
-                    q, ids = x[asks], rid[asks].tolist()
-                    for i, visits in enumerate(h.probed(_directions(q))):
-                        for t, own in enumerate(visits):
-                            for p in np.unique(own % parts):
-                                rows.append((int(t * parts + p), ids[i], True, q[i], own[own % parts == p]))
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for rid, _, band, x in _vectors(batches, dim):
+            yield pa.record_batch([pa.array(np.concatenate([p for _, p, _ in _homes(h, plan, parts, rid, band, x)]))], ["part"])
+
+    return run
+
+
+_PIECE = 1 << 20  # a part's pieces are numbered below this
+
+
+def _spread(rid: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    return ((rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % pieces.astype(np.uint64)).astype(np.int64)
+
+
+def _deal(plan: Plan, dim: int, parts: Parts):
+    def run(batches):
+        h = Hasher(plan, dim)
+        for rid, asks, band, x in _vectors(batches, dim):
+            rows = []
+            for own, part, keys in _homes(h, plan, parts, rid, band, x):
+                piece = _spread(rid[own], np.array([parts.pieces.get(p, 1) for p in part.tolist()], np.int64))
+                rows += zip((part * _PIECE + piece).tolist(), rid[own].tolist(), [False] * len(own), x[own], keys[:, None])
+            if asks.any():
+                q, ids = x[asks], rid[asks].tolist()
+                for i, visits in enumerate(h.probed(_directions(q))):
+                    for _, first, many, whole in parts.bands.values():
+                        for t, own in enumerate(visits[:0] if whole else visits):
+                            at = own % many
+                            for p in np.unique(at):
+                                part, keys = int(first + t * many + p), own[at == p]
+                                rows += [(part * _PIECE + c, ids[i], True, q[i], keys) for c in range(parts.pieces.get(part, 1))]
+                        if whole:
+                            rows += [(p * _PIECE + c, ids[i], True, q[i], [0]) for p in range(first, first + many) for c in range(parts.pieces.get(p, 1))]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT_SCHEMA)], schema=_DEALT_SCHEMA)
+
+    return run
+
+
+def _deal_to_all(dim: int, blocks: int):
+    """Vectors to blocks, queries to every block: all under one key. A row asks, or is a vector."""
+
+    def run(batches):
+        for rid, asks, _, x in _vectors(batches, dim):
+            home = _spread(rid, np.full(len(rid), blocks)).tolist()
+            rows = [(b, rid[i], bool(asks[i]), x[i], [0]) for i in range(len(rid)) for b in (range(blocks) if asks[i] else home[i : i + 1])]
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEALT_SCHEMA)], schema=_DEALT_SCHEMA)
 
     return run
 
@@ -128,9 +194,7 @@ def _best(q: np.ndarray, score: np.ndarray, rid: np.ndarray, k: int):
 
 
 def _search_part(vectors, vids, vkeys, queries, qids, qkeys, k: int):
-    """Rows (query rid, rid, score) of one part: each query's k best of the buckets it visits."""
-    order = np.argsort(vkeys, kind="stable")
-    vectors, vids, vkeys = vectors[order], vids[order], vkeys[order]
+    """Rows (query rid, rid, score) of one part, its vectors in the order of keys: each query's k best of the buckets it visits."""
     who = np.repeat(np.arange(len(qids)), [len(x) for x in qkeys])
     visited = np.concatenate(qkeys)
     order = np.argsort(visited, kind="stable")
@@ -171,49 +235,70 @@ def _search_part(vectors, vids, vkeys, queries, qids, qkeys, k: int):
     return qids[q[keep]], vids[v[keep]], s[keep]
 
 
-def _search(dim: int, k: int):
+def _search(dim: int, k: int, together: int):
     schema = pa.schema([("qid", pa.int64()), ("rid", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        # rows come sorted by part, vectors first
-        part, held = None, []
+        # rows come sorted by part, vectors first; of the queries only some are held at a time
+        part, held, vectors, n = None, [], None, 0
 
-        def answer():
+        def taken():
             table = pa.Table.from_batches(held)
-            asks = np.array(table.column("query").to_pylist(), bool)
-            if not asks.any() or asks.all():
-                return None
-            e = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), dim)
-            rid, keys = table.column("rid").to_numpy(), table.column("keys").combine_chunks()
-            flat, cuts = keys.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False)))
-            own = [flat[cuts[i] : cuts[i + 1]] for i in np.flatnonzero(asks)]
-            found = _search_part(e[~asks], rid[~asks], flat[cuts[:-1][~asks]], e[asks], rid[asks], own, k)
+            e = table.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), dim)
+            keys = table.column("keys").combine_chunks()
+            return e, table.column("rid").to_numpy(), keys.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(keys.value_lengths().to_numpy(zero_copy_only=False)))
+
+        def sorted_by_key():
+            e, rid, keys, _ = taken()
+            order = np.argsort(keys, kind="stable")
+            return e[order], rid[order], keys[order]
+
+        def answer():
+            e, rid, keys, cuts = taken()
+            found = _search_part(*vectors, e, rid, [keys[a:b] for a, b in zip(cuts, cuts[1:])], k)
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
 
         for batch in batches:
-            parts = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else []
+            parts, asks = batch.column(0).to_numpy(), np.array(batch.column(2).to_pylist(), bool)
+            edges = np.flatnonzero(np.append(True, (parts[1:] != parts[:-1]) | (asks[1:] != asks[:-1]))) if len(parts) else []
             for a, b in zip(edges, [*edges[1:], len(parts)]):
-                if parts[a] != part and held:
-                    if (out := answer()) is not None:
-                        yield out
-                    held = []
-                part = parts[a]
-                held.append(batch.slice(a, b - a))
-        if held and (out := answer()) is not None:
-            yield out
+                if parts[a] != part:
+                    if held and vectors is not None:
+                        yield answer()
+                    part, held, vectors, n = parts[a], [], None, 0
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if vectors is None:
+                    if not held:
+                        continue  # a part without vectors
+                    vectors, held = sorted_by_key(), []
+                for at in range(a, b, together):
+                    held.append(batch.slice(at, min(together, b - at)))
+                    n += held[-1].num_rows
+                    if n >= together:
+                        yield answer()
+                        held, n = [], 0
+        if held and vectors is not None:
+            yield answer()
 
     return run
 
 
+def _answers(dealt: DataFrame, parts: int, dim: int, k: int, together: int) -> DataFrame:
+    met = dealt.repartition(max(1, parts), "part").sortWithinPartitions("part", "query", "rid")
+    return met.mapInArrow(_search(dim, k, together), "qid long, rid long, score double")
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan()) -> DataFrame:
     """For each vector whose vec_id is divisible by `every`, its k nearest found: query_id, rank, vec_id, score.
 
     vectors: vec_id, embedding; other columns are left out. Nearness: largest inner product of the original vectors,
     in double precision; ties go to the smaller vec_id; a query's own row is no candidate. Rows take no part whose
     vec_id or vector is null, or whose vector is empty, zero or holds null or non-finite components; equal rows count
-    once; vectors of different lengths never meet. The driver learns the lengths that occur, the number of distinct
-    vectors and the longest vector's length.
+    once; vectors of different lengths never meet. A query that finds fewer than k is scored against all rows, in
+    blocks. The driver learns the lengths and bands that occur, how many distinct vectors each has, the longest of each,
+    and which parts hold more than part_rows vectors.
     """
     e = F.col("embedding").cast("array<double>")
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -221,17 +306,36 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan(
     own = own.filter(~bad & F.exists("e", lambda x: x != 0.0)).distinct()
     reps = stage(own.groupBy("e").agg(F.min("vec_id").alias("rid"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")), "vectors")
     members = stage(own.join(reps, "e").select("rid", "vec_id"), "members")
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    shapes = reps.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
+    # by the largest component, so that no square is too large or too small
+    top = F.array_max(F.transform("e", lambda x: F.abs(x)))
+    norm = top * F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
+    band = F.floor(2 * F.log2(norm))
+    # two bands for each doubling of length: a bounded number of rows
+    shapes = reps.groupBy(F.size("e").alias("dim"), band.alias("band")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
 
     found = None
-    for shape in shapes:
-        parts = max(1, -(-shape.n // plan.part_rows))
-        rows = reps.filter(F.size("e") == shape.dim).select("rid", (F.col("asks") == 1).alias("query"), "e")
-        dealt = rows.mapInArrow(_deal(plan, shape.dim, shape.longest, parts), _DEALT)
-        met = dealt.repartition(max(1, parts * plan.tables), "part").sortWithinPartitions("part", "query", "rid")
-        one = met.mapInArrow(_search(shape.dim, k + 1), "qid long, rid long, score double")
-        found = one if found is None else found.union(one)
+    for dim in sorted({x.dim for x in shapes}):
+        rows = reps.filter(F.size("e") == dim).select("rid", (F.col("asks") == 1).alias("query"), "e", band.alias("band"))
+        bands, parts = {}, 0
+        total, seen = sum(x.n for x in shapes if x.dim == dim), 0
+        for x in sorted((x for x in shapes if x.dim == dim), key=lambda x: -x.band):
+            many, seen = max(1, -(-x.n // plan.part_rows)), seen + x.n
+            bands[x.band] = (x.longest, parts, many, seen * WHOLE <= total or total <= 10 * (k + 1))
+            parts += many * (1 if bands[x.band][3] else plan.tables)
+        layout = Parts(bands, {})
+        sizes = rows.mapInArrow(_counted(plan, dim, layout), "part long").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > plan.part_rows)
+        layout = Parts(bands, {x.part: -(-x.n // plan.part_rows) for x in sizes.collect()})
+        dealt = rows.mapInArrow(_deal(plan, dim, layout), _DEALT)
+        one = _answers(dealt, parts + sum(layout.pieces.values()), dim, k + 1, plan.together)
+        one = stage(one.groupBy("qid", "rid").agg(F.max("score").alias("score")), "found")
+        # queries that found fewer than there are to find
+        enough = one.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= min(k + 1, total)).select(F.col("qid").alias("rid"))
+        short = stage(rows.filter("query").join(enough, "rid", "left_anti"), "short")
+        blocks = max(1, -(-total // plan.part_rows))
+        if not short.isEmpty():
+            against = rows.withColumn("query", F.lit(False)).unionByName(short)
+            one = one.unionByName(_answers(against.mapInArrow(_deal_to_all(dim, blocks), _DEALT), blocks, dim, k + 1, plan.together))
+        found = one if found is None else found.unionByName(one)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 

@@ -34,7 +34,7 @@ def test_all_buckets_visited_equals_brute_force(spark):
     rows = [(i, [float(x) for x in r.integers(-3, 4, 5)]) for i in range(160)]
     rows += [(200 + i, [1.0, 2.0, 0.0, 0.0, 1.0]) for i in range(60)]
     rows += [(300, None), (320, []), (340, [0.0] * 5), (360, [1.0, None, 0.0, 0.0, 0.0]), (380, [float("nan")] * 5), (400, [float("inf")] * 5), (None, [1.0] * 5), (420, [1.0, 2.0]), (421, [2.0, 1.0]), (20, rows[20][1]), (440, [7.0])]
-    plan = ann.Plan(tables=2, hashes=1, width=100.0, probes=3, part_rows=50)
+    plan = ann.Plan(tables=2, hashes=1, width=100.0, probes=3, part_rows=50, together=3)
     got, want = as_lists(ann.nearest(table(spark, rows), 20, 20, plan)), brute(rows, 20, 20)
     assert set(want) - set(got) == {440}
     for q in got:
@@ -42,15 +42,39 @@ def test_all_buckets_visited_equals_brute_force(spark):
         assert np.allclose([x[2] for x in got[q]], [x[2] for x in want[q]], rtol=1e-14, atol=0)
 
 
-@pytest.mark.parametrize("scale", [1.0, 50.0])
-def test_recall(spark, scale):
+def recall(got, want):
+    assert {q: len(x) for q, x in got.items()} == {q: len(x) for q, x in want.items() if x}
+    return np.mean([len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) / len(want[q]) for q in want if want[q]])
+
+
+def lengths(kind, r, n):
+    return {"equal": np.ones(n), "near": 50 * r.uniform(0.9, 1, n), "lognormal": r.lognormal(0, 0.7, n), "outlier": np.where(np.arange(n) == 7, 100.0, 1.0)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["equal", "near", "lognormal", "outlier"])
+def test_recall(spark, kind):
     r = np.random.default_rng(4)
     x = r.standard_normal((3000, 64))
-    x *= scale * r.uniform(0.9, 1, (3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    x *= (lengths(kind, r, 3000) / np.linalg.norm(x, axis=1))[:, None]
     rows = list(enumerate(x.astype(np.float32).tolist()))
+    assert recall(as_lists(ann.nearest(table(spark, rows))), brute(rows, 20, 20)) >= 0.9
+
+
+@pytest.mark.parametrize("n", [1, 15, 22, 25])
+def test_small_tables_give_all_there_is(spark, n):
+    r = np.random.default_rng(n)
+    rows = list(enumerate(r.standard_normal((n, 64)).astype(np.float32).tolist()))
     got, want = as_lists(ann.nearest(table(spark, rows))), brute(rows, 20, 20)
-    hits = [len({i for _, i, _ in got.get(q, [])} & {i for _, i, _ in want[q]}) for q in want]
-    assert np.mean(hits) / 20 >= 0.9
+    assert n == 1 and not got or recall(got, want) >= 0.9
+
+
+def test_a_hot_bucket_is_dealt_in_pieces(spark):
+    r = np.random.default_rng(2)
+    near = np.ones((900, 8)) + 1e-3 * r.standard_normal((900, 8))
+    rows = list(enumerate(np.vstack([near, r.standard_normal((100, 8))]).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = ann.Plan(part_rows=200, together=7)
+    assert recall(as_lists(ann.nearest(df, plan=plan)), brute(rows, 20, 20)) >= 0.99
 
 
 def test_probes_start_at_home_and_never_cross_both_sides():
