@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import release, stage
@@ -11,7 +11,7 @@ from .common import release, stage
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,10 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     seen = None
     while True:
-        after = stage(_small_star(_large_star(now)), "edges")
+        seen_now = Observation()
+        # the count and a sum over the edges are taken while they are written
+        stars = _small_star(_large_star(now)).observe(seen_now, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        after = stage(stars, "edges")
         release(now)
         now = after
-        print_of = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if print_of == seen:
+        if seen_now.get == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = print_of
+        seen = seen_now.get
