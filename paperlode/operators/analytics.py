@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import numbered
+
 
 def top(df: DataFrame, k: int, order: list, by: list[str] | None = None) -> DataFrame:
     """The first k rows of each group (of all rows without groups); the order must be total."""
@@ -44,13 +46,9 @@ def endpoints(log: DataFrame) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """min, max, mean and nearest-rank percentiles: the value at place int(n * p), the last at most."""
     n = df.filter(F.col(value).isNotNull()).agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 4).alias("mean"))
-    # ranks come from counts of equal values, so that no task sorts all rows
+    # ranks come from counts of equal values, summed over ranges
     values = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    buckets = values.withColumn("b", F.floor(F.col("v") / 4))
-    totals = buckets.groupBy("b").agg(F.sum("c").alias("t"))
-    before = totals.select("b", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = buckets.withColumn("upto", F.sum("c").over(inside)).join(before, "b").select("v", (F.col("before") + F.col("upto")).alias("upto"), "c")
+    ranked = numbered(values, "v", by="c").select("v", (F.col("n") + F.col("c")).alias("upto"), "c")
     at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1) + 1
     hit = lambda p: F.max(F.when((at(p) <= F.col("upto")) & (at(p) > F.col("upto") - F.col("c")), F.col("v")))
     return ranked.crossJoin(F.broadcast(n)).groupBy("n", "min", "max", "mean").agg(*[hit(p).alias(k) for k, p in shares.items()])

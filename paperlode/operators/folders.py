@@ -1,30 +1,57 @@
-"""Folder trees as adjacency tables; closures are recursive queries, a level of all trees at a time."""
+"""Folder trees as adjacency tables. Paths upwards are followed by doubling: each round joins what is known with itself,
+so that a tree of any depth takes as many rounds as its depth has bits. Rounds are written to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 1000
+from .staging import stage
 
 
-def tree(spark: SparkSession, folders: DataFrame) -> DataFrame:
-    """folder_id, root_id, depth, path of live folders; one whose parent is missing or trashed is a root."""
-    return spark.sql(
-        """WITH RECURSIVE live AS (SELECT folder_id, parent_id, name FROM {folders} WHERE NOT is_trashed),
-        t(folder_id, root_id, depth, path) AS (
-          SELECT folder_id, folder_id, 0, name FROM live WHERE parent_id IS NULL OR parent_id NOT IN (SELECT folder_id FROM live)
-          UNION ALL SELECT c.folder_id, t.root_id, t.depth + 1, concat(t.path, '/', c.name) FROM live AS c JOIN t ON c.parent_id = t.folder_id)
-        SELECT * FROM t""", folders=folders)
+def ancestors(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """(folder_id, ancestor_id, depth): each folder with itself at depth 0 and all above it, each once at its least depth."""
+    known = stage(folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("depth")), "above")
+    jump = folders.filter("parent_id is not null").select(F.col("folder_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
+    step, n = 1, known.count()
+    while True:
+        further = known.join(jump, "ancestor_id").select("folder_id", F.col("next").alias("ancestor_id"), (F.col("depth") + step).alias("depth"))
+        known = stage(known.unionByName(further).groupBy("folder_id", "ancestor_id").agg(F.min("depth").alias("depth")), "above")
+        before, n = n, known.count()
+        if n == before:
+            return known
+        jump = stage(jump.join(jump.select(F.col("ancestor_id").alias("next"), F.col("next").alias("after")), "next").select("ancestor_id", F.col("after").alias("next")), "jump")
+        step *= 2
+
+
+def _rooted(links: DataFrame) -> DataFrame:
+    """folder_id of links (folder_id, up) from which following up ends; those that a cycle holds are left out."""
+    now, left = stage(links, "up"), None
+    while True:
+        beyond = now.select(F.col("folder_id").alias("up"), F.col("up").alias("after"))
+        now = stage(now.join(beyond, "up", "left").select("folder_id", F.col("after").alias("up")), "up")
+        before, left = left, now.filter("up is not null").count()
+        if left == before or not left:
+            return now.filter("up is null").select("folder_id")
 
 
-def ancestors(spark: SparkSession, folders: DataFrame) -> DataFrame:
-    """(folder_id, ancestor_id, depth): each folder with itself at depth 0 and all above it."""
-    return spark.sql(
-        f"""WITH RECURSIVE a(folder_id, ancestor_id, depth) AS (
-          SELECT folder_id, folder_id, 0 FROM {{folders}}
-          UNION ALL SELECT a.folder_id, f.parent_id, a.depth + 1 FROM a JOIN {{folders}} AS f ON f.folder_id = a.ancestor_id WHERE f.parent_id IS NOT NULL AND a.depth < {MAX_DEPTH})
-        SELECT * FROM a""", folders=folders)
+def tree(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """folder_id, root_id, depth, path of live folders; one whose parent is missing or trashed is a root. Folders that
+    only a cycle leads to have no root and are left out."""
+    live = folders.filter("not is_trashed").select("folder_id", "parent_id", "name")
+    parents = live.select(F.col("folder_id").alias("parent_id"), F.col("folder_id").alias("up"))
+    links = live.join(parents, "parent_id", "left").select("folder_id", "up", "name")
+    links = links.join(_rooted(links.select("folder_id", "up")), "folder_id", "left_semi")
+    now = stage(links.select("folder_id", "up", F.col("folder_id").alias("root_id"), F.lit(0).alias("depth"), F.col("name").alias("path")), "tree")
+    while not now.filter("up is not null").isEmpty():
+        above = now.select(F.col("folder_id").alias("up"), F.col("up").alias("next"), F.col("root_id").alias("top"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        one = F.col("top").isNotNull()
+        now = now.join(above, "up", "left").select(
+            "folder_id", F.col("next").alias("up"), F.coalesce("top", "root_id").alias("root_id"), F.when(one, F.col("depth") + F.col("more") + 1).otherwise(F.col("depth")).alias("depth"),
+            F.when(one, F.concat("head", F.lit("/"), "path")).otherwise(F.col("path")).alias("path"),
+        )
+        now = stage(now, "tree")
+    return now.select("folder_id", "root_id", "depth", "path")
 
 
 def judge_moves(spark: SparkSession, folders: DataFrame, moves: DataFrame) -> DataFrame:

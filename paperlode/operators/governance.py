@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GENESIS = "genesis:"
+#: Names and bounds of confidence: fixed values.
 BUCKETS = [("0.00-0.50", 0.0, 0.5), ("0.50-0.70", 0.5, 0.7), ("0.70-0.85", 0.7, 0.85), ("0.85-0.95", 0.85, 0.95), ("0.95-1.00", 0.95, 1.01)]
 
 
@@ -17,28 +18,33 @@ def payload(*columns: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def build_chain(rows: DataFrame) -> DataFrame:
-    """id, tenant_id, previous_hash, event_hash of rows (tenant_id, ordinal, id, payload), chained per tenant.
+def build_chain(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """id, tenant_id, ordinal, payload, previous_hash, event_hash of rows (tenant_id, ordinal, id, payload), chained
+    per tenant from its last hash (tenant_id, event_hash) on, or from its genesis.
 
     A hash needs the one before it, so a tenant is one sequence; rows are sorted by Spark and stream through the
     tenant's task batch by batch, which keeps only the last hash.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = rows.repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "ordinal", "id")
+    start = F.sha2(F.concat(F.lit(GENESIS), F.col("tenant_id").cast("string")), 256)
+    if last is not None:
+        rows = rows.join(last.select("tenant_id", F.col("event_hash").alias("start")), "tenant_id", "left")
+        start = F.coalesce("start", start)
+    sorted_rows = rows.select("tenant_id", "ordinal", "id", "payload", start.alias("start")).repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "ordinal", "id")
 
     def run(batches):
         tenant, last = None, ""
         for pdf in batches:
             before, after = [], []
-            for t, text in zip(pdf["tenant_id"], pdf["payload"]):
+            for t, text, start in zip(pdf["tenant_id"], pdf["payload"], pdf["start"]):
                 if t != tenant:
-                    tenant, last = t, hashlib.sha256(f"{GENESIS}{t}".encode()).hexdigest()
+                    tenant, last = t, start
                 before.append(last)
                 last = hashlib.sha256((last + text).encode()).hexdigest()
                 after.append(last)
             yield pd.DataFrame({"id": pdf["id"], "tenant_id": pdf["tenant_id"], "ordinal": pdf["ordinal"], "payload": pdf["payload"], "previous_hash": before, "event_hash": after})
 
-    return sorted_rows.select("tenant_id", "ordinal", "id", "payload").mapInPandas(run, "id long, tenant_id long, ordinal string, payload string, previous_hash string, event_hash string")
+    return sorted_rows.mapInPandas(run, "id long, tenant_id long, ordinal string, payload string, previous_hash string, event_hash string")
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:

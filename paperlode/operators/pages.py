@@ -61,23 +61,31 @@ def data_loss(pages: DataFrame, chunks: DataFrame, least: int = 2, share: float
     said = pages.filter(~F.col("extraction_failed")).select("doc_id", "page_number", F.posexplode(T.words(F.col("text"))).alias("i", "word"))
     kept = chunks.select("doc_id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("word")).distinct()
     marked = said.join(kept.withColumn("held", F.lit(True)), ["doc_id", "word"], "left")
-    lost = F.when(F.col("held").isNull(), F.struct("page_number", "i", "word"))
-    out = marked.groupBy("doc_id").agg(F.count("*").alias("words"), F.count(lost).alias("missing"), F.array_sort(F.collect_list(lost)).alias("m"))
+    counts = marked.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("held").isNull()).alias("missing"))
+    # of the lost words no more than the samples are gathered
+    first = Window.partitionBy("doc_id").orderBy("page_number", "i")
+    some = marked.filter("held is null").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= samples)
+    some = some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " ").alias("sample"))
     limit = F.greatest(F.lit(float(least)), F.col("words") * share)
-    return out.select("doc_id", "words", "missing", (F.col("missing") <= limit).alias("passed"), F.array_join(F.transform(F.slice("m", 1, samples), lambda x: x["word"]), " ").alias("sample"))
+    return counts.join(some, "doc_id", "left").select("doc_id", "words", "missing", (F.col("missing") <= limit).alias("passed"), F.coalesce("sample", F.lit("")).alias("sample"))
+
+
+#: Cells that hold nothing: fixed values.
+PLACEHOLDERS = [".", "..", "-", "—", "do", "do."]
 
 
 def quality(pages: DataFrame, engine: Column) -> DataFrame:
-    """Extraction quality of a page: characters, lines, row-like lines, Devanagari share, placeholder share, degenerate."""
+    """Extraction quality of a page: characters, lines, row-like lines, share of Devanagari among all characters, share
+    of placeholders among cells, degenerate."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     cells = F.flatten(F.transform(lines, lambda x: F.filter(F.split(x, r"\s{2,}|\|"), lambda c: F.trim(c) != "")))
     rowlike = F.size(F.filter(lines, lambda x: (F.size(F.filter(F.split(x, r"\s{2,}|\|"), lambda c: F.trim(c) != "")) >= 2) & x.rlike("[0-9]")))
-    marks = F.size(F.filter(cells, lambda c: F.lower(F.trim(c)).isin(".", "-", "do", ",,")))
-    letters, deva = F.length(F.regexp_replace("text", r"[^\p{L}]", "")), F.length(F.regexp_replace("text", r"[^\x{0900}-\x{097F}]", ""))
+    marks = F.size(F.filter(cells, lambda c: F.lower(F.trim(c)).isin(*PLACEHOLDERS)))
+    deva = F.length(F.regexp_replace("text", r"[^\x{0900}-\x{097F}]", ""))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     return pages.select(
         "doc_id", "page_number", engine.alias("engine"), F.length("text").cast("long").alias("n_chars"), F.size(lines).cast("long").alias("n_lines"), rowlike.cast("long").alias("row_like"),
-        F.bround(share(deva, letters), 4).alias("devanagari"), F.bround(share(marks, F.size(cells)), 4).alias("placeholders"), (share(marks, F.size(cells)) > 0.9).alias("degenerate"),
+        F.bround(share(deva, F.length("text")), 4).alias("devanagari"), F.bround(share(marks, F.size(cells)), 4).alias("placeholders"), (share(marks, F.size(cells)) > 0.9).alias("degenerate"),
     )
 
 

@@ -17,22 +17,24 @@ def a1(spark, d):
     return view(spark, d, "v_docs").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.when(~kind.isin(*S.ALLOWED), "type").when(F.col("size_bytes") > 5000, "size").alias("reason"))
 
 
-INCOMING = "SELECT doc_id AS id, tenant_id, file_hash, doc_id % 10 = 0 AS force FROM v_docs WHERE doc_id >= 500"
+#: Half of each tenant's documents are stored, the other half come in.
+STORED, NEW = "CAST(floor(doc_id / 4) AS BIGINT) % 2 = 0", "CAST(floor(doc_id / 4) AS BIGINT) % 2 = 1"
+INCOMING = f"SELECT doc_id AS id, tenant_id, file_hash, doc_id % 10 = 0 AS force FROM v_docs WHERE {NEW}"
 
 
 def _incoming(spark, d):
     docs = view(spark, d, "v_docs")
-    incoming = docs.filter("doc_id >= 500").select(F.col("doc_id").alias("id"), "tenant_id", "file_hash", (F.col("doc_id") % 10 == 0).alias("force"))
-    return incoming, docs.filter("doc_id < 500")
+    incoming = docs.filter(NEW).select(F.col("doc_id").alias("id"), "tenant_id", "file_hash", (F.col("doc_id") % 10 == 0).alias("force"))
+    return incoming, docs.filter(STORED)
 
 
-@op("A2", f"SELECT i.id, CASE WHEN s.existing IS NOT NULL AND NOT i.force THEN 'conflict' ELSE 'accepted' END AS outcome, CASE WHEN NOT i.force THEN s.existing END AS existing FROM ({INCOMING}) AS i LEFT JOIN (SELECT tenant_id, file_hash, min(doc_id) AS existing FROM v_docs WHERE doc_id < 500 AND NOT is_trashed GROUP BY 1, 2) AS s USING (tenant_id, file_hash)")
+@op("A2", f"SELECT i.id, CASE WHEN s.existing IS NOT NULL AND NOT i.force THEN 'conflict' ELSE 'accepted' END AS outcome, CASE WHEN NOT i.force THEN s.existing END AS existing FROM ({INCOMING}) AS i LEFT JOIN (SELECT tenant_id, file_hash, min(doc_id) AS existing FROM v_docs WHERE {STORED} AND NOT is_trashed GROUP BY 1, 2) AS s USING (tenant_id, file_hash)")
 def a2(spark, d):
     ok, bad = S.exact_gate(*_incoming(spark, d), count_trashed=False)
     return ok.select("id", F.lit("accepted").alias("outcome"), F.lit(None).cast("long").alias("existing")).unionByName(bad.select("id", F.lit("conflict").alias("outcome"), "existing"))
 
 
-@op("A3", f"SELECT min(i.id) AS id, i.tenant_id, i.file_hash FROM ({INCOMING}) AS i WHERE NOT EXISTS (SELECT 1 FROM v_docs AS s WHERE s.doc_id < 500 AND s.tenant_id = i.tenant_id AND s.file_hash = i.file_hash) GROUP BY 2, 3")
+@op("A3", f"SELECT min(i.id) AS id, i.tenant_id, i.file_hash FROM ({INCOMING}) AS i WHERE NOT EXISTS (SELECT 1 FROM v_docs AS s WHERE {STORED} AND s.tenant_id = i.tenant_id AND s.file_hash = i.file_hash) GROUP BY 2, 3")
 def a3(spark, d):
     incoming, stored = _incoming(spark, d)
     fresh = incoming.join(stored.select("tenant_id", "file_hash"), ["tenant_id", "file_hash"], "left_anti")
@@ -97,25 +99,31 @@ def a11(spark, d):
     return S.folder_paths(rows, F.col("seg"))
 
 
-@op("A12")
+@op("A12", """WITH p AS (SELECT doc_id AS mail_id, unnest(CASE WHEN doc_id % 4 = 0 THEN ['a', 'b'] ELSE ['a'] END) AS n, SHA256(text) AS h FROM documents),
+  f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY mail_id, n) = 1 AND h NOT IN (SELECT SHA256(text) FROM documents WHERE doc_id % 9 = 2) AS fresh FROM p)
+  SELECT mail_id, count(*) AS processed, count(*) FILTER (fresh) AS ingested, count(*) FILTER (NOT fresh) AS skipped, 0 AS errors, 'success' AS status FROM f GROUP BY 1""")
 def a12(spark, d):
-    """Mails made of documents: every fourth has its text attached twice; attachments are deduplicated by hash."""
+    """Mails made of documents: every fourth has its text attached twice; attachments whose hash is stored already (here
+    those of every ninth mail) or came in before are left out."""
     head = F.concat(F.lit("Subject: doc\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=B\n\n--B\nContent-Type: text/plain\n\nsee attached\n"))
-    part = lambda n: F.concat(F.lit(f"--B\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment; filename={n}.txt\n\n"), F.base64(F.encode(F.left("text", F.lit(300)), "UTF-8")), F.lit("\n"))
+    part = lambda n: F.concat(F.lit(f"--B\nContent-Type: text/plain\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment; filename={n}.txt\n\n"), F.base64(F.encode("text", "UTF-8")), F.lit("\n"))
+    docs = view(spark, d, "documents")
     body = F.concat(head, part("a"), F.when(F.col("doc_id") % 4 == 0, part("b")).otherwise(F.lit("")), F.lit("--B--\n"))
-    mails = view(spark, d, "documents").select(F.col("doc_id").alias("mail_id"), F.encode(body, "UTF-8").alias("raw"))
-    found = S.attachments(mails).withColumn("h", F.sha2("content", 256))
+    mails = docs.select(F.col("doc_id").alias("mail_id"), F.encode(body, "UTF-8").alias("raw"))
+    stored = docs.filter("doc_id % 9 = 2").select(F.sha2("text", 256).alias("h"), F.lit(True).alias("stored")).distinct()
+    found = S.attachments(mails).withColumn("h", F.sha2("content", 256)).join(stored, "h", "left")
     first = found.groupBy("h").agg(F.min(F.struct("mail_id", "name")).alias("f"))
-    rows = found.join(first, "h", "left").withColumn("fresh", (F.col("f.mail_id") == F.col("mail_id")) & (F.col("f.name") == F.col("name")))
+    known = F.coalesce(F.col("stored"), F.lit(False))
+    rows = found.join(first, "h", "left").withColumn("fresh", ~known & (F.col("f.mail_id") == F.col("mail_id")) & (F.col("f.name") == F.col("name")))
     out = rows.groupBy("mail_id").agg(F.count("*").alias("processed"), F.count_if("fresh").alias("ingested"), F.count_if(~F.col("fresh")).alias("skipped"), F.count("error").alias("errors"))
     return out.withColumn("status", F.when(F.col("errors") > 0, "partial_success").otherwise("success"))
 
 
-@op("A13", "WITH e AS (SELECT doc_id, file_hash, doc_id % 2 AS engine FROM v_docs), a AS (SELECT file_hash, engine, min(doc_id) AS source FROM e WHERE doc_id < 600 GROUP BY 1, 2) SELECT e.doc_id, e.engine, a.source, a.source IS NOT NULL AS hit FROM e LEFT JOIN a USING (file_hash, engine) WHERE e.doc_id >= 600")
+@op("A13", f"WITH e AS (SELECT doc_id, file_hash, doc_id % 2 AS engine FROM v_docs), a AS (SELECT file_hash, engine, min(doc_id) AS source FROM e WHERE {STORED} GROUP BY 1, 2) SELECT e.doc_id, e.engine, a.source, a.source IS NOT NULL AS hit FROM e LEFT JOIN a USING (file_hash, engine) WHERE {NEW.replace('doc_id', 'e.doc_id')}")
 def a13(spark, d):
     e = view(spark, d, "v_docs").select("doc_id", "file_hash", (F.col("doc_id") % 2).alias("engine"))
-    archive = e.filter("doc_id < 600").groupBy("file_hash", "engine").agg(F.min("doc_id").alias("source"))  # the first write wins
-    return e.filter("doc_id >= 600").join(archive, ["file_hash", "engine"], "left").select("doc_id", "engine", "source", F.col("source").isNotNull().alias("hit"))
+    archive = e.filter(STORED).groupBy("file_hash", "engine").agg(F.min("doc_id").alias("source"))  # the first write wins
+    return e.filter(NEW).join(archive, ["file_hash", "engine"], "left").select("doc_id", "engine", "source", F.col("source").isNotNull().alias("hit"))
 
 
 @op("A14", "SELECT SHA256(concat_ws(':', k, page, 'prompt')) AS cache_key, coalesce(arg_max(v, id) FILTER (over), arg_min(v, id)) AS response FROM (SELECT event_id AS id, CAST(user_id AS STRING) AS k, CAST(event_id % 3 AS STRING) AS page, event_type = 'error' AS over, concat('r', event_id) AS v FROM events) GROUP BY k, page")
@@ -142,7 +150,7 @@ def a16(spark, d):
     return docs.filter("status = 'failed' AND NOT is_trashed").select("doc_id").join(current, "doc_id")
 
 
-@op("A17", """SELECT source_node, count(*) AS n_rows, CAST(sum(length(j)) AS BIGINT) AS n_chars, SHA256(string_agg(SHA256(j), '' ORDER BY SHA256(j))) AS digest FROM (SELECT source_node, concat('{"edge_id":', edge_id, ',"edge_type":"', edge_type, '","source_node":"', source_node, '","status":"', status, '"}') AS j FROM v_edges) GROUP BY 1""")
+@op("A17", "SELECT source_node, count(*) AS n_rows, CAST(sum(length(j)) AS BIGINT) AS n_bytes, SHA256(concat_ws(':', count(*), " + ", ".join(f"CAST(sum(CAST(concat('0x', substring(SHA256(j), {1 + 16 * i}, 15)) AS BIGINT)) AS STRING)" for i in range(4)) + ")) AS digest FROM " + """(SELECT source_node, concat('{"edge_id":', edge_id, ',"edge_type":"', edge_type, '","source_node":"', source_node, '","status":"', status, '"}') AS j FROM v_edges) GROUP BY 1""")
 def a17(spark, d):
     return S.manifest(view(spark, d, "v_edges").select("edge_id", "edge_type", "source_node", "status"), "source_node")
 

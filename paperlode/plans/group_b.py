@@ -75,7 +75,7 @@ QUALITY = r"""SELECT doc_id, page_number, engine, CAST(length(text) AS BIGINT) A
   CAST(len(list_filter(ls, lambda x: len(list_filter(string_split_regex(x, '\s{2,}|\|'), lambda c: trim(c) <> '')) >= 2 AND regexp_matches(x, '[0-9]'))) AS BIGINT) AS row_like,
   round_even(CASE WHEN letters > 0 THEN deva / CAST(letters AS DOUBLE) ELSE 0 END, 4) AS devanagari, round_even(CASE WHEN len(cells) > 0 THEN marks / CAST(len(cells) AS DOUBLE) ELSE 0 END, 4) AS placeholders,
   coalesce(len(cells) > 0 AND marks / CAST(len(cells) AS DOUBLE) > 0.9, false) AS degenerate
-  FROM (SELECT *, len(list_filter(cells, lambda c: lower(trim(c)) IN ('.', '-', 'do', ',,'))) AS marks, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) AS deva
+  FROM (SELECT *, len(list_filter(cells, lambda c: lower(trim(c)) IN ('.', '..', '-', '—', 'do', 'do.'))) AS marks, length(text) AS letters, length(regexp_replace(text, '[^\x{0900}-\x{097F}]', '', 'g')) AS deva
     FROM (SELECT *, flatten(list_transform(ls, lambda x: list_filter(string_split_regex(x, '\s{2,}|\|'), lambda c: trim(c) <> ''))) AS cells
       FROM (SELECT doc_id, page_number, concat('e', page_number % 3) AS engine, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM pg)))"""
 
@@ -119,10 +119,8 @@ def b12(spark, d):
     return said(spark, d).select("conv_id", "turn", T.unsafe_phrase(F.col("q")).alias("phrase"))
 
 
-@op("B13", rf"""WITH s AS (SELECT conv_id, turn, lower(q) AS q FROM ({SAID})), m AS (SELECT *, regexp_extract(q, 'score\s*(?:>=|>|:=|=|is|above|higher than|greater than|at least)\s*(\d+(?:\.\d+)?)\s*(%)?', 1) AS a,
-  regexp_extract(q, 'score\s*(?:>=|>|:=|=|is|above|higher than|greater than|at least)\s*(\d+(?:\.\d+)?)\s*(%)?', 2) AS ap, regexp_extract(q, '(?:>=|>)\s*(\d+(?:\.\d+)?)\s*(%)?', 1) AS b, regexp_extract(q, '(?:>=|>)\s*(\d+(?:\.\d+)?)\s*(%)?', 2) AS bp FROM s),
-  v AS (SELECT conv_id, turn, CAST(nullif(CASE WHEN a <> '' THEN a ELSE b END, '') AS DOUBLE) AS x, CASE WHEN a <> '' THEN ap ELSE bp END AS p FROM m)
-  SELECT conv_id, turn, CASE WHEN p = '%' OR x > 1 THEN x / 100 ELSE x END AS threshold FROM v""")
+@op("B13", rf"""WITH m AS (SELECT conv_id, turn, regexp_extract(lower(q), '(score (?:>=|at least)|>) *([0-9.]+)(%?)', ['said', 'number', 'percent']) AS p FROM ({SAID}))
+  SELECT conv_id, turn, CASE WHEN p.percent = '%' OR try_cast(p.number AS DOUBLE) > 1 THEN try_cast(p.number AS DOUBLE) / 100 ELSE try_cast(p.number AS DOUBLE) END AS threshold FROM m""")
 def b13(spark, d):
     return said(spark, d).select("conv_id", "turn", T.score_threshold(F.col("q")).alias("threshold"))
 
@@ -132,14 +130,14 @@ def b14(spark, d):
     return said(spark, d).select("conv_id", "turn", T.search_intent(F.col("q")).alias("searches"))
 
 
-@op("B15", """WITH m AS (SELECT doc_id AS msg_id, unnest([concat('doc_', doc_id, '.', CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'txt' ELSE 'csv' END), 'nothing.txt']) AS title FROM documents WHERE doc_id % 50 < 25),
+@op("B15", """WITH m AS (SELECT doc_id AS msg_id, unnest([concat('doc_', doc_id, '.', CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'txt' ELSE 'csv' END), 'nothing.txt']) AS title FROM documents),
   l AS (SELECT msg_id, m.title, v.doc_id, v.text FROM m JOIN v_docs AS v ON v.title = m.title AND NOT v.is_trashed),
   p AS (SELECT msg_id, title, doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 4)) AS c, generate_subscripts(list_slice(string_split(text, chr(10)), 1, 4), 1) AS i FROM l)
   SELECT msg_id, title, doc_id, CASE WHEN length(string_agg(c, chr(10) ORDER BY i)) > 1200 THEN concat(left(string_agg(c, chr(10) ORDER BY i), 1200), '...') ELSE string_agg(c, chr(10) ORDER BY i) END AS context FROM p GROUP BY ALL""")
 def b15(spark, d):
     docs = view(spark, d, "v_docs")
     message = F.concat(F.lit("read these [Attached Context Files: "), "title", F.lit(", nothing.txt] please"))
-    asked = docs.filter(F.col("doc_id") % 50 < 25).select(F.col("doc_id").alias("msg_id"), message.alias("q"))
+    asked = docs.select(F.col("doc_id").alias("msg_id"), message.alias("q"))
     names = F.split(F.regexp_extract("q", r"\[Attached Context Files: ([^\]]*)\]", 1), r",\s*")
     asked = asked.select("msg_id", F.explode(names).alias("title"))
     live = docs.filter("not is_trashed").groupBy("title").agg(F.max_by(F.struct("doc_id", "text"), F.struct("created_at", "doc_id")).alias("x"))
@@ -155,7 +153,7 @@ def b17(spark, d):
 
 @op("B11", r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 50 AS STRING) || '/2A;' || CAST(l_suppkey AS STRING) || '/2B' AS survey_numbers, CAST(l_linenumber AS STRING) AS cts,
   CASE l_partkey % 4 WHEN 0 THEN CAST(floor(l_quantity) AS BIGINT) * 10000.0 + (l_partkey % 9) * 100.0 WHEN 1 THEN CAST(floor(l_quantity) AS BIGINT) * 101.0 WHEN 2 THEN (l_partkey % 9) * 100.0 END AS area_sqm,
-  round(CAST(floor(l_extendedprice) AS BIGINT) * 0.092903, 2) AS built_sqm, CAST(l_suppkey AS DOUBLE) AS open_space_sqm, CASE WHEN l_partkey % 4 = 3 THEN 'Akker 5: unit differs by district, needs review' END AS flag FROM lineitem WHERE l_linenumber = 1""")
+  round(CAST(floor(l_extendedprice) AS BIGINT) * 0.092903, 2) AS built_sqm, CAST(l_suppkey AS DOUBLE) AS open_space_sqm, CASE WHEN l_partkey % 4 = 3 THEN 'Akker 5: unit differs by district, needs review' END AS flag FROM lineitem""")
 def b11(spark, d):
     """Register cells made of line items, each with a survey number, areas in one of several units, and open space."""
     from ..functions.cells import parse_cell
@@ -165,7 +163,7 @@ def b11(spark, d):
     kind = F.col("l_partkey") % 4
     area = F.when(kind == 0, F.concat(F.lit("area "), q, F.lit(" ha "), p9, F.lit(" are"))).when(kind == 1, F.concat(F.lit("Area "), q, F.lit(" guntha"))).when(kind == 2, F.concat(F.lit("area "), p9, F.lit(" आर"))).otherwise(F.lit("Akker 5"))
     text = F.concat(F.lit("S.No. "), (F.col("l_partkey") % 50).cast("string"), F.lit("/2A & "), s("l_suppkey"), F.lit("/2B, CTS no. "), s("l_linenumber"), F.lit(", "), area, F.lit(", construction "), F.floor("l_extendedprice").cast("string"), F.lit(" sq.ft, open space "), s("l_suppkey"), F.lit(" sqm"))
-    rows = view(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse_cell(text).alias("p"))
+    rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", parse_cell(text).alias("p"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.*")
 
 

@@ -169,7 +169,7 @@ def d15(spark, d):
 
 GLOSSARY = [("waqf", "waqf"), ("wakf", "waqf"), ("village", "village"), ("mouje", "village"), ("survey number", "survey number"), ("survey no", "survey number"), ("s no", "survey number"), ("owner", "khatedar"), ("khatedar", "khatedar"), ("the", "article"), ("that", "article")]
 _GL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}')" for t, k in GLOSSARY) + ") AS t(term, canonical_key)"
-_Q16 = "SELECT conv_id * 100 + turn AS query_id, concat(left(text, 40), CASE turn % 3 WHEN 0 THEN ' survey no 12' WHEN 1 THEN ' of Waqf village' ELSE '' END) AS query FROM conversations"
+_Q16 = "SELECT conv_id * 100 + turn AS query_id, concat(text, CASE turn % 3 WHEN 0 THEN ' survey no 12' WHEN 1 THEN ' of Waqf village' ELSE '' END) AS query FROM conversations"
 
 
 @op("D16", f"WITH q AS ({_Q16}), w AS (SELECT query_id, {_W.format('query')} AS w FROM q), g AS (SELECT DISTINCT query_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM w), gl AS ({_GL}), h AS (SELECT g.query_id, g.term, gl.canonical_key FROM g JOIN gl USING (term)), m AS (SELECT DISTINCT h.query_id, gl.term FROM h JOIN gl USING (canonical_key)) SELECT query_id, string_agg(term, ',' ORDER BY term) AS expansions FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.term = m.term) GROUP BY 1")

@@ -8,7 +8,7 @@ from ..operators import facts as O
 from .registry import op
 from .views import spark_sql, view
 
-CLAIMS = "SELECT event_id % 500 AS fact_id, ts AS acted, user_id % 3 AS user_id, CASE WHEN event_type = 'click' THEN 'release' ELSE 'claim' END AS kind FROM events WHERE event_id % 500 < 400 AND event_id < 2000"
+CLAIMS = "SELECT CAST(floor(event_id / 8) AS BIGINT) AS fact_id, ts AS acted, user_id % 3 AS user_id, CASE WHEN event_type = 'click' THEN 'release' ELSE 'claim' END AS kind FROM events"
 
 
 @op("F1", f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY acted, user_id, kind) AS r FROM ({CLAIMS})),

@@ -9,23 +9,26 @@ from ..operators import governance as O
 from .registry import op
 from .views import AS_OF, spark_sql, view
 
-AUDIT = "SELECT id, tenant_id, concat('', CAST(id + 1000000 AS STRING)) AS ordinal, concat(CAST(actor_id AS STRING), '|', action, '|', details) AS payload FROM v_audit WHERE id % 10 = 3"
+AUDIT = "SELECT id, tenant_id, concat('', CAST(id + 1000000 AS STRING)) AS ordinal, concat(CAST(actor_id AS STRING), '|', action, '|', details) AS payload FROM v_audit"
+CHAIN = f"""r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal, id) AS n FROM ({AUDIT} WHERE {{0}})),
+  c(id, tenant_id, n, payload, previous_hash, event_hash) AS (SELECT id, tenant_id, n, payload, SHA256(concat('genesis:', tenant_id)), SHA256(concat(SHA256(concat('genesis:', tenant_id)), payload)) FROM r WHERE n = 1
+    UNION ALL SELECT r.id, r.tenant_id, r.n, r.payload, c.event_hash, SHA256(concat(c.event_hash, r.payload)) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.n = c.n + 1)"""
 
 
-@op("H1", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal, id) AS n FROM ({AUDIT})),
-  c(id, tenant_id, n, previous_hash, event_hash) AS (SELECT id, tenant_id, n, sha256(concat('genesis:', tenant_id)), sha256(concat(sha256(concat('genesis:', tenant_id)), payload)) FROM r WHERE n = 1
-    UNION ALL SELECT r.id, r.tenant_id, r.n, c.event_hash, sha256(concat(c.event_hash, r.payload)) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.n = c.n + 1)
-  SELECT id, tenant_id, previous_hash, event_hash FROM c""".replace("sha256(concat", "SHA256(concat"))
+@op("H1", f"WITH RECURSIVE {CHAIN.format('true')} SELECT id, tenant_id, previous_hash, event_hash FROM c")
 def h1(spark, d):
-    rows = view(spark, d, "v_audit").filter("id % 10 = 3")
+    rows = view(spark, d, "v_audit")
     rows = rows.select("id", "tenant_id", (F.col("id") + 1000000).cast("string").alias("ordinal"), O.payload("actor_id", "action", "details").alias("payload"))
     return O.build_chain(rows).select("id", "tenant_id", "previous_hash", "event_hash")
 
 
-@op("H2", f"SELECT tenant_id, count(*) FILTER (id % 50 <> 13) AS checked, count(*) FILTER (id % 50 = 13) AS unchained, min(id) FILTER (id >= 5000 AND id % 50 <> 13) AS first_bad, CAST('altered' AS STRING) AS reason FROM ({AUDIT}) GROUP BY 1")
+@op("H2", f"""WITH RECURSIVE {CHAIN.format('id % 50 <> 13')},
+  v AS (SELECT tenant_id, n, id, SHA256(concat(previous_hash, CASE WHEN id >= 5000 THEN concat(payload, '!') ELSE payload END)) <> event_hash AS bad FROM c)
+  SELECT v.tenant_id, count(*) AS checked, max(l.loose) AS unchained, arg_min(v.id, v.n) FILTER (v.bad) AS first_bad, CASE WHEN bool_or(v.bad) THEN 'altered' END AS reason
+  FROM v JOIN (SELECT tenant_id, count(*) FILTER (id % 50 = 13) AS loose FROM v_audit GROUP BY 1) AS l USING (tenant_id) GROUP BY 1""")
 def h2(spark, d):
     """The chain of the rows that are chained, with every payload from id 5000 on altered after the fact."""
-    rows = view(spark, d, "v_audit").filter("id % 10 = 3")
+    rows = view(spark, d, "v_audit")
     rows = rows.select("id", "tenant_id", (F.col("id") + 1000000).cast("string").alias("ordinal"), O.payload("actor_id", "action", "details").alias("payload"))
     chained = O.build_chain(rows.filter("id % 50 <> 13")).withColumn("payload", F.when(F.col("id") >= 5000, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
     loose = rows.filter("id % 50 = 13").select("id", "tenant_id", "ordinal", "payload", F.lit(None).cast("string").alias("previous_hash"), F.lit(None).cast("string").alias("event_hash"))
@@ -119,16 +122,26 @@ def h12(spark, d):
     return toggled.select("doc_id", F.when(F.col("is_trashed") & (c == "operational_trash"), "unclassified_permanent").when(~F.col("is_trashed") & (c == "unclassified_permanent"), "operational_trash").otherwise(c).alias("retention_class"))
 
 
-@op("H13", "SELECT u.user_id, coalesce(d.folder_id, 'root') AS folder, count(*) AS visible FROM v_users AS u JOIN v_docs AS d USING (tenant_id) WHERE u.role IN ('it_admin', 'auditor', 'head') OR d.folder_id IS NULL OR CAST(substring(d.folder_id, 4, 9) AS BIGINT) % 5 = u.user_id % 5 GROUP BY 1, 2")
+_SCOPE = "CASE WHEN role IN ('it_admin', 'auditor', 'head') THEN 'all' ELSE concat('department ', CAST(user_id % 5 AS STRING)) END"
+
+
+@op("H13", f"""WITH u AS (SELECT user_id, tenant_id, {_SCOPE} AS scope FROM v_users), s AS (SELECT DISTINCT tenant_id, scope FROM u)
+  SELECT s.tenant_id, s.scope, CAST(NULL AS BIGINT) AS user_id, coalesce(d.folder_id, 'root') AS folder, count(*) AS visible FROM s JOIN v_docs AS d USING (tenant_id) WHERE s.scope = 'all' OR d.folder_id IS NULL OR concat('department ', CAST(CAST(substring(d.folder_id, 4, 9) AS BIGINT) % 5 AS STRING)) = s.scope GROUP BY ALL
+  UNION ALL SELECT tenant_id, scope, user_id, NULL, NULL FROM u""")
 def h13(spark, d):
+    """What each scope of a tenant sees, by folder, and who has the scope: never users times folders."""
     users, per = view(spark, d, "v_users"), view(spark, d, "v_docs").groupBy("tenant_id", "folder_id").agg(F.count("*").alias("visible"))
-    grants = per.filter("folder_id is not null").select("folder_id").distinct().withColumn("department", F.substring("folder_id", 4, 9).cast("long") % 5)
-    all_ = users.filter(F.col("role").isin("it_admin", "auditor", "head")).join(per, "tenant_id")
-    some = users.filter(~F.col("role").isin("it_admin", "auditor", "head"))
+    everything = F.col("role").isin("it_admin", "auditor", "head")
+    members = users.select("tenant_id", F.when(everything, "all").otherwise(F.concat(F.lit("department "), (F.col("user_id") % 5).cast("string"))).alias("scope"), "user_id")
+    scopes = members.select("tenant_id", "scope").distinct()
+    granted = F.concat(F.lit("department "), (F.substring("folder_id", 4, 9).cast("long") % 5).cast("string"))
+    seen = scopes.filter("scope = 'all'").join(per, "tenant_id")
+    some = scopes.filter("scope <> 'all'")
     root = some.join(per.filter("folder_id is null"), "tenant_id")
-    granted = some.withColumn("department", F.col("user_id") % 5).join(grants, "department").join(per, ["tenant_id", "folder_id"])
-    pick = lambda df: df.select("user_id", F.coalesce("folder_id", F.lit("root")).alias("folder"), "visible")
-    return pick(all_).unionByName(pick(root)).unionByName(pick(granted))
+    own = some.join(per.filter("folder_id is not null").withColumn("scope", granted), ["tenant_id", "scope"])
+    pick = lambda df: df.select("tenant_id", "scope", F.lit(None).cast("long").alias("user_id"), F.coalesce("folder_id", F.lit("root")).alias("folder"), "visible")
+    roll = members.select("tenant_id", "scope", "user_id", F.lit(None).cast("string").alias("folder"), F.lit(None).cast("long").alias("visible"))
+    return pick(seen).unionByName(pick(root)).unionByName(pick(own)).unionByName(roll)
 
 
 @op("H14", "SELECT doc_id, title FROM v_docs WHERE tenant_id = 2")
@@ -164,7 +177,7 @@ def h17(spark, d):
 
 @op("H18", f"SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 3 THEN 'no_current_version' WHEN NOT c.bad THEN 'certified' ELSE 'chain_broken' END AS outcome, CASE WHEN d.doc_id % 4 <> 3 THEN d.file_hash END AS file_hash, c.checked FROM v_docs AS d JOIN (SELECT tenant_id, count(*) AS checked, tenant_id = 1 AS bad FROM ({AUDIT}) GROUP BY 1) AS c USING (tenant_id)")
 def h18(spark, d):
-    rows = view(spark, d, "v_audit").filter("id % 10 = 3")
+    rows = view(spark, d, "v_audit")
     rows = rows.select("id", "tenant_id", (F.col("id") + 1000000).cast("string").alias("ordinal"), O.payload("actor_id", "action", "details").alias("payload"))
     chain = O.build_chain(rows).withColumn("payload", F.when(F.col("tenant_id") == 1, F.lit("?")).otherwise(F.col("payload")))
     state = O.verify_chain(chain).select("tenant_id", "checked", "reason")

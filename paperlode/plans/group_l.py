@@ -8,7 +8,7 @@ from ..operators import governance as G
 from ..operators import pages as P
 from ..streaming import jobs as J
 from .group_b import CH, PG
-from .group_h import AUDIT
+from .group_h import CHAIN
 from .registry import op
 from .views import AS_OF, view
 
@@ -26,20 +26,21 @@ def l2(spark, d):
     return J.run(J.stability_guard(e), J.folder(spark, "guard"))
 
 
-@op("L3", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ordinal, id) AS n FROM ({AUDIT})),
-  c(id, tenant_id, n, previous_hash, event_hash) AS (SELECT id, tenant_id, n, SHA256(concat('genesis:', tenant_id)), SHA256(concat(SHA256(concat('genesis:', tenant_id)), payload)) FROM r WHERE n = 1
-    UNION ALL SELECT r.id, r.tenant_id, r.n, c.event_hash, SHA256(concat(c.event_hash, r.payload)) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.n = c.n + 1)
-  SELECT id, tenant_id, previous_hash, event_hash FROM c""")
+@op("L3", f"WITH RECURSIVE {CHAIN.format('true')} SELECT id, tenant_id, previous_hash, event_hash FROM c")
 def l3(spark, d):
-    e = J.read(spark, d, "events").filter("event_id % 10 = 3").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("tenant_id"), (F.col("event_id") + 1000000).cast("string").alias("ordinal"), G.payload("user_id", "event_type", "props").alias("payload"))
-    return J.run(J.audit_chain(e), J.folder(spark, "chain"))
+    e = J.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("tenant_id"), (F.col("event_id") + 1000000).cast("string").alias("ordinal"), G.payload("user_id", "event_type", "props").alias("payload"))
+    return J.audit_chain(e, J.folder(spark, "chain"))
 
 
-@op("L4", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error' OR event_id % 10 = 0) AS errors, round(avg(value), 4) AS avg_ms FROM events GROUP BY 1")
+_WINDOW = "SELECT '{0}' AS width, strftime(date_trunc('{0}', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error' OR event_id % 10 = 0) AS errors, round(avg(value), 4) AS avg_ms FROM events GROUP BY 2"
+
+
+@op("L4", f"{_WINDOW.format('hour')} UNION ALL {_WINDOW.format('day')}")
 def l4(spark, d):
     code = F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 10 == 0, 404).otherwise(200)
     e = J.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("created_at"), code.alias("status_code"), F.col("value").alias("response_time_ms"))
-    return J.run(J.windowed_metrics(e), J.folder(spark, "metrics"), "complete")
+    made = [J.run(J.windowed_metrics(e, f"1 {w}"), J.folder(spark, "metrics"), "complete").select(F.lit(w).alias("width"), "*") for w in ("hour", "day")]
+    return made[0].unionByName(made[1])
 
 
 @op("L5", "SELECT event_type AS field_name, count(*) FILTER (event_id % 3 = 0) AS confirmed, count(*) FILTER (event_id % 3 = 1) AS corrected FROM events GROUP BY 1")

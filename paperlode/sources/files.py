@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.staging import numbered
+
 ALLOWED = ["pdf", "docx", "txt", "csv", "json", "md", "xlsx", "pptx", "rtf", "png", "jpg", "jpeg", "tiff"]
 MAX_BYTES = 50 * 1024 * 1024
+#: Fixed values.
 SKIPPED_PATHS = ["/api/docs", "/api/redoc", "/openapi.json", "/_next", "/static", "/favicon", "/api/v1/health"]
 
 
@@ -29,8 +32,8 @@ def decode_text(content: Column) -> Column:
 def csv_pages(rows: DataFrame, columns: list[str], order: list[str], rows_each: int = 100) -> DataFrame:
     """page_number, text: non-empty rows joined by bars, so many to a page. Rows of one file are one ordered list."""
     line = F.concat_ws(" | ", *columns)
-    numbered = rows.filter(F.trim(F.concat_ws("", *columns)) != "").select(line.alias("line"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("i"))
-    pages = numbered.groupBy((F.floor(F.col("i") / rows_each) + 1).alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
+    lines = numbered(rows.filter(F.trim(F.concat_ws("", *columns)) != "").select(line.alias("line"), *order), *order).withColumnRenamed("n", "i")
+    pages = lines.groupBy((F.floor(F.col("i") / rows_each) + 1).alias("page_number")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
     return pages.select("page_number", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
 
 
@@ -96,13 +99,20 @@ def attachments(mails: DataFrame) -> DataFrame:
 
 
 def write_with_manifest(df: DataFrame, key: str, path: str, format: str = "json") -> DataFrame:
-    """Write df partitioned by key, and return a manifest: key, rows, bytes of JSON and a digest over sorted rows."""
+    """Write df partitioned by key, and return its manifest."""
     df.write.partitionBy(key).format(format).save(path)
     return manifest(df, key)
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:
+    """key, n_rows, n_bytes of the rows as JSON, and a digest that does not depend on their order.
+
+    The digest is that of the count and of sums over four 60-bit pieces of the rows' own digests, so a key of any
+    size is summed up in a row on each side of the shuffle.
+    """
     line = F.to_json(F.struct(*sorted(df.columns)))
-    rows = df.select(F.col(key), line.alias("j"), F.sha2(line, 256).alias("h"))
-    # digests of rows, in order, are what is held together for a key
-    return rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.sum(F.length("j")).alias("n_chars"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    rows = df.select(F.col(key), F.octet_length(line).alias("bytes"), F.sha2(line, 256).alias("h"))
+    pieces = [F.sum(F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{i}") for i in range(4)]
+    out = rows.groupBy(key).agg(F.count("*").alias("n_rows"), F.sum("bytes").alias("n_bytes"), *pieces)
+    digest = F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(4)]), 256)
+    return out.select(key, "n_rows", "n_bytes", digest.alias("digest"))

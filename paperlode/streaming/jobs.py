@@ -3,30 +3,24 @@ its output, so that a restart goes on where it stopped; started with another tri
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.governance import GENESIS
+from ..operators.governance import build_chain
+from ..operators.staging import folder  # noqa: F401
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder for output and checkpoint, in the shared folder of the session (set here where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="paperlode-stream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/paperlode-{label}-{uuid.uuid4().hex}"
+#: Files that one micro-batch reads.
+FILES_EACH = 16
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
+    # a batch is bounded by its files, whatever has piled up
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_EACH).parquet(f"{sf_dir}/{table}.parquet*")
 
 
 def run(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
@@ -81,21 +75,24 @@ def stability_guard(stream: DataFrame) -> DataFrame:
     return stream.groupBy("path").applyInPandasWithState(step, "path string, poll_no long, size long", "last long, done boolean", "append", "NoTimeout")
 
 
-def audit_chain(stream: DataFrame) -> DataFrame:
-    """The audit chain per tenant, in the order of arrival and ordinal; state: the tenant's last hash."""
+def audit_chain(stream: DataFrame, at: str) -> DataFrame:
+    """The audit chain per tenant, in the order of arrival and, within a batch, of ordinal: id, tenant_id,
+    previous_hash, event_hash. Each batch goes on from the tenants' last hashes, is sorted by Spark, streams through one
+    task a tenant, and is stored under its number, so that a repeated batch replaces itself."""
+    spark = stream.sparkSession
 
-    def step(key, pdfs, state):
-        last = state.get[0] if state.exists else hashlib.sha256(f"{GENESIS}{key[0]}".encode()).hexdigest()
-        rows = pd.concat(list(pdfs)).sort_values(["ordinal", "id"])
-        out = []
-        for i, text in zip(rows["id"], rows["payload"]):
-            now = hashlib.sha256((last + text).encode()).hexdigest()
-            out.append((int(i), int(key[0]), last, now))
-            last = now
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["id", "tenant_id", "previous_hash", "event_hash"])
-
-    return stream.groupBy("tenant_id").applyInPandasWithState(step, "id long, tenant_id long, previous_hash string, event_hash string", "last string", "append", "NoTimeout")
+    def put(df: DataFrame, batch: int) -> None:
+        last = None
+        if batch:
+            stored = spark.read.parquet(f"{at}/last").filter(F.col("batch") < batch)
+            last = stored.groupBy("tenant_id").agg(F.max_by("event_hash", "batch").alias("event_hash"))
+        rows = build_chain(df, last)
+        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
+        now = spark.read.parquet(f"{at}/rows/batch={batch}")
+        now.groupBy("tenant_id").agg(F.max_by("event_hash", F.struct("ordinal", "id")).alias("event_hash")).write.mode("overwrite").parquet(f"{at}/last/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select("id", "tenant_id", "previous_hash", "event_hash")
 
 
 def windowed_metrics(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:

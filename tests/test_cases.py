@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperlode.functions import cells, text
-from paperlode.operators import analytics, facts, governance, graph, pages, records, search, tables
+from paperlode.operators import analytics, blocks, facts, folders, governance, graph, pages, records, search, staging, tables
 from paperlode.plans import views
 from paperlode.sources import files
 
@@ -244,3 +244,59 @@ def test_queries_are_listed_without_a_session():
 
     code = "import __spark_entry__ as e; print(len(e.queries()) > 150, len(e.oracle_sql()) > 150)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0]).stdout.strip() == "True True"
+
+
+def test_deep_folders_and_cycles(spark):
+    deep = [(f"d{i}", f"d{i - 1}" if i else None, f"n{i}", 0, False) for i in range(1000)]
+    loop = [("x", "y", "x", 0, False), ("y", "x", "y", 0, False), ("z", "y", "z", 0, False), ("o", "gone", "o", 0, False)]
+    df = frame(spark, deep + loop, "folder_id string, parent_id string, name string, tenant_id long, is_trashed boolean")
+    up = {(r.folder_id, r.ancestor_id): r.depth for r in folders.ancestors(spark, df).collect()}
+    assert up["d999", "d0"] == 999 and sum(f == "d999" for f, _ in up) == 1000
+    assert {a: d for (f, a), d in up.items() if f == "z"} == {"z": 0, "y": 1, "x": 2} and up["o", "gone"] == 1
+    rows = {r.folder_id: r for r in folders.tree(spark, df).collect()}
+    assert set(rows) == {f"d{i}" for i in range(1000)} | {"o"}
+    assert (rows["d999"].root_id, rows["d999"].depth, rows["d999"].path) == ("d0", 999, "/".join(f"n{i}" for i in range(1000)))
+
+
+def test_near_vectors_lose_no_pair(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = r.standard_normal((150, 16))
+    x[100:] = x[:50] + r.uniform(0, 0.13, (50, 1)) * r.standard_normal((50, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, "g", v.tolist(), i) for i, v in enumerate(u)]
+    df = frame(spark, rows, "id long, g string, x array<double>, least long")
+    got = {(p.id, p.other) for p in blocks.best_pairs(df, ["g"], blocks.dots, 200, 0.92, block_rows=40).collect()}
+    assert got == {(i, j) for i in range(150) for j in range(150) if u[i] @ u[j] >= 0.92} and len(got) > 160
+
+
+def test_set_similarity_by_blocks(spark):
+    assert blocks.set_jaccard([["a", "b"], []], [["b", "c"], ["a", "b"], []]).round(6).tolist() == [[0.333333, 1.0, 0.0], [0.0, 0.0, 0.0]]
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.lit(2).alias("c"))
+    assert {r.v: r.n for r in staging.numbered(df, "v").collect()} == {i: i for i in range(1000)}
+    assert {r.v: r.n for r in staging.numbered(df, "v", by="c").collect()} == {i: 2 * i for i in range(1000)}
+
+
+def test_stream_chain_goes_on_over_batches(spark, tmp_path):
+    from paperlode.streaming import jobs
+
+    schema = "id long, tenant_id long, ordinal string, payload string"
+    rows = [(i, i % 3, f"{i:04d}", f"p{i}") for i in range(120)]
+    for k in range(40):  # a file a batch, and more files than one batch reads
+        frame(spark, rows[3 * k : 3 * k + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", jobs.FILES_EACH).parquet(f"{tmp_path}/in")
+    got = jobs.audit_chain(stream, f"file://{tmp_path}/out")
+    want = governance.build_chain(frame(spark, rows, schema)).select("id", "tenant_id", "previous_hash", "event_hash")
+    assert len({r.batch for r in spark.read.parquet(f"{tmp_path}/out/rows").select("batch").distinct().collect()}) > 1
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_manifest_does_not_depend_on_order(spark):
+    a = frame(spark, [(1, "x"), (1, "y"), (2, "é")], "k long, v string")
+    one, two = (sorted(map(tuple, files.manifest(d, "k").collect())) for d in (a, a.orderBy(F.desc("v"))))
+    assert one == two and [r[:3] for r in one] == [(1, 2, 30), (2, 1, 16)]
+    assert one != sorted(map(tuple, files.manifest(a.replace("y", "z"), "k").collect()))
