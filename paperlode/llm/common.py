@@ -66,7 +66,10 @@ def held(key, make):
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system, as far as Arrow and the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):

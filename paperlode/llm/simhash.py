@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import held, release, stage, trim
 from .components import components
 
 _BITS = np.array([[x >> b & 1 for b in range(8)] for x in range(256)], np.int64)
@@ -48,10 +48,12 @@ def _fingerprints(shingle: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
+        held("fingerprints", dict)  # what this worker holds of other work goes
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.record_batch([ids, pa.array(found.view(np.int64))], schema=schema)
+        trim()
 
     return run
 
@@ -100,13 +102,13 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     named = stage(named.select("t", "key", "fp", F.coalesce("root", "fp").alias("c")), "named")
     sizes = named.groupBy("t", "key", "c").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("t", "key").agg(F.max_by("c", F.struct("n", "c")).alias("major"), F.count("*").alias("cs")).filter("cs > 1").select("t", "key", "major")
-    held = stage(named.join(mixed, ["t", "key"]), "mixed")
-    minor = held.filter("c <> major").select("t", "key", F.col("fp").alias("fp1"), F.col("c").alias("u"))
-    every = held.select("t", "key", F.col("fp").alias("fp2"), F.col("c").alias("v"))
+    shared = stage(named.join(mixed, ["t", "key"]), "mixed")
+    minor = shared.filter("c <> major").select("t", "key", F.col("fp").alias("fp1"), F.col("c").alias("u"))
+    every = shared.select("t", "key", F.col("fp").alias("fp2"), F.col("c").alias("v"))
     across = minor.join(every, ["t", "key"]).filter(near("fp1", "fp2") & (F.col("u") != F.col("v"))).select("u", "v")
     own = first.select(F.col("node").alias("u"), F.col("root").alias("v"))
     out = components(own.union(across))
-    release(rows, named, held)
+    release(rows, named, shared)
     return out
 
 

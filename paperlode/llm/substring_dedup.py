@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import held, release, stage
 from .token_ids import groups
 
 #: Pair rounds, and the length in words from which a symbol is left alone. Both only steer how much is verified.
@@ -158,6 +158,7 @@ def represent(names: np.ndarray, doc: np.ndarray, bounds: np.ndarray, window: in
 
 def _batches(docs):
     """docs: (key..., words). Groups of documents of about BATCH_WORDS words."""
+    held("substrings", dict)  # what this worker holds of other work goes
     group, size = [], 0
     for x in docs:
         group.append(x)
