@@ -19,12 +19,25 @@ BROADCAST_QUERIES = 20_000
 STOP = "a an and are as at be by for from has in is it of on or that the to was with".split()
 
 
+#: Parts to which the items of a tenant are dealt where queries are too many to broadcast.
+BLOCKS = 64
+
+
 def small(queries: DataFrame) -> DataFrame:
     """The query side, broadcast if a count shows that it is small."""
     few = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     return F.broadcast(queries) if few else queries
 
 
+def met(items: DataFrame, queries: DataFrame, key: str = "tenant_id") -> DataFrame:
+    """items with every query of their key. Few queries are broadcast; more go to blocks of items, so that no key is
+    one task."""
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        return items.join(F.broadcast(queries), key)
+    dealt = items.withColumn("__block", F.pmod(F.xxhash64(*items.columns[:1]), F.lit(BLOCKS)))
+    return dealt.join(queries.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))), [key, "__block"]).drop("__block")
+
+
 def ranked(hits: DataFrame, by: list[str], k: int = LIMIT, leg: str | None = None) -> DataFrame:
     """The k best of each group with rank from 0; ties by item_id. hits: by, item_id, score."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "item_id")
@@ -36,7 +49,7 @@ def vector_leg(queries: DataFrame, items: DataFrame, k: int = LIMIT) -> DataFram
     """queries: query_id, tenant_id, variant, embedding; items: item_id, tenant_id, embedding. Cosine per variant."""
     q = queries.select("query_id", "variant", "tenant_id", unit(F.col("embedding")).alias("qu"))
     i = items.select("item_id", "tenant_id", unit(F.col("embedding")).alias("iu"))
-    hits = i.join(small(q), "tenant_id").select("query_id", "variant", "item_id", F.round(dot(F.col("qu"), F.col("iu")), 6).alias("score"))
+    hits = met(i, q).select("query_id", "variant", "item_id", F.round(dot(F.col("qu"), F.col("iu")), 6).alias("score"))
     return ranked(hits, ["query_id", "variant"], k, "vector")
 
 
@@ -45,26 +58,25 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 5, F.regexp_replace(word, "(?:ing|ed|es|ly|s)$", "")).otherwise(word)
 
 
-def postings(items: DataFrame, analyzer: str) -> DataFrame:
-    """item_id, tenant_id, term, tf, n_terms of one analyzer: `simple`, or `english` with stems and no stop words."""
-    w = words(F.col("content"))
-    if analyzer == "english":
-        w = F.transform(F.filter(w, lambda x: ~x.isin(*STOP)), stem)
-    rows = items.select("item_id", "tenant_id", F.explode(w).alias("term"))
-    return rows.groupBy("item_id", "tenant_id", "term").agg(F.count("*").alias("tf"))
+def analysed(text: Column, analyzer: str) -> Column:
+    """The terms of one analyzer: `simple`, or `english` with stems and no stop words."""
+    w = words(text)
+    return F.transform(F.filter(w, lambda x: ~x.isin(*STOP)), stem) if analyzer == "english" else w
 
 
 def keyword_leg(queries: DataFrame, items: DataFrame, k: int = LIMIT) -> DataFrame:
-    """Items that hold all terms of a query in either analyzer; score: sum of 1 + ln(tf), the larger of both."""
+    """Items that hold all terms of a query in either analyzer; score: sum of 1 + ln(tf), the larger of both.
+
+    Words of items meet the terms that are asked for before anything is counted or shuffled.
+    """
     found = None
     for analyzer in ("english", "simple"):
-        w = words(F.col("query"))
-        if analyzer == "english":
-            w = F.transform(F.filter(w, lambda x: ~x.isin(*STOP)), stem)
-        q = queries.select("query_id", "tenant_id", F.array_distinct(w).alias("ts")).filter(F.size("ts") > 0)
+        q = queries.select("query_id", "tenant_id", F.array_distinct(analysed(F.col("query"), analyzer)).alias("ts")).filter(F.size("ts") > 0)
         q = q.select("query_id", "tenant_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-        hits = postings(items, analyzer).join(small(q), ["tenant_id", "term"])
-        hits = hits.groupBy("query_id", "item_id", "n").agg(F.count("*").alias("met"), F.sum(1 + F.log("tf")).alias("score")).filter("met = n")
+        rows = items.select("item_id", "tenant_id", F.explode(analysed(F.col("content"), analyzer)).alias("term"))
+        asked = rows.join(small(q.select("tenant_id", "term").distinct()), ["tenant_id", "term"], "left_semi")
+        tf = asked.groupBy("item_id", "tenant_id", "term").agg(F.count("*").alias("tf"))
+        hits = tf.join(small(q), ["tenant_id", "term"]).groupBy("query_id", "item_id", "n").agg(F.count("*").alias("met"), F.sum(1 + F.log("tf")).alias("score")).filter("met = n")
         one = hits.select("query_id", "item_id", "score")
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("query_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"))
@@ -76,33 +88,77 @@ def _grams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3))))
 
 
+def _window_grams(ws: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(ws, _grams)))
+
+
 def fuzzy_leg(queries: DataFrame, items: DataFrame, threshold: float = 0.3, k: int = LIMIT) -> DataFrame:
-    """Items some word of which is like the query's longest word: trigram Jaccard above the threshold.
+    """Items some passage of which is like the query: the largest trigram Jaccard of the query and as many successive
+    words of the item (all its words, if fewer), above the threshold.
 
-    Words are compared once each: distinct words meet by shared trigrams, and items join the words that passed.
+    A passage above the threshold shares more than threshold * g of the query's g trigrams, so one of its m words
+    shares more than threshold * g / m of them: items are looked at around such words alone. Which words those are is
+    found on the distinct words.
     """
-    w = words(F.col("query"))
-    longest = F.element_at(F.array_sort(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
-    q = queries.filter(F.size(w) > 0).select("query_id", "tenant_id", longest.alias("qw"))
-    held = items.select("item_id", "tenant_id", F.explode(F.array_distinct(words(F.col("content")))).alias("iw"))
-    vocabulary = held.select("iw").distinct()
-    qg = q.select("qw").distinct().select("qw", F.size(_grams(F.col("qw"))).alias("a"), F.explode(_grams(F.col("qw"))).alias("g"))
-    ig = vocabulary.select("iw", F.size(_grams(F.col("iw"))).alias("b"), F.explode(_grams(F.col("iw"))).alias("g"))
-    like = ig.join(small(qg), "g").groupBy("qw", "iw", "a", "b").agg(F.count("*").alias("n"))
-    like = like.select("qw", "iw", (F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).alias("s")).filter(F.col("s") > threshold)
-    hits = held.join(like, "iw").join(small(q), ["tenant_id", "qw"]).groupBy("query_id", "item_id").agg(F.round(F.max("s"), 6).alias("score"))
+    q = queries.select("query_id", "tenant_id", words(F.col("query")).alias("qw")).filter(F.size("qw") > 0)
+    q = q.select("query_id", "tenant_id", F.size("qw").alias("m"), _window_grams(F.col("qw")).alias("qg"))
+    rows = items.select("item_id", "tenant_id", words(F.col("content")).alias("w"))
+    held = rows.select("tenant_id", F.explode(F.array_distinct("w")).alias("word")).distinct()
+    grams = held.select("tenant_id", "word", F.explode(_grams(F.col("word"))).alias("g"))
+    asked = q.select("query_id", "tenant_id", "m", F.size("qg").alias("n"), F.explode("qg").alias("g"))
+    near = grams.join(small(asked), ["tenant_id", "g"]).groupBy("tenant_id", "word", "query_id", "m", "n").agg(F.count("*").alias("shared"))
+    near = near.filter(F.col("shared") * F.col("m") > threshold * F.col("n")).select("tenant_id", "word", "query_id")
+    # words are looked up once for all queries that they are near to; a word has the queries' ids, not their texts
+    near = near.groupBy("tenant_id", "word").agg(F.collect_list("query_id").alias("queries"))
+    places = rows.select("item_id", "tenant_id", "w", F.posexplode("w").alias("at", "word")).join(small(near), ["tenant_id", "word"])
+    places = places.select("item_id", "w", "at", F.explode("queries").alias("query_id")).join(small(q.drop("tenant_id")), "query_id")
+    last = F.greatest(F.size("w") - F.col("m"), F.lit(0))
+    starts = F.sequence(F.greatest(F.col("at") - F.col("m") + 1, F.lit(0)), F.least(F.col("at"), last))
+    passages = places.withColumn("start", F.explode(F.when(F.greatest(F.col("at") - F.col("m") + 1, F.lit(0)) <= F.least(F.col("at"), last), starts)))
+    g = _window_grams(F.slice("w", F.col("start") + 1, F.col("m")))
+    both = F.size(F.array_intersect("g", "qg"))
+    scored = passages.select("query_id", "item_id", "qg", g.alias("g")).select("query_id", "item_id", (both / (F.size("g") + F.size("qg") - both)).alias("s"))
+    hits = scored.filter(F.col("s") > threshold).groupBy("query_id", "item_id").agg(F.round(F.max("s"), 6).alias("score"))
     return ranked(hits, ["query_id"], k, "fuzzy")
 
 
 def structured_leg(queries: DataFrame, facts: DataFrame, k: int = LIMIT) -> DataFrame:
-    """Facts whose field or value holds the raw query; confidence downwards, nulls last. No wildcards are read into it."""
+    """Facts whose field or value holds the raw query; confidence downwards, nulls last. No wildcards are read into it.
+
+    queries: query_id, tenant_id, raw; facts: tenant_id, fact_id, field_name, value, confidence. Distinct fields with
+    values are compared, each with its k first facts: no more of them can be among a query's k.
+    """
     f = facts.filter(F.col("field_name") != "_marginalia").select("tenant_id", "fact_id", "field_name", "value", "confidence")
-    q = F.lower("query")
-    hits = f.join(small(queries.select("query_id", "tenant_id", "query")), "tenant_id").filter(F.contains(F.lower("field_name"), q) | F.contains(F.lower("value"), q))
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("confidence"), "fact_id")
+    order = [F.desc_nulls_last("confidence"), "fact_id"]
+    what = ["tenant_id", "field_name", "value"]
+    few = f.withColumn("r", F.row_number().over(Window.partitionBy(*what).orderBy(*order))).filter(F.col("r") <= k).drop("r")
+    q = F.lower("raw")
+    said = met(f.select("field_name", "tenant_id", "value").distinct(), queries.select("query_id", "tenant_id", "raw"))
+    said = said.filter(F.contains(F.lower("field_name"), q) | F.contains(F.lower("value"), q)).select("query_id", *what)
+    hits = few.join(said, what)
+    w = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", F.col("fact_id").alias("item_id"), "rank", F.lit("structured").alias("leg"))
 
 
+def metadata_holds(key: Column, value: Column, wanted: Column) -> Column:
+    """Whether a metadata value in JSON is the wanted one: as v, under its own key, as it is, or as a quoted part."""
+    plain, under = F.get_json_object(value, "$.v"), F.try_element_at(F.from_json(value, "map<string,string>"), key)
+    return F.coalesce(plain == wanted, F.lit(False)) | F.coalesce(under == wanted, F.lit(False)) | (value == wanted) | F.contains(value, F.concat(F.lit('"'), wanted, F.lit('"')))
+
+
+def filtered(filters: DataFrame, docs: DataFrame, metadata: DataFrame, facts: DataFrame) -> DataFrame:
+    """query_id, doc_id of documents that satisfy all filters of a query (query_id, key, wanted): doc_type and
+    document_id are columns of docs; any other key is satisfied by a metadata value or by a fact."""
+    f = small(filters)
+    own = docs.select("doc_id", F.explode(F.create_map(F.lit("doc_type"), F.col("doc_type"), F.lit("document_id"), F.col("doc_id").cast("string"))).alias("key", "v"))
+    by_column = own.join(f, "key").filter(F.col("v") == F.col("wanted"))
+    by_metadata = metadata.join(f, "key").filter(metadata_holds(F.col("key"), F.col("value"), F.col("wanted")))
+    by_fact = facts.select("doc_id", F.col("field_name").alias("key"), "value").join(f, "key").filter(F.col("value") == F.col("wanted"))
+    one = lambda df: df.select("query_id", "doc_id", "key")
+    held = one(by_column).unionByName(one(by_metadata)).unionByName(one(by_fact)).groupBy("query_id", "doc_id").agg(F.count_distinct("key").alias("n"))
+    return held.join(filters.groupBy("query_id").agg(F.count_distinct("key").alias("n")), ["query_id", "n"]).select("query_id", "doc_id")
+
+
 def fuse(legs: list[DataFrame], k: int = LIMIT, rrf_k: int = RRF_K) -> DataFrame:
     """query_id, item_id, score, legs, rank: the sum of 1 / (rrf_k + rank + 1) over legs, and which they were."""
     rows = None

@@ -25,8 +25,12 @@ def pages(spark, d):
     return P.split_pages(view(spark, d, "documents"))
 
 
+def chunks_of(docs):
+    return P.chunk(P.split_pages(docs), 64, 8)
+
+
 def chunks(spark, d):
-    return P.chunk(pages(spark, d), 64, 8)
+    return chunks_of(view(spark, d, "documents"))
 
 
 @op("B1", f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, {WORDS.format('text')} AS w FROM documents)")

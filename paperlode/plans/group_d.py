@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics as A
 from ..operators import search as S
+from ..operators.staging import stage
+from .group_b import CH, PG, chunks_of
 from .group_e import COS
 from .registry import op
-from .views import view
+from .views import spark_sql, view
 
 ITEMS = "it AS (SELECT d.doc_id AS item_id, d.tenant_id, d.text AS content, e.embedding FROM v_docs AS d LEFT JOIN embeddings AS e ON e.vec_id = d.doc_id WHERE d.status = 'indexed' AND NOT d.is_trashed)"
 _W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
@@ -25,12 +27,17 @@ def _kw(name, words_q, words_i):
 
 _en = lambda c: f"list_transform(list_filter({_W.format(c)}, lambda x: x NOT IN ({_STOP})), lambda x: {_STEM.format('x')})"
 KW = _kw("ken", _en("query"), _en("content")) + ", " + _kw("ksi", _W.format("query"), _W.format("content")) + ", kw AS (SELECT query_id, item_id, round(max(score), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 6) DESC, item_id) - 1 AS rank, 'keyword' AS leg FROM (SELECT * FROM ken UNION ALL SELECT * FROM ksi) GROUP BY 1, 2 QUALIFY rank < 20)"
-_G = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substring(concat('  ', {0}, ' '), i, 3)))"
-FZ = f"""fq AS (SELECT query_id, tenant_id, list_sort(list_transform({_W.format('query')}, lambda x: (length(x), x)))[-1][2] AS qw FROM v_queries WHERE len({_W.format('query')}) > 0), fi AS (SELECT item_id, tenant_id, unnest(list_distinct({_W.format('content')})) AS iw FROM it),
-  fs AS (SELECT qw, iw, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS s FROM (SELECT qw, {_G.format('qw')} AS a FROM (SELECT DISTINCT qw FROM fq)) JOIN (SELECT iw, {_G.format('iw')} AS b FROM (SELECT DISTINCT iw FROM fi)) ON list_has_any(a, b)),
-  fz AS (SELECT query_id, item_id, round(max(s), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(s), 6) DESC, item_id) - 1 AS rank, 'fuzzy' AS leg FROM fi JOIN fs USING (iw) JOIN fq USING (tenant_id, qw) WHERE s > 0.3 GROUP BY 1, 2 QUALIFY rank < 20)"""
-FUSED = "fu AS (SELECT * FROM (SELECT query_id, item_id, round(sum(1.0 / (60 + rank + 1)), 9) AS score, string_agg(leg, '+' ORDER BY CASE leg WHEN 'vector' THEN 0 WHEN 'keyword' THEN 1 ELSE 2 END) AS legs, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank + 1)), 9) DESC, item_id) - 1 AS rank FROM (SELECT query_id, item_id, rank, leg FROM vec UNION ALL SELECT query_id, item_id, rank, leg FROM kw UNION ALL SELECT query_id, item_id, rank, leg FROM fz) GROUP BY 1, 2) WHERE rank < 20)"
-ALL = f"{ITEMS}, {VEC}, {KW}, {FZ}, {FUSED}"
+_GS = "list_distinct(flatten(list_transform({0}, lambda x: list_transform(range(1, length(x) + 2), lambda i: substring(concat('  ', x, ' '), i, 3)))))"
+FZ = f"""fq AS (SELECT query_id, tenant_id, len(qw) AS m, {_GS.format('qw')} AS qg FROM (SELECT query_id, tenant_id, {_W.format('query')} AS qw FROM v_queries) WHERE len(qw) > 0),
+  fw AS (SELECT item_id, tenant_id, m, {_GS.format('list_slice(w, s + 1, s + m)')} AS g FROM (SELECT item_id, tenant_id, m, w, unnest(range(0, greatest(len(w) - m, 0) + 1)) AS s FROM (SELECT item_id, tenant_id, {_W.format('content')} AS w FROM it), (SELECT DISTINCT m FROM fq))),
+  fs AS (SELECT query_id, item_id, max(len(list_intersect(g, qg)) / CAST(len(g) + len(qg) - len(list_intersect(g, qg)) AS DOUBLE)) AS s FROM fw JOIN fq USING (tenant_id, m) GROUP BY 1, 2),
+  fz AS (SELECT query_id, item_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) - 1 AS rank, 'fuzzy' AS leg FROM fs WHERE s > 0.3 QUALIFY rank < 20)"""
+ST = "sf AS (SELECT f.* FROM v_facts AS f JOIN v_docs AS d USING (doc_id) WHERE d.status = 'indexed' AND NOT d.is_trashed AND f.field_name <> '_marginalia'), st AS (SELECT q.query_id, f.fact_id, row_number() OVER (PARTITION BY q.query_id ORDER BY f.confidence DESC NULLS LAST, f.fact_id) - 1 AS rank FROM v_queries AS q JOIN sf AS f USING (tenant_id) WHERE contains(lower(f.field_name), lower(q.raw)) OR contains(lower(f.value), lower(q.raw)) QUALIFY rank < 20)"
+_LEGS = "SELECT query_id, item_id, rank, leg FROM vec UNION ALL SELECT query_id, item_id, rank, leg FROM kw UNION ALL SELECT query_id, item_id, rank, leg FROM fz UNION ALL SELECT query_id, -fact_id, rank, 'structured' FROM st"
+FUSED = f"fu AS (SELECT * FROM (SELECT query_id, item_id, round(sum(1.0 / (60 + rank + 1)), 9) AS score, string_agg(leg, '+' ORDER BY CASE leg WHEN 'vector' THEN 0 WHEN 'keyword' THEN 1 WHEN 'fuzzy' THEN 2 ELSE 3 END) AS legs, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank + 1)), 9) DESC, item_id) - 1 AS rank FROM ({_LEGS}) GROUP BY 1, 2) WHERE rank < 20)"
+ALL = f"{ITEMS}, {VEC}, {KW}, {FZ}, {ST}, {FUSED}"
+#: The number of a query; outside scores of every third are missing, and those of every seventh are low.
+_N = "CAST(floor(query_id / 20) AS BIGINT)"
 
 
 def items(spark, d):
@@ -38,13 +45,20 @@ def items(spark, d):
     return docs.join(view(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left")
 
 
+def indexed_facts(spark, d):
+    live = view(spark, d, "v_docs").filter("status = 'indexed' AND NOT is_trashed").select("doc_id")
+    return view(spark, d, "v_facts").join(live, "doc_id")
+
+
 def _queries(spark, d):
     return view(spark, d, "v_queries").withColumn("variant", F.lit(0))
 
 
 def legs(spark, d):
+    """The four legs; facts among the items have their negative id."""
     q, i = _queries(spark, d), items(spark, d)
-    return [S.vector_leg(q, i.filter("embedding is not null")), S.keyword_leg(q, i), S.fuzzy_leg(q, i)]
+    found = S.structured_leg(q, indexed_facts(spark, d)).withColumn("item_id", -F.col("item_id"))
+    return [S.vector_leg(q, i.filter("embedding is not null")), S.keyword_leg(q, i), S.fuzzy_leg(q, i), found]
 
 
 def fused(spark, d):
@@ -53,7 +67,7 @@ def fused(spark, d):
 
 @op("D1", f"WITH {ITEMS}, {VEC} SELECT query_id, item_id, score, rank FROM vec")
 def d1(spark, d):
-    return legs(spark, d)[0].select("query_id", "item_id", "score", "rank")
+    return S.vector_leg(_queries(spark, d), items(spark, d).filter("embedding is not null")).select("query_id", "item_id", "score", "rank")
 
 
 VARIANTS = "vq AS (SELECT query_id, tenant_id, 0 AS variant, embedding FROM v_queries UNION ALL SELECT q.query_id, q.tenant_id, 1, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1)"
@@ -68,31 +82,29 @@ def d2(spark, d):
 
 @op("D3", f"WITH {ITEMS}, {KW} SELECT query_id, item_id, score, rank FROM kw")
 def d3(spark, d):
-    return legs(spark, d)[1].drop("leg")
+    return S.keyword_leg(_queries(spark, d), items(spark, d)).drop("leg")
 
 
 @op("D4", f"WITH {ITEMS}, {FZ} SELECT query_id, item_id, score, rank FROM fz")
 def d4(spark, d):
-    return legs(spark, d)[2].drop("leg")
+    return S.fuzzy_leg(_queries(spark, d), items(spark, d)).drop("leg")
 
 
-_ASK = "SELECT q.query_id, q.tenant_id, CASE q.query_id % 3 WHEN 0 THEN 'Own' WHEN 1 THEN '4' ELSE '%' END AS query FROM v_queries AS q"
+@op("D5", f"WITH {ST} SELECT query_id, st.fact_id AS item_id, rank, (SELECT min(page_number) FROM v_regions AS r WHERE r.fact_id = st.fact_id) AS page_number FROM st")
+def d5(spark, d):
+    pages = view(spark, d, "v_regions").groupBy(F.col("fact_id").alias("item_id")).agg(F.min("page_number").alias("page_number"))
+    return S.structured_leg(_queries(spark, d), indexed_facts(spark, d)).drop("leg").join(pages, "item_id", "left")
 
 
-@op("D5", f"SELECT query_id, item_id, rank FROM (SELECT q.query_id, f.fact_id AS item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY f.confidence DESC NULLS LAST, f.fact_id) - 1 AS rank FROM ({_ASK}) AS q JOIN v_facts AS f USING (tenant_id) WHERE f.field_name <> '_marginalia' AND (contains(lower(f.field_name), lower(q.query)) OR contains(lower(f.value), lower(q.query)))) WHERE rank < 20")
-def d5(spark, d):
-    asked = F.element_at(F.array(F.lit("Own"), F.lit("4"), F.lit("%")), (F.col("query_id") % 3 + 1).cast("int"))
-    q = view(spark, d, "v_queries").select("query_id", "tenant_id", asked.alias("query"))
-    return S.structured_leg(q, view(spark, d, "v_facts")).drop("leg")
+FILTERS = f"SELECT q.query_id, u.key, CASE WHEN u.key = 'document_id' THEN CAST(query_id + 1 AS STRING) ELSE u.wanted END AS wanted FROM (SELECT query_id, {_N} AS n FROM v_queries) AS q, (VALUES ('lang', 'en'), ('owner', '17'), ('doc_type', 'fr'), ('document_id', '')) AS u(key, wanted) WHERE (u.key = 'lang' AND n % 4 < 2) OR (u.key = 'owner' AND n % 2 = 1) OR (u.key = 'doc_type' AND n % 4 = 2) OR (u.key = 'document_id' AND n % 5 = 3)"
 
 
-@op("D6", "WITH kv AS (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION SELECT doc_id, field_name, value FROM v_facts), f AS (SELECT q.query_id, u.k, u.v FROM v_queries AS q, (VALUES ('lang', 'en'), ('owner', '17')) AS u(k, v) WHERE u.k = 'lang' OR q.query_id % 2 = 1) SELECT query_id, doc_id FROM (SELECT f.query_id, kv.doc_id, count(DISTINCT f.k) AS n FROM f JOIN kv USING (k, v) GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS want FROM f GROUP BY 1) USING (query_id) WHERE n = want")
+@op("D6", f"""WITH f AS ({FILTERS}), k AS (SELECT f.query_id, d.doc_id, f.key FROM f JOIN v_docs AS d ON (f.key = 'doc_type' AND d.doc_type = f.wanted) OR (f.key = 'document_id' AND CAST(d.doc_id AS STRING) = f.wanted)
+    UNION SELECT f.query_id, m.doc_id, f.key FROM f JOIN v_metadata AS m ON m.key = f.key WHERE CASE WHEN json_valid(m.value) THEN json_extract_string(m.value, '$.v') END = f.wanted OR CASE WHEN json_valid(m.value) THEN json_extract_string(m.value, concat('$.', f.key)) END = f.wanted OR m.value = f.wanted OR contains(m.value, concat('"', f.wanted, '"'))
+    UNION SELECT f.query_id, v.doc_id, f.key FROM f JOIN v_facts AS v ON v.field_name = f.key AND v.value = f.wanted)
+  SELECT query_id, doc_id FROM (SELECT query_id, doc_id, count(*) AS n FROM k GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS n FROM f GROUP BY 1) USING (query_id, n)""")
 def d6(spark, d):
-    kv = view(spark, d, "documents").select("doc_id", F.lit("lang").alias("k"), F.col("lang").alias("v")).unionByName(view(spark, d, "v_facts").select("doc_id", F.col("field_name").alias("k"), F.col("value").alias("v")))
-    wanted = F.filter(F.array(F.struct(F.lit("lang").alias("k"), F.lit("en").alias("v")), F.struct(F.lit("owner").alias("k"), F.lit("17").alias("v"))), lambda x: (x["k"] == "lang") | (F.col("query_id") % 2 == 1))
-    q = view(spark, d, "v_queries").select("query_id", F.size(wanted).alias("want"), F.explode(wanted).alias("f")).select("query_id", "want", "f.k", "f.v")
-    met = kv.join(S.small(q), ["k", "v"]).groupBy("query_id", "doc_id", "want").agg(F.count_distinct("k").alias("n"))
-    return met.filter("n = want").select("query_id", "doc_id")
+    return S.filtered(spark_sql(spark, d, FILTERS), view(spark, d, "v_docs"), view(spark, d, "v_metadata"), view(spark, d, "v_facts"))
 
 
 @op("D7", f"WITH {ALL} SELECT query_id, item_id, score, rank FROM fu")
@@ -105,66 +117,98 @@ def d8(spark, d):
     return fused(spark, d).select("query_id", "item_id", "legs")
 
 
-SCORES = "sc AS (SELECT query_id, item_id, ((query_id * 7 + item_id * 13) % 100) / 100.0 AS outside FROM fu WHERE query_id % 3 <> 0)"
+_OUTSIDE = f"CASE WHEN {_N} % 7 = 3 THEN 0.05 ELSE ((query_id * 7 + abs(item_id) * 13) % 100) / 100.0 END"
+SCORES = f"sc AS (SELECT query_id, item_id, {_OUTSIDE} AS outside FROM fu WHERE {_N} % 3 <> 1)"
 
 
 def _scores(f):
-    return f.filter("query_id % 3 <> 0").select("query_id", "item_id", (((F.col("query_id") * 7 + F.col("item_id") * 13) % 100) / 100.0).alias("outside"))
+    return f.filter(f"{_N} % 3 <> 1").select("query_id", "item_id", F.expr(_OUTSIDE).alias("outside"))
+
+
+def _cut(name, fu, sc):
+    return f"""{name} AS (SELECT query_id, item_id, CASE WHEN h THEN outside ELSE 0.0 END AS score, h AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN h THEN outside ELSE 0.0 END DESC, rank) AS place FROM (SELECT f.query_id, f.item_id, f.rank, s.outside, count(s.outside) OVER (PARTITION BY f.query_id) > 0 AS h FROM {fu} AS f LEFT JOIN {sc} AS s USING (query_id, item_id) WHERE f.rank < 10) WHERE NOT h OR outside >= 0.15 QUALIFY place <= 5)"""
+
+
+CUT = _cut("cut", "fu", "sc")
 
 
-CUT = f"""cut AS (SELECT query_id, item_id, CASE WHEN h THEN outside ELSE 0.0 END AS score, h AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN h THEN outside ELSE 0.0 END DESC, rank) AS place FROM (SELECT fu.query_id, fu.item_id, fu.rank, sc.outside, count(sc.outside) OVER (PARTITION BY fu.query_id) > 0 AS h FROM fu LEFT JOIN sc USING (query_id, item_id) WHERE fu.rank < 10) WHERE NOT h OR outside >= 0.15 QUALIFY place <= 5)"""
+def _found(spark, d):
+    """The fused legs, written once, and what is left of them by relevance."""
+    f = stage(fused(spark, d), "fused")
+    return f, S.cut_by_relevance(f, _scores(f))
 
 
 @op("D9", f"WITH {ALL}, {SCORES}, {CUT} SELECT query_id, item_id, score, reranked, place FROM cut")
 def d9(spark, d):
-    f = fused(spark, d)
-    return S.cut_by_relevance(f, _scores(f))
+    return _found(spark, d)[1]
 
 
-@op("D10", f"WITH {ALL}, {SCORES} SELECT query_id, item_id, greatest(outside, (item_id % 10) / 10.0) AS score, rank FROM fu JOIN sc USING (query_id, item_id)")
+@op("D10", f"WITH {ALL}, {SCORES} SELECT query_id, item_id, greatest(outside, (abs(item_id) % 10) / 10.0) AS score, rank FROM fu JOIN sc USING (query_id, item_id)")
 def d10(spark, d):
-    f = fused(spark, d)
-    second = f.select("query_id", "item_id", ((F.col("item_id") % 10) / 10.0).alias("other"))
+    f = stage(fused(spark, d), "fused")
+    second = f.select("query_id", "item_id", ((F.abs("item_id") % 10) / 10.0).alias("other"))
     return f.select("query_id", "item_id", "rank").join(_scores(f), ["query_id", "item_id"]).join(second, ["query_id", "item_id"], "left").select("query_id", "item_id", F.greatest("outside", "other").alias("score"), "rank")
 
 
-@op("D11", f"WITH {ALL}, h AS (SELECT query_id, item_id % 5 AS doc_id, item_id % 2 AS page_number, CASE WHEN item_id % 4 = 0 THEN item_id END AS fact_id, rank FROM fu), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, coalesce(concat('f', fact_id), CAST(page_number AS STRING)) ORDER BY rank) AS r FROM h) SELECT query_id, doc_id, page_number, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM o WHERE r = 1) WHERE p <= 5")
+@op("D11", f"WITH {ALL}, h AS (SELECT query_id, abs(item_id) % 5 AS doc_id, abs(item_id) % 2 AS page_number, CASE WHEN item_id < 0 THEN -item_id END AS fact_id, rank FROM fu), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, coalesce(concat('f', fact_id), CAST(page_number AS STRING)) ORDER BY rank) AS r FROM h) SELECT query_id, doc_id, page_number, fact_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS p FROM o WHERE r = 1) WHERE p <= 5")
 def d11(spark, d):
     i = F.col("item_id")
-    return S.first_per_page(fused(spark, d).select("query_id", (i % 5).alias("doc_id"), (i % 2).alias("page_number"), F.when(i % 4 == 0, i).alias("fact_id"), "rank"))
+    return S.first_per_page(fused(spark, d).select("query_id", (F.abs(i) % 5).alias("doc_id"), (F.abs(i) % 2).alias("page_number"), F.when(i < 0, -i).alias("fact_id"), "rank"))
 
 
-@op("D12", f"WITH {ALL} SELECT query_id, item_id, (SELECT string_agg(concat(k, '=', v), ',' ORDER BY k) FROM (SELECT 'lang' AS k, doc_type AS v UNION ALL SELECT 'status', status UNION ALL SELECT 'folder', folder_id) WHERE v IS NOT NULL) AS metadata FROM fu JOIN v_docs ON doc_id = item_id")
+@op("D12", f"""WITH {ALL}, m AS (SELECT doc_id, string_agg(concat(key, '=', coalesce(CASE WHEN json_valid(value) THEN json_extract_string(value, '$.v') END, value)), ',' ORDER BY key) AS shown FROM v_metadata GROUP BY 1)
+  SELECT query_id, item_id, fact_id, m.shown AS metadata FROM (SELECT fu.query_id, fu.item_id, f.fact_id, coalesce(f.doc_id, fu.item_id) AS doc_id FROM fu LEFT JOIN v_facts AS f ON f.fact_id = -fu.item_id) LEFT JOIN m USING (doc_id)""")
 def d12(spark, d):
-    docs = view(spark, d, "v_docs").select(F.col("doc_id").alias("item_id"), F.map_from_arrays(F.array(F.lit("folder"), F.lit("lang"), F.lit("status")), F.array("folder_id", "doc_type", "status")).alias("m"))
-    shown = F.array_join(F.transform(F.filter(F.map_entries("m"), lambda e: e["value"].isNotNull()), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return fused(spark, d).join(docs, "item_id").select("query_id", "item_id", shown.alias("metadata"))
+    """The metadata of a result's document, unwrapped, and the fact that the result is, if any."""
+    plain = F.concat("key", F.lit("="), F.coalesce(F.get_json_object("value", "$.v"), "value"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", plain.alias("s")))), lambda x: x["s"]), ",")
+    m = view(spark, d, "v_metadata").groupBy("doc_id").agg(shown.alias("metadata"))
+    facts = view(spark, d, "v_facts").select((-F.col("fact_id")).alias("item_id"), "fact_id", "doc_id")
+    rows = fused(spark, d).select("query_id", "item_id").join(facts, "item_id", "left").withColumn("doc_id", F.coalesce("doc_id", "item_id"))
+    return rows.join(m, "doc_id", "left").select("query_id", "item_id", "fact_id", "metadata")
 
 
-@op("D13", "SELECT query_id, doc_id, 0.0 AS score FROM (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS r FROM v_queries AS q JOIN v_docs AS d USING (tenant_id) WHERE d.status = 'pending' AND contains(lower(d.title), CAST(q.query_id % 10 AS STRING))) WHERE r <= 5")
+@op("D13", f"WITH {ALL}, {SCORES}, {CUT} SELECT query_id, doc_id, 0.0 AS score FROM (SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY d.doc_id) AS r FROM (SELECT query_id, tenant_id, CAST({_N} % 10 AS STRING) AS said FROM v_queries) AS q JOIN v_docs AS d USING (tenant_id) WHERE d.status IN ('pending', 'processing') AND NOT d.is_trashed AND contains(lower(d.title), q.said) AND NOT EXISTS (SELECT 1 FROM cut WHERE cut.query_id = q.query_id AND cut.item_id = d.doc_id)) WHERE r <= 5")
 def d13(spark, d):
-    q = view(spark, d, "v_queries").select("query_id", "tenant_id", (F.col("query_id") % 10).cast("string").alias("q"))
-    hits = view(spark, d, "v_docs").filter("status = 'pending'").join(S.small(q), "tenant_id").filter(F.contains(F.lower("title"), F.lower("q")))
-    return A.top(hits.select("query_id", "doc_id", F.lit(0.0).alias("score")), 5, ["doc_id"], ["query_id"])
+    q = view(spark, d, "v_queries").select("query_id", "tenant_id", F.expr(f"CAST({_N} % 10 AS STRING)").alias("said"))
+    docs = view(spark, d, "v_docs").filter("status IN ('pending', 'processing') AND NOT is_trashed").select("doc_id", "tenant_id", "title")
+    hits = S.met(docs, q).filter(F.contains(F.lower("title"), F.col("said")))
+    already = _found(spark, d)[1].select("query_id", F.col("item_id").alias("doc_id"))
+    return A.top(hits.join(already, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score")), 5, ["doc_id"], ["query_id"])
 
 
-@op("D14", f"WITH {ITEMS}, {KW}, none AS (SELECT * FROM v_queries WHERE query_id NOT IN (SELECT query_id FROM kw WHERE rank = 0 AND item_id % 2 = 0)), s AS (SELECT q.query_id, i.item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round({COS.format('e.embedding', 'i.embedding')}, 6) DESC, i.item_id) - 1 AS rank FROM none AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1 JOIN it AS i ON i.tenant_id = q.tenant_id AND i.embedding IS NOT NULL) SELECT n.query_id, CASE WHEN s.query_id IS NULL THEN 'failed_all' ELSE 'substitute' END AS mode, s.item_id, s.rank FROM none AS n LEFT JOIN s ON s.query_id = n.query_id AND s.rank < 20")
-def d14(spark, d):
-    """Queries without a hit run again with a substitute vector; here a hit is a first keyword result of even id."""
+_SECOND = f"CASE WHEN {_N} % 14 = 3 THEN 0.05 ELSE (abs(item_id) % 100) / 100.0 END"
+HYDE = f"""nq AS (SELECT * FROM v_queries WHERE query_id NOT IN (SELECT query_id FROM cut)),
+  hv AS (SELECT q.query_id, i.item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round({COS.format('e.embedding', 'i.embedding')}, 6) DESC, i.item_id) - 1 AS rank FROM nq AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1 JOIN it AS i ON i.tenant_id = q.tenant_id AND i.embedding IS NOT NULL QUALIFY rank < 20),
+  hf AS (SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank + 1)), 9) DESC, item_id) - 1 AS rank FROM (SELECT * FROM hv UNION ALL SELECT query_id, item_id, rank FROM kw WHERE query_id IN (SELECT query_id FROM nq)) GROUP BY 1, 2) WHERE rank < 20),
+  hs AS (SELECT query_id, item_id, {_SECOND} AS outside FROM hf), {_cut('hc', 'hf', 'hs')},
+  hyde AS (SELECT nq.query_id, nq.tenant_id, CASE WHEN hc.query_id IS NULL THEN 'failed_all' ELSE 'HyDE' END AS mode, hc.item_id, hc.score, hc.place FROM nq LEFT JOIN hc USING (query_id))"""
+
+
+def _hyde(spark, d, cut):
+    """Queries of which nothing is left run again: substitute vectors and the keyword leg, fused and cut."""
     q, i = _queries(spark, d), items(spark, d)
-    done = S.keyword_leg(q, i).filter("rank = 0 AND item_id % 2 = 0").select("query_id")
-    none = q.join(done, "query_id", "left_anti")
+    none = q.join(cut.select("query_id"), "query_id", "left_anti")
     other = none.drop("embedding").join(view(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding"), "query_id")
-    hits = S.vector_leg(other, i.filter("embedding is not null")).select("query_id", "item_id", "rank")
-    return none.select("query_id").join(hits, "query_id", "left").select("query_id", F.when(F.col("item_id").isNull(), "failed_all").otherwise("substitute").alias("mode"), "item_id", "rank")
+    again = stage(S.fuse([S.vector_leg(other, i.filter("embedding is not null")), S.keyword_leg(none, i)]), "again")
+    left = S.cut_by_relevance(again, again.select("query_id", "item_id", F.expr(_SECOND).alias("outside"))).drop("reranked")
+    return none.select("query_id", "tenant_id").join(left, "query_id", "left").withColumn("mode", F.when(F.col("item_id").isNull(), "failed_all").otherwise("HyDE"))
+
+
+@op("D14", f"WITH {ALL}, {SCORES}, {CUT}, {HYDE} SELECT query_id, mode, item_id, score, place FROM hyde")
+def d14(spark, d):
+    return _hyde(spark, d, _found(spark, d)[1]).select("query_id", "mode", "item_id", "score", "place")
 
 
-@op("D15", "SELECT q.query_id, d.doc_id, t.place, 1.0 AS score FROM v_queries AS q JOIN v_docs AS d ON d.doc_id = q.query_id AND q.query_id % 3 = 1, LATERAL (SELECT unnest(range(1, 1 + least(30, len(string_split(d.text, chr(10)))))) AS place) AS t")
+@op("D15", f"WITH {ALL}, {SCORES}, {CUT}, {HYDE}, {PG}, {CH} SELECT h.query_id, c.doc_id, c.page_number, c.chunk_index, 1.0 AS score FROM (SELECT query_id, tenant_id, query_id + tenant_id AS doc_id FROM hyde WHERE mode = 'failed_all') AS h JOIN v_docs AS d ON d.doc_id = h.doc_id AND d.tenant_id = h.tenant_id AND NOT d.is_trashed JOIN ch AS c ON c.doc_id = h.doc_id QUALIFY row_number() OVER (PARTITION BY h.query_id ORDER BY c.page_number, c.chunk_index) <= 30")
 def d15(spark, d):
-    """A query with a document filter and no hit takes its document's first 30 chunks (lines here) in order."""
-    q = view(spark, d, "v_queries").filter("query_id % 3 = 1").select("query_id", F.col("query_id").alias("doc_id"))
-    docs = view(spark, d, "v_docs").select("doc_id", F.slice(F.split("text", "\n"), 1, 30).alias("x"))
-    return q.join(docs, "doc_id").select("query_id", "doc_id", F.posexplode("x").alias("p", "c")).select("query_id", "doc_id", (F.col("p") + 1).cast("long").alias("place"), F.lit(1.0).alias("score"))
+    """A query that both runs left empty, and that names a document of its tenant, takes its first 30 chunks in order."""
+    failed = _hyde(spark, d, _found(spark, d)[1]).filter("mode = 'failed_all'").select("query_id", "tenant_id", (F.col("query_id") + F.col("tenant_id")).alias("doc_id"))
+    named = failed.join(view(spark, d, "v_docs").filter("not is_trashed").select("doc_id", "tenant_id"), ["doc_id", "tenant_id"])
+    # the documents are cut to those asked for before they are chunked
+    asked = view(spark, d, "documents").join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    hits = chunks_of(asked).select("doc_id", "page_number", "chunk_index").join(named, "doc_id")
+    return A.top(hits, 30, ["page_number", "chunk_index"], ["query_id"]).select("query_id", "doc_id", "page_number", "chunk_index", F.lit(1.0).alias("score"))
 
 
 GLOSSARY = [("waqf", "waqf"), ("wakf", "waqf"), ("village", "village"), ("mouje", "village"), ("survey number", "survey number"), ("survey no", "survey number"), ("s no", "survey number"), ("owner", "khatedar"), ("khatedar", "khatedar"), ("the", "article"), ("that", "article")]
@@ -174,8 +218,6 @@ _Q16 = "SELECT conv_id * 100 + turn AS query_id, concat(text, CASE turn % 3 WHEN
 
 @op("D16", f"WITH q AS ({_Q16}), w AS (SELECT query_id, {_W.format('query')} AS w FROM q), g AS (SELECT DISTINCT query_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM w), gl AS ({_GL}), h AS (SELECT g.query_id, g.term, gl.canonical_key FROM g JOIN gl USING (term)), m AS (SELECT DISTINCT h.query_id, gl.term FROM h JOIN gl USING (canonical_key)) SELECT query_id, string_agg(term, ',' ORDER BY term) AS expansions FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.term = m.term) GROUP BY 1")
 def d16(spark, d):
-    from .views import spark_sql
-
     glossary = spark.createDataFrame(GLOSSARY, "term string, canonical_key string")  # a fixed list
     return S.expand(spark_sql(spark, d, _Q16), glossary)
 
@@ -185,8 +227,6 @@ CLAIMS = "SELECT conv_id, turn, (turn * 7 + conv_id) % 5 AS s1, (turn * 3 + conv
 
 @op("D17", f"WITH c AS ({CLAIMS}), e AS (SELECT conv_id, turn, 0 AS i, s1 AS src FROM c WHERE valid UNION ALL SELECT conv_id, turn, 1, s2 FROM c WHERE valid AND s2 <> s1), n AS (SELECT conv_id, src, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 10 + i)) AS marker FROM e GROUP BY 1, 2), k AS (SELECT e.conv_id, e.turn, string_agg(CAST(marker AS STRING), ',' ORDER BY marker) AS markers FROM e JOIN n USING (conv_id, src) GROUP BY 1, 2) SELECT a.conv_id, k.turn, k.markers, k.turn IS NULL AS refused FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN k USING (conv_id)")
 def d17(spark, d):
-    from .views import spark_sql
-
     c = spark_sql(spark, d, CLAIMS)
     e = c.filter("valid").select("conv_id", "turn", F.posexplode(F.array_distinct(F.array("s1", "s2"))).alias("i", "src"))
     first = e.groupBy("conv_id", "src").agg(F.min(F.col("turn") * 10 + F.col("i")).alias("at"))
@@ -195,10 +235,17 @@ def d17(spark, d):
     return c.select("conv_id").distinct().join(k, "conv_id", "left").select("conv_id", "turn", "markers", F.col("turn").isNull().alias("refused"))
 
 
-@op("D18", f"WITH {ALL} SELECT query_id, 'search.query' AS action, count(*) AS results, concat('{{\"mode\":\"hybrid\",\"results\":', count(*), '}}') AS details FROM fu GROUP BY 1")
+@op("D18", f"""WITH {ALL}, {SCORES}, {CUT}, {HYDE}, o AS (SELECT cut.query_id, count(*) AS results, concat_ws('+', max(CASE WHEN contains(legs, 'vector') THEN 'vector' END), max(CASE WHEN contains(legs, 'keyword') THEN 'keyword' END), max(CASE WHEN contains(legs, 'fuzzy') THEN 'fuzzy' END), max(CASE WHEN contains(legs, 'structured') THEN 'structured' END)) AS mode, false AS triggered FROM cut JOIN fu USING (query_id, item_id) GROUP BY 1
+    UNION ALL SELECT query_id, count(item_id), max(mode), true FROM hyde GROUP BY 1)
+  SELECT query_id, 'search.query' AS action, results, concat('{{"mode":"', mode, '","hyde_triggered":', CAST(triggered AS STRING), ',"hyde_success":', CAST(mode = 'HyDE' AS STRING), ',"results":', results, '}}') AS details FROM o""")
 def d18(spark, d):
-    n = fused(spark, d).groupBy("query_id").agg(F.count("*").alias("results"))
-    return n.select("query_id", F.lit("search.query").alias("action"), "results", F.to_json(F.struct(F.lit("hybrid").alias("mode"), "results")).alias("details"))
+    f, cut = _found(spark, d)
+    cut = stage(cut, "cut")
+    held = [F.max(F.when(F.contains("legs", F.lit(n)), n)) for n in ("vector", "keyword", "fuzzy", "structured")]
+    direct = cut.select("query_id", "item_id").join(f.select("query_id", "item_id", "legs"), ["query_id", "item_id"]).groupBy("query_id").agg(F.count("*").alias("results"), F.concat_ws("+", *held).alias("mode")).withColumn("hyde_triggered", F.lit(False))
+    again = _hyde(spark, d, cut).groupBy("query_id").agg(F.count("item_id").alias("results"), F.max("mode").alias("mode")).withColumn("hyde_triggered", F.lit(True))
+    o = direct.unionByName(again).withColumn("hyde_success", F.col("mode") == "HyDE")
+    return o.select("query_id", F.lit("search.query").alias("action"), "results", F.to_json(F.struct("mode", "hyde_triggered", "hyde_success", "results")).alias("details"))
 
 
 @op("D19", "SELECT t.doc_id, count(*) AS wanted, round(avg(CASE WHEN f.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall FROM (SELECT DISTINCT doc_id, field_name, CASE WHEN fact_id % 3 = 0 THEN 'none' ELSE value END AS value FROM v_facts) AS t LEFT JOIN (SELECT DISTINCT doc_id, field_name, value FROM v_facts) AS f ON (t.doc_id, t.field_name, t.value) = (f.doc_id, f.field_name, f.value) GROUP BY 1")

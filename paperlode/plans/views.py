@@ -18,7 +18,7 @@ VIEWS = {
     "v_docs": """
         SELECT doc_id, doc_id % 4 AS tenant_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS folder_id,
           concat('doc_', doc_id, '.', CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'txt' ELSE 'csv' END) AS title,
-          lang AS doc_type, CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 17 = 0 THEN 'pending' ELSE 'indexed' END AS status,
+          lang AS doc_type, CASE WHEN doc_id % 13 = 0 THEN 'failed' WHEN doc_id % 17 = 0 THEN 'pending' WHEN doc_id % 19 = 0 THEN 'processing' ELSE 'indexed' END AS status,
           doc_id % 11 = 0 AS is_trashed, doc_id % 5 = 0 AS is_starred,
           CASE WHEN doc_id % 11 = 0 THEN DATE '2023-12-01' + CAST(doc_id % 60 AS INT) END AS trashed_at,
           CASE doc_id % 3 WHEN 0 THEN 'unclassified_permanent' WHEN 1 THEN 'operational_trash' ELSE 'statutory_record' END AS retention_class,
@@ -92,9 +92,13 @@ VIEWS = {
     "v_retention": "SELECT * FROM (VALUES ('unclassified_permanent', CAST(NULL AS INT)), ('operational_trash', 30), ('statutory_record', CAST(NULL AS INT))) AS t(class_name, retention_days)",
     "v_plans": "SELECT * FROM (VALUES ('trial', 100, 2147483648), ('starter', 2000, 53687091200), ('professional', 20000, 536870912000), ('enterprise', CAST(NULL AS INT), CAST(NULL AS BIGINT))) AS t(plan_key, max_documents, max_storage_bytes)",
     "v_calibration": "SELECT DISTINCT source AS folder_id FROM documents WHERE CAST(substring(source, 4, 9) AS INT) % 2 = 0",
+    "v_metadata": """
+        SELECT doc_id, 'lang' AS key, CASE doc_id % 4 WHEN 0 THEN concat('{"v":"', lang, '"}') WHEN 1 THEN concat('{"lang":"', lang, '"}') WHEN 2 THEN lang ELSE concat('["', lang, '","xx"]') END AS value FROM documents
+        UNION ALL SELECT doc_id, 'source', concat('{"v":"', source, '"}') FROM documents""",
     "v_queries": """
-        SELECT d.doc_id AS query_id, d.doc_id % 4 AS tenant_id, lower(regexp_replace(d.head, '[^A-Za-z ]', '', 'g')) AS query, e.embedding
-        FROM (SELECT doc_id, concat(split_part(split_part(text, chr(10), 1), ' ', 1), ' ', split_part(split_part(text, chr(10), 1), ' ', 2), ' ', split_part(split_part(text, chr(10), 1), ' ', 3)) AS head FROM documents WHERE doc_id % 25 = 1 AND doc_id < 500) AS d
+        SELECT d.doc_id AS query_id, CAST(floor(d.doc_id / 20) AS BIGINT) % 4 AS tenant_id, lower(regexp_replace(d.head, '[^A-Za-z ]', '', 'g')) AS query,
+          CASE CAST(floor(d.doc_id / 20) AS BIGINT) % 3 WHEN 0 THEN 'OWN' WHEN 1 THEN '4' ELSE d.head END AS raw, e.embedding
+        FROM (SELECT doc_id, concat(split_part(split_part(text, chr(10), 1), ' ', 1), ' ', split_part(split_part(text, chr(10), 1), ' ', 2), ' ', split_part(split_part(text, chr(10), 1), ' ', 3)) AS head FROM documents WHERE doc_id % 20 = 0) AS d
         JOIN embeddings AS e ON e.vec_id = d.doc_id""",
 }
 
@@ -107,6 +111,7 @@ def names_in(sql: str) -> list[str]:
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
     """sql over tables, views and given frames, in Spark."""
     needed = {n: frames[n] if n in frames else view(spark, sf_dir, n) for n in [*names_in(sql), *frames]}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the text itself
     for n in sorted(needed, key=len, reverse=True):
         sql = re.sub(rf"\b{n}\b(?!\.)", f"{{{n}}}", sql)
     sql = re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", sql).replace(", '', 'g')", ", '')").replace("chr(10)", "'\\n'")

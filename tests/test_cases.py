@@ -164,8 +164,44 @@ def test_fuzzy_leg_finds_a_misspelling(spark):
     assert [r.item_id for r in search.fuzzy_leg(q, i).collect()] == [10]
 
 
+def test_fuzzy_leg_scores_passages(spark):
+    import random
+
+    r = random.Random(2)
+    grams = lambda ws: {f"  {w} "[j : j + 3] for w in ws for j in range(len(w) + 1)}
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 6)))
+    q = [(k, k % 2, " ".join(word() for _ in range(1 + k % 4))) for k in range(12)] + [(99, 0, "")]
+    i = [(k, k % 2, " ".join(word() for _ in range(r.randrange(0, 25)))) for k in range(40)]
+    want = set()
+    for a, t, said in q:
+        m, g = len(said.split()), grams(said.split())
+        hits = []
+        for b, u, text in i if m else []:
+            w = text.split()
+            s = max(len(grams(x) & g) / len(grams(x) | g) for x in (w[k : k + m] for k in range(max(len(w) - m, 0) + 1)))
+            if t == u and s > 0.3:
+                hits.append((-round(s, 6), b))
+        want |= {(a, b, -s, k) for k, (s, b) in enumerate(sorted(hits)[:20])}
+    got = search.fuzzy_leg(frame(spark, q, "query_id long, tenant_id long, query string"), frame(spark, i, "item_id long, tenant_id long, content string")).collect()
+    assert {(x.query_id, x.item_id, x.score, x["rank"]) for x in got} == want and len(want) > 50
+
+
+def test_many_queries_meet_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 2)
+    q = frame(spark, [(i, i % 2) for i in range(9)], "query_id long, tenant_id long")
+    i = frame(spark, [(k, k % 2) for k in range(30)], "item_id long, tenant_id long")
+    assert sorted((x.query_id, x.item_id) for x in search.met(i, q).collect()) == [(a, b) for a in range(9) for b in range(30) if a % 2 == b % 2]
+
+
+def test_metadata_forms(spark):
+    forms = ['{"v":"en"}', '{"lang":"en"}', "en", '["en","x"]', '{"v":"fr"}', "english", None]
+    df = frame(spark, [(i, "lang", f, "en") for i, f in enumerate(forms)], "i long, key string, value string, wanted string")
+    got = {r.i: r.x for r in df.select("i", F.coalesce(search.metadata_holds(F.col("key"), F.col("value"), F.col("wanted")), F.lit(False)).alias("x")).collect()}
+    assert [got[i] for i in range(7)] == [True, True, True, True, False, False, False]
+
+
 def test_structured_leg_reads_no_wildcards(spark):
-    q = frame(spark, [(1, 1, "%"), (2, 1, "42/1b")], "query_id long, tenant_id long, query string")
+    q = frame(spark, [(1, 1, "%"), (2, 1, "42/1b")], "query_id long, tenant_id long, raw string")
     f = frame(spark, [(1, 5, "survey_no", "42/1B-Kolhapur", None), (1, 6, "_marginalia", "42/1B", 0.9)], "tenant_id long, fact_id long, field_name string, value string, confidence double")
     assert [(r.query_id, r.item_id) for r in search.structured_leg(q, f).collect()] == [(2, 5)]
 
