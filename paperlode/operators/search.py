@@ -5,6 +5,8 @@ Query sides are broadcast only behind a check of their size; larger sets shuffle
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,43 +85,82 @@ def keyword_leg(queries: DataFrame, items: DataFrame, k: int = LIMIT) -> DataFra
     return ranked(best, ["query_id"], k, "keyword")
 
 
-def _grams(word: Column) -> Column:
-    padded = F.concat(F.lit("  "), word, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3))))
+#: Items and queries of a block of the fuzzy leg, and words of an item that are scored at once.
+ITEMS_EACH, QUERIES_EACH, WORDS_EACH = 500, 500, 512
 
 
-def _window_grams(ws: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(ws, _grams)))
+def word_grams(word: str) -> list[str]:
+    """Trigrams of a word with two spaces before it and one after."""
+    padded = f"  {word} "
+    return [padded[i : i + 3] for i in range(len(word) + 1)]
+
+
+def passage_scores(words_of_item: list[str], lengths: np.ndarray, rows: np.ndarray, look) -> np.ndarray:
+    """For each query the largest trigram Jaccard with as many successive words of the item (all, if fewer).
+
+    lengths: words of each query; rows: its 0/1 row over the trigrams of all queries; look: a word's trigrams, and the
+    columns of those among them.
+    """
+    best = np.zeros(len(rows))
+    sizes = rows.sum(axis=1, dtype=np.float64)
+    beyond, n = int(lengths.max()) - 1, len(words_of_item)
+    for first in range(0, n, WORDS_EACH):
+        known = [look(w) for w in words_of_item[first : first + WORDS_EACH + beyond]]
+        held = np.zeros((len(known), rows.shape[1]), np.float32)
+        for i, (_, columns) in enumerate(known):
+            held[i, columns] = 1
+        for m in np.unique(lengths):
+            many = min(WORDS_EACH, max(n - m, 0) + 1 - first)
+            if many <= 0:
+                continue
+            own, passages = np.flatnonzero(lengths == m), held[:many].copy()
+            for i in range(1, min(m, len(known))):
+                np.maximum(passages, held[i : i + many], out=passages)
+            both = (passages @ rows[own].T).astype(np.float64)
+            size = np.array([len(set().union(*(g for g, _ in known[i : i + m]))) for i in range(many)], np.float64)
+            best[own] = np.maximum(best[own], (both / (size[:, None] + sizes[own] - both)).max(axis=0))
+    return best
 
 
 def fuzzy_leg(queries: DataFrame, items: DataFrame, threshold: float = 0.3, k: int = LIMIT) -> DataFrame:
     """Items some passage of which is like the query: the largest trigram Jaccard of the query and as many successive
     words of the item (all its words, if fewer), above the threshold.
 
-    A passage above the threshold shares more than threshold * g of the query's g trigrams, so one of its m words
-    shares more than threshold * g / m of them: items are looked at around such words alone. Which words those are is
-    found on the distinct words.
+    Every item of a tenant is scored for every query, a block of items against a block of queries.
     """
-    q = queries.select("query_id", "tenant_id", words(F.col("query")).alias("qw")).filter(F.size("qw") > 0)
-    q = q.select("query_id", "tenant_id", F.size("qw").alias("m"), _window_grams(F.col("qw")).alias("qg"))
-    rows = items.select("item_id", "tenant_id", words(F.col("content")).alias("w"))
-    held = rows.select("tenant_id", F.explode(F.array_distinct("w")).alias("word")).distinct()
-    grams = held.select("tenant_id", "word", F.explode(_grams(F.col("word"))).alias("g"))
-    asked = q.select("query_id", "tenant_id", "m", F.size("qg").alias("n"), F.explode("qg").alias("g"))
-    near = grams.join(small(asked), ["tenant_id", "g"]).groupBy("tenant_id", "word", "query_id", "m", "n").agg(F.count("*").alias("shared"))
-    near = near.filter(F.col("shared") * F.col("m") > threshold * F.col("n")).select("tenant_id", "word", "query_id")
-    # words are looked up once for all queries that they are near to; a word has the queries' ids, not their texts
-    near = near.groupBy("tenant_id", "word").agg(F.collect_list("query_id").alias("queries"))
-    places = rows.select("item_id", "tenant_id", "w", F.posexplode("w").alias("at", "word")).join(small(near), ["tenant_id", "word"])
-    places = places.select("item_id", "w", "at", F.explode("queries").alias("query_id")).join(small(q.drop("tenant_id")), "query_id")
-    last = F.greatest(F.size("w") - F.col("m"), F.lit(0))
-    starts = F.sequence(F.greatest(F.col("at") - F.col("m") + 1, F.lit(0)), F.least(F.col("at"), last))
-    passages = places.withColumn("start", F.explode(F.when(F.greatest(F.col("at") - F.col("m") + 1, F.lit(0)) <= F.least(F.col("at"), last), starts)))
-    g = _window_grams(F.slice("w", F.col("start") + 1, F.col("m")))
-    both = F.size(F.array_intersect("g", "qg"))
-    scored = passages.select("query_id", "item_id", "qg", g.alias("g")).select("query_id", "item_id", (both / (F.size("g") + F.size("qg") - both)).alias("s"))
-    hits = scored.filter(F.col("s") > threshold).groupBy("query_id", "item_id").agg(F.round(F.max("s"), 6).alias("score"))
-    return ranked(hits, ["query_id"], k, "fuzzy")
+    q = queries.select("query_id", "tenant_id", words(F.col("query")).alias("w")).filter(F.size("w") > 0)
+    it = items.select("item_id", "tenant_id", words(F.col("content")).alias("w")).filter(F.size("w") > 0)
+    parts = it.groupBy("tenant_id").agg(F.ceil(F.count("*") / ITEMS_EACH).alias("is")).join(q.groupBy("tenant_id").agg(F.ceil(F.count("*") / QUERIES_EACH).alias("js")), "tenant_id")
+    one = F.lit(1).cast("long")
+    every = lambda n: F.explode(F.sequence(one, F.col(n)))
+    of = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)) + 1
+    left = it.join(parts, "tenant_id").select("tenant_id", of("item_id", "is").alias("i"), every("js").alias("j"), "item_id", "w")
+    right = q.join(parts, "tenant_id").select("tenant_id", every("is").alias("i"), of("query_id", "js").alias("j"), "query_id", "w")
+
+    def run(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(some) and len(asked):
+            grams = [{g for w in ws for g in word_grams(w)} for ws in asked.w]
+            place = {g: i for i, g in enumerate(set().union(*grams))}
+            rows = np.zeros((len(grams), len(place)), np.float32)
+            for i, gs in enumerate(grams):
+                rows[i, [place[g] for g in gs]] = 1
+            lengths, ids, seen = np.array([len(ws) for ws in asked.w]), asked.query_id.to_numpy(), {}
+
+            def look(word: str):
+                if word not in seen:
+                    gs = word_grams(word)
+                    seen[word] = gs, [place[g] for g in gs if g in place]
+                return seen[word]
+
+            for item_id, ws in zip(some.item_id, some.w):
+                s = passage_scores(list(ws), lengths, rows, look)
+                found += [(int(ids[i]), int(item_id), float(s[i])) for i in np.flatnonzero(s > threshold)]
+        return pd.DataFrame(found, columns=["query_id", "item_id", "s"])
+
+    block = ["tenant_id", "i", "j"]
+    scored = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(run, "query_id long, item_id long, s double")
+    return ranked(scored.select("query_id", "item_id", F.round("s", 6).alias("score")), ["query_id"], k, "fuzzy")
 
 
 def structured_leg(queries: DataFrame, facts: DataFrame, k: int = LIMIT) -> DataFrame:

@@ -29,8 +29,11 @@ _en = lambda c: f"list_transform(list_filter({_W.format(c)}, lambda x: x NOT IN
 KW = _kw("ken", _en("query"), _en("content")) + ", " + _kw("ksi", _W.format("query"), _W.format("content")) + ", kw AS (SELECT query_id, item_id, round(max(score), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 6) DESC, item_id) - 1 AS rank, 'keyword' AS leg FROM (SELECT * FROM ken UNION ALL SELECT * FROM ksi) GROUP BY 1, 2 QUALIFY rank < 20)"
 _GS = "list_distinct(flatten(list_transform({0}, lambda x: list_transform(range(1, length(x) + 2), lambda i: substring(concat('  ', x, ' '), i, 3)))))"
 FZ = f"""fq AS (SELECT query_id, tenant_id, len(qw) AS m, {_GS.format('qw')} AS qg FROM (SELECT query_id, tenant_id, {_W.format('query')} AS qw FROM v_queries) WHERE len(qw) > 0),
-  fw AS (SELECT item_id, tenant_id, m, {_GS.format('list_slice(w, s + 1, s + m)')} AS g FROM (SELECT item_id, tenant_id, m, w, unnest(range(0, greatest(len(w) - m, 0) + 1)) AS s FROM (SELECT item_id, tenant_id, {_W.format('content')} AS w FROM it), (SELECT DISTINCT m FROM fq))),
-  fs AS (SELECT query_id, item_id, max(len(list_intersect(g, qg)) / CAST(len(g) + len(qg) - len(list_intersect(g, qg)) AS DOUBLE)) AS s FROM fw JOIN fq USING (tenant_id, m) GROUP BY 1, 2),
+  fi AS (SELECT item_id, tenant_id, {_W.format('content')} AS w FROM it), fp AS (SELECT item_id, tenant_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM fi),
+  fg AS (SELECT tenant_id, word, unnest({_GS.format('[word]')}) AS g FROM (SELECT DISTINCT tenant_id, word FROM fp)),
+  fn AS (SELECT query_id, tenant_id, m, word FROM (SELECT query_id, tenant_id, m, len(qg) AS n, unnest(qg) AS g FROM fq) JOIN fg USING (tenant_id, g) GROUP BY query_id, tenant_id, m, n, word HAVING count(*) * m > 0.3 * n),
+  fx AS (SELECT DISTINCT query_id, item_id, s FROM (SELECT n.query_id, p.item_id, unnest(range(greatest(p.at - n.m + 1, 0), least(p.at, greatest(len(fi.w) - n.m, 0)) + 1)) AS s FROM fp AS p JOIN fn AS n USING (tenant_id, word) JOIN fi ON fi.item_id = p.item_id)),
+  fs AS (SELECT query_id, item_id, max(i / CAST(a + b - i AS DOUBLE)) AS s FROM (SELECT query_id, item_id, len(g) AS a, len(qg) AS b, len(list_intersect(g, qg)) AS i FROM (SELECT x.query_id, x.item_id, q.qg, {_GS.format('list_slice(fi.w, s + 1, s + q.m)')} AS g FROM fx AS x JOIN fq AS q USING (query_id) JOIN fi ON fi.item_id = x.item_id)) GROUP BY 1, 2),
   fz AS (SELECT query_id, item_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, item_id) - 1 AS rank, 'fuzzy' AS leg FROM fs WHERE s > 0.3 QUALIFY rank < 20)"""
 ST = "sf AS (SELECT f.* FROM v_facts AS f JOIN v_docs AS d USING (doc_id) WHERE d.status = 'indexed' AND NOT d.is_trashed AND f.field_name <> '_marginalia'), st AS (SELECT q.query_id, f.fact_id, row_number() OVER (PARTITION BY q.query_id ORDER BY f.confidence DESC NULLS LAST, f.fact_id) - 1 AS rank FROM v_queries AS q JOIN sf AS f USING (tenant_id) WHERE contains(lower(f.field_name), lower(q.raw)) OR contains(lower(f.value), lower(q.raw)) QUALIFY rank < 20)"
 _LEGS = "SELECT query_id, item_id, rank, leg FROM vec UNION ALL SELECT query_id, item_id, rank, leg FROM kw UNION ALL SELECT query_id, item_id, rank, leg FROM fz UNION ALL SELECT query_id, -fact_id, rank, 'structured' FROM st"
