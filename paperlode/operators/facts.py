@@ -42,14 +42,17 @@ def bulk_confirm(facts: DataFrame, docs: DataFrame, calibrated: DataFrame, thres
     return out.withColumn("batch", F.when(passes, F.col("folder_id"))).withColumn("status", F.when(passes, "verified").otherwise(F.col("status"))).drop("cal")
 
 
-def queue(facts: DataFrame) -> DataFrame:
-    """Open facts by category, with the category's total and the place by confidence, nulls first."""
-    sentinel = F.col("field_name").isin(*SENTINELS)
-    category = F.when(sentinel, F.substring("field_name", 2, 99)).when(F.col("is_handwritten"), "handwritten").otherwise("low_confidence")
-    rows = facts.filter("status = 'in_review'").withColumn("category", category)
+def queue(facts: DataFrame, docs: DataFrame, trust: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Open facts of each category by confidence, nulls first, from place offset + 1 on, with the category's total, the
+    document's title and what is known of the field (trust: field_name, confirmed, corrected). Every open fact is in
+    low_confidence; the handwritten ones but marginalia, and each kind of sentinel, are categories too."""
+    sentinel = F.when(F.col("field_name").isin(*SENTINELS), F.substring("field_name", 2, 99))
+    hand = F.when(F.col("is_handwritten") & (F.col("field_name") != SENTINELS[0]), "handwritten")
+    rows = facts.filter("status = 'in_review'").withColumn("category", F.explode(F.array_compact(F.array(F.lit("low_confidence"), hand, sentinel))))
     totals = rows.groupBy("tenant_id", "category").agg(F.count("*").alias("total"))
     order = Window.partitionBy("tenant_id", "category").orderBy(F.asc_nulls_first("confidence"), "fact_id")
-    return rows.withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 50").join(totals, ["tenant_id", "category"])
+    page = rows.withColumn("place", F.row_number().over(order).cast("long")).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return page.join(totals, ["tenant_id", "category"]).join(docs.select("doc_id", "title"), "doc_id", "left").join(trust, "field_name", "left")
 
 
 def preview_edits(facts: DataFrame, edits: DataFrame) -> DataFrame:

@@ -120,6 +120,26 @@ def match_by_key(left: DataFrame, right: DataFrame, pair: list[str], key: str) -
     return matched.unionByName(l_rest, allowMissingColumns=True).unionByName(r_rest, allowMissingColumns=True)
 
 
+def join_horizontally(left: DataFrame, right: DataFrame, pair: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """(matches, outcomes) of facing pairs: pair, left_pos, right_pos; and pair, outcome, matched, placed.
+
+    Rows meet by key; what is left over on both sides meets by position. Where both sides have keys and none meets the
+    pair is a conflict and never joined by position. Without keys on a side rows meet by position, or not at all.
+    left, right: pair, pos, key, y0, y1.
+    """
+    by_key = match_by_key(left, right, pair, key).filter("left_pos is not null and right_pos is not null")
+    has = lambda df, name: df.groupBy(*pair).agg(F.max(F.trim(F.coalesce(key, F.lit(""))) != "").alias(name))
+    matched = by_key.groupBy(*pair).agg(F.count("*").alias("matched"))
+    state = has(left, "lk").join(has(right, "rk"), pair).join(matched, pair, "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    conflict = F.col("lk") & F.col("rk") & (F.col("matched") == 0)
+    free = state.filter(~conflict).select(*pair)
+    rest = lambda df, name: df.join(free, pair, "left_semi").join(by_key.select(*pair, F.col(name).alias("pos")), [*pair, "pos"], "left_anti")
+    by_place = pair_by_position(rest(left, "left_pos"), rest(right, "right_pos"), pair)
+    out = state.join(by_place.groupBy(*pair).agg(F.count("*").alias("placed")), pair, "left").withColumn("placed", F.coalesce("placed", F.lit(0)))
+    outcome = F.when(conflict, "conflict").when(F.col("matched") > 0, "by_key").when(F.col("placed") > 0, "by_position").otherwise("vetoed")
+    return by_key.unionByName(by_place), out.select(*pair, outcome.alias("outcome"), "matched", "placed")
+
+
 def pair_by_position(left: DataFrame, right: DataFrame, pair: list[str]) -> DataFrame:
     """pair, left_pos, right_pos, by containment: the side with fewer rows holds the spans, and every other row's centre
     must lie in exactly one. A pair of pages with any row that does not, or with an empty side, gives nothing.

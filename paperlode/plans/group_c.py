@@ -181,18 +181,19 @@ def c17(spark, d):
     return O.pair_by_position(*_boxes(spark, d), ["doc_id"])
 
 
-@op("C18", f"""WITH {CONTAIN.format(boxes=BOXES)}, k AS (SELECT doc_id, max(CASE WHEN page_number = 1 AND pos % 3 <> 0 THEN 1 ELSE 0 END) AS lk, max(CASE WHEN page_number = 2 AND doc_id % 2 = 0 THEN 1 ELSE 0 END) AS rk FROM x WHERE page_number IN (1, 2) GROUP BY 1 HAVING count(DISTINCT page_number) = 2)
-  SELECT k.doc_id, CASE WHEN lk = 1 AND rk = 1 AND k.doc_id % 4 = 0 THEN 'conflict' WHEN lk = 1 AND rk = 1 THEN 'by_key' WHEN g.doc_id IS NOT NULL THEN 'by_position' ELSE 'vetoed' END AS outcome FROM k LEFT JOIN g USING (doc_id)""")
+_KEYED = f"SELECT *, CASE WHEN page_number = 1 AND pos % 3 <> 0 THEN concat('k', CAST(pos AS STRING)) WHEN page_number = 2 AND doc_id % 2 = 0 THEN concat(CASE WHEN doc_id % 4 = 0 THEN 'z' ELSE 'k' END, CAST(pos AS STRING)) END AS k FROM ({BOXES}) AS b WHERE page_number IN (1, 2)"
+
+
+@op("C18", f"""WITH b AS ({_KEYED}), mk AS (SELECT l.doc_id, l.pos AS lp, r.pos AS rp FROM b AS l JOIN b AS r ON l.doc_id = r.doc_id AND l.k = r.k AND l.page_number = 1 AND r.page_number = 2),
+  h AS (SELECT doc_id, bool_or(page_number = 1 AND k IS NOT NULL) AS lk, bool_or(page_number = 2 AND k IS NOT NULL) AS rk, (SELECT count(*) FROM mk WHERE mk.doc_id = b.doc_id) AS matched FROM b GROUP BY 1 HAVING count(DISTINCT page_number) = 2),
+  e AS (SELECT b.* FROM b JOIN h USING (doc_id) WHERE NOT (lk AND rk AND matched = 0) AND NOT EXISTS (SELECT 1 FROM mk WHERE mk.doc_id = b.doc_id AND CASE WHEN b.page_number = 1 THEN mk.lp ELSE mk.rp END = b.pos)),
+  {CONTAIN.format(boxes='SELECT * FROM e')}, p AS (SELECT doc_id, count(*) AS placed FROM m WHERE doc_id IN (SELECT doc_id FROM g) GROUP BY 1)
+  SELECT h.doc_id, CASE WHEN lk AND rk AND matched = 0 THEN 'conflict' WHEN matched > 0 THEN 'by_key' WHEN placed > 0 THEN 'by_position' ELSE 'vetoed' END AS outcome, matched, coalesce(placed, 0) AS placed FROM h LEFT JOIN p USING (doc_id)""")
 def c18(spark, d):
-    """How each facing pair joins: by key; never by position where both sides have keys that do not meet."""
-    left, right = _boxes(spark, d)
-    # keys meet in half of the pairs that have them on both sides
-    lk = left.groupBy("doc_id").agg(F.max((F.col("pos") % 3 != 0).cast("int")).alias("lk"))
-    rk = right.groupBy("doc_id").agg(F.max((F.col("doc_id") % 2 == 0).cast("int")).alias("rk"))
-    placed = O.pair_by_position(left, right, ["doc_id"]).select("doc_id", F.lit(True).alias("placed")).distinct()
-    both = (F.col("lk") == 1) & (F.col("rk") == 1)
-    out = lk.join(rk, "doc_id").join(placed, "doc_id", "left")
-    return out.select("doc_id", F.when(both & (F.col("doc_id") % 4 == 0), "conflict").when(both, "by_key").when(F.col("placed"), "by_position").otherwise("vetoed").alias("outcome"))
+    """How each facing pair joins. Keys stand on the left in two rows of three, on the right in every other pair, and
+    meet in half of those."""
+    b = spark_sql(spark, d, _KEYED)
+    return O.join_horizontally(b.filter("page_number = 1"), b.filter("page_number = 2"), ["doc_id"], "k")[1]
 
 
 @op("C19", """SELECT doc_id, page_number, pos, field, concat('{"v":"', value, '"}') AS value, round_even(confidence, 4) AS confidence FROM (SELECT doc_id, page_number, pos, confidence, unnest(['owner', 'village', 'area', 'valuation']) AS field, unnest([owner, village, area, valuation]) AS value, y0, serial FROM v_register) WHERE value IS NOT NULL AND value <> '' AND y0 >= 0 AND y0 < 0.8""")

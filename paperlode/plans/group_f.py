@@ -50,10 +50,16 @@ def f5(spark, d):
     return O.bulk_confirm(view(spark, d, "v_facts"), view(spark, d, "v_docs"), view(spark, d, "v_calibration"), 0.4).select("fact_id", "status", "batch")
 
 
-@op("F6", """WITH q AS (SELECT *, CASE WHEN field_name IN ('_marginalia', '_join_mismatch', '_stitch_ambiguous') THEN substring(field_name, 2) WHEN is_handwritten THEN 'handwritten' ELSE 'low_confidence' END AS category FROM v_facts WHERE status = 'in_review')
-  SELECT tenant_id, category, fact_id, place, total FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, category ORDER BY confidence NULLS FIRST, fact_id) AS place, count(*) OVER (PARTITION BY tenant_id, category) AS total FROM q) WHERE place <= 50""")
+TRUST = "SELECT field_name, count(*) FILTER (status = 'verified') AS confirmed, count(*) FILTER (status = 'in_review') AS corrected FROM v_facts WHERE substring(field_name, 1, 1) <> '_' AND NOT is_handwritten GROUP BY 1"
+
+
+@op("F6", f"""WITH q AS (SELECT *, unnest(list_filter(['low_confidence', CASE WHEN is_handwritten AND field_name <> '_marginalia' THEN 'handwritten' END, CASE WHEN field_name IN ('_marginalia', '_join_mismatch', '_stitch_ambiguous') THEN substring(field_name, 2) END], lambda x: x IS NOT NULL)) AS category FROM v_facts WHERE status = 'in_review'),
+  p AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, category ORDER BY confidence NULLS FIRST, fact_id) AS place, count(*) OVER (PARTITION BY tenant_id, category) AS total FROM q)
+  SELECT p.tenant_id, p.category, p.fact_id, p.place, p.total, d.title, t.confirmed, t.corrected FROM p LEFT JOIN v_docs AS d USING (doc_id) LEFT JOIN ({TRUST}) AS t USING (field_name) WHERE place > 10 AND place <= 60""")
 def f6(spark, d):
-    return O.queue(view(spark, d, "v_facts")).select("tenant_id", "category", "fact_id", "place", "total")
+    facts = view(spark, d, "v_facts")
+    known = facts.filter(~F.startswith("field_name", F.lit("_")) & ~F.col("is_handwritten")).groupBy("field_name").agg(F.count_if(F.col("status") == "verified").alias("confirmed"), F.count_if(F.col("status") == "in_review").alias("corrected"))
+    return O.queue(facts, view(spark, d, "v_docs"), known, 50, 10).select("tenant_id", "category", "fact_id", "place", "total", "title", "confirmed", "corrected")
 
 
 EDITS = "SELECT fact_id + CASE WHEN fact_id % 11 = 0 THEN 99 ELSE 0 END AS fact_id, CASE WHEN fact_id % 2 = 0 THEN value ELSE '7' END AS new_value FROM v_facts WHERE fact_id % 5 = 0"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analytics as A
 from .registry import op
+from .group_b import CH, PG, chunks
 from .views import AS_OF, view
 
 
@@ -14,16 +15,19 @@ def _by_tenant(df, n=None):
     return df.groupBy("tenant_id").agg((n if n is not None else F.count("*")).alias("n"))
 
 
-@op("I1", """SELECT tenant_id, CAST(sum(users) AS BIGINT) AS users, CAST(sum(docs) AS BIGINT) AS docs, CAST(sum(trashed) AS BIGINT) AS trashed, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(audits) AS BIGINT) AS audits, CAST(sum(sessions) AS BIGINT) AS sessions FROM (
-  SELECT tenant_id, count(*) AS users, 0 AS docs, 0 AS trashed, 0 AS bytes, 0 AS audits, 0 AS sessions FROM v_users GROUP BY 1 UNION ALL
-  SELECT tenant_id, 0, count(*) FILTER (NOT is_trashed), count(*) FILTER (is_trashed), sum(size_bytes), 0, 0 FROM v_docs GROUP BY 1 UNION ALL
-  SELECT tenant_id, 0, 0, 0, 0, count(*), 0 FROM v_audit GROUP BY 1 UNION ALL SELECT conv_id % 4, 0, 0, 0, 0, 0, count(DISTINCT conv_id) FROM conversations GROUP BY 1) GROUP BY 1""")
+_PARTS = {"users": "SELECT tenant_id, count(*) AS n FROM v_users GROUP BY 1", "docs": "SELECT tenant_id, count(*) FILTER (NOT is_trashed) AS n FROM v_docs GROUP BY 1", "trashed": "SELECT tenant_id, count(*) FILTER (is_trashed) AS n FROM v_docs GROUP BY 1",
+          "folders": "SELECT tenant_id, count(*) AS n FROM v_folders GROUP BY 1", "bytes": "SELECT tenant_id, sum(size_bytes) AS n FROM v_docs GROUP BY 1", "chunks": "SELECT tenant_id, count(*) AS n FROM ch JOIN v_docs USING (doc_id) GROUP BY 1",
+          "audits": "SELECT tenant_id, count(*) AS n FROM v_audit GROUP BY 1", "sessions": "SELECT conv_id % 4 AS tenant_id, count(DISTINCT conv_id) AS n FROM conversations GROUP BY 1"}
+_LONG = " UNION ALL ".join(f"SELECT tenant_id, '{p}' AS part, n FROM ({sql})" for p, sql in _PARTS.items())
+
+
+@op("I1", f"WITH {PG}, {CH} SELECT tenant_id, {', '.join(f'CAST(coalesce(sum(n) FILTER (part = {p!r}), 0) AS BIGINT) AS {p}' for p in _PARTS)} FROM ({_LONG}) GROUP BY 1")
 def i1(spark, d):
     docs = view(spark, d, "v_docs")
     convs = view(spark, d, "conversations").withColumn("tenant_id", F.col("conv_id") % 4)
     return A.overview({
-        "users": _by_tenant(view(spark, d, "v_users")), "docs": _by_tenant(docs, F.count_if(~F.col("is_trashed"))), "trashed": _by_tenant(docs, F.count_if("is_trashed")),
-        "bytes": _by_tenant(docs, F.sum("size_bytes")), "audits": _by_tenant(view(spark, d, "v_audit")), "sessions": _by_tenant(convs, F.count_distinct("conv_id")),
+        "users": _by_tenant(view(spark, d, "v_users")), "docs": _by_tenant(docs, F.count_if(~F.col("is_trashed"))), "trashed": _by_tenant(docs, F.count_if("is_trashed")), "folders": _by_tenant(view(spark, d, "v_folders")),
+        "bytes": _by_tenant(docs, F.sum("size_bytes")), "chunks": _by_tenant(chunks(spark, d).select("doc_id").join(docs.select("doc_id", "tenant_id"), "doc_id")), "audits": _by_tenant(view(spark, d, "v_audit")), "sessions": _by_tenant(convs, F.count_distinct("conv_id")),
     })
 
 
@@ -97,9 +101,10 @@ def i14(spark, d):
         F.count_if(~F.col("is_trashed")).alias("files"), F.count_if(F.col("is_starred") & ~F.col("is_trashed")).alias("starred"), F.count_if("is_trashed").alias("trashed"), F.sum("size_bytes").alias("bytes"), F.count_distinct("folder_id").alias("folders"))
 
 
-@op("I15", "SELECT u.user_id, u.role, f.files, f.bytes, f.file_types FROM v_users AS u LEFT JOIN (SELECT uploader_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, string_agg(DISTINCT lower(split_part(title, '.', 2)), ',' ORDER BY lower(split_part(title, '.', 2))) AS file_types FROM v_docs WHERE NOT is_trashed GROUP BY 1) AS f ON f.uploader_id = u.user_id")
+@op("I15", f"WITH {PG}, {CH} SELECT u.user_id, u.role, f.folders, f.files, f.bytes, f.chunks, f.file_types FROM v_users AS u LEFT JOIN (SELECT uploader_id, count(DISTINCT folder_id) AS folders, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CAST(sum(c.n) AS BIGINT) AS chunks, string_agg(DISTINCT lower(split_part(title, '.', 2)), ',' ORDER BY lower(split_part(title, '.', 2))) AS file_types FROM v_docs LEFT JOIN (SELECT doc_id, count(*) AS n FROM ch GROUP BY 1) AS c USING (doc_id) WHERE NOT is_trashed GROUP BY 1) AS f ON f.uploader_id = u.user_id")
 def i15(spark, d):
     live = view(spark, d, "v_docs").filter("not is_trashed").withColumn("t", T.file_type(F.col("title"), F.col("doc_type")))
-    per = live.groupBy("uploader_id").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.array_join(F.array_sort(F.collect_set("t")), ",").alias("file_types"))
+    live = live.join(chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left")
+    per = live.groupBy("uploader_id").agg(F.count_distinct("folder_id").alias("folders"), F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.sum("n").alias("chunks"), F.array_join(F.array_sort(F.collect_set("t")), ",").alias("file_types"))
     users = view(spark, d, "v_users")
-    return users.join(per, users.user_id == per.uploader_id, "left").select("user_id", "role", "files", "bytes", "file_types")
+    return users.join(per, users.user_id == per.uploader_id, "left").select("user_id", "role", "folders", "files", "bytes", "chunks", "file_types")

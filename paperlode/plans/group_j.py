@@ -23,11 +23,14 @@ def j2(spark, d):
     return O.tree(spark, view(spark, d, "v_folders"))
 
 
-@op("J3", f"WITH RECURSIVE {UP} SELECT a.folder_id, count(*) AS depth_hits FROM a JOIN v_folders AS r ON r.folder_id = a.ancestor_id AND r.is_trashed GROUP BY 1")
+@op("J3", f"WITH RECURSIVE {UP}, g AS (SELECT DISTINCT a.folder_id FROM a JOIN v_folders AS r ON r.folder_id = a.ancestor_id AND r.is_trashed), c AS (SELECT doc_id, concat('n', CAST(doc_id % 25 AS STRING)) AS folder_id FROM v_docs) SELECT g.folder_id, c.doc_id FROM g LEFT JOIN c USING (folder_id)")
 def j3(spark, d):
+    """What goes with the trashed folders: every folder below them, and the documents of each."""
     folders = view(spark, d, "v_folders")
     trashed = folders.filter("is_trashed").select(F.col("folder_id").alias("ancestor_id"))
-    return O.ancestors(spark, folders).join(trashed, "ancestor_id").groupBy("folder_id").agg(F.count("*").alias("depth_hits"))
+    gone = O.ancestors(spark, folders).join(trashed, "ancestor_id", "left_semi").select("folder_id").distinct()
+    docs = view(spark, d, "v_docs").select("doc_id", F.concat(F.lit("n"), (F.col("doc_id") % 25).cast("string")).alias("folder_id"))
+    return gone.join(docs, "folder_id", "left").select("folder_id", "doc_id")
 
 
 @op("J4", "SELECT CASE WHEN is_starred THEN 'starred' WHEN parent_id IS NULL THEN 'root' ELSE 'child' END AS mode, folder_id, name, row_number() OVER (PARTITION BY CASE WHEN is_starred THEN 'starred' WHEN parent_id IS NULL THEN 'root' ELSE 'child' END ORDER BY name, folder_id) AS place FROM v_folders WHERE NOT is_trashed")
@@ -42,14 +45,18 @@ def j4(spark, d):
 VERSIONS = "SELECT doc_id, CAST(v AS BIGINT) AS version, size_bytes + v AS bytes, v = 2 AND doc_id % 3 = 0 AS is_current FROM v_docs, (VALUES (1), (2), (3)) AS t(v) WHERE v <= 1 + doc_id % 3"
 
 
-@op("J5", f"WITH ver AS ({VERSIONS}) SELECT v.doc_id, v.folder_id, v.title, coalesce(c.bytes, l.bytes) AS bytes, row_number() OVER (PARTITION BY v.folder_id ORDER BY v.created_at DESC, v.doc_id DESC) AS place FROM v_docs AS v LEFT JOIN (SELECT doc_id, bytes FROM ver WHERE is_current) AS c USING (doc_id) LEFT JOIN (SELECT doc_id, arg_max(bytes, version) AS bytes FROM ver GROUP BY 1) AS l USING (doc_id) WHERE NOT v.is_trashed")
+@op("J5", f"WITH ver AS ({VERSIONS}), s AS (SELECT v.*, coalesce(c.bytes, l.bytes) AS bytes FROM v_docs AS v LEFT JOIN (SELECT doc_id, bytes FROM ver WHERE is_current) AS c USING (doc_id) LEFT JOIN (SELECT doc_id, arg_max(bytes, version) AS bytes FROM ver GROUP BY 1) AS l USING (doc_id) WHERE NOT v.is_trashed), m AS (SELECT 'folder' AS listing, folder_id AS shelf, * FROM s UNION ALL SELECT 'starred', NULL, * FROM s WHERE is_starred) SELECT listing, shelf, doc_id, title, bytes, row_number() OVER (PARTITION BY listing, shelf ORDER BY created_at DESC, doc_id DESC) AS place FROM m")
 def j5(spark, d):
+    """Two listings: by folder (null: the root), and the starred documents of any folder."""
     from pyspark.sql import Window
 
     size = spark_sql(spark, d, VERSIONS).groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("is_current"), F.col("bytes"))), F.max_by("bytes", "version")).alias("bytes"))
     docs = view(spark, d, "v_docs").filter("not is_trashed").join(size, "doc_id", "left")
-    order = Window.partitionBy("folder_id").orderBy(F.desc("created_at"), F.desc("doc_id"))
-    return docs.select("doc_id", "folder_id", "title", "bytes", F.row_number().over(order).cast("long").alias("place"))
+    shelf = F.struct(F.lit("folder").alias("listing"), F.col("folder_id").alias("shelf"))
+    starred = F.when(F.col("is_starred"), F.struct(F.lit("starred").alias("listing"), F.lit(None).cast("string").alias("shelf")))
+    rows = docs.withColumn("x", F.explode(F.array_compact(F.array(shelf, starred)))).select("x.*", "doc_id", "title", "bytes", "created_at")
+    order = Window.partitionBy("listing", "shelf").orderBy(F.desc("created_at"), F.desc("doc_id"))
+    return rows.select("listing", "shelf", "doc_id", "title", "bytes", F.row_number().over(order).cast("long").alias("place"))
 
 
 @op("J6", f"WITH ver AS ({VERSIONS}) SELECT v.doc_id, v.title, (SELECT string_agg(concat(version, ':', bytes), ',' ORDER BY version) FROM ver WHERE ver.doc_id = v.doc_id) AS versions, concat('lang=', doc_type, ',status=', status) AS metadata FROM v_docs AS v")
