@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
+from . import ann, collocations, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
 from .common import shared_dir, table
 from .token_ids import vocabulary
 
@@ -58,5 +58,9 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash)}
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash, op11_phrase_collocations)}
 ORACLE_SQL: dict[str, str] = {}
