@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from . import ann, collocations, decontaminate, license_scan, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
+from . import ann, collocations, decontaminate, license_scan, main_text, merkle, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
 from .common import shared_dir, table
 from .token_ids import vocabulary
 
@@ -62,5 +62,13 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash, op11_phrase_collocations)}
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash, op11_phrase_collocations, op12_merkle_manifest, op13_html_extraction)}
 ORACLE_SQL: dict[str, str] = {}
