@@ -116,10 +116,11 @@ def is_noise(tag: str, attributes: str) -> bool:
 class Node:
     """An element, with what it holds in order: elements, and blocks of text."""
 
-    __slots__ = ("tag", "up", "block", "noise", "below", "score", "length", "linked", "links")
+    __slots__ = ("tag", "up", "block", "noise", "below", "holder", "score", "length", "linked", "links")
 
     def __init__(self, tag: str, up: Node | None, noise: bool):
         self.tag, self.up, self.block, self.noise, self.below = tag, up, tag in BLOCKS, noise, []
+        self.holder = tag in ("article", "main") or bool(up and up.holder)  # stands in an article
         self.score, self.length, self.linked, self.links = 0.0, 0, 0, 0
 
 
@@ -132,13 +133,13 @@ class Block:
         self.up, self.text, self.linked, self.links = up, text, linked, links
 
 
-def tree(html: str) -> tuple[Node, list[Block]]:
-    """The page's elements, and all its blocks outside noise, in page order."""
+def tree(html: str) -> tuple[list[Node], list[Block]]:
+    """The page's block elements, outer ones first, and all its blocks outside noise, both in page order."""
     root = Node("html", None, False)
-    open_, blocks = [root], []
+    open_, nodes, blocks = [root], [root], []
     words: list[str] = []
     links: list[str] = []
-    here, n_links, in_link = root, 0, False
+    here, n_links, in_link = root, 0, 0  # in_link: open links
 
     def flush() -> None:
         nonlocal n_links
@@ -154,12 +155,13 @@ def tree(html: str) -> tuple[Node, list[Block]]:
 
     def pop(to: int) -> None:
         nonlocal here, in_link
-        gone = open_[to:]
-        if any(n.block for n in gone):
-            flush()
+        for n in open_[to:]:
+            if n.block:
+                flush()
+                here = n.up
+                break
+        in_link -= sum(n.tag == "a" for n in open_[to:])
         del open_[to:]
-        here = next(n for n in reversed(open_) if n.block)
-        in_link = any(n.tag == "a" for n in open_)
 
     for kind, tag, text in tags(html):
         if kind == "text":
@@ -186,22 +188,22 @@ def tree(html: str) -> tuple[Node, list[Block]]:
                         break
                     if open_[i].tag in beyond:
                         break
-            if tag in ("html", "body") and any(n.tag == tag for n in open_[1:]) or tag == "html":
-                continue
+            if tag in ("html", "body"):
+                continue  # the page as a whole
             if tag in BLOCKS:
                 flush()
             if tag in VOID:
                 continue
-            header = tag == "header" and not any(n.tag in ("article", "main") for n in open_)
+            header = tag == "header" and not here.holder
             node = Node(tag, here, open_[-1].noise or header or is_noise(tag, text))
             if node.block:
                 here.below.append(node)
+                nodes.append(node)
                 here = node
             elif tag == "a":
-                in_link = True
+                in_link += 1
                 n_links += 1
-            if not text.rstrip().endswith("/") or tag not in ("svg", "path", "use"):
-                open_.append(node)
+            open_.append(node)
         else:
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == tag:
@@ -210,46 +212,39 @@ def tree(html: str) -> tuple[Node, list[Block]]:
                 if open_[i].block and tag not in BLOCKS and tag not in RAW:
                     break  # an inline end tag does not reach out of its block
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
 def density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def score(blocks: list[Block]) -> None:
+#: Levels up to which points are passed.
+REACH = 12
+
+
+def score(nodes: list[Node], blocks: list[Block]) -> None:
     """Points of all blocks to the elements above them, and lengths of text and links."""
     for b in blocks:
         points = (1 + b.text.count(",") + b.text.count("，") + min(len(b.text) / 100, 3)) * (1 if len(b.text) >= 25 else 0.2)
         points *= 1 - b.linked / len(b.text)
         node, level = (b.up.up if b.up.tag in LEAVES and b.up.up else b.up), 0
-        while node:
+        while node and level < REACH:
             node.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             node, level = node.up, level + 1
-        node = b.up
-        while node:
-            node.length += len(b.text)
-            node.linked += b.linked
-            node.links += b.links
-            node = node.up
+        b.up.length += len(b.text)
+        b.up.linked += b.linked
+        b.up.links += b.links
+    for node in reversed(nodes[1:]):
+        node.up.length += node.length
+        node.up.linked += node.linked
+        node.up.links += node.links
 
 
 def worth(node: Node) -> float:
     return node.score * (1 - density(node)) * (3 if node.tag == "article" else 2 if node.tag == "main" else 1)
 
 
-def containers(node: Node) -> list[Node]:
-    """All elements that may hold an article, outer ones first."""
-    found, todo = [], [node]
-    while todo:
-        node = todo.pop()
-        if not node.noise:
-            if node.tag not in LEAVES or node.tag in ("td", "blockquote"):
-                found.append(node)
-            todo += [c for c in reversed(node.below) if isinstance(c, Node)]
-    return found
-
-
 def is_menu(node: Node) -> bool:
     """Whether an element without a meaning of its own is a list of links."""
     return node.tag in ("ul", "ol", "div", "table", "section", "dl") and node.links >= 3 and density(node) > 0.7
@@ -272,11 +267,12 @@ def read(node: Node, prune: bool) -> list[str]:
 
 def main_text(html: str) -> str:
     """The blocks of the page's article, one a line; empty if there are none."""
-    root, blocks = tree(html)
+    nodes, blocks = tree(html)
     if not blocks:
         return ""
-    score(blocks)
-    best = max(containers(root), key=worth)  # the first of equals, which is the outer one
+    score(nodes, blocks)
+    # the first of equals, which is the outer one
+    best = max((n for n in nodes if not n.noise and (n.tag not in LEAVES or n.tag in ("td", "blockquote"))), key=worth)
     meant = best.tag in ("article", "main")
     if not best.up:
         return "\n".join(read(best, not meant))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import ann, collocations, decontaminate, license_scan, main_text, merkle, packing, simhash, substring_dedup, token_counts, token_store, toxicity, url_templates
 from .common import shared_dir, table
+from .oracles import ORACLE_SQL  # noqa: F401
 from .token_ids import vocabulary
 
 
@@ -71,4 +72,3 @@ def op13_html_extraction(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_token_counts, op4_decontamination, op5_nearest_neighbours, op6_url_templates, op7_license_scan, op8_token_store, op9_substring_dedup, op10_simhash, op11_phrase_collocations, op12_merkle_manifest, op13_html_extraction)}
-ORACLE_SQL: dict[str, str] = {}
