@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from .analytics import top
-from .graph import dot, unit
+from .vector_index import VectorIndex, build
 
 LIMIT, RRF_K = 20, 60
 #: Query rows up to which a query side is broadcast.
@@ -47,17 +47,23 @@ def ranked(hits: DataFrame, by: list[str], k: int = LIMIT, leg: str | None = Non
     return out.withColumn("leg", F.lit(leg)) if leg else out
 
 
-def vector_leg(queries: DataFrame, items: DataFrame, k: int = LIMIT) -> DataFrame:
-    """queries: query_id, tenant_id, variant, embedding; items: item_id, tenant_id, embedding. Cosine per variant."""
-    q = queries.select("query_id", "variant", "tenant_id", unit(F.col("embedding")).alias("qu"))
-    i = items.select("item_id", "tenant_id", unit(F.col("embedding")).alias("iu"))
-    hits = met(i, q).select("query_id", "variant", "item_id", F.round(dot(F.col("qu"), F.col("iu")), 6).alias("score"))
+def vector_leg(queries: DataFrame, items: DataFrame | VectorIndex, k: int = LIMIT, exact: bool = True, share: float = 0.1) -> DataFrame:
+    """Cosine per variant, by an index of the items: exact, or over the nearest lists with `share` of all vectors.
+
+    queries: query_id, tenant_id, variant, embedding (null: no rows); items: item_id, tenant_id, embedding, or their
+    index, which several searches may share.
+    """
+    index = items if isinstance(items, VectorIndex) else build(items.select("tenant_id", "item_id", "embedding"))
+    hits = index.search(queries, k, share, exact).select("query_id", "variant", "item_id", F.round("s", 6).alias("score"))
     return ranked(hits, ["query_id", "variant"], k, "vector")
 
 
 def stem(word: Column) -> Column:
-    """A light English stemmer: ing, ed, es, s and ly go where three letters stay."""
-    return F.when(F.length(word) > 5, F.regexp_replace(word, "(?:ing|ed|es|ly|s)$", "")).otherwise(word)
+    """A light English stemmer: of words of over 5 letters, ing, ed, es, ly and s go."""
+    ends = lambda *x: [F.endswith(word, F.lit(e)) for e in x]
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    ed, es, ly = ends("ed", "es", "ly")
+    return F.when(F.length(word) <= 5, word).when(ends("ing")[0], cut(3)).when(ed | es | ly, cut(2)).when(ends("s")[0], cut(1)).otherwise(word)
 
 
 def analysed(text: Column, analyzer: str) -> Column:
@@ -66,27 +72,48 @@ def analysed(text: Column, analyzer: str) -> Column:
     return F.transform(F.filter(w, lambda x: ~x.isin(*STOP)), stem) if analyzer == "english" else w
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, tenant_id, analyzer, n (distinct terms of the query in it), term."""
+    rows = None
+    for analyzer in ("english", "simple"):
+        q = queries.select("query_id", "tenant_id", F.lit(analyzer).alias("analyzer"), F.array_distinct(analysed(F.col("query"), analyzer)).alias("ts"))
+        one = q.filter(F.size("ts") > 0).select("query_id", "tenant_id", "analyzer", F.size("ts").alias("n"), F.explode("ts").alias("term"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """item_id, tenant_id, analyzer, term: a row for each word in each analyzer; a text is taken apart once."""
+    word = items.select("item_id", "tenant_id", F.explode(words(F.col("content"))).alias("w"))
+    simple = F.struct(F.lit("simple").alias("analyzer"), F.col("w").alias("term"))
+    english = F.struct(F.lit("english").alias("analyzer"), stem(F.col("w")).alias("term"))
+    forms = F.explode(F.when(F.col("w").isin(*STOP), F.array(simple)).otherwise(F.array(simple, english)))
+    return word.select("item_id", "tenant_id", forms.alias("f")).select("item_id", "tenant_id", "f.*")
+
+
+TERM = ["tenant_id", "analyzer", "term"]
+
+
+def keyword_hits(queries: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """Ranks of items by counts (item_id, TERM, tf): all terms of a query in either analyzer."""
+    hits = counts.join(small(queries), TERM).groupBy("query_id", "item_id", "analyzer", "n").agg(F.count("*").alias("met"), F.sum(1 + F.log("tf")).alias("score")).filter("met = n")
+    best = hits.groupBy("query_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"))
+    return ranked(best, ["query_id"], k, "keyword")
+
+
 def keyword_leg(queries: DataFrame, items: DataFrame, k: int = LIMIT) -> DataFrame:
     """Items that hold all terms of a query in either analyzer; score: sum of 1 + ln(tf), the larger of both.
 
-    Words of items meet the terms that are asked for before anything is counted or shuffled.
+    Words of items meet the terms that are asked for before anything is counted or shuffled. For many searches over
+    the same items, operators.postings keeps the counts.
     """
-    found = None
-    for analyzer in ("english", "simple"):
-        q = queries.select("query_id", "tenant_id", F.array_distinct(analysed(F.col("query"), analyzer)).alias("ts")).filter(F.size("ts") > 0)
-        q = q.select("query_id", "tenant_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-        rows = items.select("item_id", "tenant_id", F.explode(analysed(F.col("content"), analyzer)).alias("term"))
-        asked = rows.join(small(q.select("tenant_id", "term").distinct()), ["tenant_id", "term"], "left_semi")
-        tf = asked.groupBy("item_id", "tenant_id", "term").agg(F.count("*").alias("tf"))
-        hits = tf.join(small(q), ["tenant_id", "term"]).groupBy("query_id", "item_id", "n").agg(F.count("*").alias("met"), F.sum(1 + F.log("tf")).alias("score")).filter("met = n")
-        one = hits.select("query_id", "item_id", "score")
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy("query_id", "item_id").agg(F.round(F.max("score"), 6).alias("score"))
-    return ranked(best, ["query_id"], k, "keyword")
+    q = query_terms(queries)
+    asked = item_terms(items).join(small(q.select(*TERM).distinct()), TERM, "left_semi")
+    return keyword_hits(q, asked.groupBy("item_id", *TERM).agg(F.count("*").alias("tf")), k)
 
 
-#: Items and queries of a block of the fuzzy leg, and words of an item that are scored at once.
-ITEMS_EACH, QUERIES_EACH, WORDS_EACH = 500, 500, 512
+#: Items and queries of a block of the fuzzy leg.
+ITEMS_EACH, QUERIES_EACH = 500, 500
 
 
 def word_grams(word: str) -> list[str]:
@@ -95,38 +122,104 @@ def word_grams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(word) + 1)]
 
 
-def passage_scores(words_of_item: list[str], lengths: np.ndarray, rows: np.ndarray, look) -> np.ndarray:
-    """For each query the largest trigram Jaccard with as many successive words of the item (all, if fewer).
-
-    lengths: words of each query; rows: its 0/1 row over the trigrams of all queries; look: a word's trigrams, and the
-    columns of those among them.
-    """
-    best = np.zeros(len(rows))
-    sizes = rows.sum(axis=1, dtype=np.float64)
-    beyond, n = int(lengths.max()) - 1, len(words_of_item)
-    for first in range(0, n, WORDS_EACH):
-        known = [look(w) for w in words_of_item[first : first + WORDS_EACH + beyond]]
-        held = np.zeros((len(known), rows.shape[1]), np.float32)
-        for i, (_, columns) in enumerate(known):
-            held[i, columns] = 1
-        for m in np.unique(lengths):
-            many = min(WORDS_EACH, max(n - m, 0) + 1 - first)
-            if many <= 0:
-                continue
-            own, passages = np.flatnonzero(lengths == m), held[:many].copy()
-            for i in range(1, min(m, len(known))):
-                np.maximum(passages, held[i : i + many], out=passages)
-            both = (passages @ rows[own].T).astype(np.float64)
-            size = np.array([len(set().union(*(g for g, _ in known[i : i + m]))) for i in range(many)], np.float64)
-            best[own] = np.maximum(best[own], (both / (size[:, None] + sizes[own] - both)).max(axis=0))
-    return best
+class Passages:
+    """A block of items, held as postings: where each distinct word stands, and each word's distinct trigrams."""
+
+    def __init__(self, items: list):
+        lengths = np.array([len(ws) for ws in items], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        codes, words_ = pd.factorize(np.array([w for ws in items for w in ws], object)) if lengths.sum() else (np.zeros(0, np.int64), [])
+        self.ids = codes.astype(np.int64)
+        self.grams = [frozenset(word_grams(w)) for w in words_]
+        self.sizes = np.array([len(g) for g in self.grams], np.int64)
+        self.item = np.repeat(np.arange(len(items)), lengths)
+        self.order = np.argsort(self.ids, kind="stable")
+        self.first = np.searchsorted(self.ids[self.order], np.arange(len(self.grams) + 1))
+        self.postings: dict[str, list[int]] = {}
+        for i, gs in enumerate(self.grams):
+            for g in gs:
+                self.postings.setdefault(g, []).append(i)
+        self.postings = {g: np.array(ws) for g, ws in self.postings.items()}
+
+        # the words' trigrams as numbers, word by word
+        names = {g: i for i, g in enumerate(self.postings)}
+        self.names = names
+        self.flat = np.array([names[g] for gs in self.grams for g in gs], np.int64)
+        self.flat_ends = np.cumsum(self.sizes)
+
+    def best(self, grams: frozenset[str], m: int, threshold: float, k: int) -> list[tuple[int, float]]:
+        """(item, similarity) of the k best items (ties included) of a query with m words and these trigrams, above the
+        threshold. Higher thresholds are tried first, as they look at few passages: k items above one are enough."""
+        for t in (0.8, 0.6, 0.45, threshold):
+            if t >= threshold:
+                scores = self._above(grams, m, t, k)
+                if len(scores) >= k and np.partition(list(scores.values()), -k)[-k] >= t + 1e-6:
+                    break
+        return list(scores.items())
+
+    def _above(self, grams: frozenset[str], m: int, threshold: float, k: int) -> dict[int, float]:
+        """All items with a passage above the threshold that can be among the k best, and their similarity.
+
+        A passage shares no more trigrams with the query than its words do together, so one above the threshold has a
+        word with more than threshold * len(grams) / m of them: only passages around such words are looked at, those
+        with the highest bound first, and none whose bound cannot enter the k best.
+        """
+        shared = np.zeros(len(self.grams), np.int64)
+        for g in grams:
+            if g in self.postings:
+                shared[self.postings[g]] += 1
+        strong = np.flatnonzero(shared * m > threshold * len(grams))
+        if not len(strong):
+            return {}
+        at = np.concatenate([self.order[self.first[w] : self.first[w + 1]] for w in strong])
+        item = self.item[at]
+        low, high = self.starts[item], np.maximum(self.ends[item] - m, self.starts[item])
+        begin = np.unique(np.clip(at[:, None] - np.arange(m), low[:, None], high[:, None]))
+        words_ = begin[:, None] + np.arange(m)
+        inside = words_ < self.ends[self.item[begin]][:, None]  # an item shorter than the query is one passage
+        ids = self.ids[np.minimum(words_, len(self.ids) - 1)]
+        both = np.minimum(np.where(inside, shared[ids], 0).sum(axis=1), len(grams))
+        least = np.maximum(np.where(inside, self.sizes[ids], 0).max(axis=1), both)
+        bound = both / (least + len(grams) - both)
+        kept = np.flatnonzero(bound > threshold)
+        order = kept[np.argsort(-bound[kept], kind="stable")]
+        wanted = np.zeros(len(self.names), bool)
+        wanted[[self.names[g] for g in grams if g in self.names]] = True
+        found: dict[int, float] = {}
+        kth = threshold
+        for a in range(0, len(order), 256):
+            some = order[a : a + 256]
+            if bound[some[0]] < kth - 1e-9:
+                break
+            s = self._similarity(np.where(inside[some], ids[some], -1), wanted, len(grams))
+            for i, x in zip(self.item[begin[some]].tolist(), s.tolist()):
+                if x > threshold and x > found.get(i, 0.0):
+                    found[i] = x
+            if len(found) >= k:  # ties at the k-th place are kept: ids decide between them later
+                kth = round(float(np.partition(list(found.values()), -k)[-k]), 6) - 1e-6
+        return {i: x for i, x in found.items() if x >= kth}
+
+    def _similarity(self, ids: np.ndarray, wanted: np.ndarray, n: int) -> np.ndarray:
+        """The trigram Jaccard of passages (rows of word ids, -1 for none) with a query of n trigrams."""
+        row, word = np.repeat(np.arange(len(ids)), ids.shape[1]), ids.ravel()
+        row, word = row[word >= 0], word[word >= 0]
+        size = self.sizes[word]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        gram = self.flat[np.repeat(self.flat_ends[word] - size, size) + place]
+        codes = np.unique(np.repeat(row, size) * len(self.names) + gram)
+        row, gram = codes // len(self.names), codes % len(self.names)
+        many, both = np.bincount(row, minlength=len(ids)), np.bincount(row, weights=wanted[gram], minlength=len(ids))
+        return both / (many + n - both)
 
 
 def fuzzy_leg(queries: DataFrame, items: DataFrame, threshold: float = 0.3, k: int = LIMIT) -> DataFrame:
     """Items some passage of which is like the query: the largest trigram Jaccard of the query and as many successive
     words of the item (all its words, if fewer), above the threshold.
 
-    Every item of a tenant is scored for every query, a block of items against a block of queries.
+    A block of items keeps postings from trigrams to its distinct words and from those to their places, so a query
+    looks at passages around words that share enough of its trigrams; no passage above the threshold is missed. Each
+    block gives the k best of each query.
     """
     q = queries.select("query_id", "tenant_id", words(F.col("query")).alias("w")).filter(F.size("w") > 0)
     it = items.select("item_id", "tenant_id", words(F.col("content")).alias("w")).filter(F.size("w") > 0)
@@ -140,22 +233,10 @@ def fuzzy_leg(queries: DataFrame, items: DataFrame, threshold: float = 0.3, k: i
     def run(some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(some) and len(asked):
-            grams = [{g for w in ws for g in word_grams(w)} for ws in asked.w]
-            place = {g: i for i, g in enumerate(set().union(*grams))}
-            rows = np.zeros((len(grams), len(place)), np.float32)
-            for i, gs in enumerate(grams):
-                rows[i, [place[g] for g in gs]] = 1
-            lengths, ids, seen = np.array([len(ws) for ws in asked.w]), asked.query_id.to_numpy(), {}
-
-            def look(word: str):
-                if word not in seen:
-                    gs = word_grams(word)
-                    seen[word] = gs, [place[g] for g in gs if g in place]
-                return seen[word]
-
-            for item_id, ws in zip(some.item_id, some.w):
-                s = passage_scores(list(ws), lengths, rows, look)
-                found += [(int(ids[i]), int(item_id), float(s[i])) for i in np.flatnonzero(s > threshold)]
+            block, ids = Passages(some.w.tolist()), some.item_id.to_numpy()
+            for query_id, ws in zip(asked.query_id, asked.w):
+                grams = frozenset(g for w in ws for g in word_grams(w))
+                found += [(int(query_id), int(ids[i]), s) for i, s in block.best(grams, len(ws), threshold, k)]
         return pd.DataFrame(found, columns=["query_id", "item_id", "s"])
 
     block = ["tenant_id", "i", "j"]

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import postings
 from ..operators import search as S
 from ..operators.staging import stage
 from .group_b import CH, PG, chunks_of
@@ -17,7 +18,7 @@ ITEMS = "it AS (SELECT d.doc_id AS item_id, d.tenant_id, d.text AS content, e.em
 _W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
 _STEM = "CASE WHEN length({0}) > 5 THEN regexp_replace({0}, '(?:ing|ed|es|ly|s)$', '') ELSE {0} END"
 _STOP = ", ".join(f"'{w}'" for w in S.STOP)
-VEC = f"vec AS (SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank, 'vector' AS leg FROM (SELECT q.query_id, 0 AS variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM v_queries AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL) QUALIFY rank < 20)"
+VEC = f"vec AS (SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank, 'vector' AS leg FROM (SELECT q.query_id, 0 AS variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM v_queries AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL AND q.embedding IS NOT NULL) QUALIFY rank < 20)"
 
 
 def _kw(name, words_q, words_i):
@@ -76,7 +77,7 @@ def d1(spark, d):
 VARIANTS = "vq AS (SELECT query_id, tenant_id, 0 AS variant, embedding FROM v_queries UNION ALL SELECT q.query_id, q.tenant_id, 1, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1)"
 
 
-@op("D2", f"WITH {ITEMS}, {VARIANTS} SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank FROM (SELECT q.query_id, q.variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM vq AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL) QUALIFY rank < 20")
+@op("D2", f"WITH {ITEMS}, {VARIANTS} SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank FROM (SELECT q.query_id, q.variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM vq AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL AND q.embedding IS NOT NULL) QUALIFY rank < 20")
 def d2(spark, d):
     q = _queries(spark, d).select("query_id", "tenant_id", "variant", "embedding")
     more = q.drop("embedding").join(view(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding"), "query_id").withColumn("variant", F.lit(1))
@@ -85,7 +86,7 @@ def d2(spark, d):
 
 @op("D3", f"WITH {ITEMS}, {KW} SELECT query_id, item_id, score, rank FROM kw")
 def d3(spark, d):
-    return S.keyword_leg(_queries(spark, d), items(spark, d)).drop("leg")
+    return postings.create(items(spark, d)).search(_queries(spark, d)).drop("leg")
 
 
 @op("D4", f"WITH {ITEMS}, {FZ} SELECT query_id, item_id, score, rank FROM fz")

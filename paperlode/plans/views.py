@@ -99,7 +99,7 @@ VIEWS = {
         SELECT d.doc_id AS query_id, CAST(floor(d.doc_id / 20) AS BIGINT) % 4 AS tenant_id, lower(regexp_replace(d.head, '[^A-Za-z ]', '', 'g')) AS query,
           CASE CAST(floor(d.doc_id / 20) AS BIGINT) % 3 WHEN 0 THEN 'OWN' WHEN 1 THEN '4' ELSE d.head END AS raw, e.embedding
         FROM (SELECT doc_id, concat(split_part(split_part(text, chr(10), 1), ' ', 1), ' ', split_part(split_part(text, chr(10), 1), ' ', 2), ' ', split_part(split_part(text, chr(10), 1), ' ', 3)) AS head FROM documents WHERE doc_id % 20 = 0) AS d
-        JOIN embeddings AS e ON e.vec_id = d.doc_id""",
+        LEFT JOIN embeddings AS e ON e.vec_id = d.doc_id""",
 }
 
 
