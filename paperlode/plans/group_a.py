@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
+from ..sources import chunk_store
 from ..sources import files as S
+from .group_b import CH, PG
 from .registry import op
 from .views import view
 
@@ -75,7 +77,8 @@ def a8(spark, d):
     return out.select("doc_id", "pages", "failed", F.when((F.col("failed") == F.col("pages")) | no_chunks, "failed").otherwise("indexed").alias("status"))
 
 
-STABLE = "SELECT path, min(poll_no) AS poll_no, arg_min(size, poll_no) AS size FROM (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY poll_no) AS before FROM v_listing WHERE path LIKE 'in/%') WHERE size = before AND old_enough GROUP BY 1"
+STABLE = """SELECT path, min(poll_no) AS poll_no, arg_min(size, poll_no) AS size FROM (SELECT *, lag(size) OVER w AS before, lag(poll_no) OVER w AS poll_before, poll_no - row_number() OVER w AS stay FROM v_listing WHERE path LIKE 'in/%' WINDOW w AS (PARTITION BY path ORDER BY poll_no))
+  WHERE size = before AND poll_before = poll_no - 1 AND poll_ts - mtime >= INTERVAL 2 DAY GROUP BY path, stay"""
 
 
 @op("A9", STABLE)
@@ -133,14 +136,20 @@ def a14(spark, d):
     return e.groupBy("cache_key").agg(F.coalesce(last, F.min_by("v", "id")).alias("response"))
 
 
-@op("A15", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version, CASE WHEN doc_id % 15 = 0 THEN 'failed' ELSE 'indexed' END AS status FROM documents WHERE doc_id % 15 <> 0 UNION ALL SELECT doc_id, NULL, 'failed' FROM documents WHERE doc_id % 15 = 0")
+_AGAIN = "documents.n_chars % 2 = 0"
+_REDONE = f"WITH {PG}, {CH}, again AS (SELECT doc_id FROM documents WHERE {_AGAIN}), good AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM pg WHERE NOT extraction_failed), n AS (SELECT doc_id, CASE WHEN doc_id IN (FROM again) THEN 32 ELSE 64 END AS size, len(t) AS len FROM good WHERE len(t) > 0)"
+
+
+@op("A15", f"{_REDONE}, c AS (SELECT doc_id, CAST(sum(1 + CAST(ceil(greatest(len - size, 0) / CAST(size - 8 AS DOUBLE)) AS BIGINT)) AS BIGINT) AS chunks FROM n GROUP BY 1) SELECT d.doc_id, CASE WHEN c.chunks IS NULL THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN {_AGAIN.replace('documents', 'd')} THEN 2 ELSE 1 END AS run, coalesce(c.chunks, 0) AS chunks FROM documents AS d LEFT JOIN c USING (doc_id)")
 def a15(spark, d):
-    """Chunks of a re-ingested document replace its old ones; a failed run leaves none and a failed status."""
-    docs = view(spark, d, "documents").select("doc_id")
-    again = docs.filter("doc_id % 3 = 0").withColumn("failed", F.col("doc_id") % 15 == 0)
-    kept = docs.join(again.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit("old").alias("version"), F.lit("indexed").alias("status"))
-    new = again.select("doc_id", F.when(~F.col("failed"), "new").alias("version"), F.when(F.col("failed"), "failed").otherwise("indexed").alias("status"))
-    return kept.unionByName(new)
+    """All documents are ingested, then those of even length again in shorter chunks: these replace the old ones; a
+    document whose pages all fail has none and a failed state."""
+    docs = view(spark, d, "documents")
+    store = chunk_store.create(spark)
+    store.reingest(P.split_pages(docs), lambda pages: P.chunk(pages, 64, 8))
+    store.reingest(P.split_pages(docs.filter("n_chars % 2 = 0")), lambda pages: P.chunk(pages, 32, 8))
+    n = store.chunks().groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return store.states().join(n, "doc_id", "left").select("doc_id", "status", "run", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 @op("A16", "SELECT doc_id FROM v_docs WHERE status = 'failed' AND NOT is_trashed AND doc_id % 4 <> 3")

@@ -7,29 +7,34 @@ from pyspark.sql import functions as F
 from ..operators import governance as G
 from ..operators import pages as P
 from ..streaming import jobs as J
+from .group_a import STABLE
 from .group_b import CH, PG
 from .group_h import CHAIN
 from .registry import op
 from .views import AS_OF, view
 
 
-@op("L1", f"WITH {PG}, {CH}, one AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT file_hash, one.doc_id, count(*) AS chunks FROM one JOIN ch ON ch.doc_id = one.doc_id GROUP BY 1, 2")
+@op("L1", f"WITH {PG}, {CH}, one AS (SELECT sha256(text) AS file_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1), first AS (SELECT one.file_hash, ch.page_number, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens FROM one JOIN ch ON ch.doc_id = one.doc_id GROUP BY 1, 2) SELECT file_hash, count(*) AS pages, CAST(sum(chunks) AS BIGINT) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM first GROUP BY 1")
 def l1(spark, d):
     docs = J.read(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("file_hash"))
     chunks = J.ingest(docs, J.folder(spark, "ingest"), lambda df: P.chunk(P.split_pages(df), 64, 8))
-    return chunks.groupBy("file_hash", "doc_id").agg(F.count("*").alias("chunks"))
+    return chunks.groupBy("file_hash").agg(F.count_distinct("page_number").alias("pages"), F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
-@op("L2", "SELECT path, min(poll_no) AS poll_no, arg_min(size, poll_no) AS size FROM (SELECT *, lag(size) OVER (PARTITION BY path ORDER BY poll_no) AS before FROM (SELECT concat('f', user_id) AS path, event_id AS poll_no, CAST(floor(value / 100) AS BIGINT) AS size, event_id % 3 = 0 AS old_enough FROM events)) WHERE size = before AND old_enough GROUP BY 1")
+@op("L2", STABLE)
 def l2(spark, d):
-    e = J.read(spark, d, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("poll_no"), F.floor(F.col("value") / 100).alias("size"), (F.col("event_id") % 3 == 0).alias("old_enough"))
-    return J.run(J.stability_guard(e), J.folder(spark, "guard"))
+    """The stability guard over snapshots that arrive in three batches."""
+    polls, at = view(spark, d, "v_listing").filter("path LIKE 'in/%'"), J.folder(spark, "snapshots")
+    for low in (0, 10, 20):
+        polls.filter((F.col("poll_no") >= low) & ((F.col("poll_no") < low + 10) | F.lit(low == 20))).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return J.run(J.stability_guard(stream), J.folder(spark, "guard"))
 
 
 @op("L3", f"WITH RECURSIVE {CHAIN.format('true')} SELECT id, tenant_id, previous_hash, event_hash FROM c")
 def l3(spark, d):
-    e = J.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("tenant_id"), (F.col("event_id") + 1000000).cast("string").alias("ordinal"), G.payload("user_id", "event_type", "props").alias("payload"))
-    return J.audit_chain(e, J.folder(spark, "chain"))
+    e = J.read(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 4).alias("tenant_id"), F.col("ts").cast("timestamp").alias("created_at"), G.payload("user_id", "event_type", "props").alias("payload"))
+    return J.audit_chain(e, J.folder(spark, "chain"))[0]
 
 
 _WINDOW = "SELECT '{0}' AS width, strftime(date_trunc('{0}', ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS calls, count(*) FILTER (event_type = 'error' OR event_id % 10 = 0) AS errors, round(avg(value), 4) AS avg_ms FROM events GROUP BY 2"

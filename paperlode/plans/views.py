@@ -86,9 +86,12 @@ VIEWS = {
         SELECT user_id, user_id % 4 AS tenant_id, CASE user_id % 6 WHEN 0 THEN 'it_admin' WHEN 1 THEN 'operator' WHEN 2 THEN 'reviewer' WHEN 3 THEN 'viewer' WHEN 4 THEN 'auditor' ELSE 'head' END AS role
         FROM (SELECT DISTINCT user_id FROM events) AS u""",
     "v_listing": """
-        SELECT concat(CASE user_id % 5 WHEN 0 THEN 'processed/' WHEN 1 THEN 'failed/' ELSE 'in/' END, 'f', CAST(user_id AS STRING), '.txt') AS path, poll_no,
-          CAST(floor(value / 100) AS BIGINT) AS size, ts AS poll_ts, poll_no % 3 = 0 AS old_enough
-        FROM (SELECT user_id, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS poll_no FROM events) AS l""",
+        SELECT path, CAST(poll_no AS BIGINT) AS poll_no, size, CAST(mtime AS TIMESTAMP) AS mtime, CAST(poll_day AS TIMESTAMP) AS poll_ts FROM (
+          SELECT concat(CASE user_id % 5 WHEN 0 THEN 'processed/' WHEN 1 THEN 'failed/' ELSE 'in/' END, 'f', CAST(user_id AS STRING), '.txt') AS path,
+            extract(DAY FROM (CAST(ts AS TIMESTAMP) - CAST('2024-01-01 00:00:00' AS TIMESTAMP))) AS poll_no, CAST(ts AS DATE) + INTERVAL 1 DAY AS poll_day, size, max(CASE WHEN size = before THEN NULL ELSE ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mtime,
+            row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS back
+          FROM (SELECT user_id, event_id, ts, CAST(floor(value / 400) AS BIGINT) AS size, lag(CAST(floor(value / 400) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) AS l) AS m
+        WHERE back = 1""",
     "v_retention": "SELECT * FROM (VALUES ('unclassified_permanent', CAST(NULL AS INT)), ('operational_trash', 30), ('statutory_record', CAST(NULL AS INT))) AS t(class_name, retention_days)",
     "v_plans": "SELECT * FROM (VALUES ('trial', 100, 2147483648), ('starter', 2000, 53687091200), ('professional', 20000, 536870912000), ('enterprise', CAST(NULL AS INT), CAST(NULL AS BIGINT))) AS t(plan_key, max_documents, max_storage_bytes)",
     "v_calibration": "SELECT DISTINCT source AS folder_id FROM documents WHERE CAST(substring(source, 4, 9) AS INT) % 2 = 0",

@@ -56,15 +56,18 @@ def exact_gate(incoming: DataFrame, stored: DataFrame, count_trashed: bool) -> t
     return rows.filter(~conflict).drop("existing"), rows.filter(conflict)
 
 
-def stable_files(listing: DataFrame, reserved: tuple[str, ...] = ("processed/", "failed/")) -> DataFrame:
-    """path, poll_no, size of the first poll at which a file had the size of the poll before and was old enough.
+def stable_files(listing: DataFrame, reserved: tuple[str, ...] = ("processed/", "failed/"), grace: float = 2 * 86_400) -> DataFrame:
+    """path, poll_no, size of the first poll at which a file had the size of the poll before and its last change was
+    `grace` seconds old. A file that a poll misses is forgotten, and another one if it comes back.
 
-    listing: path, poll_no, size, old_enough.
+    listing: path, poll_no, size, mtime, poll_ts.
     """
     w = Window.partitionBy("path").orderBy("poll_no")
     rows = listing.filter(~F.col("path").startswith(reserved[0]) & ~F.col("path").startswith(reserved[1]))
-    rows = rows.withColumn("before", F.lag("size").over(w)).filter((F.col("size") == F.col("before")) & F.col("old_enough"))
-    return rows.groupBy("path").agg(F.min(F.struct("poll_no", "size")).alias("x")).select("path", "x.poll_no", "x.size")
+    rows = rows.withColumn("before", F.lag("size").over(w)).withColumn("poll_before", F.lag("poll_no").over(w)).withColumn("stay", F.col("poll_no") - F.row_number().over(w))
+    old = F.unix_micros("poll_ts") - F.unix_micros("mtime") >= int(grace * 1e6)
+    rows = rows.filter((F.col("size") == F.col("before")) & (F.col("poll_before") == F.col("poll_no") - 1) & old)
+    return rows.groupBy("path", "stay").agg(F.min(F.struct("poll_no", "size")).alias("x")).select("path", "x.poll_no", "x.size")
 
 
 def route(outcomes: DataFrame) -> DataFrame:

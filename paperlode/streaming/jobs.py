@@ -3,13 +3,15 @@ its output, so that a restart goes on where it stopped; started with another tri
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.governance import build_chain
+from ..operators.governance import GENESIS
 from ..operators.staging import folder  # noqa: F401
 
 
@@ -36,63 +38,140 @@ def run(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
 
 
 def ingest(stream: DataFrame, at: str, chunks_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Documents once for each content hash, chunked. A batch leaves out hashes that earlier batches stored; batches
-    are stored under their number, so a repeated batch replaces itself."""
-    spark = stream.sparkSession
+    """Documents (doc_id, text, file_hash) once for each content hash, chunked: chunks with their file_hash.
+
+    The hashes seen are state, so a batch reads nothing of earlier ones; of equal documents the first to arrive stays,
+    any of those that arrive together. Batches are stored under their number, so a repeated batch replaces itself.
+    """
+    spark = keyed_state(stream.sparkSession)
 
     def put(df: DataFrame, batch: int) -> None:
-        first = df.groupBy("file_hash").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("file_hash", "d.doc_id", "d.text")
-        if batch:
-            first = first.join(spark.read.parquet(f"{at}/hashes").filter(F.col("batch") < batch), "file_hash", "left_anti")
-        first = first.persist()
-        try:
-            first.select("file_hash", "doc_id").write.mode("overwrite").parquet(f"{at}/hashes/batch={batch}")
-            chunks_of(first.select("doc_id", "text")).write.mode("overwrite").parquet(f"{at}/chunks/batch={batch}")
-        finally:
-            first.unpersist()
+        made = chunks_of(df.select("doc_id", "text")).join(df.select("doc_id", "file_hash"), "doc_id")
+        made.write.mode("overwrite").parquet(f"{at}/chunks/batch={batch}")
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/chunks").join(spark.read.parquet(f"{at}/hashes").select("doc_id", "file_hash"), "doc_id")
+    fresh = stream.select("doc_id", "text", "file_hash").dropDuplicates(["file_hash"])
+    fresh.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/chunks")
 
 
-def stability_guard(stream: DataFrame) -> DataFrame:
-    """path, poll_no, size when a file first has the size of its last poll and is old enough; state: last size, done.
+def keyed_state(spark: SparkSession) -> SparkSession:
+    """The session, with state kept in RocksDB beside the checkpoint rather than in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
 
-    stream: path, poll_no, size, old_enough.
-    """
 
-    def step(key, pdfs, state):
-        last, done = state.get if state.exists else (None, False)
-        rows = pd.concat(list(pdfs)).sort_values("poll_no")
+class Guard(StatefulProcessor):
+    """State of a path: its last poll, size, and whether it was taken; it ends by a timer once a poll is missed."""
+
+    def __init__(self, grace_us: int, interval_us: int):
+        self.grace_us, self.interval_us = grace_us, interval_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "poll_no long, size long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        polls = sorted(p for pdf in rows for p in zip(pdf["poll_no"], pdf["size"], pdf["mtime_us"], pdf["poll_us"]))
+        last, size, done = self.last.get() if self.last.exists() else (None, None, False)
         out = []
-        for poll, size, old in zip(rows["poll_no"], rows["size"], rows["old_enough"]):
-            if not done and last is not None and size == last and old:
-                out, done = [(key[0], int(poll), int(size))], True
-            last = int(size)
-        state.update((last, done))
+        for poll, now, mtime, at in polls:
+            if last is not None and poll <= last:
+                continue  # told before
+            if last is None or poll != last + 1:
+                size, done = None, False  # it was gone in between, so this is another file
+            if not done and now == size and at - mtime >= self.grace_us:
+                out, done = [*out, (key[0], int(poll), int(now))], True
+            last, size = int(poll), int(now)
+        if polls:
+            self.last.update((last, size, done))
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(int(max(p[3] for p in polls) + 2 * self.interval_us) // 1000)
         yield pd.DataFrame(out, columns=["path", "poll_no", "size"])
 
-    return stream.groupBy("path").applyInPandasWithState(step, "path string, poll_no long, size long", "last long, done boolean", "append", "NoTimeout")
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame([], columns=["path", "poll_no", "size"])
 
+    def close(self) -> None:
+        pass
 
-def audit_chain(stream: DataFrame, at: str) -> DataFrame:
-    """The audit chain per tenant, in the order of arrival and, within a batch, of ordinal: id, tenant_id,
-    previous_hash, event_hash. Each batch goes on from the tenants' last hashes, is sorted by Spark, streams through one
-    task a tenant, and is stored under its number, so that a repeated batch replaces itself."""
-    spark = stream.sparkSession
 
-    def put(df: DataFrame, batch: int) -> None:
-        last = None
-        if batch:
-            stored = spark.read.parquet(f"{at}/last").filter(F.col("batch") < batch)
-            last = stored.groupBy("tenant_id").agg(F.max_by("event_hash", "batch").alias("event_hash"))
-        rows = build_chain(df, last)
-        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={batch}")
-        now = spark.read.parquet(f"{at}/rows/batch={batch}")
-        now.groupBy("tenant_id").agg(F.max_by("event_hash", F.struct("ordinal", "id")).alias("event_hash")).write.mode("overwrite").parquet(f"{at}/last/batch={batch}")
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select("id", "tenant_id", "previous_hash", "event_hash")
+def stability_guard(stream: DataFrame, grace: float = 2 * 86_400, interval: float = 86_400) -> DataFrame:
+    """path, poll_no, size when a file first has the size of the poll before and its last change is `grace` seconds old.
+
+    stream: path, poll_no, size, mtime, poll_ts; polls are `interval` seconds apart and come in order, those of one
+    batch in any. A file that a poll misses is forgotten: if it comes back it is another one.
+    """
+    keyed_state(stream.sparkSession)
+    rows = stream.select("path", "poll_no", "size", "poll_ts", F.unix_micros("mtime").alias("mtime_us"), F.unix_micros("poll_ts").alias("poll_us"))
+    rows = rows.withWatermark("poll_ts", "0 seconds").groupBy("path")
+    return rows.transformWithStateInPandas(Guard(int(grace * 1e6), int(interval * 1e6)), "path string, poll_no long, size long", "append", "eventTime")
+
+
+class Chain(StatefulProcessor):
+    """State of a tenant: the tail of its chain, the latest time seen, and rows that are not old enough to be chained."""
+
+    def __init__(self, delay_us: int):
+        self.delay_us = delay_us
+
+    def init(self, handle) -> None:
+        self.tail = handle.getValueState("tail", "hash string, at long, id long")
+        self.seen = handle.getValueState("seen", "at long, pending boolean")
+        self.waiting = handle.getMapState("waiting", "at long, id long", "payload string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        tenant = int(key[0])
+        last, at, id_ = self.tail.get() if self.tail.exists() else (hashlib.sha256(f"{GENESIS}{tenant}".encode()).hexdigest(), None, None)
+        seen, pending = self.seen.get() if self.seen.exists() else (None, False)
+        late, fresh = [], []
+        for pdf in rows:
+            for t, i, text in zip(pdf["at"], pdf["id"], pdf["payload"]):
+                seen = int(t) if seen is None else max(seen, int(t))
+                if i is None or pd.isna(i):
+                    continue  # tells the time alone
+                row = (int(t), int(i), text)
+                (late if at is not None and row[:2] <= (at, id_) else fresh).append(row)
+        ready = [r for r in fresh if r[0] <= seen - self.delay_us]
+        if pending:
+            known = [(*(int(x) for x in k), v[0]) for k, v in self.waiting.iterator() if k[0] <= seen - self.delay_us]
+            for t, i, _ in known:
+                self.waiting.removeKey((t, i))
+            ready += known
+        for t, i, text in fresh:
+            if t > seen - self.delay_us:
+                self.waiting.updateValue((t, i), (text,))
+                pending = True
+        out = []
+        for t, i, text in sorted(ready):
+            before, last = last, hashlib.sha256((last + text).encode()).hexdigest()
+            at, id_ = t, i
+            out.append((i, tenant, before, last, False))
+        if at is not None:
+            self.tail.update((last, at, id_))
+        if seen is not None:
+            self.seen.update((seen, pending))
+        out += [(i, tenant, None, None, True) for _, i, _ in late]
+        yield pd.DataFrame(out, columns=["id", "tenant_id", "previous_hash", "event_hash", "late"])
+
+    def close(self) -> None:
+        pass
+
+
+def audit_chain(stream: DataFrame, at: str, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(chain, late): the audit chain per tenant by time and id, and the rows that came too late to be in it.
+
+    stream: id, tenant_id, created_at, payload. A row is chained once a row of its tenant is `delay` seconds later; until
+    then it waits in state, so rows may come in any order within that time. What comes after its place in the chain was
+    passed goes to the late table, as a chain cannot be ordered anew. A row without id tells the time alone. State is a
+    tail and the waiting rows of each tenant; a batch reads nothing that earlier ones wrote, and what it brings of one
+    tenant passes through one task.
+    """
+    keyed_state(stream.sparkSession)
+    rows = stream.select("tenant_id", "id", F.unix_micros("created_at").alias("at"), "payload").groupBy("tenant_id")
+    made = rows.transformWithStateInPandas(Chain(int(delay * 1e6)), "id long, tenant_id long, previous_hash string, event_hash string, late boolean", "append", "none")
+    out = run(made, at)
+    return out.filter("NOT late").drop("late"), out.filter("late").select("id", "tenant_id")
 
 
 def windowed_metrics(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -317,20 +317,6 @@ def test_rows_are_numbered_over_ranges(spark):
     assert {r.v: r.n for r in staging.numbered(df, "v", by="c").collect()} == {i: 2 * i for i in range(1000)}
 
 
-def test_stream_chain_goes_on_over_batches(spark, tmp_path):
-    from paperlode.streaming import jobs
-
-    schema = "id long, tenant_id long, ordinal string, payload string"
-    rows = [(i, i % 3, f"{i:04d}", f"p{i}") for i in range(120)]
-    for k in range(40):  # a file a batch, and more files than one batch reads
-        frame(spark, rows[3 * k : 3 * k + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", jobs.FILES_EACH).parquet(f"{tmp_path}/in")
-    got = jobs.audit_chain(stream, f"file://{tmp_path}/out")
-    want = governance.build_chain(frame(spark, rows, schema)).select("id", "tenant_id", "previous_hash", "event_hash")
-    assert len({r.batch for r in spark.read.parquet(f"{tmp_path}/out/rows").select("batch").distinct().collect()}) > 1
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_manifest_does_not_depend_on_order(spark):
     a = frame(spark, [(1, "x"), (1, "y"), (2, "é")], "k long, v string")
     one, two = (sorted(map(tuple, files.manifest(d, "k").collect())) for d in (a, a.orderBy(F.desc("v"))))
