@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_ditto
+from .facts import classify
 
 FIELDS = ["serial", "owner", "village", "area", "valuation"]
 VERTICAL, COVERAGE = 0.7, 0.5
@@ -43,17 +44,18 @@ def segments(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page_number", F.sum(breaks).over(w).alias("segment"))
 
 
-def merge_continuations(rows: DataFrame, text_columns: list[str]) -> DataFrame:
+def merge_continuations(rows: DataFrame, text_columns: list[str], carry: list[str] | None = None) -> DataFrame:
     """Rows with a blank serial add their text to the record before them; a segment that begins with one stays as it is.
 
-    rows: doc_id, segment, page_number, pos, serial and the columns.
+    rows: doc_id, segment, page_number, pos, serial and the columns. source_index: page:pos of the rows that made it.
+    carry: adds sources, an array of those rows with page_number, pos, the text columns and these columns.
     """
     w = Window.partitionBy("doc_id", "segment").orderBy("page_number", "pos")
     filled = F.trim(F.coalesce("serial", F.lit(""))) != ""
     rows = rows.withColumn("rec", F.sum(filled.cast("int")).over(w))
     rows = rows.withColumn("lead", F.min("rec").over(Window.partitionBy("doc_id", "segment")) == 0)
     key = F.when(F.col("lead"), F.struct("page_number", "pos")).otherwise(F.struct(F.lit(0).cast(rows.schema["page_number"].dataType).alias("page_number"), F.col("rec").cast(rows.schema["pos"].dataType).alias("pos")))
-    lines = F.array_sort(F.collect_list(F.struct("page_number", "pos", "serial", *text_columns)))
+    lines = F.array_sort(F.collect_list(F.struct("page_number", "pos", "serial", *text_columns, *(carry or []))))
     out = rows.groupBy("doc_id", "segment", key.alias("k")).agg(lines.alias("x"), F.first("lead").alias("unmerged"))
 
     def text_of(c: str) -> Column:
@@ -61,7 +63,39 @@ def merge_continuations(rows: DataFrame, text_columns: list[str]) -> DataFrame:
         return F.trim(F.array_join(F.filter(parts, lambda v: v != ""), " ")).alias(c)
 
     joined = [text_of(c) for c in text_columns]
-    return out.select("doc_id", "segment", F.col("x")[0]["page_number"].alias("page_number"), F.col("x")[0]["pos"].alias("pos"), F.col("x")[0]["serial"].alias("serial"), *joined, F.size("x").cast("long").alias("source_rows"), "unmerged")
+    index = F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["page_number"].cast("string"), r["pos"].cast("string"))), ",").alias("source_index")
+    return out.select("doc_id", "segment", F.col("x")[0]["page_number"].alias("page_number"), F.col("x")[0]["pos"].alias("pos"), F.col("x")[0]["serial"].alias("serial"), *joined, F.size("x").cast("long").alias("source_rows"), index, "unmerged", *([F.col("x").alias("sources")] if carry else []))
+
+
+def facts_of(rows: DataFrame, fields: list[str], dittos: list[str]) -> DataFrame:
+    """One fact for each record and field: doc_id, segment, page_number, pos (of the record), field, value, regions,
+    confidence, is_handwritten, status, source_index.
+
+    rows: doc_id, segment, page_number, pos, serial, the fields, confidence, is_handwritten, y0, y1 (null: no box). Ditto
+    marks in `dittos` are filled first, continuation rows are merged, and what a record holds of a field comes from
+    those of its rows whose cell is not blank: their boxes are the fact's regions, their mean confidence is its own, and
+    it is handwritten if one of them is. A mark that nothing fills stays in the value, which says so, and sends the fact
+    to review. A row that is given twice counts once; a fact without a box inside its page is not written.
+    """
+    once = rows.dropDuplicates(["doc_id", "segment", "page_number", "pos"])
+    filled = expand_dittos(once, dittos)
+    flags = [f"{c}_unresolved" for c in dittos]
+    made = merge_continuations(filled, fields, ["confidence", "is_handwritten", "y0", "y1", *flags])
+
+    def fact(field: str) -> Column:
+        own = F.filter("sources", lambda r: F.trim(F.coalesce(r[field], F.lit(""))) != "")
+        boxed = F.filter(own, lambda r: (r["y0"] >= 0) & (r["y1"] > r["y0"]) & (r["y1"] <= 1))
+        regions = F.transform(boxed, lambda r: F.struct(r["page_number"].alias("page_number"), r["y0"].cast("double").alias("y0"), r["y1"].cast("double").alias("y1")))
+        sure = F.filter(F.transform(own, lambda r: r["confidence"].cast("double")), lambda c: c.isNotNull())
+        mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure))
+        open_ = F.exists(own, lambda r: r[f"{field}_unresolved"]) if field in dittos else F.lit(False)
+        return F.struct(F.lit(field).alias("field"), F.col(field).alias("text"), regions.alias("regions"), mean.alias("confidence"), F.exists(own, lambda r: r["is_handwritten"]).alias("is_handwritten"), open_.alias("unresolved"))
+
+    out = made.select("doc_id", "segment", "page_number", "pos", "source_index", F.explode(F.array(*[fact(f) for f in fields])).alias("f")).select("doc_id", "segment", "page_number", "pos", "source_index", "f.*")
+    out = out.filter((F.col("text") != "") & (F.size("regions") > 0))
+    value = F.when(F.col("unresolved"), F.to_json(F.struct(F.col("text").alias("v"), F.lit(True).alias("unresolved_ditto")))).otherwise(F.to_json(F.struct(F.col("text").alias("v"))))
+    status = F.when(F.col("unresolved"), "in_review").otherwise(classify(F.round("confidence", 9), F.col("is_handwritten")))
+    return out.select("doc_id", "segment", "page_number", "pos", "field", value.alias("value"), "regions", "confidence", "is_handwritten", status.alias("status"), "source_index")
 
 
 def expand_dittos(rows: DataFrame, columns: list[str], anchor: str | None = None) -> DataFrame:

@@ -95,7 +95,7 @@ def c8(spark, d):
 
 @op("C9", f"""WITH r AS (SELECT v.*, g.segment FROM v_register AS v JOIN ({SEGMENTS}) AS g USING (doc_id, page_number)), s AS (SELECT *, sum(CASE WHEN trim(coalesce(serial, '')) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, segment ORDER BY page_number, pos) AS rec FROM r),
   l AS (SELECT *, min(rec) OVER (PARTITION BY doc_id, segment) = 0 AS unmerged FROM s)
-  SELECT doc_id, CAST(segment AS BIGINT) AS segment, arg_min(page_number, (page_number, pos)) AS page_number, arg_min(pos, (page_number, pos)) AS pos, arg_min(serial, (page_number, pos)) FILTER (serial IS NOT NULL) AS serial, coalesce(trim(string_agg(nullif(trim(coalesce(owner, '')), ''), ' ' ORDER BY page_number, pos)), '') AS owner, coalesce(trim(string_agg(nullif(trim(coalesce(area, '')), ''), ' ' ORDER BY page_number, pos)), '') AS area, count(*) AS source_rows, unmerged
+  SELECT doc_id, CAST(segment AS BIGINT) AS segment, arg_min(page_number, (page_number, pos)) AS page_number, arg_min(pos, (page_number, pos)) AS pos, arg_min(serial, (page_number, pos)) FILTER (serial IS NOT NULL) AS serial, coalesce(trim(string_agg(nullif(trim(coalesce(owner, '')), ''), ' ' ORDER BY page_number, pos)), '') AS owner, coalesce(trim(string_agg(nullif(trim(coalesce(area, '')), ''), ' ' ORDER BY page_number, pos)), '') AS area, count(*) AS source_rows, string_agg(concat(page_number, ':', pos), ',' ORDER BY page_number, pos) AS source_index, unmerged
   FROM l GROUP BY doc_id, segment, unmerged, CASE WHEN unmerged THEN page_number * 1000000 + pos ELSE rec END""")
 def c9(spark, d):
     return O.merge_continuations(_rows(spark, d), ["owner", "area"])
@@ -196,12 +196,17 @@ def c18(spark, d):
     return O.join_horizontally(b.filter("page_number = 1"), b.filter("page_number = 2"), ["doc_id"], "k")[1]
 
 
-@op("C19", """SELECT doc_id, page_number, pos, field, concat('{"v":"', value, '"}') AS value, round_even(confidence, 4) AS confidence FROM (SELECT doc_id, page_number, pos, confidence, unnest(['owner', 'village', 'area', 'valuation']) AS field, unnest([owner, village, area, valuation]) AS value, y0, serial FROM v_register) WHERE value IS NOT NULL AND value <> '' AND y0 >= 0 AND y0 < 0.8""")
+@op("C19", f"""WITH r AS (SELECT v.*, g.segment FROM v_register AS v JOIN ({SEGMENTS}) AS g USING (doc_id, page_number)), m AS (SELECT *, {_D.format('owner')} AS od, {_D.format('village')} AS vd FROM r),
+  f AS (SELECT *, last_value(CASE WHEN NOT od THEN row(owner) END IGNORE NULLS) OVER w AS oc, last_value(CASE WHEN NOT vd THEN row(village) END IGNORE NULLS) OVER w AS vc, sum(CASE WHEN trim(coalesce(serial, '')) <> '' THEN 1 ELSE 0 END) OVER w AS rec FROM m WINDOW w AS (PARTITION BY doc_id, segment ORDER BY page_number, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  l AS (SELECT *, CASE WHEN min(rec) OVER (PARTITION BY doc_id, segment) = 0 THEN page_number * 1000000 + pos ELSE rec END AS k FROM f),
+  c AS (SELECT *, unnest(['owner', 'village', 'area', 'valuation']) AS field, unnest([CASE WHEN od AND oc IS NULL THEN owner ELSE oc[1] END, CASE WHEN vd AND vc IS NULL THEN village ELSE vc[1] END, area, valuation]) AS v, unnest([od AND oc IS NULL, vd AND vc IS NULL, false, false]) AS u FROM l),
+  p AS (SELECT doc_id, segment, k, min(row(page_number, pos)) AS head, string_agg(concat(page_number, ':', pos), ',' ORDER BY page_number, pos) AS source_index FROM l GROUP BY 1, 2, 3),
+  g AS (SELECT doc_id, segment, k, field, string_agg(trim(v), ' ' ORDER BY page_number, pos) AS t, string_agg(concat(page_number, ':', CAST(round(y0 * 1000) AS BIGINT), '-', CAST(round(y1 * 1000) AS BIGINT)), ';' ORDER BY page_number, pos) FILTER (y0 >= 0 AND y1 > y0 AND y1 <= 1) AS regions, avg(confidence) AS confidence, bool_or(is_handwritten) AS is_handwritten, bool_or(u) AS u FROM c WHERE trim(coalesce(v, '')) <> '' GROUP BY 1, 2, 3, 4)
+  SELECT doc_id, CAST(segment AS BIGINT) AS segment, head[1] AS page_number, head[2] AS pos, field, concat('{{"v":"', t, '"', CASE WHEN u THEN ',"unresolved_ditto":true' ELSE '' END, '}}') AS value, regions, round(confidence, 6) AS confidence, is_handwritten, CASE WHEN u OR is_handwritten OR confidence IS NULL THEN 'in_review' WHEN round(confidence, 9) >= 0.85 THEN 'machine' ELSE 'in_review' END AS status, source_index FROM g JOIN p USING (doc_id, segment, k) WHERE regions IS NOT NULL""")
 def c19(spark, d):
-    r = view(spark, d, "v_register").filter("y0 >= 0 AND y0 < 0.8")  # a box inside the page
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in O.FIELDS[1:]])
-    out = r.select("doc_id", "page_number", "pos", "confidence", F.explode(cells).alias("c")).filter("c.value is not null and c.value <> ''")
-    return out.select("doc_id", "page_number", "pos", "c.field", F.to_json(F.struct(F.col("c.value").alias("v"))).alias("value"), F.bround("confidence", 4).alias("confidence"))
+    """Facts with the boxes of all rows that made them, over segments that run across pages."""
+    shown = F.array_join(F.transform("regions", lambda r: F.concat(r["page_number"].cast("string"), F.lit(":"), F.round(r["y0"] * 1000).cast("long").cast("string"), F.lit("-"), F.round(r["y1"] * 1000).cast("long").cast("string"))), ";")
+    return O.facts_of(_rows(spark, d), O.FIELDS[1:], ["owner", "village"]).withColumns({"regions": shown, "confidence": F.round("confidence", 6)})
 
 
 @op("C20", "SELECT fact_id, CASE WHEN is_handwritten OR confidence IS NULL THEN 'in_review' WHEN confidence >= CASE field_name WHEN 'area' THEN 0.6 WHEN 'owner' THEN 0.95 ELSE 0.85 END THEN 'machine' ELSE 'in_review' END AS status FROM v_facts")

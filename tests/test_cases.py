@@ -92,6 +92,21 @@ def test_continuations(spark):
     assert [(r.segment, r.serial, r.description, r.source_rows, r.unmerged) for r in got] == [(1, "47", "field near river", 2, False), (1, "48", "well", 1, False), (2, None, "lost", 1, True), (2, "50", "hill", 1, True)]
 
 
+def test_facts_of_a_table_over_two_pages(spark):
+    schema = "doc_id long, segment long, page_number long, pos long, serial string, owner string, area string, confidence double, is_handwritten boolean, y0 double, y1 double"
+    rows = [
+        (1, 1, 1, 8, "47", "Anna", "12", 0.9, False, 0.8, 0.9), (1, 1, 2, 1, None, "Rao", " ", 0.7, True, 0.0, 0.1), (1, 1, 2, 1, None, "Rao", " ", 0.7, True, 0.0, 0.1),
+        (1, 1, 2, 2, "48", "Do.", "5", None, False, 0.2, 0.3), (1, 1, 2, 3, "49", "Bo", "7", 0.95, False, 0.9, 1.2), (2, 1, 1, 1, "1", ",,", None, 0.99, False, 0.1, 0.2),
+    ]
+    got = {(r.doc_id, r.page_number, r.pos, r.field): r for r in tables.facts_of(frame(spark, rows, schema), ["owner", "area"], ["owner"]).collect()}
+    stitched = got[1, 1, 8, "owner"]
+    assert (stitched.value, [tuple(x) for x in stitched.regions], round(stitched.confidence, 6), stitched.is_handwritten, stitched.status, stitched.source_index) == ('{"v":"Anna Rao"}', [(1, 0.8, 0.9), (2, 0.0, 0.1)], 0.8, True, "in_review", "1:8,2:1")
+    assert [tuple(x) for x in got[1, 1, 8, "area"].regions] == [(1, 0.8, 0.9)] and got[1, 1, 8, "area"].status == "machine"
+    assert (got[1, 2, 2, "owner"].value, got[1, 2, 2, "owner"].confidence, got[1, 2, 2, "owner"].status) == ('{"v":"Rao"}', None, "in_review")
+    assert got[2, 1, 1, "owner"].value == '{"v":",,","unresolved_ditto":true}' and got[2, 1, 1, "owner"].status == "in_review"
+    assert (1, 2, 3, "owner") not in got and (2, 1, 1, "area") not in got
+
+
 def test_relations_of_pages(spark):
     sets = [(1, 1, ["a", "b"]), (1, 2, ["a", "b"]), (1, 3, []), (2, 1, ["a", "b"]), (2, 2, ["c", "d"]), (3, 1, ["a", "b", "c"]), (3, 2, ["a", "d"])]
     got = {(r.doc_id, r.page_number): r.relation for r in tables.page_pairs(frame(spark, sets, "doc_id long, page_number long, fields array<string>"), 5).collect()}
