@@ -4,12 +4,14 @@ Texts become sequences of local word ids, one row for each part (a stretch of do
 often enough get ids by frequency rank. Two neighbouring ids are a pair; a pair falls into the tile of the ranks of
 both, and tiles are summed one by one: dense ones by bincount over all their cells, sparse ones as sorted coordinates.
 Pairs that occur often enough are ranked in turn and become the ids of the next round: a pair of overlapping phrases
-of n words is a phrase of n + 1 words. A part learns ids by joining what occurs in it, so no dictionary is held whole.
+of n words is a phrase of n + 1 words. A part learns the ids of what occurs in it, so no dictionary is held whole.
+Words are counted alike, by buckets of a hash.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,17 @@ from .common import release, stage, trim
 
 #: Bytes of text in a part.
 PART_BYTES = 16_000_000
-#: Pair entries that a tile should hold at most; more pairs make narrower tiles.
-TILE_ENTRIES = 8_000_000
+#: Pairs that the narrowest grid of tiles takes; more pairs make narrower tiles. Under Zipf's law the largest tile holds
+#: a fiftieth of this, with equally frequent words a quarter.
+TILE_ENTRIES = 128_000_000
 #: Ranks below which a part counts its pairs by bincount, before they are dealt to tiles.
 HEAD = 1_024
 #: Cells up to which a tile is summed by bincount whatever it holds.
 DENSE_CELLS = 1 << 20
 
+#: Buckets of words at least, and words of all parts that one should hold at most.
+BUCKETS, BUCKET_WORDS = 16, 4_000_000
+
 #: Ends of pieces, and the other white space between words, as they are mapped before a split.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b"\t"
 TRANSLATED = bytes.maketrans(ENDS + BLANKS, b"\n" * len(ENDS) + b" " * len(BLANKS))
@@ -38,6 +44,18 @@ def pieces(text: bytes) -> list[bytes]:
     return [w for w in text.lower().translate(TRANSLATED).replace(b"\n", b" \n ").split(b" ") if w]
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: ranks and gaps are mostly small."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 _PARTS = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
@@ -54,7 +72,7 @@ def _to_parts(part_bytes: int):
             for lang, (words, docs) in held.items():
                 ids = np.concatenate(docs)
                 counts = np.bincount(ids[ids >= 0], minlength=len(words))
-                out.append((made, lang, int(counts.sum()), list(words), counts, ids.tobytes()))
+                out.append((made, lang, int(counts.sum()), list(words), counts, pack(ids)))
                 made += 1
             held.clear()
             size = 0
@@ -103,14 +121,14 @@ def _to_tiles(steps: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 part, lang = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                codes, counts = part_pairs(np.frombuffer(batch.column(2)[k].as_buffer(), np.int32))
+                codes, counts = part_pairs(unpack(batch.column(2)[k].as_py(), np.int32))
                 tiles = tile_of(codes >> 32, codes & 0xFFFFFFFF, steps)
                 order = np.lexsort((codes, tiles))
                 codes, counts, tiles = codes[order], counts[order], tiles[order]
                 cuts = np.flatnonzero(np.diff(tiles)) + 1
                 starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(tiles)]])
                 if len(tiles):
-                    cells = [[codes[s:e].tobytes(), counts[s:e].tobytes()] for s, e in zip(starts, ends)]
+                    cells = [[pack(np.diff(codes[s:e], prepend=0)), pack(counts[s:e].astype(np.int32))] for s, e in zip(starts, ends)]
                     n = len(starts)
                     yield pa.record_batch([pa.array([lang] * n), pa.array(tiles[starts]), pa.array([part] * n, pa.int64()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], schema=_ENTRIES)
             trim()
@@ -130,32 +148,110 @@ def tile_sums(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[first], np.add.reduceat(counts, first)
+    return codes[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
-_FOUND = pa.schema([("lang", pa.string()), ("part", pa.int64()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("lang", pa.string()), ("tile", pa.int64()), ("part", pa.int64()), ("codes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("known", pa.binary())])
 
 
 def _sum_tile(least: int):
+    """One tile: its frequent pairs with their counts, and for each part those of them that occur there."""
+
     def run(key, table):
         parts = table.column("part").to_pylist()
-        codes = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("codes")]
-        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")]
-        every, total = tile_sums(np.concatenate(codes), np.concatenate(counts))
+        codes = [np.cumsum(unpack(x.as_py(), np.int64)) for x in table.column("codes")]
+        every, total = tile_sums(np.concatenate(codes), np.concatenate([unpack(x.as_py(), np.int32) for x in table.column("counts")]))
         often = total >= least
         every, total = every[often], total[often]
-        rows = [(None, every, total)] if len(every) else []
+        rows = [(None, every, total, None)] if len(every) else []
         for part, own in zip(parts, codes):
-            if len(every):
-                at = np.minimum(np.searchsorted(every, own), len(every) - 1)
-                if len(known := own[every[at] == own]):
-                    rows.append((part, known, None))
-        lang = pa.array([key[0].as_py()] * len(rows), pa.string())
-        return pa.table([lang, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], schema=_FOUND)
+            if len(every) and len(known := own[held_in(every, own)[1]]):
+                rows.append((part, None, None, pack(np.diff(known, prepend=0))))
+        columns = [[key[0].as_py()] * len(rows), [key[1].as_py()] * len(rows), *(zip(*rows) if rows else [[]] * 4)]
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
 
     return run
 
 
+def held_in(every: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where own numbers stand in `every`, which ascends, and whether they do."""
+    at = np.minimum(np.searchsorted(every, own), len(every) - 1)
+    return at, every[at] == own
+
+
+_NAMED = pa.schema([("part", pa.int64()), ("names", pa.binary()), ("to", pa.binary())])
+
+
+def _name_tile(key, known, numbers):
+    """The pairs of a tile that occur in each part, and their ids."""
+    parts = known.column("part").to_pylist() if numbers.num_rows else []
+    codes, ids = (numbers.column(c).to_numpy() for c in ("code", "id"))
+    order = np.argsort(codes)
+    codes, ids = codes[order], ids[order].astype(np.int32)
+    own = [np.cumsum(unpack(x.as_py(), np.int64)) for x in known.column("known")] if parts else []
+    to = [pack(ids[held_in(codes, x)[0]]) for x in own]
+    return pa.table([pa.array(parts, pa.int64()), pa.array([pack(np.diff(x, prepend=0)) for x in own], pa.binary()), pa.array(to, pa.binary())], schema=_NAMED)
+
+
+_WORDS = pa.schema([("lang", pa.string()), ("tile", pa.int64()), ("part", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("names", pa.binary())])
+
+
+def _to_buckets(buckets: int):
+    """A part's words by a hash of them: a row for each bucket."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, lang = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                words, counts = batch.column(2)[k].values, batch.column(3)[k].values
+                own = np.array([zlib.crc32(w) for w in words.to_pylist()], np.int64) % buckets
+                order = np.argsort(own, kind="stable")  # local ids ascend in a bucket
+                cuts = np.searchsorted(own[order], np.arange(buckets + 1))
+                for b in np.flatnonzero(np.diff(cuts)):
+                    names = order[cuts[b] : cuts[b + 1]]
+                    at = pa.array(names)
+                    row = [lang, int(b), part, words.take(at), counts.take(at), pack(np.diff(names, prepend=0))]
+                    yield pa.record_batch([pa.array([x], f.type) for x, f in zip(row, _WORDS)], schema=_WORDS)
+            trim()
+
+    return run
+
+
+_HELD_WORDS = pa.schema([("lang", pa.string()), ("tile", pa.int64()), ("part", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("names", pa.binary()), ("which", pa.binary())])
+
+
+def _sum_words(least: int):
+    """One bucket: its frequent words with their counts, and for each part the local ids of those that it has and which
+    of them they are."""
+
+    def run(key, table):
+        lang, tile = key[0].as_py(), key[1].as_py()
+        lists = table.column("words").combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        codes, total = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, codes, table.column("counts").combine_chunks().flatten().to_numpy())
+        often = total >= least
+        place = np.cumsum(often) - 1
+        rows = [(lang, tile, None, coded.dictionary.filter(pa.array(often)), total[often], None, None)] if often.any() else []
+        ends = np.cumsum(lists.value_lengths().to_numpy())
+        for part, start, end, names in zip(table.column("part").to_pylist(), [0, *ends], ends, table.column("names")):
+            own = codes[start:end]
+            if often[own].any():
+                local = np.cumsum(unpack(names.as_py(), np.int64))[often[own]]
+                rows.append((lang, tile, part, None, None, pack(np.diff(local, prepend=0)), pack(place[own[often[own]]].astype(np.int32))))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, _HELD_WORDS)], schema=_HELD_WORDS)
+
+    return run
+
+
+def _name_words(key, known, numbers):
+    """The words of a bucket that each part has, by their local ids, and their ids."""
+    ids = np.zeros(numbers.num_rows, np.int32)
+    ids[numbers.column("code").to_numpy()] = numbers.column("id").to_numpy()
+    to = [pack(ids[unpack(x.as_py(), np.int32)]) for x in known.column("which")]
+    return pa.table([known.column("part"), known.column("names"), pa.chunked_array([pa.array(to, pa.binary())])], schema=_NAMED)
+
+
 def _renamed(words: bool):
     """Rows part, lang, ids and what is known (names: local word ids or pair codes, to: their ids) -> the next ids."""
     out = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("ids", pa.binary())])
@@ -163,22 +259,20 @@ def _renamed(words: bool):
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
-                names, to = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4))
-                new = np.full(len(ids), -1, np.int32)
-                order = np.argsort(names)
-                names, to = names[order], to[order]
+                ids = unpack(batch.column(2)[k].as_py(), np.int32)
+                names = np.concatenate([np.cumsum(unpack(x.as_py(), np.int64)) for x in batch.column(3)[k].values])
+                to = np.concatenate([unpack(x.as_py(), np.int32) for x in batch.column(4)[k].values])
                 if words:
-                    have, at = ids >= 0, np.arange(len(ids))
+                    have = ids >= 0
                     asked = ids[have].astype(np.int64)
                 else:
                     have = (ids[:-1] >= 0) & (ids[1:] >= 0)
                     asked = ids[:-1][have].astype(np.int64) << 32 | ids[1:][have]
-                at = np.flatnonzero(have)
-                place = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-                known = names[place] == asked
-                new[at[known]] = to[place[known]]
-                yield pa.record_batch([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([new.tobytes()], pa.binary())], schema=out)
+                order = np.argsort(names)
+                at, known = held_in(names[order], asked)
+                new = np.full(len(ids), -1, np.int32)
+                new[np.flatnonzero(have)[known]] = to[order][at[known]]
+                yield pa.record_batch([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([pack(new)], pa.binary())], schema=out)
             trim()
 
     return run
@@ -191,9 +285,15 @@ def _ranked(counted: DataFrame, *names: str) -> DataFrame:
     return of.join(first, "lang").withColumn("id", F.col("n") - F.col("__first")).drop("n", "__first")
 
 
+def _by_tile(held: DataFrame, columns: tuple, numbers: DataFrame, name) -> DataFrame:
+    """part, names, to: what the parts of a tile hold meets the tile's ids."""
+    left = held.filter("part IS NOT NULL").select("lang", "tile", *columns).groupBy("lang", "tile")
+    return left.cogroup(numbers.select("lang", "tile", "code", "id").groupBy("lang", "tile")).applyInArrow(name, "part long, names binary, to binary")
+
+
 def _next(parts: DataFrame, occurs: DataFrame, words: bool, label: str) -> DataFrame:
-    """parts with their ids renamed by occurs: part, name, id."""
-    own = occurs.groupBy("part").agg(F.collect_list(F.struct("name", "id")).alias("x")).select("part", F.col("x.name").alias("names"), F.col("x.id").alias("to"))
+    """parts with their ids renamed by occurs: part, names, to."""
+    own = occurs.groupBy("part").agg(F.collect_list(F.struct("names", "to")).alias("x")).select("part", F.col("x.names").alias("names"), F.col("x.to").alias("to"))
     rows = parts.select("part", "lang", "ids").join(own, "part")
     return stage(rows.mapInArrow(_renamed(words), "part long, lang string, ids binary"), label)
 
@@ -212,11 +312,14 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, part_bytes: int
     parts = stage(own.mapInArrow(_to_parts(part_bytes), "part long, lang string, n long, words array<binary>, counts array<long>, ids binary"), "phrase-parts")
     totals = stage(parts.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
 
-    # a word stands once in each part, so none is a hot key
-    named = parts.select("part", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("name", "x")).select("part", "lang", "name", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    often = named.groupBy("lang", "word").agg(F.sum("c").alias("a")).filter(F.col("a") >= least)
+    vocabulary = parts.agg(F.sum(F.size("words"))).first()[0] or 0
+    buckets = max(BUCKETS, math.ceil(vocabulary / BUCKET_WORDS))
+    words = parts.select("part", "lang", "words", "counts").mapInArrow(_to_buckets(buckets), "lang string, tile long, part long, words array<binary>, counts array<long>, names binary")
+    held = stage(words.groupBy("lang", "tile").applyInArrow(_sum_words(least), "lang string, tile long, part long, words array<binary>, counts array<long>, names binary, which binary"), "phrase-held")
+    often = held.filter("part IS NULL").select("lang", "tile", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")).select("lang", "tile", "code", F.col("x.words").alias("word"), F.col("x.counts").alias("a"))
     known = stage(_ranked(often, "word"), "phrase-words")
-    ids = _next(parts, named.join(known.select("lang", "word", "id"), ["lang", "word"]).select("part", F.col("name").cast("long"), "id"), True, "phrase-ids")
+    ids = _next(parts, _by_tile(held, ("part", "names", "which"), known, _name_words), True, "phrase-ids")
+    release(held)
     release(parts)
     none = F.array().cast("array<long>")
     level = known.select("lang", "id", F.col("a"), F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), none.alias("pre"), none.alias("suf"))
@@ -225,8 +328,8 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, part_bytes: int
     for size in range(2, longest + 1):
         mass = level.agg(F.sum("a")).first()[0] or 0
         entries = ids.mapInArrow(_to_tiles(_steps(mass, tile_entries)), "lang string, tile long, part long, codes binary, counts binary")
-        summed = stage(entries.groupBy("lang", "tile").applyInArrow(_sum_tile(least), "lang string, part long, codes array<long>, counts array<long>"), "phrase-tiles")
-        pairs = summed.filter("part IS NULL").select("lang", F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("lang", F.col("x.codes").alias("code"), F.col("x.counts").alias("a"))
+        summed = stage(entries.groupBy("lang", "tile").applyInArrow(_sum_tile(least), "lang string, tile long, part long, codes array<long>, counts array<long>, known binary"), "phrase-tiles")
+        pairs = summed.filter("part IS NULL").select("lang", "tile", F.explode(F.arrays_zip("codes", "counts")).alias("x")).select("lang", "tile", F.col("x.codes").alias("code"), F.col("x.counts").alias("a"))
         numbers = stage(_ranked(pairs, "code"), "phrase-ranks")
         i, j = F.shiftright("code", 32).alias("i"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("j")
         left = level.select("lang", F.col("id").alias("i"), F.col("phrase").alias("start"), F.concat("pre", F.array("a")).alias("pre"))
@@ -238,8 +341,8 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, part_bytes: int
         )
         found = level if found is None else found.unionByName(level)
         if size < longest:
-            occurs = summed.filter("part IS NOT NULL").select("part", "lang", F.explode("codes").alias("name")).join(numbers.select("lang", F.col("code").alias("name"), "id"), ["lang", "name"])
-            before, ids = ids, _next(ids, occurs.select("part", "name", "id"), False, "phrase-ids")
+            occurs = _by_tile(summed, ("part", "known"), numbers, _name_tile)
+            before, ids = ids, _next(ids, occurs, False, "phrase-ids")
             release(before)
     release(ids)
     return totals, found.drop("last")
