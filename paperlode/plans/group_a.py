@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
+from ..operators.staging import folder
 from ..sources import chunk_store
 from ..sources import files as S
 from .group_b import CH, PG
 from .registry import op
-from .views import view
+from .views import spark_sql, view
 
 
-@op("A1", "SELECT doc_id, file_hash, CASE WHEN doc_id % 9 = 0 THEN 'type' WHEN size_bytes > 5000 THEN 'size' END AS reason FROM v_docs")
+_FILE = "SELECT doc_id, tenant_id, CASE WHEN doc_id % 9 = 0 THEN concat(doc_id, '.exe') WHEN doc_id % 9 = 1 THEN concat(doc_id, '.json') ELSE title END AS path, CASE WHEN is_trashed THEN NULL WHEN doc_id % 9 = 1 AND doc_id % 2 = 0 THEN concat('{\"id\": ', doc_id, '}') ELSE text END AS body FROM v_docs"
+
+
+@op("A1", f"""SELECT doc_id, path, reason, CASE WHEN reason IS NULL THEN sha256(body) END AS file_hash, CAST(strlen(body) AS BIGINT) AS length FROM (
+  SELECT *, CASE WHEN path LIKE '%.exe' THEN 'type' WHEN body IS NULL THEN 'unreadable' WHEN strlen(body) > 5000 THEN 'size' WHEN body = '' THEN 'empty' WHEN path LIKE '%.json' AND NOT json_valid(body) THEN 'json' END AS reason FROM ({_FILE}))""")
 def a1(spark, d):
-    """The decision of the file source, over documents as files of at most 5000 bytes."""
-    kind = F.when(F.col("doc_id") % 9 == 0, "exe").otherwise(F.substring_index("title", ".", -1))
-    return view(spark, d, "v_docs").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.when(~kind.isin(*S.ALLOWED), "type").when(F.col("size_bytes") > 5000, "size").alias("reason"))
+    """Documents as files of at most 5000 bytes, some of other types, without content, or called JSON."""
+    files = spark_sql(spark, d, _FILE).withColumn("content", F.encode("body", "UTF-8"))
+    return S.accept(files, max_bytes=5000).select("doc_id", "path", "reason", "file_hash", "length")
 
 
 #: Half of each tenant's documents are stored, the other half come in.
@@ -159,9 +164,21 @@ def a16(spark, d):
     return docs.filter("status = 'failed' AND NOT is_trashed").select("doc_id").join(current, "doc_id")
 
 
-@op("A17", "SELECT source_node, count(*) AS n_rows, CAST(sum(length(j)) AS BIGINT) AS n_bytes, SHA256(concat_ws(':', count(*), " + ", ".join(f"CAST(sum(CAST(concat('0x', substring(SHA256(j), {1 + 16 * i}, 15)) AS BIGINT)) AS STRING)" for i in range(4)) + ")) AS digest FROM " + """(SELECT source_node, concat('{"edge_id":', edge_id, ',"edge_type":"', edge_type, '","source_node":"', source_node, '","status":"', status, '"}') AS j FROM v_edges) GROUP BY 1""")
+_CELL = "CASE WHEN regexp_matches({0}, '[\",\\n]') THEN concat('\"', replace({0}, '\"', '\"\"'), '\"') ELSE {0} END"
+_SECTIONED = f"""n AS (SELECT DISTINCT source_node AS node FROM v_edges UNION SELECT subject_node FROM v_records),
+  ln AS (SELECT node, 0 AS part, -1 AS k, 0 AS seq, '# links' AS line FROM n UNION ALL SELECT node, 0, -1, 1, 'edge_id,edge_type,status,confidence' FROM n UNION ALL SELECT node, 0, 1, 0, '' FROM n
+    UNION ALL SELECT source_node, 0, 0, edge_id, concat_ws(',', CAST(edge_id AS STRING), edge_type, status, CAST(CAST(round(confidence * 100) AS BIGINT) AS STRING)) FROM v_edges
+    UNION ALL SELECT node, 1, -1, 0, '# records' FROM n UNION ALL SELECT node, 1, -1, 1, 'record_id,record_type,total,priority' FROM n UNION ALL SELECT node, 1, 1, 0, '' FROM n
+    UNION ALL SELECT subject_node, 1, 0, record_id, concat_ws(',', CAST(record_id AS STRING), record_type, total, {_CELL.format('priority')}) FROM v_records)"""
+
+
+@op("A17", f"WITH {_SECTIONED} SELECT node, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes, sha256(string_agg(concat(line, chr(10)), '' ORDER BY part, k, seq)) AS digest, concat('links=', count(*) FILTER (part = 0) - 3, ',records=', count(*) FILTER (part = 1) - 3) AS sections FROM ln GROUP BY 1")
 def a17(spark, d):
-    return S.manifest(view(spark, d, "v_edges").select("edge_id", "edge_type", "source_node", "status"), "source_node")
+    edges = view(spark, d, "v_edges").select(F.col("source_node").alias("node"), "edge_id", "edge_type", "status", F.round(F.col("confidence") * 100).cast("long").alias("confidence"))
+    records = view(spark, d, "v_records").select(F.col("subject_node").alias("node"), "record_id", "record_type", "total", "priority")
+    nodes = edges.select("node").union(records.select("node")).distinct()
+    lines = S.sectioned_csv(nodes, "node", {"links": (edges, ["edge_id", "edge_type", "status", "confidence"], "edge_id"), "records": (records, ["record_id", "record_type", "total", "priority"], "record_id")})
+    return S.write_sectioned(lines, "node", folder(spark, "evidence"))
 
 
 @op("A18", "SELECT event_id, split_part(fwd, ',', 1) AS client, substring(agent, 1, 500) AS agent FROM (SELECT event_id, concat('10.0.', user_id, '.1, 10.9.9.9') AS fwd, repeat(event_type, 120) AS agent, CASE WHEN event_id % 6 = 0 THEN '/static/x' WHEN event_id % 6 = 1 THEN '/api/v1/health' ELSE '/api/v1/docs' END AS path FROM events) WHERE path = '/api/v1/docs'")

@@ -16,12 +16,34 @@ MAX_BYTES = 50 * 1024 * 1024
 SKIPPED_PATHS = ["/api/docs", "/api/redoc", "/openapi.json", "/_next", "/static", "/favicon", "/api/v1/health"]
 
 
+def accept(files: DataFrame, allowed: list[str] = ALLOWED, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """files (path, content, other columns) with length, file_hash and reason: why one is not taken, or null.
+
+    A file fails on its own and the others go on: by type, size, without content (unreadable), empty, or as text that
+    no JSON reader takes where it is called .json. Only what is taken has a hash.
+    """
+    kind = F.lower(F.substring_index("path", ".", -1))
+    size = F.octet_length("content")
+    reason = (
+        F.when(~kind.isin(*allowed), "type").when(F.col("content").isNull(), "unreadable").when(size > max_bytes, "size").when(size == 0, "empty")
+        .when((kind == "json") & F.try_parse_json(decode_text(F.col("content"))).isNull(), "json")
+    )
+    out = files.withColumn("length", size.cast("long")).withColumn("reason", reason)
+    return out.withColumn("file_hash", F.when(F.col("reason").isNull(), F.sha2("content", 256)))
+
+
 def read_files(spark: SparkSession, path: str, allowed: list[str] = ALLOWED, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, length, content, file_hash, reason: files of a folder; reason is null for those that are taken."""
+    """The files of a folder and all below it, accepted or not. Files beyond max_bytes are listed, but not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    small = accept(files.filter(F.col("length") <= max_bytes).drop("length"), allowed, max_bytes)
+    large = files.filter(F.col("length") > max_bytes).select("path", "modificationTime", "length")
     kind = F.lower(F.substring_index("path", ".", -1))
-    reason = F.when(~kind.isin(*allowed), "type").when(F.col("length") > max_bytes, "size")
-    return files.select("path", "modificationTime", "length", "content", F.sha2("content", 256).alias("file_hash"), reason.alias("reason"))
+    return small.unionByName(large.withColumn("reason", F.when(~kind.isin(*allowed), "type").otherwise("size")), allowMissingColumns=True)
+
+
+def outcome_counts(files: DataFrame) -> DataFrame:
+    """reason (null: taken), files, bytes of a batch."""
+    return files.groupBy("reason").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def decode_text(content: Column) -> Column:
@@ -101,10 +123,60 @@ def attachments(mails: DataFrame) -> DataFrame:
     return mails.select("mail_id", "raw").mapInPandas(run, "mail_id long, name string, content binary, error string")
 
 
-def write_with_manifest(df: DataFrame, key: str, path: str, format: str = "json") -> DataFrame:
-    """Write df partitioned by key, and return its manifest."""
-    df.write.partitionBy(key).format(format).save(path)
-    return manifest(df, key)
+def csv_line(*cells: Column) -> Column:
+    """Cells in one CSV line: nulls empty, quoted where they hold a comma, a quote or a line end."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in cells]
+    return F.concat_ws(",", *[F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in text])
+
+
+def sectioned_csv(nodes: DataFrame, key: str, sections: dict[str, tuple[DataFrame, list[str], str]]) -> DataFrame:
+    """key, section, part, seq, line: the lines of one CSV for each node: for each section (rows with the key, columns,
+    a long that orders them) a title, the names of its columns, its rows in order, and an empty line. A node without
+    rows in a section has its title and names alone."""
+    out = None
+    for i, (name, (rows, columns, order)) in enumerate(sections.items()):
+        lines = [F.lit(f"# {name}"), F.lit(",".join(columns)), F.lit("")]
+        frame = nodes.select(key, F.posexplode(F.array(*lines)).alias("p", "line")).select(key, F.lit(name).alias("section"), F.lit(i).alias("part"), F.when(F.col("p") == 2, F.lit(2**62)).otherwise(F.col("p") - 2 - F.lit(2**62)).cast("long").alias("seq"), "line")
+        body = rows.select(key, F.lit(name).alias("section"), F.lit(i).alias("part"), F.col(order).cast("long").alias("seq"), csv_line(*[F.col(c) for c in columns]).alias("line"))
+        both = frame.unionByName(body)
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def write_sectioned(lines: DataFrame, key: str, path: str) -> DataFrame:
+    """Write the lines of sectioned_csv, each node's together and in order, and return the manifest of what was written:
+    key, n_bytes, digest (SHA-256 of the node's file, lines ended by a line feed) and sections, the rows in each.
+
+    The digest is taken as the sorted lines stream by, so no node is held as a whole.
+    """
+    import hashlib
+
+    rows = lines.repartition(key).sortWithinPartitions(key, "part", "seq", "line")
+    rows.write.parquet(path)
+
+    def run(batches):
+        node, h, size = None, None, 0
+        for pdf in batches:
+            done = []
+            for k, line in zip(pdf[key], pdf["line"]):
+                if k != node or h is None:
+                    if h is not None:
+                        done.append((node, size, h.hexdigest()))
+                    node, h, size = k, hashlib.sha256(), 0
+                raw = f"{line}\n".encode()
+                h.update(raw)
+                size += len(raw)
+            yield pd.DataFrame(done, columns=[key, "n_bytes", "digest"])
+        if h is not None:
+            yield pd.DataFrame([(node, size, h.hexdigest())], columns=[key, "n_bytes", "digest"])
+
+    kind = lines.schema[key].dataType.simpleString()
+    # the files as written: one for each task, whose lines are in order
+    digests = rows.select(key, "line").mapInPandas(run, f"{key} {kind}, n_bytes long, digest string")
+    written = lines.sparkSession.read.schema(lines.schema).parquet(path)
+    counts = written.groupBy(key, "section", "part").agg((F.count("*") - 3).alias("n"))
+    counts = counts.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "section", "n"))), lambda x: F.concat_ws("=", x["section"], x["n"].cast("string"))), ",").alias("sections"))
+    return digests.join(counts, key)
 
 
 def manifest(df: DataFrame, key: str) -> DataFrame:

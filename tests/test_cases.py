@@ -275,13 +275,41 @@ def test_percentiles_by_nearest_rank(spark):
 
 
 def test_file_source_and_text_fallback(spark, tmp_path):
+    (tmp_path / "in").mkdir()
     (tmp_path / "a.txt").write_bytes("é".encode())
     (tmp_path / "b.txt").write_bytes(b"\xe9")
     (tmp_path / "c.exe").write_bytes(b"x")
     (tmp_path / "d.csv").write_bytes(b"123456789")
-    got = {r.path[-5:]: r for r in files.read_files(spark, f"file://{tmp_path}", max_bytes=8).withColumn("t", files.decode_text(F.col("content"))).collect()}
-    assert (got["a.txt"].t, got["b.txt"].t, got["c.exe"].reason, got["d.csv"].reason, got["a.txt"].reason) == ("é", "é", "type", "size", None)
-    assert got["a.txt"].file_hash == hashlib.sha256("é".encode()).hexdigest()
+    (tmp_path / "in" / "f.json").write_bytes(b'{"a":1}')
+    (tmp_path / "in" / "g.json").write_bytes(b'{"a":')
+    df = files.read_files(spark, f"file://{tmp_path}", max_bytes=8)
+    got = {r.path[-6:]: r for r in df.withColumn("t", files.decode_text(F.col("content"))).collect()}
+    assert (got["/c.exe"].reason, got["/d.csv"].reason, got["/a.txt"].reason) == ("type", "size", None)
+    assert (got["/a.txt"].t, got["/b.txt"].t, got["f.json"].reason, got["g.json"].reason) == ("é", "é", None, "json")
+    assert got["/a.txt"].file_hash == hashlib.sha256("é".encode()).hexdigest() and got["g.json"].file_hash is None
+    assert {(r.reason, r.files, r.bytes) for r in files.outcome_counts(df).collect()} == {(None, 3, 10), ("type", 1, 1), ("size", 1, 9), ("json", 1, 5)}
+
+
+def test_unreadable_file_is_a_row_of_its_own(spark):
+    df = frame(spark, [("a.txt", None), ("b.txt", bytearray(b"x")), ("c.txt", bytearray())], "path string, content binary")
+    assert {(r.path, r.reason, r.length) for r in files.accept(df).collect()} == {("a.txt", "unreadable", None), ("b.txt", None, 1), ("c.txt", "empty", 0)}
+
+
+def test_sectioned_csv_digests_are_those_of_the_lines(spark, tmp_path):
+    facts = frame(spark, [("n1", 2, 'said "so"', None), ("n1", 1, "a,b", 5), ("n2", 3, "two\nlines", 6)], "node string, id long, value string, n long")
+    links = frame(spark, [("n1", 9, "held")], "node string, id long, status string")
+    lines = files.sectioned_csv(frame(spark, [("n1",), ("n2",), ("n3",)], "node string"), "node", {"facts": (facts, ["id", "value", "n"], "id"), "links": (links, ["id", "status"], "id")})
+    got = {r.node: r for r in files.write_sectioned(lines, "node", f"file://{tmp_path}/out").collect()}
+    want = {
+        "n1": '# facts\nid,value,n\n1,"a,b",5\n2,"said ""so""",\n\n# links\nid,status\n9,held\n\n',
+        "n2": '# facts\nid,value,n\n3,"two\nlines",6\n\n# links\nid,status\n\n',
+        "n3": "# facts\nid,value,n\n\n# links\nid,status\n\n",
+    }
+    for node, text in want.items():
+        assert (got[node].n_bytes, got[node].digest) == (len(text), hashlib.sha256(text.encode()).hexdigest()), node
+    assert got["n1"].sections == "facts=2,links=1" and got["n3"].sections == "facts=0,links=0"
+    written = spark.read.parquet(f"file://{tmp_path}/out").orderBy("node", "part", "seq").collect()
+    assert "".join(r.line + "\n" for r in written if r.node == "n1") == want["n1"]
 
 
 def test_no_tenant_sees_another(spark):
