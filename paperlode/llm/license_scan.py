@@ -2,9 +2,10 @@
 
 All rolling word k-grams of all documents are joined by hash to the k-grams of the license templates: pairs for the
 short base phrases, runs of four words for license notices. A joined row votes for the diagonal (place in the document
-minus place in the template). Votes are counted for each diagonal, neighbouring diagonals are merged, so that a few
-inserted or missing words do no harm, and the merged span is verified by the distinct template places that it covers:
-a phrase stands where one diagonal has all its places; a notice counts where a large enough share of them is covered.
+minus place in the template). Votes are counted for each diagonal, neighbouring diagonals are merged, so that
+inserted or missing words do no harm, and the merged span is verified by the distinct template words that it covers:
+a phrase stands where one diagonal has all its places; a notice counts where few of its words are not covered. Where
+notices that share most of their words are found in one place, the one that is covered best counts.
 """
 
 from __future__ import annotations
@@ -30,25 +31,32 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
     "this work is licensed under the creative commons attribution": "cc",
 }
-#: Words of a gram, of phrases and of notices. A template has at most 63 grams, one bit each.
+#: Words of a gram, of phrases and of notices. A template has at most 63 words, one bit each.
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
-#: Share of a notice's places that must be covered, and how far above a diagonal others are merged with it.
-COVERAGE, NEIGHBOURS = 0.8, 4
+#: Words of a notice that may be uncovered, at least and as a share; how far above a diagonal others are merged with it.
+MISSING, MISSING_SHARE, NEIGHBOURS = 4, 0.2, 40
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-_GRAM = "template int, label string, base boolean, grams int, place int, ta string, tb string, tc string, td string"
+_GRAM = "template int, label string, base boolean, grams int, words int, family int, place int, ta string, tb string, tc string, td string"
+
+
+def families() -> list[int]:
+    """For each notice the first that it shares at least half of its grams with, itself included."""
+    grams = [{tuple(w[i : i + NOTICE_GRAM]) for i in range(len(w) - NOTICE_GRAM + 1)} for w in (t.split(" ") for t in TEMPLATES)]
+    return [next(j for j, other in enumerate(grams) if 2 * len(own & other) >= min(len(own), len(other))) for own in grams]
 
 
 def _templates(spark: SparkSession) -> DataFrame:
     """A row for each gram of each template, a fixed list; and a mark that stands for the end of a document."""
-    rows = [(-1, None, False, 0, 0, "", "", None, None)]
+    rows = [(-1, None, False, 0, 0, -1, 0, "", "", None, None)]
+    family = [*range(len(PHRASES)), *(len(PHRASES) + f for f in families())]
     for i, (text, label) in enumerate([*PHRASES.items(), *TEMPLATES.items()]):
         words, base = text.split(" "), i < len(PHRASES)
         k = PHRASE_GRAM if base else NOTICE_GRAM
         for p in range(len(words) - k + 1):
-            rows.append((i, label, base, len(words) - k + 1, p, *words[p : p + k], *[None] * (4 - k)))
+            rows.append((i, label, base, len(words) - k + 1, len(words), family[i], p, *words[p : p + k], *[None] * (4 - k)))
     grams = spark.createDataFrame(rows, _GRAM)
     return grams.withColumn("th", F.when(F.col("tc").isNull(), F.xxhash64("ta", "tb")).otherwise(F.xxhash64("ta", "tb", "tc", "td")))
 
@@ -78,17 +86,22 @@ def scan(docs: DataFrame) -> DataFrame:
     same = (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")) & (F.col("tc").isNull() | ((F.col("c") == F.col("tc")) & (F.col("d") == F.col("td"))))
     votes = grams.join(templates, (F.col("h") == F.col("th")) & same)
     document = ["doc_id", "tag", "n_words"]
-    lines = votes.groupBy(*document, "template", "label", "base", "grams", (F.col("at") - F.col("place")).cast("long").alias("diagonal")).agg(
+    lines = votes.groupBy(*document, "template", "label", "base", "grams", "words", "family", (F.col("at") - F.col("place")).cast("long").alias("diagonal")).agg(
         F.count("*").alias("votes"), F.bit_or(F.expr("shiftleft(1L, place)")).alias("places")
     )
     # rows that repeat vote together: the mark has one vote for each of them
     copies = F.max(F.when(F.col("template") == -1, F.col("votes"))).over(Window.partitionBy(*document))
     lines = lines.withColumn("copies", copies).withColumn("votes", F.expr("votes div copies"))
     near = Window.partitionBy(*document, "template").orderBy("diagonal").rangeBetween(0, NEIGHBOURS)
-    lines = lines.withColumn("covered", F.bit_count(F.bit_or("places").over(near)))
+    held = F.expr("places | shiftleft(places, 1)")
+    held = F.when(F.col("base"), held).otherwise(F.expr("places | shiftleft(places, 1) | shiftleft(places, 2) | shiftleft(places, 3)"))
+    lines = lines.withColumn("held", held).withColumn("covered", F.bit_count(F.bit_or("held").over(near)))
     whole = F.col("base") & (F.col("votes") == F.col("grams"))
-    share = F.when(F.col("grams") > 0, F.col("covered") / F.col("grams")).otherwise(0.0)
-    found = whole | (~F.col("base") & (share >= COVERAGE))
+    share = F.when(F.col("words") > 0, F.col("covered") / F.col("words")).otherwise(0.0)
+    enough = ~F.col("base") & (F.col("words") > 0) & (F.col("words") - F.col("covered") <= F.greatest(F.lit(MISSING), F.floor(F.col("words") * MISSING_SHARE)))
+    place = Window.partitionBy(*document, "family").orderBy("diagonal").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    lines = lines.withColumn("share", share).withColumn("enough", enough).withColumn("best", F.max(F.when(F.col("enough"), F.col("share"))).over(place))
+    share, found = F.col("share"), whole | (F.col("enough") & (F.col("share") >= F.col("best")))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     out = lines.groupBy(*document, "copies").agg(
         F.count_if(whole).alias("n_base"), F.min(F.when(whole, F.col("diagonal"))).alias("first_word"), F.max(F.when(whole, F.col("diagonal"))).alias("last_word"),
