@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 from .common import stage
 
 
-#: One part in so many of all vectors, the longest, is visited whole where lengths differ; and so is a table of few vectors.
+#: One part in so many of all vectors, the longest, is visited whole where lengths differ.
 WHOLE = 5
 
 
 class Plan(NamedTuple):
-    """tables, hashes in each, bucket width and buckets visited in a table; vectors that one part of a table holds,
+    """tables, hashes in each, bucket width and buckets visited in a table (None: as many as a sample needs); vectors that one part of a table holds,
     and queries that are answered together."""
 
     tables: int = 2
     hashes: int = 12
     width: float = 4.0
-    probes: int = 300
+    probes: int | None = None  # chosen by a sample
     part_rows: int = 20_000
     together: int = 2_000
     seed: int = 7
@@ -69,7 +69,7 @@ class Hasher:
         self.a = r.standard_normal((dim + 1, plan.tables, plan.hashes))
         self.b = r.random((plan.tables, plan.hashes)) * plan.width
         self.mix = r.integers(1, 2**62, plan.hashes) | 1
-        self.sets = probe_order(plan.hashes, plan.probes)
+        self.sets = probe_order(plan.hashes, plan.probes or PROBES[0])
 
     def _places(self, x: np.ndarray) -> np.ndarray:
         return (np.tensordot(x, self.a, 1) + self.b) / self.plan.width
@@ -88,6 +88,34 @@ class Hasher:
         return np.stack([own + step[:, :, list(s)].sum(axis=2) for s in self.sets], axis=2)
 
 
+#: Buckets visited in a table: the first of these with which a sample reaches the recall. The sample has so many vectors
+#: at most, and so many bytes, and so many of them ask.
+PROBES, RECALL, SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_QUERIES = (300, 600, 1200, 2400, 4096), 0.92, 2_000, 16_000_000, 200
+
+
+def needed_probes(plan: Plan, x: np.ndarray, longest: dict[int, float], band: np.ndarray, k: int) -> int:
+    """The fewest probes of PROBES with which queries from the sample x reach the recall against all of x, if any do.
+
+    Few vectors lie farther apart than many, so a sample asks for no fewer probes than the whole.
+    """
+    h = Hasher(plan._replace(probes=PROBES[-1]), x.shape[1])
+    keys = np.concatenate([h.keys(_unit(x[i : i + 1], longest[int(b)])) for i, b in enumerate(band)])
+    asked = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
+    first = np.full((len(asked), k), len(h.sets))  # the probe that meets a neighbour
+    for i, q in enumerate(asked):
+        s = x @ x[q]
+        s[q] = -np.inf
+        near = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
+        visits = h.probed(_directions(x[q : q + 1]))[0]
+        for t in range(plan.tables):
+            order = np.argsort(visits[t], kind="stable")
+            at = np.minimum(np.searchsorted(visits[t][order], keys[near, t]), len(order) - 1)
+            met = np.where(visits[t][order][at] == keys[near, t], order[at], len(h.sets))
+            first[i, : len(near)] = np.minimum(first[i, : len(near)], met)
+        first[i, len(near) :] = 0
+    return next((p for p in PROBES if (first < p).mean() >= RECALL), PROBES[-1])
+
+
 def _unit(x: np.ndarray, longest: float) -> np.ndarray:
     """Scaled by the longest vector's length, with the coordinate that completes them to unit length."""
     y = x / longest
@@ -309,7 +337,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan(
     # by the largest component, so that no square is too large or too small
     top = F.array_max(F.transform("e", lambda x: F.abs(x)))
     norm = top * F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + (x / top) * (x / top)))
-    band = F.floor(2 * F.log2(norm))
+    band = F.floor(2 * F.log2(norm) + 0.5)  # lengths near 1 are amid a band
     # two bands for each doubling of length: a bounded number of rows
     shapes = reps.groupBy(F.size("e").alias("dim"), band.alias("band")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
 
@@ -320,12 +348,19 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, plan: Plan = Plan(
         total, seen = sum(x.n for x in shapes if x.dim == dim), 0
         for x in sorted((x for x in shapes if x.dim == dim), key=lambda x: -x.band):
             many, seen = max(1, -(-x.n // plan.part_rows)), seen + x.n
-            bands[x.band] = (x.longest, parts, many, seen * WHOLE <= total or total <= 10 * (k + 1))
+            bands[x.band] = (x.longest, parts, many, seen * WHOLE <= total)
             parts += many * (1 if bands[x.band][3] else plan.tables)
+        if plan.probes is None:
+            some = min(SAMPLE_ROWS, max(2, SAMPLE_BYTES // (8 * dim)))
+            sample = rows.orderBy(F.xxhash64("rid")).limit(some).select("e", "band").toArrow()
+            x = sample.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            chosen = plan._replace(probes=needed_probes(plan, x, {b: v[0] for b, v in bands.items()}, sample.column("band").to_numpy(), k))
+        else:
+            chosen = plan
         layout = Parts(bands, {})
-        sizes = rows.mapInArrow(_counted(plan, dim, layout), "part long").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > plan.part_rows)
+        sizes = rows.mapInArrow(_counted(chosen, dim, layout), "part long").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > plan.part_rows)
         layout = Parts(bands, {x.part: -(-x.n // plan.part_rows) for x in sizes.collect()})
-        dealt = rows.mapInArrow(_deal(plan, dim, layout), _DEALT)
+        dealt = rows.mapInArrow(_deal(chosen, dim, layout), _DEALT)
         one = _answers(dealt, parts + sum(layout.pieces.values()), dim, k + 1, plan.together)
         one = stage(one.groupBy("qid", "rid").agg(F.max("score").alias("score")), "found")
         # queries that found fewer than there are to find

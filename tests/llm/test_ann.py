@@ -85,3 +85,31 @@ def test_probes_start_at_home_and_never_cross_both_sides():
 
 def test_empty_table(spark):
     assert ann.nearest(table(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("dim, n", [(256, 1000), (1024, 300)])
+def test_recall_of_more_dimensions(spark, dim, n):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.astype(np.float32).tolist()))
+    assert recall(as_lists(ann.nearest(table(spark, rows))), brute(rows, 20, 20)) >= 0.9
+
+
+def test_unit_vectors_are_one_band(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((400, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True).astype(np.float32)
+    norms = np.linalg.norm(x.astype(np.float64), axis=1)
+    assert norms.min() < 1 < norms.max() and len(set(np.floor(2 * np.log2(norms) + 0.5))) == 1
+
+
+def test_clusters_need_few_probes_and_a_small_share():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((40, 64))[r.integers(0, 40, 1500)] + 0.3 * r.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert ann.needed_probes(ann.Plan(), x, {0: 1.0}, np.zeros(len(x), int), 20) == ann.PROBES[0]
+    h = ann.Hasher(ann.Plan(probes=ann.PROBES[0]), 64)
+    keys = h.keys(ann._unit(x, 1.0))
+    share = np.mean([np.isin(keys[:, 0], h.probed(ann._directions(q[None]))[0, 0]).mean() for q in x[:40]])
+    assert share < 0.8
