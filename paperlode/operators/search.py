@@ -53,7 +53,7 @@ def vector_leg(queries: DataFrame, items: DataFrame | VectorIndex, k: int = LIMI
     queries: query_id, tenant_id, variant, embedding (null: no rows); items: item_id, tenant_id, embedding, or their
     index, which several searches may share.
     """
-    index = items if isinstance(items, VectorIndex) else build(items.select("tenant_id", "item_id", "embedding"))
+    index = items if isinstance(items, VectorIndex) else build(items.select("tenant_id", "item_id", "embedding"), write=False)
     hits = index.search(queries, k, share, exact).select("query_id", "variant", "item_id", F.round("s", 6).alias("score"))
     return ranked(hits, ["query_id", "variant"], k, "vector")
 
@@ -262,20 +262,22 @@ def structured_leg(queries: DataFrame, facts: DataFrame, k: int = LIMIT) -> Data
     return hits.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k).select("query_id", F.col("fact_id").alias("item_id"), "rank", F.lit("structured").alias("leg"))
 
 
-def metadata_holds(key: Column, value: Column, wanted: Column) -> Column:
-    """Whether a metadata value in JSON is the wanted one: as v, under its own key, as it is, or as a quoted part."""
-    plain, under = F.get_json_object(value, "$.v"), F.try_element_at(F.from_json(value, "map<string,string>"), key)
-    return F.coalesce(plain == wanted, F.lit(False)) | F.coalesce(under == wanted, F.lit(False)) | (value == wanted) | F.contains(value, F.concat(F.lit('"'), wanted, F.lit('"')))
+def metadata_values(key: Column, value: Column) -> Column:
+    """All that a metadata value in JSON can be found by: itself, as v, under its own key, and what stands in quotes."""
+    quoted = F.split(value, '"')
+    parts = F.slice(quoted, 2, F.greatest(F.size(quoted) - 2, F.lit(0)))
+    named = F.array(value, F.get_json_object(value, "$.v"), F.try_element_at(F.from_json(value, "map<string,string>"), key))
+    return F.array_distinct(F.array_compact(F.concat(named, parts)))
 
 
 def filtered(filters: DataFrame, docs: DataFrame, metadata: DataFrame, facts: DataFrame) -> DataFrame:
     """query_id, doc_id of documents that satisfy all filters of a query (query_id, key, wanted): doc_type and
     document_id are columns of docs; any other key is satisfied by a metadata value or by a fact."""
     f = small(filters)
-    own = docs.select("doc_id", F.explode(F.create_map(F.lit("doc_type"), F.col("doc_type"), F.lit("document_id"), F.col("doc_id").cast("string"))).alias("key", "v"))
-    by_column = own.join(f, "key").filter(F.col("v") == F.col("wanted"))
-    by_metadata = metadata.join(f, "key").filter(metadata_holds(F.col("key"), F.col("value"), F.col("wanted")))
-    by_fact = facts.select("doc_id", F.col("field_name").alias("key"), "value").join(f, "key").filter(F.col("value") == F.col("wanted"))
+    own = docs.select("doc_id", F.explode(F.create_map(F.lit("doc_type"), F.col("doc_type"), F.lit("document_id"), F.col("doc_id").cast("string"))).alias("key", "wanted"))
+    by_column = own.join(f, ["key", "wanted"])
+    by_metadata = metadata.select("doc_id", "key", F.explode(metadata_values(F.col("key"), F.col("value"))).alias("wanted")).join(f, ["key", "wanted"])
+    by_fact = facts.select("doc_id", F.col("field_name").alias("key"), F.col("value").alias("wanted")).join(f, ["key", "wanted"])
     one = lambda df: df.select("query_id", "doc_id", "key")
     held = one(by_column).unionByName(one(by_metadata)).unionByName(one(by_fact)).groupBy("query_id", "doc_id").agg(F.count_distinct("key").alias("n"))
     return held.join(filters.groupBy("query_id").agg(F.count_distinct("key").alias("n")), ["query_id", "n"]).select("query_id", "doc_id")

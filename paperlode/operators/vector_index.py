@@ -61,7 +61,7 @@ class VectorIndex:
     """items: tenant_id, list, part, item_id, first (order of ties; null: no candidate), u. lists: list, n, radius, parts."""
 
     spark: SparkSession
-    at: str
+    at: str | None
     items: DataFrame
     lists: DataFrame
     centroids: np.ndarray
@@ -171,11 +171,12 @@ class VectorIndex:
         return (work.n or 0) / max(1, work.q * self.size)
 
 
-def build(vectors: DataFrame, lists: int | None = None) -> VectorIndex:
+def build(vectors: DataFrame, lists: int | None = None, write: bool = True) -> VectorIndex:
     """vectors: tenant_id, item_id, embedding, and first where ties have an order of their own (null: no candidate).
 
     Zero and null vectors take no part. lists: how many; else the square root of the number of vectors. The sample
-    that trains the centroids is bounded and drawn by a hash of the id; every vector is indexed.
+    that trains the centroids is bounded and drawn by a hash of the id; every vector is indexed. write: whether lists are
+    written as partitions, for searches to come; an index for one search deals its rows as it goes.
     """
     spark = vectors.sparkSession
     order = F.col("first") if "first" in vectors.columns else F.col("item_id")
@@ -194,13 +195,15 @@ def build(vectors: DataFrame, lists: int | None = None) -> VectorIndex:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = stage(rows.mapInArrow(assign, f"{fields}, list int, angle double"), "vectors-placed")
-    facts = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    facts = stage(facts, "vector-lists")
+    known = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row for each list
+    facts = spark.createDataFrame([(r.list, r.n, r.radius, -(-r.n // BLOCK_ROWS)) for r in known], "list int, n long, radius double, parts int")
     dealt = placed.join(F.broadcast(facts.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).drop("parts", "angle")
-    at = folder(spark, "vector-index")
-    dealt.repartition("list", "part").sortWithinPartitions("list", "tenant_id").write.partitionBy("list").parquet(at)
+    at, items = None, dealt
+    if write:
+        at = folder(spark, "vector-index")
+        dealt.repartition("list", "part").sortWithinPartitions("list", "tenant_id").write.partitionBy("list").parquet(at)
+        items = spark.read.schema(dealt.schema).parquet(at)
     sizes, radii = np.zeros(len(c)), np.zeros(len(c))
-    for r in facts.collect():  # a row for each list
+    for r in known:
         sizes[r.list], radii[r.list] = r.n, r.radius
-    items = spark.read.schema(dealt.schema).parquet(at)
     return VectorIndex(spark, at, items, facts, c, sizes, radii)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.staging import stage
 from .registry import op
-from .views import view
+from .views import spark_sql, view
 
 COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) / sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[])))"
 
@@ -71,29 +72,41 @@ def e7(spark, d):
     return G.confirm(view(spark, d, "v_edges"), acts, "edge_id", "held", F.col("user_id")).filter("outcome <> 'not_found'")
 
 
-@op("E8", "SELECT e.edge_id, CASE WHEN c.folder_id IS NOT NULL AND e.status = 'held' AND e.confidence >= 0.6 THEN 'verified' ELSE e.status END AS status, CASE WHEN c.folder_id IS NOT NULL AND e.status = 'held' AND e.confidence >= 0.6 THEN concat('batch-', c.folder_id) END AS batch_id FROM v_edges AS e LEFT JOIN v_facts AS f ON f.fact_id = e.evidence_fact_id LEFT JOIN v_docs AS d ON d.doc_id = f.doc_id LEFT JOIN v_calibration AS c ON c.folder_id = d.folder_id")
-def e8(spark, d):
+#: One action for each calibrated folder: the smallest user of tenant 0 confirms from 0.6 on.
+ACTIONS = "SELECT folder_id AS corpus, (SELECT min(user_id) FROM v_users WHERE tenant_id = 0) AS actor_id, CAST(0.6 AS DOUBLE) AS threshold, 'policy-1' AS policy_version FROM v_calibration"
+CONFIRMED = f"""act AS ({ACTIONS}), ok AS (SELECT e.edge_id, e.status, e.confidence, a.*, coalesce(e.status = 'held' AND e.confidence >= a.threshold, false) AS ok FROM v_edges AS e LEFT JOIN v_facts AS f ON f.fact_id = e.evidence_fact_id LEFT JOIN v_docs AS d ON d.doc_id = f.doc_id LEFT JOIN act AS a ON a.corpus = d.folder_id),
+  done AS (SELECT edge_id, CASE WHEN ok THEN 'verified' ELSE status END AS status, CASE WHEN ok THEN actor_id END AS verified_by, CASE WHEN ok THEN threshold END AS threshold, CASE WHEN ok THEN corpus END AS corpus, CASE WHEN ok THEN policy_version END AS policy_version, CASE WHEN ok THEN sha256(concat_ws('|', corpus, actor_id, '0.6', policy_version)) END AS batch_id FROM ok)"""
+
+
+def _confirmed(spark, d):
     e = view(spark, d, "v_edges").select("edge_id", "status", "confidence", F.col("evidence_fact_id").alias("fact_id"))
-    out = e.join(view(spark, d, "v_facts").select("fact_id", "doc_id"), "fact_id", "left").join(view(spark, d, "v_docs").select("doc_id", "folder_id"), "doc_id", "left").join(view(spark, d, "v_calibration").withColumn("calibrated", F.lit(True)), "folder_id", "left")
-    passes = F.coalesce(F.col("calibrated"), F.lit(False)) & (F.col("status") == "held") & (F.col("confidence") >= 0.6)
-    return out.select("edge_id", F.when(passes, "verified").otherwise(F.col("status")).alias("status"), F.when(passes, F.concat(F.lit("batch-"), "folder_id")).alias("batch_id"))
+    of = view(spark, d, "v_facts").select("fact_id", "doc_id").join(view(spark, d, "v_docs").select("doc_id", F.col("folder_id").alias("corpus")), "doc_id")
+    return G.bulk_confirm(e.join(of, "fact_id", "left"), spark_sql(spark, d, ACTIONS))
+
+
+@op("E8", f"WITH {CONFIRMED} SELECT * FROM done")
+def e8(spark, d):
+    return _confirmed(spark, d)
+
+
+_BACK = "(edge_id % 3 = 0 OR coalesce(corpus IN (SELECT corpus FROM act WHERE CAST(substring(corpus, 4, 9) AS INT) % 4 = 0), false)) AND status = 'verified'"
 
 
-@op("E9", "SELECT edge_id, CASE WHEN status = 'verified' AND edge_id % 3 = 0 THEN 'held' ELSE status END AS status, CASE WHEN status = 'verified' AND edge_id % 3 <> 0 THEN edge_id % 150 END AS verified_by FROM v_edges")
+@op("E9", f"WITH {CONFIRMED}, r AS (SELECT *, {_BACK} AS back FROM done) SELECT edge_id, CASE WHEN back THEN 'held' ELSE status END AS status, CASE WHEN NOT back THEN verified_by END AS verified_by, CASE WHEN NOT back THEN threshold END AS threshold, CASE WHEN NOT back THEN corpus END AS corpus, CASE WHEN NOT back THEN policy_version END AS policy_version, CASE WHEN NOT back THEN batch_id END AS batch_id FROM r")
 def e9(spark, d):
-    e = view(spark, d, "v_edges")
-    reverts = e.filter("edge_id % 3 = 0").select("edge_id", F.lit(True).alias("revert"))
-    undone = F.coalesce(F.col("revert"), F.lit(False)) & (F.col("status") == "verified")
-    out = e.join(reverts, "edge_id", "left")
-    return out.select("edge_id", F.when(undone, "held").otherwise(F.col("status")).alias("status"), F.when((F.col("status") == "verified") & ~undone, F.col("edge_id") % 150).alias("verified_by"))
+    """Every third edge is reverted by name, and the batches of every second calibrated folder as a whole."""
+    edges = stage(_confirmed(spark, d), "confirmed")
+    batches = edges.filter("CAST(substring(corpus, 4, 9) AS INT) % 4 = 0").select("batch_id").distinct()
+    return G.revert(edges, edges.filter("edge_id % 3 = 0").select("edge_id"), batches)
 
 
 ALL_EDGES = "SELECT source_node AS node_id, edge_id, 'outgoing' AS direction, target_node AS other_node, target_fact FROM v_edges UNION ALL SELECT target_node, edge_id, 'incoming', source_node, NULL FROM v_edges WHERE target_type = 'entity' AND source_node <> target_node"
 
 
-@op("E10", f"SELECT a.*, n.label AS other_label FROM ({ALL_EDGES}) AS a LEFT JOIN v_nodes AS n ON n.node_id = a.other_node")
+@op("E10", f"SELECT a.*, n.label AS other_label, f.doc_id, d.title FROM ({ALL_EDGES}) AS a LEFT JOIN v_nodes AS n ON n.node_id = a.other_node LEFT JOIN v_facts AS f ON f.fact_id = a.target_fact LEFT JOIN v_docs AS d ON d.doc_id = f.doc_id")
 def e10(spark, d):
-    return G.view_360(view(spark, d, "v_nodes"), view(spark, d, "v_edges")).select("node_id", "edge_id", "direction", "other_node", "target_fact", "other_label")
+    both = G.view_360(view(spark, d, "v_nodes"), view(spark, d, "v_edges"))
+    return G.with_titles(both, view(spark, d, "v_facts"), view(spark, d, "v_docs")).select("node_id", "edge_id", "direction", "other_node", "target_fact", "other_label", "doc_id", "title")
 
 
 @op("E11", "SELECT r.subject_node, count(*) AS records, string_agg(concat(r.record_id, ':', coalesce(a.v, r.total), '/', r.total), ';' ORDER BY r.record_id) AS states FROM v_records AS r LEFT JOIN (SELECT record_id, arg_max(value, (effective_date, created_order)) AS v FROM v_amendments WHERE field = 'total' GROUP BY 1) AS a USING (record_id) GROUP BY 1")
@@ -103,13 +116,14 @@ def e11(spark, d):
     return r.groupBy("subject_node").agg(F.count("*").alias("records"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]), ";").alias("states"))
 
 
-_EXPORT = "SELECT 'general_export' AS mode, edge_id, CASE WHEN status = 'verified' THEN 'human_verified' ELSE 'unconfirmed_machine_suggested' END AS label FROM v_edges UNION ALL SELECT 'certificate', edge_id, 'human_verified' FROM v_edges WHERE status = 'verified'"
+_EXPORT = "SELECT 'general_export' AS mode, 'fact' AS kind, fact_id AS id, CASE WHEN status = 'verified' THEN 'human_verified' ELSE 'unconfirmed_machine_suggested' END AS label FROM v_facts UNION ALL SELECT 'certificate', 'fact', fact_id, 'human_verified' FROM v_facts WHERE status = 'verified' UNION ALL SELECT 'general_export' AS mode, 'edge', edge_id, CASE WHEN status = 'verified' THEN 'human_verified' ELSE 'unconfirmed_machine_suggested' END AS label FROM v_edges UNION ALL SELECT 'certificate', 'edge', edge_id, 'human_verified' FROM v_edges WHERE status = 'verified'"
 
 
 @op("E12", _EXPORT)
 def e12(spark, d):
-    e = view(spark, d, "v_edges")
-    return G.for_export(e, "general_export").select(F.lit("general_export").alias("mode"), "edge_id", "label").unionByName(G.for_export(e, "certificate").select(F.lit("certificate").alias("mode"), "edge_id", "label"))
+    rows = view(spark, d, "v_edges").select(F.lit("edge").alias("kind"), F.col("edge_id").alias("id"), "status").unionByName(view(spark, d, "v_facts").select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "status"))
+    modes = [G.for_export(rows, m).select(F.lit(m).alias("mode"), "kind", "id", "label") for m in ("general_export", "certificate")]
+    return modes[0].unionByName(modes[1])
 
 
 @op("E13", """SELECT node_id, string_agg(line, chr(10) ORDER BY sec, seq) AS report FROM (

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.plugins import apply_model
+from ..operators import providers as M
 from .group_c import facts_without_region
 from .registry import op
-from .views import view
+from .views import spark_sql, view
 
 
 @op("M1a", "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY 1")
@@ -50,13 +50,31 @@ def m1e(spark, d):
     return first.filter("score >= 0.2")
 
 
-@op("M2")
-def m2(spark, d):
-    """A user's model over batches of 20 rows: here, the length of each embedding."""
-    import numpy as np
+_REPLIES = "SELECT sha256(u.text) AS key, min(a.text) AS output FROM conversations AS u JOIN conversations AS a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user' AND u.conv_id % 2 = 0 GROUP BY 1"
+
 
-    rows = view(spark, d, "embeddings").select("vec_id", "embedding")
-    return apply_model(rows, lambda pdf: pdf.assign(norm=[float(np.linalg.norm(x)) for x in pdf["embedding"]])[["vec_id", "norm"]], "vec_id long, norm double", 20)
+@op("M2", f"""WITH e AS (SELECT sha256(d.text) AS key, min(e.vec_id) AS vec_id FROM documents AS d JOIN embeddings AS e ON e.vec_id = d.doc_id GROUP BY 1), r AS ({_REPLIES}),
+  p AS (SELECT conv_id AS query_id, turn AS item_id, turn AS rank, CASE WHEN role = 'assistant' AND conv_id % 3 > 0 THEN 1.0 / (1 + length(text)) END AS s FROM conversations),
+  k AS (SELECT *, count(s) OVER (PARTITION BY query_id) > 0 AS reranked, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank, item_id) AS place FROM p)
+  SELECT 'embed' AS slot, d.doc_id AS id, 0 AS item, CAST(len(x.embedding) AS STRING) AS output, x.embedding IS NULL AS missing FROM documents AS d LEFT JOIN e ON e.key = sha256(d.text) LEFT JOIN embeddings AS x ON x.vec_id = e.vec_id
+  UNION ALL SELECT 'complete', c.conv_id, c.turn, r.output, r.output IS NULL FROM conversations AS c LEFT JOIN r ON r.key = sha256(c.text) WHERE c.role = 'user'
+  UNION ALL SELECT 'rerank', query_id, item_id, CAST(place AS STRING), NOT reranked FROM k WHERE place <= 2
+  UNION ALL SELECT 'extract', page_id, 1, CASE WHEN page_id % 2 = 0 THEN url END, page_id % 2 <> 0 FROM pages""")
+def m2(spark, d):
+    """The four slots over tables of outputs made before: some rows have none and say so."""
+    docs, e, c, pages = (view(spark, d, t) for t in ("documents", "embeddings", "conversations", "pages"))
+    made = docs.join(e, docs.doc_id == e.vec_id).select(M.text_key("text").alias("key"), "vec_id", "embedding")
+    made = made.groupBy("key").agg(F.min_by("embedding", "vec_id").cast("array<double>").alias("output"))
+    embedded = M.embed(docs.select("doc_id", "text"), M.Stored(made)).select(F.lit("embed").alias("slot"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("item"), F.size("output").cast("string").alias("output"), F.col("error").isNotNull().alias("missing"))
+    replied = M.complete(c.filter("role = 'user'").withColumnRenamed("text", "prompt"), M.Stored(spark_sql(spark, d, _REPLIES)))
+    replied = replied.select(F.lit("complete"), "conv_id", "turn", "output", F.col("error").isNotNull())
+    pairs = c.select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("query"), F.col("turn").alias("item_id"), F.concat_ws("|", F.col("turn").cast("string"), "text").alias("content"), F.col("turn").alias("rank"), "role", "text")
+    scores = pairs.filter("role = 'assistant' AND query_id % 3 > 0").select(M.text_key("query", "content").alias("key"), (1.0 / (1 + F.length("text"))).alias("output"))
+    ranked = M.rerank(pairs.drop("role", "text"), M.Stored(scores), 2).select(F.lit("rerank"), "query_id", "item_id", F.col("place").cast("string"), ~F.col("reranked"))
+    asked = pages.select("page_id", F.encode("html", "UTF-8").alias("content"), F.col("page_id").alias("page_number"), F.lit("the address").alias("prompt"), "url")
+    archive = asked.filter("page_id % 2 = 0").select(M.text_key(F.sha2("content", 256), F.col("page_number").cast("string"), F.col("prompt")).alias("key"), F.col("url").alias("output"))
+    read = M.extract(asked.drop("url"), M.Stored(archive)).select(F.lit("extract"), "page_id", F.lit(1).cast("long"), "output", F.col("error").isNotNull())
+    return embedded.union(replied).union(ranked).union(read)
 
 
 @op("M3", "SELECT f.fact_id FROM v_facts AS f WHERE f.fact_id NOT IN (SELECT fact_id FROM v_regions)")

@@ -117,7 +117,7 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -
     sql = sql.replace("{", "{{").replace("}", "}}")  # braces of the text itself
     for n in sorted(needed, key=len, reverse=True):
         sql = re.sub(rf"\b{n}\b(?!\.)", f"{{{n}}}", sql)
-    sql = re.sub(r"\bsha256\((\w+)\)", r"sha2(\1, 256)", sql).replace(", '', 'g')", ", '')").replace("chr(10)", "'\\n'")
+    sql = re.sub(r"\bsha256\(([\w.]+)\)", r"sha2(\1, 256)", sql).replace(", '', 'g')", ", '')").replace("chr(10)", "'\\n'")
     return spark.sql(sql, **needed)
 
 

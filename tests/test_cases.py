@@ -211,7 +211,7 @@ def test_many_queries_meet_items_in_blocks(spark, monkeypatch):
 def test_metadata_forms(spark):
     forms = ['{"v":"en"}', '{"lang":"en"}', "en", '["en","x"]', '{"v":"fr"}', "english", None]
     df = frame(spark, [(i, "lang", f, "en") for i, f in enumerate(forms)], "i long, key string, value string, wanted string")
-    got = {r.i: r.x for r in df.select("i", F.coalesce(search.metadata_holds(F.col("key"), F.col("value"), F.col("wanted")), F.lit(False)).alias("x")).collect()}
+    got = {r.i: r.x for r in df.select("i", F.coalesce(F.array_contains(search.metadata_values(F.col("key"), F.col("value")), F.col("wanted")), F.lit(False)).alias("x")).collect()}
     assert [got[i] for i in range(7)] == [True, True, True, True, False, False, False]
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperlode.operators import graph, search, vector_index
 
@@ -48,6 +49,7 @@ def test_exact_search_leaves_lists_out(spark):
     df = table(spark, x)
     index = vector_index.build(df)
     scored = index.search(asked(df, 50), 20)
+    assert "list=" in "".join(r.f for r in index.items.select(F.input_file_name().alias("f")).limit(1).collect())  # partitioned by centroid
     q = asked(df, 50).select("query_id", "variant", "tenant_id", vector_index.unit(df.embedding).alias("u"))
     assert index.share_of(index.nearby(q, 0.1)) < 0.15
     assert got(search.ranked(scored.selectExpr("query_id", "variant", "item_id", "round(s, 6) AS score"), ["query_id", "variant"])) == nearest(x, 20, 50)
