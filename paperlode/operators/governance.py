@@ -60,6 +60,28 @@ def verify_chain(chain: DataFrame) -> DataFrame:
     return out.join(loose, "tenant_id", "left").select("tenant_id", "checked", F.coalesce("unchained", F.lit(0)).alias("unchained"), F.col("f.id").alias("first_bad"), F.col("f.bad").alias("reason"))
 
 
+def admit_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(admitted, refused) audit events: one without an actor is refused, a policy's too; a policy_version is merged into
+    the details (a JSON object, or null), so that the chain covers it."""
+    plain = F.regexp_replace(F.coalesce("details", F.lit("{}")), r"\s*\}\s*$", "")
+    merged = F.concat(plain, F.when(plain.rlike(r"^\s*\{$"), "").otherwise(", "), F.lit('"policy_version": "'), F.col("policy_version"), F.lit('"}'))
+    rows = events.withColumn("details", F.when(F.col("policy_version").isNotNull(), merged).otherwise(F.col("details")))
+    return rows.filter("actor_id IS NOT NULL"), rows.filter("actor_id IS NULL").withColumn("reason", F.lit("actor"))
+
+
+def completeness(docs: DataFrame, pages: DataFrame, loss: DataFrame, furniture: DataFrame) -> DataFrame:
+    """Per tenant and corpus (folder, or root), without trashed documents: documents, pages, failed_pages, with_failures,
+    loss_words, with_loss, with_furniture. pages: doc_id, extraction_failed; loss: doc_id, missing; furniture: doc_id."""
+    of = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if("extraction_failed").alias("failed_pages"))
+    rows = docs.filter("NOT is_trashed").select("tenant_id", F.coalesce("folder_id", F.lit("root")).alias("corpus"), "doc_id")
+    rows = rows.join(of, "doc_id", "left").join(loss.select("doc_id", "missing"), "doc_id", "left").join(furniture.select("doc_id").distinct().withColumn("furnished", F.lit(True)), "doc_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy("tenant_id", "corpus").agg(
+        F.count("*").alias("documents"), total("pages").alias("pages"), total("failed_pages").alias("failed_pages"), F.count_if(F.col("failed_pages") > 0).alias("with_failures"),
+        total("missing").alias("loss_words"), F.count_if(F.col("missing") > 0).alias("with_loss"), F.count_if("furnished").alias("with_furniture"),
+    )
+
+
 def bucket(confidence: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, low, high in BUCKETS:

@@ -41,7 +41,7 @@ def chunk(pages: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
 
 
 def furniture(pages: DataFrame, least_pages: int = 3, spread: float = 0.15, margin: float = 0.10, least_length: int = 3) -> DataFrame:
-    """Lines that stand near one edge of several pages: doc_id, line, occurrences, pages, avg_position, zone."""
+    """Lines that stand near one edge of several pages: doc_id, line, occurrences, pages, avg_position, spread, zone, shown."""
     lines = pages.filter(~F.col("extraction_failed")).select("doc_id", "page_number", F.split("text", "\n").alias("ls"))
     lines = lines.select("doc_id", "page_number", F.size("ls").alias("n"), F.posexplode("ls").alias("i", "raw"))
     at = F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.0)
@@ -53,11 +53,11 @@ def furniture(pages: DataFrame, least_pages: int = 3, spread: float = 0.15, marg
         F.avg("m.at").alias("a"), (F.max("m.at") - F.min("m.at")).alias("s"), F.min_by("m.raw", "page_number").alias("shown"),
     )
     out = out.filter((F.col("occurrences") >= least_pages) & (F.col("s") <= spread))
-    return out.select("doc_id", "line", "occurrences", "pages", F.bround("a", 4).alias("avg_position"), F.when(F.col("a") <= 0.5, "top").otherwise("bottom").alias("zone"), F.trim("shown").alias("shown"))
+    return out.select("doc_id", "line", "occurrences", "pages", F.bround("a", 4).alias("avg_position"), F.bround("s", 4).alias("spread"), F.when(F.col("a") <= 0.5, "top").otherwise("bottom").alias("zone"), F.trim("shown").alias("shown"))
 
 
 def data_loss(pages: DataFrame, chunks: DataFrame, least: int = 2, share: float = 0.005, samples: int = 20) -> DataFrame:
-    """Per document: words of its pages, those that none of its chunks holds, whether that passes, the first of them."""
+    """Per document: words of its pages, those that none of its chunks holds, their share, whether that passes, the first of them."""
     said = pages.filter(~F.col("extraction_failed")).select("doc_id", "page_number", F.posexplode(T.words(F.col("text"))).alias("i", "word"))
     kept = chunks.select("doc_id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("word")).distinct()
     marked = said.join(kept.withColumn("held", F.lit(True)), ["doc_id", "word"], "left")
@@ -67,7 +67,7 @@ def data_loss(pages: DataFrame, chunks: DataFrame, least: int = 2, share: float
     some = marked.filter("held is null").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= samples)
     some = some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " ").alias("sample"))
     limit = F.greatest(F.lit(float(least)), F.col("words") * share)
-    return counts.join(some, "doc_id", "left").select("doc_id", "words", "missing", (F.col("missing") <= limit).alias("passed"), F.coalesce("sample", F.lit("")).alias("sample"))
+    return counts.join(some, "doc_id", "left").select("doc_id", "words", "missing", F.bround(F.col("missing") / F.col("words"), 6).alias("ratio"), (F.col("missing") <= limit).alias("passed"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 #: Cells that hold nothing: fixed values.

@@ -58,6 +58,11 @@ def vector_leg(queries: DataFrame, items: DataFrame | VectorIndex, k: int = LIMI
     return ranked(hits, ["query_id", "variant"], k, "vector")
 
 
+def distinct_variants(variants: DataFrame) -> DataFrame:
+    """variants (query_id, tenant_id, variant, embedding), each vector of a query once, under its first variant."""
+    return variants.groupBy("query_id", "tenant_id", "embedding").agg(F.min("variant").alias("variant"))
+
+
 def stem(word: Column) -> Column:
     """A light English stemmer: of words of over 5 letters, ing, ed, es, ly and s go."""
     ends = lambda *x: [F.endswith(word, F.lit(e)) for e in x]

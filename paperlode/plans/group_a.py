@@ -35,10 +35,10 @@ def _incoming(spark, d):
     return incoming, docs.filter(STORED)
 
 
-@op("A2", f"SELECT i.id, CASE WHEN s.existing IS NOT NULL AND NOT i.force THEN 'conflict' ELSE 'accepted' END AS outcome, CASE WHEN NOT i.force THEN s.existing END AS existing FROM ({INCOMING}) AS i LEFT JOIN (SELECT tenant_id, file_hash, min(doc_id) AS existing FROM v_docs WHERE {STORED} AND NOT is_trashed GROUP BY 1, 2) AS s USING (tenant_id, file_hash)")
+@op("A2", f"SELECT i.id, CASE WHEN s.existing IS NOT NULL AND NOT i.force THEN 'conflict' ELSE 'accepted' END AS outcome, CASE WHEN NOT i.force THEN s.existing END AS existing, CASE WHEN NOT i.force THEN s.title END AS existing_title FROM ({INCOMING}) AS i LEFT JOIN (SELECT tenant_id, file_hash, min(doc_id) AS existing, arg_min(title, doc_id) AS title FROM v_docs WHERE {STORED} AND NOT is_trashed GROUP BY 1, 2) AS s USING (tenant_id, file_hash)")
 def a2(spark, d):
     ok, bad = S.exact_gate(*_incoming(spark, d), count_trashed=False)
-    return ok.select("id", F.lit("accepted").alias("outcome"), F.lit(None).cast("long").alias("existing")).unionByName(bad.select("id", F.lit("conflict").alias("outcome"), "existing"))
+    return ok.select("id", F.lit("accepted").alias("outcome"), F.lit(None).cast("long").alias("existing"), F.lit(None).cast("string").alias("existing_title")).unionByName(bad.select("id", F.lit("conflict").alias("outcome"), "existing", "existing_title"))
 
 
 @op("A3", f"SELECT min(i.id) AS id, i.tenant_id, i.file_hash FROM ({INCOMING}) AS i WHERE NOT EXISTS (SELECT 1 FROM v_docs AS s WHERE {STORED} AND s.tenant_id = i.tenant_id AND s.file_hash = i.file_hash) GROUP BY 2, 3")

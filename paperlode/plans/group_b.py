@@ -59,7 +59,7 @@ HEADED = "hp AS (SELECT doc_id, page_number, CASE WHEN doc_id % 2 = 0 THEN conca
 @op("B5", rf"""WITH {PG}, {HEADED}, ln AS (SELECT doc_id, page_number, i, raw, CASE WHEN n > 1 THEN (i - 1) / CAST(n - 1 AS DOUBLE) ELSE 0 END AS pos, trim(lower(regexp_replace(raw, '\s+', ' ', 'g'))) AS line
     FROM (SELECT doc_id, page_number, len(ls) AS n, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, page_number, string_split(text, chr(10)) AS ls FROM hp WHERE NOT extraction_failed))),
   ft AS (SELECT doc_id, page_number, line, arg_min(pos, i) AS pos, arg_min(raw, i) AS raw FROM ln WHERE length(line) >= 3 AND (pos <= 0.1 OR pos >= 0.9) GROUP BY ALL)
-  SELECT doc_id, line, count(*) AS occurrences, string_agg(CAST(page_number AS STRING), ',' ORDER BY page_number) AS pages, round_even(avg(pos), 4) AS avg_position, CASE WHEN avg(pos) <= 0.5 THEN 'top' ELSE 'bottom' END AS zone, trim(arg_min(raw, page_number)) AS shown
+  SELECT doc_id, line, count(*) AS occurrences, string_agg(CAST(page_number AS STRING), ',' ORDER BY page_number) AS pages, round_even(avg(pos), 4) AS avg_position, round_even(max(pos) - min(pos), 4) AS spread, CASE WHEN avg(pos) <= 0.5 THEN 'top' ELSE 'bottom' END AS zone, trim(arg_min(raw, page_number)) AS shown
   FROM ft GROUP BY doc_id, line HAVING count(*) >= 3 AND max(pos) - min(pos) <= 0.15""")
 def b5(spark, d):
     head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Register  No "), "doc_id", F.lit("\n"), "text")).otherwise(F.col("text"))
@@ -68,7 +68,7 @@ def b5(spark, d):
 
 @op("B6", f"""WITH {PG}, {CH}, said AS (SELECT doc_id, page_number, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, page_number, {WORDS.format('text')} AS w FROM pg WHERE NOT extraction_failed)),
   kept AS (SELECT DISTINCT doc_id, unnest({WORDS.format('content')}) AS word FROM ch WHERE (doc_id + chunk_index) % 7 <> 0)
-  SELECT doc_id, count(*) AS words, count(*) FILTER (kept.word IS NULL) AS missing, count(*) FILTER (kept.word IS NULL) <= greatest(2.0, count(*) * 0.005) AS passed,
+  SELECT doc_id, count(*) AS words, count(*) FILTER (kept.word IS NULL) AS missing, round_even(count(*) FILTER (kept.word IS NULL) / CAST(count(*) AS DOUBLE), 6) AS ratio, count(*) FILTER (kept.word IS NULL) <= greatest(2.0, count(*) * 0.005) AS passed,
     coalesce(array_to_string(list_slice(list(said.word ORDER BY page_number, i) FILTER (kept.word IS NULL), 1, 20), ' '), '') AS sample
   FROM said LEFT JOIN kept USING (doc_id, word) GROUP BY doc_id""")
 def b6(spark, d):

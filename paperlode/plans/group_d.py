@@ -74,14 +74,16 @@ def d1(spark, d):
     return S.vector_leg(_queries(spark, d), items(spark, d).filter("embedding is not null")).select("query_id", "item_id", "score", "rank")
 
 
-VARIANTS = "vq AS (SELECT query_id, tenant_id, 0 AS variant, embedding FROM v_queries UNION ALL SELECT q.query_id, q.tenant_id, 1, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1)"
+VARIANTS = "vq AS (SELECT query_id, tenant_id, min(variant) AS variant, embedding FROM (SELECT query_id, tenant_id, 0 AS variant, embedding FROM v_queries UNION ALL SELECT q.query_id, q.tenant_id, 1, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id + 1 UNION ALL SELECT q.query_id, q.tenant_id, 2, e.embedding FROM v_queries AS q JOIN embeddings AS e ON e.vec_id = q.query_id - q.query_id % 3) GROUP BY 1, 2, 4)"
 
 
 @op("D2", f"WITH {ITEMS}, {VARIANTS} SELECT query_id, variant, item_id, score, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, item_id) - 1 AS rank FROM (SELECT q.query_id, q.variant, i.item_id, round({COS.format('q.embedding', 'i.embedding')}, 6) AS score FROM vq AS q JOIN it AS i USING (tenant_id) WHERE i.embedding IS NOT NULL AND q.embedding IS NOT NULL) QUALIFY rank < 20")
 def d2(spark, d):
     q = _queries(spark, d).select("query_id", "tenant_id", "variant", "embedding")
-    more = q.drop("embedding").join(view(spark, d, "embeddings").select((F.col("vec_id") - 1).alias("query_id"), "embedding"), "query_id").withColumn("variant", F.lit(1))
-    return S.vector_leg(q.unionByName(more), items(spark, d).filter("embedding is not null")).drop("leg")
+    e = view(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("other"))
+    of = lambda n, vec_id: q.drop("variant").join(e, e.vec_id == vec_id).select("query_id", "tenant_id", F.lit(n).alias("variant"), F.col("other").alias("embedding"))
+    variants = q.unionByName(of(1, F.col("query_id") + 1)).unionByName(of(2, F.col("query_id") - F.col("query_id") % 3))
+    return S.vector_leg(S.distinct_variants(variants), items(spark, d).filter("embedding is not null")).drop("leg")
 
 
 @op("D3", f"WITH {ITEMS}, {KW} SELECT query_id, item_id, score, rank FROM kw")

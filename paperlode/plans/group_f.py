@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facts as O
-from .registry import op
+from .registry import ORACLE_SQL, op
 from .views import spark_sql, view
 
 CLAIMS = "SELECT CAST(floor(event_id / 8) AS BIGINT) AS fact_id, ts AS acted, user_id % 3 AS user_id, CASE WHEN event_type = 'click' THEN 'release' ELSE 'claim' END AS kind FROM events"
@@ -20,14 +20,18 @@ def f1(spark, d):
     return O.fold_claims(spark_sql(spark, d, CLAIMS))
 
 
-@op("F2", "SELECT f.fact_id, CASE WHEN f.status = 'in_review' THEN 'confirmed' ELSE concat('conflict_', f.status) END AS outcome, f.status = 'in_review' AND NOT f.is_handwritten AS trusted FROM v_facts AS f WHERE f.fact_id % 3 = 0")
+@op("F2", f"SELECT f.fact_id, CASE WHEN f.status = 'in_review' THEN 'confirmed' ELSE concat('conflict_', f.status) END AS outcome, f.status = 'in_review' AND NOT f.is_handwritten AS trusted, CASE WHEN f.status <> 'in_review' THEN c.holder END AS holder FROM v_facts AS f LEFT JOIN ({ORACLE_SQL['F1']}) AS c ON c.fact_id = f.fact_id WHERE f.fact_id % 3 = 0")
 def f2(spark, d):
+    """A confirmed fact loses its claim; one that cannot be confirmed keeps its holder."""
     from ..operators.graph import confirm
 
     facts = view(spark, d, "v_facts")
     acts = facts.filter("fact_id % 3 = 0").select("fact_id", "is_handwritten", F.lit("u").alias("user"))
     out = confirm(facts, acts.select("fact_id", "user"), "fact_id", "in_review", F.col("user"))
-    return out.join(acts.select("fact_id", "is_handwritten"), "fact_id").select("fact_id", "outcome", ((F.col("outcome") == "confirmed") & ~F.col("is_handwritten")).alias("trusted"))
+    claims = O.fold_claims(spark_sql(spark, d, CLAIMS)).select("fact_id", "holder")
+    out = out.join(acts.select("fact_id", "is_handwritten"), "fact_id").join(claims, "fact_id", "left")
+    confirmed = F.col("outcome") == "confirmed"
+    return out.select("fact_id", "outcome", (confirmed & ~F.col("is_handwritten")).alias("trusted"), F.when(~confirmed, F.col("holder")).alias("holder"))
 
 
 @op("F3", "SELECT fact_id, CASE WHEN field_name <> '_marginalia' THEN 'not_ambiguous' WHEN fact_id % 4 = 3 THEN 'bad_relation' ELSE 'resolved' END AS outcome, CASE WHEN field_name = '_marginalia' AND fact_id % 4 <> 3 THEN CASE fact_id % 4 WHEN 0 THEN 'vertical' WHEN 1 THEN 'horizontal' ELSE 'unrelated' END END AS human_decision FROM v_facts WHERE status = 'in_review'")

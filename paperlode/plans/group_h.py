@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import folders as FO
 from ..operators import governance as O
-from .registry import op
+from .group_b import PAGES, pages
+from .registry import ORACLE_SQL, QUERIES, op
 from .views import AS_OF, spark_sql, view
 
 AUDIT = "SELECT id, tenant_id, concat('', CAST(id + 1000000 AS STRING)) AS ordinal, concat(CAST(actor_id AS STRING), '|', action, '|', details) AS payload FROM v_audit"
@@ -15,11 +16,19 @@ CHAIN = f"""r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY o
     UNION ALL SELECT r.id, r.tenant_id, r.n, r.payload, c.event_hash, SHA256(concat(c.event_hash, r.payload)) FROM c JOIN r ON r.tenant_id = c.tenant_id AND r.n = c.n + 1)"""
 
 
-@op("H1", f"WITH RECURSIVE {CHAIN.format('true')} SELECT id, tenant_id, previous_hash, event_hash FROM c")
+#: Every 97th event has no actor; errors are a policy's doing.
+EVENTS = "SELECT id, tenant_id, CASE WHEN id % 97 <> 0 THEN actor_id END AS actor_id, action, details, CASE WHEN action = 'error' THEN 'retention-1' END AS policy_version FROM v_audit"
+_ADMITTED = f"SELECT id, tenant_id, CAST(id + 1000000 AS STRING) AS ordinal, concat(CAST(actor_id AS STRING), '|', action, '|', CASE WHEN policy_version IS NULL THEN details ELSE concat(left(details, length(details) - 1), ', \"policy_version\": \"retention-1\"}}') END) AS payload FROM ({EVENTS}) AS ev"
+
+
+@op("H1", f"WITH RECURSIVE {CHAIN.format('true').replace(AUDIT + ' WHERE true', _ADMITTED + ' WHERE actor_id IS NOT NULL')} SELECT id, tenant_id, previous_hash, event_hash, NULL AS reason FROM c UNION ALL SELECT id, tenant_id, NULL, NULL, 'actor' FROM ({EVENTS}) AS x WHERE actor_id IS NULL")
 def h1(spark, d):
-    rows = view(spark, d, "v_audit")
-    rows = rows.select("id", "tenant_id", (F.col("id") + 1000000).cast("string").alias("ordinal"), O.payload("actor_id", "action", "details").alias("payload"))
-    return O.build_chain(rows).select("id", "tenant_id", "previous_hash", "event_hash")
+    """The chain of admitted events, and the events that are refused."""
+    admitted, refused = O.admit_events(spark_sql(spark, d, EVENTS))
+    rows = admitted.select("id", "tenant_id", (F.col("id") + 1000000).cast("string").alias("ordinal"), O.payload("actor_id", "action", "details").alias("payload"))
+    chain = O.build_chain(rows).select("id", "tenant_id", "previous_hash", "event_hash", F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None).cast("string")
+    return chain.unionByName(refused.select("id", "tenant_id", none.alias("previous_hash"), none.alias("event_hash"), "reason"))
 
 
 @op("H2", f"""WITH RECURSIVE {CHAIN.format('id % 50 <> 13')},
@@ -35,11 +44,13 @@ def h2(spark, d):
     return O.verify_chain(chained.unionByName(loose))
 
 
-@op("H3", "SELECT tenant_id, coalesce(folder_id, 'root') AS corpus, count(*) AS documents, CAST(sum(1 + size_bytes // 500) AS BIGINT) AS pages, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (size_bytes % 7 = 0) AS with_loss, CAST(coalesce(sum(size_bytes % 5) FILTER (size_bytes % 7 = 0), 0) AS BIGINT) AS loss_words FROM v_docs WHERE NOT is_trashed GROUP BY 1, 2")
+_LOSS, _LINES = ORACLE_SQL["B6"], ORACLE_SQL["B5"]
+
+
+@op("H3", f"""SELECT d.tenant_id, coalesce(d.folder_id, 'root') AS corpus, count(*) AS documents, CAST(coalesce(sum(p.pages), 0) AS BIGINT) AS pages, CAST(coalesce(sum(p.failed), 0) AS BIGINT) AS failed_pages, count(*) FILTER (p.failed > 0) AS with_failures, CAST(coalesce(sum(l.missing), 0) AS BIGINT) AS loss_words, count(*) FILTER (l.missing > 0) AS with_loss, count(f.doc_id) AS with_furniture
+  FROM v_docs AS d LEFT JOIN (SELECT doc_id, count(*) AS pages, count(*) FILTER (extraction_failed) AS failed FROM ({PAGES}) AS pp GROUP BY 1) AS p ON p.doc_id = d.doc_id LEFT JOIN ({_LOSS}) AS l ON l.doc_id = d.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM ({_LINES}) AS ll) AS f ON f.doc_id = d.doc_id WHERE NOT d.is_trashed GROUP BY 1, 2""")
 def h3(spark, d):
-    loss = F.col("size_bytes") % 7 == 0
-    return view(spark, d, "v_docs").filter("not is_trashed").groupBy("tenant_id", F.coalesce("folder_id", F.lit("root")).alias("corpus")).agg(
-        F.count("*").alias("documents"), F.sum(1 + F.floor(F.col("size_bytes") / 500)).alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(loss).alias("with_loss"), F.coalesce(F.sum(F.when(loss, F.col("size_bytes") % 5)), F.lit(0)).alias("loss_words"))
+    return O.completeness(view(spark, d, "v_docs"), pages(spark, d), QUERIES["B6"](spark, d), QUERIES["B5"](spark, d))
 
 
 @op("H4", """SELECT coalesce(folder_id, 'root') AS corpus, CAST(sum(machine) AS BIGINT) AS machine, CAST(sum(in_review) AS BIGINT) AS in_review, CAST(sum(verified) AS BIGINT) AS verified, CAST(sum(held_edges) AS BIGINT) AS held_edges FROM (
@@ -74,11 +85,11 @@ def h6(spark, d):
     return need.join(view(spark, d, "v_facts").filter("fact_id % 3 = 0").select("doc_id", "field_name"), ["doc_id", "field_name"], "left_anti")
 
 
-@op("H7", "SELECT 'failed_documents' AS category, doc_id AS id FROM v_docs WHERE status = 'failed' AND NOT is_trashed UNION ALL SELECT 'with_loss', doc_id FROM v_docs WHERE size_bytes % 7 = 0 AND NOT is_trashed UNION ALL SELECT 'in_review', fact_id FROM v_facts WHERE status = 'in_review' UNION ALL SELECT 'handwritten', fact_id FROM v_facts WHERE is_handwritten UNION ALL SELECT 'low_confidence', fact_id FROM v_facts WHERE confidence < 0.5 UNION ALL SELECT 'held_edges', edge_id FROM v_edges WHERE status = 'held'")
+@op("H7", "SELECT 'failed_documents' AS category, doc_id AS id FROM v_docs WHERE status = 'failed' AND NOT is_trashed UNION ALL SELECT 'with_loss', d.doc_id FROM v_docs AS d JOIN (@@LOSS) AS l ON l.doc_id = d.doc_id WHERE l.missing > 0 AND NOT d.is_trashed UNION ALL SELECT 'in_review', fact_id FROM v_facts WHERE status = 'in_review' UNION ALL SELECT 'handwritten', fact_id FROM v_facts WHERE is_handwritten UNION ALL SELECT 'low_confidence', fact_id FROM v_facts WHERE confidence < 0.5 UNION ALL SELECT 'held_edges', edge_id FROM v_edges WHERE status = 'held'".replace("@@LOSS", _LOSS))
 def h7(spark, d):
     docs, facts = view(spark, d, "v_docs").filter("not is_trashed"), view(spark, d, "v_facts")
     one = lambda name, df, key: df.select(F.lit(name).alias("category"), F.col(key).alias("id"))
-    parts = [one("failed_documents", docs.filter("status = 'failed'"), "doc_id"), one("with_loss", docs.filter("size_bytes % 7 = 0"), "doc_id"), one("in_review", facts.filter("status = 'in_review'"), "fact_id"), one("handwritten", facts.filter("is_handwritten"), "fact_id"), one("low_confidence", facts.filter("confidence < 0.5"), "fact_id"), one("held_edges", view(spark, d, "v_edges").filter("status = 'held'"), "edge_id")]
+    parts = [one("failed_documents", docs.filter("status = 'failed'"), "doc_id"), one("with_loss", docs.join(QUERIES["B6"](spark, d).filter("missing > 0").select("doc_id"), "doc_id"), "doc_id"), one("in_review", facts.filter("status = 'in_review'"), "fact_id"), one("handwritten", facts.filter("is_handwritten"), "fact_id"), one("low_confidence", facts.filter("confidence < 0.5"), "fact_id"), one("held_edges", view(spark, d, "v_edges").filter("status = 'held'"), "edge_id")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

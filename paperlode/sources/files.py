@@ -68,14 +68,14 @@ def json_page(text: Column) -> Column:
 def exact_gate(incoming: DataFrame, stored: DataFrame, count_trashed: bool) -> tuple[DataFrame, DataFrame]:
     """(accepted, conflicts): incoming (tenant_id, id, file_hash, force) against stored hashes of the tenant.
 
-    A conflict names the stored document with the smallest id. Of equal incoming files the smallest id is accepted,
+    A conflict names the stored document with the smallest id, and its title. Of equal incoming files the smallest id is accepted,
     unless trashed documents do not count and the file is forced.
     """
     known = stored if count_trashed else stored.filter("not is_trashed")
-    known = known.groupBy("tenant_id", "file_hash").agg(F.min("doc_id").alias("existing"))
+    known = known.groupBy("tenant_id", "file_hash").agg(F.min(F.struct("doc_id", "title")).alias("e")).select("tenant_id", "file_hash", F.col("e.doc_id").alias("existing"), F.col("e.title").alias("existing_title"))
     rows = incoming.join(known, ["tenant_id", "file_hash"], "left")
     conflict = F.col("existing").isNotNull() & ~F.col("force")
-    return rows.filter(~conflict).drop("existing"), rows.filter(conflict)
+    return rows.filter(~conflict).drop("existing", "existing_title"), rows.filter(conflict)
 
 
 def stable_files(listing: DataFrame, reserved: tuple[str, ...] = ("processed/", "failed/"), grace: float = 2 * 86_400) -> DataFrame:

@@ -268,6 +268,13 @@ def test_metering(spark, plan, status, ends, docs, want):
     assert governance.meter(u, spark.sql(views.VIEWS["v_plans"]), views.AS_OF).first().decision == want
 
 
+def test_events_need_an_actor_and_carry_their_policy(spark):
+    rows = [(1, 7, '{"k": 1}', "p2"), (2, None, '{"k": 2}', "p2"), (3, 7, "{}", "p2"), (4, 7, None, "p2"), (5, 7, '{"k": 3}', None)]
+    ok, bad = governance.admit_events(frame(spark, rows, "id long, actor_id long, details string, policy_version string"))
+    assert {r.id: r.details for r in ok.collect()} == {1: '{"k": 1, "policy_version": "p2"}', 3: '{"policy_version": "p2"}', 4: '{"policy_version": "p2"}', 5: '{"k": 3}'}
+    assert [(r.id, r.reason) for r in bad.collect()] == [(2, "actor")]
+
+
 def test_percentiles_by_nearest_rank(spark):
     x = [5.0, 1.0, 3.0, 2.0, 4.0]
     got = analytics.nearest_rank(frame(spark, [(v,) for v in x], "v0 double").withColumnRenamed("v0", "value"), "value", {"p50": 0.5, "p95": 0.95}).first()
