@@ -57,7 +57,7 @@ def run(spark, rows):
 
 
 def table():
-    rows = [(i, f"src{i % 3}", ["en", "en", "en", "dé", "z"][i % 5], i * 7, f"text é {i}" * (i % 9)) for i in range(2700)]
+    rows = [(i, f"src{i % 3}", ["en", "en", "en", "dé", "z"][i % 5], i * 7, f"text é {i}" * (i % 9)) for i in range(1500)]
     rows += [(5000, "s", "alone", 1, "only one of its lang"), (None, None, None, None, None), (None, "s", None, 3, ""), (7, "s", None, None, "tie"), (7, "s", None, None, "tie"), (7, "t", None, 2**63 - 1, "tie")]
     rows += [(14, "s", "en", None, None), (9001, "s", "", 0, "x" * 200_000)]
     return rows
@@ -69,7 +69,7 @@ def test_equals_brute_force(spark):
     assert {v for *_, v in got} == {True, False}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 1023, 1024, 1025])
+@pytest.mark.parametrize("n", [1, 3, 1024, 1025])
 def test_sizes_around_blocks(spark, n):
     rows = [(i, "s", "en", 1, "t") for i in range(n)]
     assert run(spark, rows) == slow(rows)
@@ -77,7 +77,7 @@ def test_sizes_around_blocks(spark, n):
 
 def test_shuffled_rounds_agree(spark, monkeypatch):
     monkeypatch.setattr(M, "FEW_ROWS", 0)
-    assert run(spark, table()[2000:]) == slow(table()[2000:])
+    assert run(spark, table()[1200:]) == slow(table()[1200:])
 
 
 def test_narrow_bands_agree(spark, monkeypatch):
