@@ -26,7 +26,7 @@ def accept(files: DataFrame, allowed: list[str] = ALLOWED, max_bytes: int = MAX_
     size = F.octet_length("content")
     reason = (
         F.when(~kind.isin(*allowed), "type").when(F.col("content").isNull(), "unreadable").when(size > max_bytes, "size").when(size == 0, "empty")
-        .when((kind == "json") & F.try_parse_json(decode_text(F.col("content"))).isNull(), "json")
+        .when((kind == "json") & parsed_json(decode_text(F.col("content"))).isNull(), "json")
     )
     out = files.withColumn("length", size.cast("long")).withColumn("reason", reason)
     return out.withColumn("file_hash", F.when(F.col("reason").isNull(), F.sha2("content", 256)))
@@ -59,9 +59,20 @@ def csv_pages(rows: DataFrame, columns: list[str], order: list[str], rows_each:
     return pages.select("page_number", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
 
 
+def parsed_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else, else null.
+
+    Spark's parser stops after the first value and takes whatever follows it. Read as the first of two elements, of which
+    the other is a digest that the text cannot hold, a text with more than a value breaks the array or moves the digest.
+    """
+    digest = F.sha2(text, 256)
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
+    return F.when(F.try_variant_get(pair, "$[1]", "string") == digest, F.try_parse_json(text))
+
+
 def json_page(text: Column) -> Column:
     """Pretty-printed JSON, or the text as it is where it is none."""
-    parsed = F.try_parse_json(text)
+    parsed = parsed_json(text)
     return F.when(parsed.isNull(), text).otherwise(F.to_json(parsed, {"pretty": "true"}))
 
 
