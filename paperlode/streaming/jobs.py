@@ -42,10 +42,15 @@ def ingest(stream: DataFrame, at: str, chunks_of: Callable[[DataFrame], DataFram
 
     The hashes seen are state, so a batch reads nothing of earlier ones; of equal documents the first to arrive stays,
     any of those that arrive together. Batches are stored under their number, so a repeated batch replaces itself.
+
+    What a batch brings is written before it is used twice: read from the state again, another of the documents that
+    arrived together may come first, and the chunks of one would meet the hash of the other.
     """
     spark = keyed_state(stream.sparkSession)
 
     def put(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/fresh/batch={batch}")
+        df = spark.read.schema(df.schema).parquet(f"{at}/fresh/batch={batch}")
         made = chunks_of(df.select("doc_id", "text")).join(df.select("doc_id", "file_hash"), "doc_id")
         made.write.mode("overwrite").parquet(f"{at}/chunks/batch={batch}")
 
