@@ -24,7 +24,9 @@ SAMPLE_ROWS, SAMPLE_BYTES = 8_192, 32_000_000
 #: Lists at most, so that the centroids stay small enough to ship to every task.
 MOST_LISTS = 1_024
 #: Rows of one side of a block that is scored at once.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 3_000
+#: Lists of an index for which no number is asked: these, or as many as leave a tenant a block in each.
+LISTS = 64
 #: What angles may be off by, in radians.
 SLACK = 1e-6
 
@@ -73,10 +75,11 @@ class VectorIndex:
         return int(self.sizes.sum())
 
     def _probes(self, queries: DataFrame, choose, extra: list[str]) -> DataFrame:
-        """queries (query_id, variant, tenant_id, u, extra) with the lists that choose(angles, extra values) picks."""
+        """queries (query_id, variant, tenant_id, u, extra) with the lists that choose(angles, extra values) picks, and
+        least, the first of the extra values: what a score must reach (null: anything)."""
         c, sizes, radii = self.centroids, self.sizes, self.radii
         rows = queries.select("query_id", "variant", "tenant_id", "u", *extra)
-        kept = pa.schema([("query_id", pa.int64()), ("variant", pa.int32()), ("tenant_id", pa.int64()), ("u", pa.list_(pa.float64())), ("list", pa.int32())])
+        kept = pa.schema([("query_id", pa.int64()), ("variant", pa.int32()), ("tenant_id", pa.int64()), ("u", pa.list_(pa.float64())), ("list", pa.int32()), ("least", pa.float64())])
 
         def run(batches):
             for batch in batches:
@@ -87,18 +90,19 @@ class VectorIndex:
                     q, at = np.nonzero(picked)
                     for b in range(0, len(q), 10 * BLOCK_ROWS):
                         own = pa.array(q[b : b + 10 * BLOCK_ROWS])
-                        yield pa.record_batch([*(some.column(i).take(own).cast(kept.field(i).type) for i in range(4)), pa.array(at[b : b + 10 * BLOCK_ROWS].astype(np.int32))], schema=kept)
+                        yield pa.record_batch([*(some.column(i).take(own).cast(kept.field(i).type) for i in range(4)), pa.array(at[b : b + 10 * BLOCK_ROWS].astype(np.int32)), some.column(4).take(own) if extra else pa.nulls(len(own), pa.float64())], schema=kept)
 
-        return rows.mapInArrow(run, "query_id long, variant int, tenant_id long, u array<double>, list int")
+        return rows.mapInArrow(run, "query_id long, variant int, tenant_id long, u array<double>, list int, least double")
 
     def score(self, probes: DataFrame, k: int, least: float = -2.0, decimals: int = 6) -> DataFrame:
         """query_id, variant, tenant_id, item_id, s: the k best of each block for each of its probes, of at least
-        `least`, by rounded score and order of ties. A block of items meets a block of queries; both are bounded."""
+        `least` and of what the probe asks for, by rounded score and order of ties. A block of items meets a block of
+        queries; both are bounded."""
         most = probes.groupBy("tenant_id", "list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("js"))
         asked = F.pmod(F.xxhash64("query_id", "variant"), "js").cast("int").alias("j")
         # lists has a row for each list, of which there are MOST_LISTS at most
         right = probes.join(most, ["tenant_id", "list"]).join(F.broadcast(self.lists.select("list", "parts")), "list")
-        right = right.select("tenant_id", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), asked, "query_id", "variant", "u")
+        right = right.select("tenant_id", "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), asked, "query_id", "variant", "u", F.coalesce("least", F.lit(least)).alias("least"))
         left = self.items.filter("first IS NOT NULL").join(most, ["tenant_id", "list"])
         left = left.select("tenant_id", "list", "part", F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), "item_id", "first", "u")
 
@@ -109,7 +113,9 @@ class VectorIndex:
             s = np.stack(asking.u.to_list()) @ np.stack(some.u.to_list()).T
             order = np.argsort(-np.round(s, decimals), axis=1, kind="stable")[:, :k]
             i, j = np.repeat(np.arange(len(asking)), order.shape[1]), order.ravel()
-            i, j = i[s[i, j] >= least], j[s[i, j] >= least]
+            # what rounding may make equal to the score asked for is kept
+            kept = s[i, j] >= np.maximum(least, asking.least.to_numpy() - 2 * 10.0**-decimals)[i]
+            i, j = i[kept], j[kept]
             return pd.DataFrame({"query_id": asking.query_id.to_numpy()[i], "variant": asking.variant.to_numpy()[i], "tenant_id": some.tenant_id.iloc[0], "item_id": some.item_id.to_numpy()[j], "s": s[i, j]})
 
         block = ["tenant_id", "list", "part", "j"]
@@ -174,17 +180,17 @@ class VectorIndex:
 def build(vectors: DataFrame, lists: int | None = None, write: bool = True) -> VectorIndex:
     """vectors: tenant_id, item_id, embedding, and first where ties have an order of their own (null: no candidate).
 
-    Zero and null vectors take no part. lists: how many; else the square root of the number of vectors. The sample
-    that trains the centroids is bounded and drawn by a hash of the id; every vector is indexed. write: whether lists are
+    Zero and null vectors take no part. lists: how many; else few, since a query is sent to each list that it
+    visits. The sample that trains the centroids is bounded and drawn by a hash of the id; every vector is indexed. write: whether lists are
     written as partitions, for searches to come; an index for one search deals its rows as it goes.
     """
     spark = vectors.sparkSession
     order = F.col("first") if "first" in vectors.columns else F.col("item_id")
     rows = stage(vectors.select(F.col("tenant_id").cast("long").alias("tenant_id"), "item_id", order.alias("first"), unit(F.col("embedding")).alias("u")).filter("u IS NOT NULL"), "vectors")
-    n, dim = rows.agg(F.count("*"), F.max(F.size("u"))).first()
+    n, dim, tenants = rows.agg(F.count("*"), F.max(F.size("u")), F.count_distinct("tenant_id")).first()
     some = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * (dim or 1))))
     sample = _matrix(rows.orderBy(F.xxhash64("item_id"), "tenant_id").limit(some).select("u").toArrow().column("u").combine_chunks()) if n else np.zeros((1, 1))
-    c = train(sample, max(1, min(MOST_LISTS, len(sample), lists or round(math.sqrt(n)))))
+    c = train(sample, max(1, min(MOST_LISTS, len(sample), lists or min(round(math.sqrt(n)), max(LISTS, n // (BLOCK_ROWS * max(1, tenants)))))))
 
     def assign(batches):
         for batch in batches:
@@ -195,8 +201,9 @@ def build(vectors: DataFrame, lists: int | None = None, write: bool = True) -> V
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     placed = stage(rows.mapInArrow(assign, f"{fields}, list int, angle double"), "vectors-placed")
-    known = placed.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()  # a row for each list
-    facts = spark.createDataFrame([(r.list, r.n, r.radius, -(-r.n // BLOCK_ROWS)) for r in known], "list int, n long, radius double, parts int")
+    known = placed.groupBy("list", "tenant_id").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    known = known.groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("n").alias("most")).collect()  # a row for each list
+    facts = spark.createDataFrame([(r.list, r.n, r.radius, -(-r.most // BLOCK_ROWS)) for r in known], "list int, n long, radius double, parts int")
     dealt = placed.join(F.broadcast(facts.select("list", "parts")), "list").withColumn("part", F.pmod(F.xxhash64("item_id"), "parts").cast("int")).drop("parts", "angle")
     at, items = None, dealt
     if write:
