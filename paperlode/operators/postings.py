@@ -35,7 +35,8 @@ class Postings:
         update, as rows of a version that was never recorded match nothing.
         """
         self.version += 1
-        counts = item_terms(items).groupBy("item_id", *TERM).agg(F.count("*").alias("tf"))
+        # dealt by item before they are taken apart, texts are shuffled once and their counts need no shuffle of their own
+        counts = item_terms(items.repartition("item_id")).groupBy("item_id", *TERM).agg(F.count("*").alias("tf"))
         counts = counts.withColumn("version", F.lit(self.version).cast("long")).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         counts.repartition("bucket", F.pmod(F.xxhash64("item_id"), F.lit(8))).write.mode("append").partitionBy("bucket").parquet(f"{self.at}/counts")
         versions = items.select("item_id").withColumn("live", F.lit(True))
