@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,40 +18,58 @@ def _clause(clauses: Column, name: str) -> Column:
     return F.substring_index(said, name + " ", -1)
 
 
-def _amount(clause: Column, unit: tuple[float, list[str]]) -> Column:
-    """The first number in a clause that stands before a word of the unit, in square metres, else null."""
-    factor, words = unit
-    quantities = F.regexp_extract_all(clause, F.lit(r"\d+(?:\.\d+)?\s*[\p{L}\p{M}]+"), F.lit(0))
-    word = lambda q: F.regexp_extract(q, r"[\p{L}\p{M}]+$", 0)
+def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), made), 0)
+
+
+def _amounts(clause: Column, units: list[tuple[float, list[str]]]) -> Column:
+    """For each unit the first number in a clause that stands before a word of it, in square metres, else null."""
+    quantities = F.transform(
+        F.regexp_extract_all(clause, F.lit(r"\d+(?:\.\d+)?\s*[\p{L}\p{M}]+"), F.lit(0)),
+        lambda q: F.struct(F.regexp_extract(q, r"^[\d.]+", 0).cast("double").alias("n"), F.regexp_extract(q, r"[\p{L}\p{M}]+$", 0).alias("word")),
+    )
+
+    def named(words: list[str]) -> Callable[[Column], Column]:
+        def fits(q: Column) -> Column:
+            out = F.lit(False)
+            for w in words:
+                out = out | (F.startswith(q["word"], F.lit(w[:-1])) if w.endswith("*") else q["word"] == w)
+            return out
 
-    def named(q: Column) -> Column:
-        fits = [F.startswith(word(q), F.lit(w[:-1])) if w.endswith("*") else word(q) == w for w in words]
-        out = fits[0]
-        for f in fits[1:]:
-            out = out | f
-        return out
+        return fits
 
-    return F.regexp_extract(F.get(F.filter(quantities, named), 0), r"^[\d.]+", 0).cast("double") * factor
+    return _let(quantities, lambda qs: F.array(*[F.get(F.filter(qs, named(words)), 0)["n"] * factor for factor, words in units]))
 
 
 def parse_cell(text: Column) -> Column:
     """survey_numbers, cts, area_sqm, built_sqm, open_space_sqm, flag of a cell. A cell is a list of clauses between
     commas; in each the first amount of a unit counts. "Akker" is flagged and never converted."""
     # full stops other than decimal ones go, and two-word units become one
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.(?!\d)", ""), r"\b(sq|चौ)\s+(?=[fmफम])", "$1")
-    clauses = F.split(plain, ",")
-    area = [_amount(_clause(clauses, "area"), u) for u in AREA_UNITS]
-    total = F.when(F.coalesce(*area).isNotNull(), sum((F.coalesce(a, F.lit(0.0)) for a in area), F.lit(0.0)))
+    tidy = F.regexp_replace(F.regexp_replace(F.lower(text), r"\.(?!\d)", ""), r"\b(sq|चौ)\s+(?=[fmफम])", "$1")
+
+    def parsed(plain: Column) -> Column:
+        word_and_number = lambda w: F.nullif(F.regexp_extract(plain, rf"\b{w}\s*(?:no\s*)?([\d.]*\d)", 1), F.lit(""))
+        amounts = lambda clauses: F.struct(
+            _amounts(_clause(clauses, "area"), AREA_UNITS).alias("area"), _amounts(_clause(clauses, "construction"), [SQUARE_FOOT]).alias("built"),
+            _amounts(_clause(clauses, "open space"), [SQUARE_METRE]).alias("open"),
+        )
+        return F.struct(word_and_number("cts").alias("cts"), word_and_number("akker").alias("akker"), _let(F.split(plain, ","), amounts).alias("m"))
+
     named = F.get(F.filter(F.split(text, ","), lambda c: c.rlike(r"(?i)(?:s\.?|survey\s*)no\.?\s*\d")), 0)
     listed = F.split(F.regexp_replace(named, r"(?i)^.*?(?:s\.?|survey\s*)no\.?\s*(?=\d)", ""), "&")
     surveys = F.filter(F.transform(listed, lambda s: F.regexp_extract(F.trim(s), r"^\d+(?:/\w+)?", 0)), lambda s: s != "")
-    word_and_number = lambda w: F.nullif(F.regexp_extract(plain, rf"\b{w}\s*(?:no\s*)?([\d.]*\d)", 1), F.lit(""))
-    akker = word_and_number("akker")
-    return F.struct(
-        F.coalesce(F.array_join(surveys, ";"), F.lit("")).alias("survey_numbers"), word_and_number("cts").alias("cts"), total.alias("area_sqm"),
-        F.round(_amount(_clause(clauses, "construction"), SQUARE_FOOT), 2).alias("built_sqm"), _amount(_clause(clauses, "open space"), SQUARE_METRE).alias("open_space_sqm"),
-        F.when(akker.isNotNull(), F.concat(F.lit("Akker "), akker, F.lit(": unit differs by district, needs review"))).alias("flag"),
-    )
+
+    def cell(p: Column) -> Column:
+        area = p["m"]["area"]
+        total = F.when(F.exists(area, lambda a: a.isNotNull()), F.aggregate(area, F.lit(0.0), lambda s, a: s + F.coalesce(a, F.lit(0.0))))
+        return F.struct(
+            F.coalesce(F.array_join(surveys, ";"), F.lit("")).alias("survey_numbers"), p["cts"].alias("cts"), total.alias("area_sqm"),
+            F.round(F.get(p["m"]["built"], 0), 2).alias("built_sqm"), F.get(p["m"]["open"], 0).alias("open_space_sqm"),
+            F.when(p["akker"].isNotNull(), F.concat(F.lit("Akker "), p["akker"], F.lit(": unit differs by district, needs review"))).alias("flag"),
+        )
+
+    return _let(_let(tidy, parsed), cell)
 
 
 def lenient_json(reply: Column, schema: str) -> Column:
