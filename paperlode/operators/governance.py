@@ -30,7 +30,7 @@ def build_chain(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
     if last is not None:
         rows = rows.join(last.select("tenant_id", F.col("event_hash").alias("start")), "tenant_id", "left")
         start = F.coalesce("start", start)
-    sorted_rows = rows.select("tenant_id", "ordinal", "id", "payload", start.alias("start")).repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "ordinal", "id")
+    sorted_rows = rows.select("tenant_id", "ordinal", "id", "payload", start.alias("start")).repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "ordinal", "id", "payload")
 
     def run(batches):
         tenant, last = None, ""

@@ -3,7 +3,6 @@ its output, so that a restart goes on where it stopped; started with another tri
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.governance import GENESIS
+from ..operators.governance import build_chain
 from ..operators.staging import folder  # noqa: F401
 
 
@@ -114,69 +113,57 @@ def stability_guard(stream: DataFrame, grace: float = 2 * 86_400, interval: floa
     return rows.transformWithStateInPandas(Guard(int(grace * 1e6), int(interval * 1e6)), "path string, poll_no long, size long", "append", "eventTime")
 
 
-class Chain(StatefulProcessor):
-    """State of a tenant: the tail of its chain, the latest time seen, and rows that are not old enough to be chained."""
-
-    def __init__(self, delay_us: int):
-        self.delay_us = delay_us
-
-    def init(self, handle) -> None:
-        self.tail = handle.getValueState("tail", "hash string, at long, id long")
-        self.seen = handle.getValueState("seen", "at long, pending boolean")
-        self.waiting = handle.getMapState("waiting", "at long, id long", "payload string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        tenant = int(key[0])
-        last, at, id_ = self.tail.get() if self.tail.exists() else (hashlib.sha256(f"{GENESIS}{tenant}".encode()).hexdigest(), None, None)
-        seen, pending = self.seen.get() if self.seen.exists() else (None, False)
-        late, fresh = [], []
-        for pdf in rows:
-            for t, i, text in zip(pdf["at"], pdf["id"], pdf["payload"]):
-                seen = int(t) if seen is None else max(seen, int(t))
-                if i is None or pd.isna(i):
-                    continue  # tells the time alone
-                row = (int(t), int(i), text)
-                (late if at is not None and row[:2] <= (at, id_) else fresh).append(row)
-        ready = [r for r in fresh if r[0] <= seen - self.delay_us]
-        if pending:
-            known = [(*(int(x) for x in k), v[0]) for k, v in self.waiting.iterator() if k[0] <= seen - self.delay_us]
-            for t, i, _ in known:
-                self.waiting.removeKey((t, i))
-            ready += known
-        for t, i, text in fresh:
-            if t > seen - self.delay_us:
-                self.waiting.updateValue((t, i), (text,))
-                pending = True
-        out = []
-        for t, i, text in sorted(ready):
-            before, last = last, hashlib.sha256((last + text).encode()).hexdigest()
-            at, id_ = t, i
-            out.append((i, tenant, before, last, False))
-        if at is not None:
-            self.tail.update((last, at, id_))
-        if seen is not None:
-            self.seen.update((seen, pending))
-        out += [(i, tenant, None, None, True) for _, i, _ in late]
-        yield pd.DataFrame(out, columns=["id", "tenant_id", "previous_hash", "event_hash", "late"])
-
-    def close(self) -> None:
-        pass
+#: What a batch of the audit chain leaves: its chained and late rows, those that wait, and the state of each tenant.
+CHAIN = {
+    "chain": "id long, tenant_id long, previous_hash string, event_hash string, ordinal string",
+    "late": "id long, tenant_id long",
+    "waiting": "tenant_id long, id long, at long, payload string",
+    "tails": "tenant_id long, event_hash string, at long, id long, seen long",
+}
 
 
 def audit_chain(stream: DataFrame, at: str, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(chain, late): the audit chain per tenant by time and id, and the rows that came too late to be in it.
 
     stream: id, tenant_id, created_at, payload. A row is chained once a row of its tenant is `delay` seconds later; until
-    then it waits in state, so rows may come in any order within that time. What comes after its place in the chain was
-    passed goes to the late table, as a chain cannot be ordered anew. A row without id tells the time alone. State is a
-    tail and the waiting rows of each tenant; a batch reads nothing that earlier ones wrote, and what it brings of one
-    tenant passes through one task.
+    then it waits, so rows may come in any order within that time. What comes after its place in the chain was passed
+    goes to the late table, as a chain cannot be ordered anew. A row without id tells the time alone.
+
+    A batch reads what the one before it left: the tail of each tenant and the rows that wait. Spark sorts its rows, and
+    they stream through the tenant's task, which keeps the last hash alone. Batches are stored under their number, so a
+    repeated batch replaces itself.
     """
-    keyed_state(stream.sparkSession)
-    rows = stream.select("tenant_id", "id", F.unix_micros("created_at").alias("at"), "payload").groupBy("tenant_id")
-    made = rows.transformWithStateInPandas(Chain(int(delay * 1e6)), "id long, tenant_id long, previous_hash string, event_hash string, late boolean", "append", "none")
-    out = run(made, at)
-    return out.filter("NOT late").drop("late"), out.filter("late").select("id", "tenant_id")
+    spark, wait = stream.sparkSession, int(delay * 1e6)
+    where = lambda kind, batch: f"{at}/{kind}/batch={batch}"
+    for kind, schema in CHAIN.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(where(kind, -1))
+
+    def put(df: DataFrame, batch: int) -> None:
+        session = df.sparkSession
+        left = lambda kind, n: session.read.schema(CHAIN[kind]).parquet(where(kind, n))
+        keep = lambda rows, kind: rows.write.mode("overwrite").parquet(where(kind, batch))
+        df.write.mode("overwrite").parquet(where("fresh", batch))
+        df = session.read.schema(df.schema).parquet(where("fresh", batch))
+        before = left("tails", batch - 1)
+        seen = before.select("tenant_id", "seen").unionByName(df.select("tenant_id", F.col("at").alias("seen"))).groupBy("tenant_id").agg(F.max("seen").alias("seen"))
+        tails = seen.join(before.drop("seen").withColumnsRenamed({"at": "tail_at", "id": "tail_id"}), "tenant_id", "left")
+        columns = ["tenant_id", "id", "at", "payload"]
+        rows = df.filter("id IS NOT NULL").select(*columns, F.lit(True).alias("fresh")).unionByName(left("waiting", batch - 1).select(*columns, F.lit(False).alias("fresh"))).join(tails, "tenant_id")
+        passed = F.coalesce(F.col("fresh") & (F.struct("at", "id") <= F.struct(F.col("tail_at").alias("at"), F.col("tail_id").alias("id"))), F.lit(False))
+        ready = F.col("at") <= F.col("seen") - wait
+        keep(rows.filter(passed).select("id", "tenant_id"), "late")
+        keep(rows.filter(~passed & ~ready).select(*columns), "waiting")
+        # times as texts of one length, which sort as the times do
+        due = rows.filter(~passed & ready).select("tenant_id", "id", (F.col("at") + 2**62).cast("string").alias("ordinal"), "payload")
+        keep(build_chain(due, before.filter("event_hash IS NOT NULL").select("tenant_id", "event_hash")).select("id", "tenant_id", "previous_hash", "event_hash", "ordinal"), "chain")
+        last = left("chain", batch).groupBy("tenant_id").agg(F.max_by(F.struct("event_hash", (F.col("ordinal").cast("long") - 2**62).alias("at"), "id"), F.struct("ordinal", "id")).alias("x"))
+        new = lambda c, old: F.coalesce(f"x.{c}", old).alias(c)
+        keep(tails.join(last, "tenant_id", "left").select("tenant_id", new("event_hash", "event_hash"), new("at", "tail_at"), new("id", "tail_id"), "seen"), "tails")
+
+    rows = stream.select("tenant_id", "id", F.unix_micros("created_at").alias("at"), "payload")
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    made = lambda kind, columns: spark.read.schema(CHAIN[kind]).parquet(f"{at}/{kind}").select(*columns)
+    return made("chain", ["id", "tenant_id", "previous_hash", "event_hash"]), made("late", ["id", "tenant_id"])
 
 
 def windowed_metrics(stream: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
