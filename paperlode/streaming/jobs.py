@@ -8,7 +8,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.governance import build_chain
 from ..operators.staging import folder  # noqa: F401
@@ -64,53 +63,41 @@ def keyed_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
-class Guard(StatefulProcessor):
-    """State of a path: its last poll, size, and whether it was taken; it ends by a timer once a poll is missed."""
-
-    def __init__(self, grace_us: int, interval_us: int):
-        self.grace_us, self.interval_us = grace_us, interval_us
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "poll_no long, size long, done boolean")
+def stability_guard(stream: DataFrame, grace: float = 2 * 86_400, interval: float = 86_400) -> DataFrame:
+    """path, poll_no, size when a file first has the size of the poll before and its last change is `grace` seconds old.
 
-    def handleInputRows(self, key, rows, timerValues):
-        polls = sorted(p for pdf in rows for p in zip(pdf["poll_no"], pdf["size"], pdf["mtime_us"], pdf["poll_us"]))
-        last, size, done = self.last.get() if self.last.exists() else (None, None, False)
+    stream: path, poll_no, size, mtime, poll_ts; polls are `interval` seconds apart and come in order, those of one
+    batch in any. A file that a poll misses is forgotten: if it comes back it is another one. State of a path: its last
+    poll, size, and whether it was taken; it comes and goes with the rows of many paths at once, and ends by a timeout
+    once a poll is missed.
+    """
+    keyed_state(stream.sparkSession)
+    grace_us, interval_us = int(grace * 1e6), int(interval * 1e6)
+    columns = ["poll_no", "size", "mtime_us", "poll_us"]
+
+    def run(key, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        polls = sorted(p for pdf in pdfs for p in zip(*(pdf[c].tolist() for c in columns)))
+        last, size, done = state.get if state.exists else (None, None, False)
         out = []
         for poll, now, mtime, at in polls:
             if last is not None and poll <= last:
                 continue  # told before
             if last is None or poll != last + 1:
                 size, done = None, False  # it was gone in between, so this is another file
-            if not done and now == size and at - mtime >= self.grace_us:
+            if not done and now == size and at - mtime >= grace_us:
                 out, done = [*out, (key[0], int(poll), int(now))], True
             last, size = int(poll), int(now)
-        if polls:
-            self.last.update((last, size, done))
-            for t in self.handle.listTimers():
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(int(max(p[3] for p in polls) + 2 * self.interval_us) // 1000)
-        yield pd.DataFrame(out, columns=["path", "poll_no", "size"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.last.clear()
-        yield pd.DataFrame([], columns=["path", "poll_no", "size"])
+        state.update((last, size, done))
+        state.setTimeoutTimestamp(int(max(p[3] for p in polls) + 2 * interval_us) // 1000)
+        if out:
+            yield pd.DataFrame(out, columns=["path", "poll_no", "size"])
 
-    def close(self) -> None:
-        pass
-
-
-def stability_guard(stream: DataFrame, grace: float = 2 * 86_400, interval: float = 86_400) -> DataFrame:
-    """path, poll_no, size when a file first has the size of the poll before and its last change is `grace` seconds old.
-
-    stream: path, poll_no, size, mtime, poll_ts; polls are `interval` seconds apart and come in order, those of one
-    batch in any. A file that a poll misses is forgotten: if it comes back it is another one.
-    """
-    keyed_state(stream.sparkSession)
     rows = stream.select("path", "poll_no", "size", "poll_ts", F.unix_micros("mtime").alias("mtime_us"), F.unix_micros("poll_ts").alias("poll_us"))
     rows = rows.withWatermark("poll_ts", "0 seconds").groupBy("path")
-    return rows.transformWithStateInPandas(Guard(int(grace * 1e6), int(interval * 1e6)), "path string, poll_no long, size long", "append", "eventTime")
+    return rows.applyInPandasWithState(run, "path string, poll_no long, size long", "poll_no long, size long, done boolean", "append", "EventTimeTimeout")
 
 
 #: What a batch of the audit chain leaves: its chained and late rows, those that wait, and the state of each tenant.
