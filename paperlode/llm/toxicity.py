@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held
+from .common import Memo, held, trim
 from .token_ids import groups
 
 #: Labelled rows that the fit may take from each side (graded 0, graded above). Scoring and everything else see all rows.
@@ -37,6 +37,10 @@ def features_of(word: str) -> list[int]:
     return [xxh32_intdigest(k) & (FEATURES - 1) for k in keys]
 
 
+#: Entries of a sparse matrix that are worked on at once: what lies between is as large as these, not as the matrix.
+ENTRIES_EACH = 1 << 18
+
+
 class Rows(NamedTuple):
     """A sparse matrix by rows; a row's features are distinct."""
 
@@ -44,12 +48,43 @@ class Rows(NamedTuple):
     value: np.ndarray
     begin: np.ndarray
 
+    def blocks(self):
+        """(first row, row after the last, their entries) of successive rows with about ENTRIES_EACH entries."""
+        a, n = 0, len(self.begin) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + ENTRIES_EACH, "right")) - 1)
+            yield a, b, slice(int(self.begin[a]), int(self.begin[b]))
+            a = b
+
+    def by_row(self, of) -> np.ndarray:
+        """For each row the sum of what `of` gives for its entries."""
+        out = np.zeros(len(self.begin) - 1)
+        for a, b, at in self.blocks():
+            sums = np.append(0.0, np.cumsum(of(at)))
+            out[a:b] = sums[self.begin[a + 1 : b + 1] - at.start] - sums[self.begin[a:b] - at.start]
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.append(0.0, np.cumsum(w[self.index] * self.value))
-        return sums[self.begin[1:]] - sums[self.begin[:-1]]
+        return self.by_row(lambda at: w[self.index[at]] * self.value[at])
 
     def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, np.repeat(g, np.diff(self.begin)) * self.value, size)
+        out = np.zeros(size)
+        for a, b, at in self.blocks():
+            out += np.bincount(self.index[at], np.repeat(g[a:b], np.diff(self.begin[a : b + 1])) * self.value[at], size)
+        return out
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """In how many of the rows that are True each feature stands."""
+        out = np.zeros(FEATURES, np.int64)
+        for a, b, at in self.blocks():
+            out += np.bincount(self.index[at][np.repeat(rows[a:b], np.diff(self.begin[a : b + 1]))], minlength=FEATURES)
+        return out
+
+    def only(self, features: np.ndarray) -> Rows:
+        """The entries whose features are True, with features numbered among those."""
+        use, place = features[self.index], (np.cumsum(features) - 1).astype(np.int32)
+        begin = np.append(0, np.cumsum(self.by_row(lambda at: use[at]))).astype(np.int64)
+        return Rows(place[self.index[use]], self.value[use], begin)
 
 
 def rows_of(lists: list[list[int]]) -> Rows:
@@ -77,12 +112,10 @@ def fit(rows: Rows, grades: np.ndarray, penalty: float = 0.001, rounds: int = 80
     top = int(grades.max(initial=0))
     if not len(grades) or top == 0:
         return Model({}, [])
-    held = np.bincount(rows.index, minlength=FEATURES)
-    kept = np.flatnonzero(held >= least)
-    use = held[rows.index] >= least
-    place = np.zeros(FEATURES, np.int32)
-    place[kept] = np.arange(len(kept))
-    x = Rows(place[rows.index[use]], np.minimum(rows.value[use], 5), np.append(0, np.cumsum(use))[rows.begin])
+    often = rows.counts(np.ones(len(grades), bool)) >= least
+    kept = np.flatnonzero(often)
+    x = rows.only(often)
+    x = x._replace(value=np.minimum(x.value, 5))
     n = len(grades)
     share = np.array([(grades > k).mean() for k in range(top)]).clip(1e-6, 1 - 1e-6)
     theta = np.log((1 - share) / share)
@@ -92,8 +125,7 @@ def fit(rows: Rows, grades: np.ndarray, penalty: float = 0.001, rounds: int = 80
     for penalty_now, rounds_now in ((penalty, rounds), (penalty / 20, 4 * rounds)):
         if penalty_now < penalty:
             chosen = np.flatnonzero(w)
-            use = np.isin(x.index, chosen)
-            x = Rows(np.searchsorted(chosen, x.index[use]), x.value[use], np.append(0, np.cumsum(use))[x.begin])
+            x = x.only(w != 0)
             w = last = w[chosen]
             kept = kept[chosen]
         # curvature of each weight, bounded: rare features may take long steps
@@ -120,11 +152,9 @@ def severity_grades(rows: Rows, toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 2 from a yes-or-no label: toxic texts with more distinct marker features than the toxic texts'
     median are graded 2, other toxic texts 1. Markers: features at least 20 times as likely in toxic texts."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
-    by = np.repeat(toxic, np.diff(rows.begin)) > 0
-    ones, zeros = np.bincount(rows.index[by], minlength=FEATURES), np.bincount(rows.index[~by], minlength=FEATURES)
+    ones, zeros = rows.counts(toxic > 0), rows.counts(toxic <= 0)
     marker = (ones >= 3) & ((ones + 0.5) / (n1 + 1) > 20 * (zeros + 0.5) / (n0 + 1))
-    sums = np.append(0, np.cumsum(marker[rows.index]))
-    held = sums[rows.begin[1:]] - sums[rows.begin[:-1]]
+    held = rows.by_row(lambda at: marker[rows.index[at]])
     middle = np.median(held[toxic > 0]) if toxic.any() else 0
     return np.where(toxic > 0, 1 + (held > middle), 0).astype(np.int64)
 
@@ -135,22 +165,22 @@ def sample(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: i
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = known.filter("toxic = 0").orderBy(*order).limit(clean).union(known.filter("toxic > 0").orderBy(*order).limit(graded))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ints = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", ints), ("counts", ints)])
+    ints, few = pa.list_(pa.int32()), pa.list_(pa.int8())
+    schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("features", ints), ("counts", few)])
 
     def run(batches):
         for batch in batches:
             for a, b in groups(batch):
                 found = [np.unique(np.array([f for w in words_of(t) for f in features_of(w)], np.int32), return_counts=True) for t in batch.column(2).slice(a, b - a).to_pylist()]
-                own = [pa.array([f[k].astype(np.int32) for f in found], ints) for k in (0, 1)]
+                own = [pa.array([f[0] for f in found], ints), pa.array([np.minimum(f[1], 127).astype(np.int8) for f in found], few)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *own], schema=schema)
 
-    # at most clean + graded rows of two numbers
-    own = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<int>, counts array<int>")
+    # at most clean + graded rows of two numbers; the fit counts a feature five times at most, so that a byte holds it
+    own = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<int>, counts array<tinyint>")
     found = own.orderBy("doc_id").limit(clean + graded).toArrow().combine_chunks()
     features, counts = found.column("features").combine_chunks(), found.column("counts").combine_chunks()
     begin = np.append(0, np.cumsum(features.value_lengths().to_numpy(zero_copy_only=False)))
-    rows = Rows(features.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False).astype(float), begin)
+    rows = Rows(features.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False), begin)
     return rows, found.column("toxic").to_numpy().astype(np.int64)
 
 
@@ -210,4 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, clean: int = FIT_CLEAN, graded: int = FIT_GRADED) -> Model:
     rows, toxic = sample(docs, labels, clean, graded)
-    return fit(rows, severity_grades(rows, toxic))
+    model = fit(rows, severity_grades(rows, toxic))
+    del rows
+    trim()  # the driver goes on to other stages
+    return model

@@ -46,3 +46,31 @@ def test_no_graded_rows(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert [(x.expected_severity, x.toxic) for x in T.score(docs, T.fit_toxicity(docs, labels)).collect()] == [(0.0, False)] * 2
     assert T.score(docs.limit(0), T.fit_toxicity(docs, labels.limit(0))).collect() == []
+
+
+def test_fit_stays_small_beside_its_rows():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    n, each = 3000, 1500
+    index = np.concatenate([np.sort(r.choice(6000, each, False)) for _ in range(n)]).astype(np.int32)
+    rows = T.Rows(index, np.ones(len(index), np.int8), np.arange(n + 1) * each)
+    toxic = (np.arange(n) % 4 == 0).astype(np.int64)
+    tracemalloc.start()
+    model = T.fit(rows, T.severity_grades(rows, toxic), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.thresholds) >= 1
+    assert peak < 3 * (index.nbytes + len(index)) + 6 * 8 * T.FEATURES, peak  # the rows a few times, and what has one number a feature
+
+
+def test_blocks_of_rows_give_whole_sums(monkeypatch):
+    lists = [[1, 1, 2], [], [5], [2, 5, 5, 7], [], [9] * 3, []]
+    rows = T.rows_of(lists)
+    w = np.arange(10, dtype=float)
+    monkeypatch.setattr(T, "ENTRIES_EACH", 2)
+    assert rows.dot(w).tolist() == [float(sum(x)) for x in lists]
+    assert rows.back(np.arange(1.0, 8.0), 10).tolist() == [float(sum((i + 1) * x.count(f) for i, x in enumerate(lists))) for f in range(10)]
+    kept = rows.only(np.isin(np.arange(T.FEATURES), [2, 5]))
+    assert (kept.index.tolist(), kept.begin.tolist()) == ([0, 1, 0, 1], [0, 1, 1, 2, 4, 4, 4, 4])
+    assert rows.counts(np.arange(7) > 0)[:10].tolist() == [0, 0, 1, 0, 0, 2, 0, 1, 0, 1]
