@@ -56,18 +56,53 @@ def furniture(pages: DataFrame, least_pages: int = 3, spread: float = 0.15, marg
     return out.select("doc_id", "line", "occurrences", "pages", F.bround("a", 4).alias("avg_position"), F.bround("s", 4).alias("spread"), F.when(F.col("a") <= 0.5, "top").otherwise("bottom").alias("zone"), F.trim("shown").alias("shown"))
 
 
+def _lost(samples: int):
+    """From lines of words in order, those of a document's chunks before those of its pages: doc_id, words, missing, and
+    the first missing words. The words of one document's chunks are held at a time."""
+    import pyarrow as pa
+
+    def run(batches):
+        doc, begun, kept, words, missing, first = None, False, set(), 0, 0, []
+        kind = None
+
+        def rows(done: list) -> pa.RecordBatch:
+            ids, *rest = zip(*done)
+            return pa.record_batch([pa.array(ids, kind), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "words", "missing", "sample"])
+
+        for batch in batches:
+            kind, done = batch.column(0).type, []
+            for at in range(0, batch.num_rows, 256):
+                for d, said, w in zip(*(batch.column(i).slice(at, 256).to_pylist() for i in range(3))):
+                    if not begun or d != doc:
+                        if words:
+                            done.append((doc, words, missing, " ".join(first)))
+                        doc, begun, kept, words, missing, first = d, True, set(), 0, 0, []
+                    ws = w.split(" ")
+                    if said:
+                        lost = [x for x in ws if x not in kept]
+                        words, missing = words + len(ws), missing + len(lost)
+                        first += lost[: samples - len(first)]
+                    elif d is not None:  # a document without an id has no chunks
+                        kept.update(ws)
+            if done:
+                yield rows(done)
+        if words:
+            yield rows([(doc, words, missing, " ".join(first))])
+
+    return run
+
+
 def data_loss(pages: DataFrame, chunks: DataFrame, least: int = 2, share: float = 0.005, samples: int = 20) -> DataFrame:
     """Per document: words of its pages, those that none of its chunks holds, their share, whether that passes, the first of them."""
-    said = pages.filter(~F.col("extraction_failed")).select("doc_id", "page_number", F.posexplode(T.words(F.col("text"))).alias("i", "word"))
-    kept = chunks.select("doc_id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("word")).distinct()
-    marked = said.join(kept.withColumn("held", F.lit(True)), ["doc_id", "word"], "left")
-    counts = marked.groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(F.col("held").isNull()).alias("missing"))
-    # of the lost words no more than the samples are gathered
-    first = Window.partitionBy("doc_id").orderBy("page_number", "i")
-    some = marked.filter("held is null").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= samples)
-    some = some.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), " ").alias("sample"))
+    line = lambda c: F.array_join(T.words(F.col(c)), " ").alias("w")
+    said = pages.filter(~F.col("extraction_failed")).select("doc_id", F.lit(True).alias("said"), F.col("page_number").cast("long").alias("page_number"), line("text"))
+    kept = chunks.select("doc_id", F.lit(False).alias("said"), F.lit(0).cast("long").alias("page_number"), line("content"))
+    # a row is a page or a chunk, not a word; the chunks of a document come before its pages
+    rows = said.unionByName(kept).filter("w <> ''").repartition("doc_id").sortWithinPartitions("doc_id", "said", "page_number")
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    counts = rows.select("doc_id", "said", "w").mapInArrow(_lost(samples), f"doc_id {kind}, words long, missing long, sample string")
     limit = F.greatest(F.lit(float(least)), F.col("words") * share)
-    return counts.join(some, "doc_id", "left").select("doc_id", "words", "missing", F.bround(F.col("missing") / F.col("words"), 6).alias("ratio"), (F.col("missing") <= limit).alias("passed"), F.coalesce("sample", F.lit("")).alias("sample"))
+    return counts.select("doc_id", "words", "missing", F.bround(F.col("missing") / F.col("words"), 6).alias("ratio"), (F.col("missing") <= limit).alias("passed"), "sample")
 
 
 #: Cells that hold nothing: fixed values.
