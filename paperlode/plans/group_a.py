@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pages as P
-from ..operators.staging import folder
+from ..operators.staging import folder, stage
 from ..sources import chunk_store
 from ..sources import files as S
 from .group_b import CH, PG
@@ -118,13 +118,14 @@ def a12(spark, d):
     docs = view(spark, d, "documents")
     body = F.concat(head, part("a"), F.when(F.col("doc_id") % 4 == 0, part("b")).otherwise(F.lit("")), F.lit("--B--\n"))
     mails = docs.select(F.col("doc_id").alias("mail_id"), F.encode(body, "UTF-8").alias("raw"))
-    stored = docs.filter("doc_id % 9 = 2").select(F.sha2("text", 256).alias("h"), F.lit(True).alias("stored")).distinct()
-    found = S.attachments(mails).withColumn("h", F.sha2("content", 256)).join(stored, "h", "left")
-    first = found.groupBy("h").agg(F.min(F.struct("mail_id", "name")).alias("f"))
-    known = F.coalesce(F.col("stored"), F.lit(False))
-    rows = found.join(first, "h", "left").withColumn("fresh", ~known & (F.col("f.mail_id") == F.col("mail_id")) & (F.col("f.name") == F.col("name")))
-    out = rows.groupBy("mail_id").agg(F.count("*").alias("processed"), F.count_if("fresh").alias("ingested"), F.count_if(~F.col("fresh")).alias("skipped"), F.count("error").alias("errors"))
-    return out.withColumn("status", F.when(F.col("errors") > 0, "partial_success").otherwise("success"))
+    stored = docs.filter("doc_id % 9 = 2").select(F.sha2("text", 256).alias("h")).distinct()
+    found = stage(S.attachments(mails, digest=True), "attachments")  # a mail is parsed once
+    # of the parts with a hash the first is taken, if it is not stored: a row for each hash, and no join of all parts
+    first = found.filter("h is not null").groupBy("h").agg(F.min(F.struct(F.col("mail_id").isNull().alias("nameless"), "mail_id", "name")).alias("f"))
+    taken = first.join(stored, "h", "left_anti").groupBy(F.col("f.mail_id").alias("of")).agg(F.count("*").alias("ingested"))
+    counts = found.groupBy("mail_id").agg(F.count("*").alias("processed"), F.count("h").alias("hashed"), F.count("error").alias("errors"))
+    out = counts.join(taken, F.col("mail_id").eqNullSafe(F.col("of")), "left").withColumn("ingested", F.coalesce("ingested", F.lit(0)))
+    return out.select("mail_id", "processed", "ingested", (F.col("hashed") - F.col("ingested")).alias("skipped"), "errors", F.when(F.col("errors") > 0, "partial_success").otherwise("success").alias("status"))
 
 
 @op("A13", f"WITH e AS (SELECT doc_id, file_hash, doc_id % 2 AS engine FROM v_docs), a AS (SELECT file_hash, engine, min(doc_id) AS source FROM e WHERE {STORED} GROUP BY 1, 2) SELECT e.doc_id, e.engine, a.source, a.source IS NOT NULL AS hit FROM e LEFT JOIN a USING (file_hash, engine) WHERE {NEW.replace('doc_id', 'e.doc_id')}")

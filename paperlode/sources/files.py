@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from email import message_from_bytes, policy
+from functools import cache, lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,22 +119,35 @@ def folder_paths(rows: DataFrame, segments: Column) -> DataFrame:
     return paths.select("tenant_id", "folder_path", F.when(parent != "", parent).alias("parent_path"), F.sha2(F.concat(F.col("tenant_id").cast("string"), F.lit("|"), "folder_path"), 256).alias("folder_id"))
 
 
-def attachments(mails: DataFrame) -> DataFrame:
-    """mail_id, name, content, error of the named parts of raw messages (mail_id, raw). A mail that cannot be read gives one error row."""
+@cache
+def _mail_policy():
+    """The default policy. Equal headers, as most mails have them, are parsed once in a worker."""
+    return policy.default.clone(header_factory=lru_cache(4096)(policy.default.header_factory))
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for mail_id, raw in zip(pdf["mail_id"], pdf["raw"]):
-                try:
-                    for part in message_from_bytes(bytes(raw), policy=policy.default).walk():
-                        if part.get_filename():
-                            rows.append((mail_id, part.get_filename(), part.get_payload(decode=True) or b"", None))
-                except (ValueError, LookupError, TypeError, AttributeError) as e:
-                    rows.append((mail_id, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["mail_id", "name", "content", "error"])
 
-    return mails.select("mail_id", "raw").mapInPandas(run, "mail_id long, name string, content binary, error string")
+def attachments(mails: DataFrame, digest: bool = False) -> DataFrame:
+    """mail_id, name, content, error of the named parts of raw messages (mail_id, raw). A mail that cannot be read gives one error row.
+
+    With digest the SHA-256 of a part, h, stands for its content, which then stays in the task.
+    """
+
+    def run(batches):
+        what = pa.string() if digest else pa.binary()
+        kinds = [pa.int64(), pa.string(), what, pa.string()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for mail_id, raw in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist()):
+                    try:
+                        for part in message_from_bytes(bytes(raw), policy=_mail_policy()).walk():
+                            if name := part.get_filename():
+                                content = part.get_payload(decode=True) or b""
+                                rows.append((mail_id, name, hashlib.sha256(content).hexdigest() if digest else content, None))
+                    except (ValueError, LookupError, TypeError, AttributeError) as e:
+                        rows.append((mail_id, None, None, type(e).__name__))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], ["mail_id", "name", "h" if digest else "content", "error"])
+
+    return mails.select(F.col("mail_id").cast("long").alias("mail_id"), "raw").mapInArrow(run, f"mail_id long, name string, {'h string' if digest else 'content binary'}, error string")
 
 
 def csv_line(*cells: Column) -> Column:
@@ -160,8 +176,6 @@ def write_sectioned(lines: DataFrame, key: str, path: str) -> DataFrame:
 
     The digest is taken as the sorted lines stream by, so no node is held as a whole.
     """
-    import hashlib
-
     rows = lines.repartition(key).sortWithinPartitions(key, "part", "seq", "line")
     rows.write.parquet(path)
 
