@@ -40,22 +40,31 @@ class ChunkStore:
     def reingest(self, pages: DataFrame, chunk: Callable[[DataFrame], DataFrame]) -> ChunkStore:
         """Replace the documents of pages (doc_id, page_number, text, extraction_failed) by chunks of their good pages.
 
-        A document without chunks, or whose pages all failed, is purged and marked failed.
+        A document without chunks, or whose pages all failed, is purged and marked failed. pages are read twice and must
+        be the same each time.
         """
         run = self.runs + 1
-        pages = stage(pages.select("doc_id", "page_number", "text", "extraction_failed"), "ingest-pages")
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
-        new = chunk(pages.filter(~F.col("extraction_failed"))).select("doc_id", "page_number", "chunk_index", "token_count", "content")
-        new = stage(new.withColumn("run", F.lit(run).cast("long")), "ingest-chunks")
-        status = F.when(F.col("chunks").isNull(), "failed").otherwise("indexed")
-        states = pages.select("doc_id").distinct().join(new.groupBy("doc_id").agg(F.count("*").alias("chunks")), "doc_id", "left").select("doc_id", status.alias("status"), F.lit(run).cast("long").alias("run"))
-        rows = states.unionByName(new, allowMissingColumns=True).withColumn("bucket", bucket)
+        pages = pages.select("doc_id", "page_number", "text", "extraction_failed")
+        columns = [c.split()[0] for c in ROWS.split(", ")]
+        # each task writes one bucket: their number is a multiple of the buckets, which are numbered as tasks are
+        tasks = self.buckets * max(1, -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets))
+        bucket = F.pmod(F.hash("doc_id"), F.lit(self.buckets)).cast("int")
+
+        def made(pages: DataFrame) -> DataFrame:
+            return chunk(pages.filter(~F.col("extraction_failed"))).select("doc_id", "page_number", "chunk_index", "token_count", "content")
+
+        # no text is shuffled or written for the states; then each text is shuffled once, as pages, and its chunks are written
+        status = F.when(F.col("held").isNull(), "failed").otherwise("indexed")
+        held = made(pages).select("doc_id").distinct().withColumn("held", F.lit(True))
+        states = pages.select("doc_id").distinct().join(held, "doc_id", "left").select("doc_id", status.alias("status"), F.lit(run).cast("long").alias("run"))
+        states = stage(states, "ingest-states")
+        new = made(pages.repartition(tasks, "doc_id")).withColumn("run", F.lit(run).cast("long"))
+        rows = states.repartition(self.buckets, "doc_id").unionByName(new, allowMissingColumns=True).withColumn("bucket", bucket)
         if self.runs:
             touched = [r[0] for r in states.select(bucket.alias("b")).distinct().collect()]  # `buckets` at most
-            rows = rows.unionByName(self._rows().filter(F.col("bucket").isin(touched)).join(states.select("doc_id"), "doc_id", "left_anti"))
-        columns = [c.split()[0] for c in ROWS.split(", ")]
-        rows = rows.select(*columns).repartition("bucket", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(4)))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.at)
+            old = self._rows().filter(F.col("bucket").isin(touched)).repartition(tasks, "doc_id")
+            rows = rows.unionByName(old.join(states.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti"))
+        rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(self.at)
         self.runs = run
         return self
 
