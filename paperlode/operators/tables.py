@@ -14,9 +14,11 @@ VERTICAL, COVERAGE = 0.7, 0.5
 
 def field_sets(rows: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """doc_id, page_number, fields: the sorted names that hold something anywhere on the page."""
-    seen = [F.max(F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) != "", F.lit(f))).alias(f) for f in fields]
+    # numbers, not names: these are summed up in a hash map, where strings would be sorted
+    seen = [F.max(F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) != "", F.lit(1))).alias(f) for f in fields]
     out = rows.groupBy("doc_id", "page_number").agg(*seen)
-    return out.select("doc_id", "page_number", F.array_sort(F.array_compact(F.array(*fields))).alias("fields"))
+    names = F.array(*[F.when(F.col(f) == 1, F.lit(f)) for f in fields])
+    return out.select("doc_id", "page_number", F.array_sort(F.array_compact(names)).alias("fields"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -112,14 +114,17 @@ def expand_dittos(rows: DataFrame, columns: list[str], anchor: str | None = None
         before = F.last(genuine, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("__new", F.when(genuine.isNotNull() & before.isNotNull() & (genuine != before), 1).otherwise(0))
         rows = rows.withColumn("__era", F.sum("__new").over(w))
-        part = [*part, "__era"]
+    # eras only grow in this order, so a value of another era ends the chain, and no second sort by era is needed
+    era = F.col("__era") if anchor else F.lit(0)
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows
     for c in columns:
         mark = is_ditto(F.col(c))
         # the struct keeps nulls as values
-        chain = F.last(F.when(~mark, F.struct(F.col(c).alias("v"))), ignorenulls=True).over(w)
+        chain = F.last(F.when(~mark, F.struct(F.col(c).alias("v"), era.alias("era"))), ignorenulls=True).over(w)
         out = out.withColumn(f"__{c}", chain)
+    if anchor:
+        out = out.withColumns({f"__{c}": F.when(F.col(f"__{c}.era") == era, F.col(f"__{c}")) for c in columns})
     keep = [x for x in rows.columns if x not in columns and not x.startswith("__")]
     made = []
     for c in columns:
