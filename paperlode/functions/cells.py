@@ -18,7 +18,7 @@ def _clause(clauses: Column, name: str) -> Column:
     return F.substring_index(said, name + " ", -1)
 
 
-def _let(value: Column, made: Callable[[Column], Column]) -> Column:
+def let(value: Column, made: Callable[[Column], Column]) -> Column:
     """made(value), with the value worked out once however often it is used."""
     return F.get(F.transform(F.array(value), made), 0)
 
@@ -39,7 +39,7 @@ def _amounts(clause: Column, units: list[tuple[float, list[str]]]) -> Column:
 
         return fits
 
-    return _let(quantities, lambda qs: F.array(*[F.get(F.filter(qs, named(words)), 0)["n"] * factor for factor, words in units]))
+    return let(quantities, lambda qs: F.array(*[F.get(F.filter(qs, named(words)), 0)["n"] * factor for factor, words in units]))
 
 
 def parse_cell(text: Column) -> Column:
@@ -54,7 +54,7 @@ def parse_cell(text: Column) -> Column:
             _amounts(_clause(clauses, "area"), AREA_UNITS).alias("area"), _amounts(_clause(clauses, "construction"), [SQUARE_FOOT]).alias("built"),
             _amounts(_clause(clauses, "open space"), [SQUARE_METRE]).alias("open"),
         )
-        return F.struct(word_and_number("cts").alias("cts"), word_and_number("akker").alias("akker"), _let(F.split(plain, ","), amounts).alias("m"))
+        return F.struct(word_and_number("cts").alias("cts"), word_and_number("akker").alias("akker"), let(F.split(plain, ","), amounts).alias("m"))
 
     named = F.get(F.filter(F.split(text, ","), lambda c: c.rlike(r"(?i)(?:s\.?|survey\s*)no\.?\s*\d")), 0)
     listed = F.split(F.regexp_replace(named, r"(?i)^.*?(?:s\.?|survey\s*)no\.?\s*(?=\d)", ""), "&")
@@ -69,7 +69,7 @@ def parse_cell(text: Column) -> Column:
             F.when(p["akker"].isNotNull(), F.concat(F.lit("Akker "), p["akker"], F.lit(": unit differs by district, needs review"))).alias("flag"),
         )
 
-    return _let(_let(tidy, parsed), cell)
+    return let(let(tidy, parsed), cell)
 
 
 def lenient_json(reply: Column, schema: str) -> Column:

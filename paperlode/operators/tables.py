@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cells import let
 from ..functions.text import is_ditto
 from .facts import classify
 
@@ -79,19 +80,24 @@ def facts_of(rows: DataFrame, fields: list[str], dittos: list[str]) -> DataFrame
     it is handwritten if one of them is. A mark that nothing fills stays in the value, which says so, and sends the fact
     to review. A row that is given twice counts once; a fact without a box inside its page is not written.
     """
-    once = rows.dropDuplicates(["doc_id", "segment", "page_number", "pos"])
+    # rows are dealt by segment once; then what repeats a place stands beside it, and one sort serves all windows
+    w = Window.partitionBy("doc_id", "segment").orderBy("page_number", "pos")
+    place = F.struct("page_number", "pos")
+    once = rows.repartition("doc_id", "segment").withColumn("__again", F.lag(place).over(w).eqNullSafe(place)).filter("not __again").drop("__again")
     filled = expand_dittos(once, dittos)
     flags = [f"{c}_unresolved" for c in dittos]
     made = merge_continuations(filled, fields, ["confidence", "is_handwritten", "y0", "y1", *flags])
 
     def fact(field: str) -> Column:
-        own = F.filter("sources", lambda r: F.trim(F.coalesce(r[field], F.lit(""))) != "")
-        boxed = F.filter(own, lambda r: (r["y0"] >= 0) & (r["y1"] > r["y0"]) & (r["y1"] <= 1))
-        regions = F.transform(boxed, lambda r: F.struct(r["page_number"].alias("page_number"), r["y0"].cast("double").alias("y0"), r["y1"].cast("double").alias("y1")))
-        sure = F.filter(F.transform(own, lambda r: r["confidence"].cast("double")), lambda c: c.isNotNull())
-        mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure))
-        open_ = F.exists(own, lambda r: r[f"{field}_unresolved"]) if field in dittos else F.lit(False)
-        return F.struct(F.lit(field).alias("field"), F.col(field).alias("text"), regions.alias("regions"), mean.alias("confidence"), F.exists(own, lambda r: r["is_handwritten"]).alias("is_handwritten"), open_.alias("unresolved"))
+        def of(own: Column) -> Column:
+            boxed = F.filter(own, lambda r: (r["y0"] >= 0) & (r["y1"] > r["y0"]) & (r["y1"] <= 1))
+            regions = F.transform(boxed, lambda r: F.struct(r["page_number"].alias("page_number"), r["y0"].cast("double").alias("y0"), r["y1"].cast("double").alias("y1")))
+            sure = F.filter(F.transform(own, lambda r: r["confidence"].cast("double")), lambda c: c.isNotNull())
+            mean = let(sure, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, c: a + c) / F.size(x)))
+            open_ = F.exists(own, lambda r: r[f"{field}_unresolved"]) if field in dittos else F.lit(False)
+            return F.struct(F.lit(field).alias("field"), F.col(field).alias("text"), regions.alias("regions"), mean.alias("confidence"), F.exists(own, lambda r: r["is_handwritten"]).alias("is_handwritten"), open_.alias("unresolved"))
+
+        return let(F.filter("sources", lambda r: F.trim(F.coalesce(r[field], F.lit(""))) != ""), of)
 
     out = made.select("doc_id", "segment", "page_number", "pos", "source_index", F.explode(F.array(*[fact(f) for f in fields])).alias("f")).select("doc_id", "segment", "page_number", "pos", "source_index", "f.*")
     out = out.filter((F.col("text") != "") & (F.size("regions") > 0))
