@@ -23,14 +23,15 @@ def build_chain(rows: DataFrame, last: DataFrame | None = None) -> DataFrame:
     per tenant from its last hash (tenant_id, event_hash) on, or from its genesis.
 
     A hash needs the one before it, so a tenant is one sequence; rows are sorted by Spark and stream through the
-    tenant's task batch by batch, which keeps only the last hash.
+    tenant's task batch by batch, which keeps only the last hash. The rows are dealt by a hash of the tenant: by the tenant
+    itself Spark would leave that out after a join by tenant, and such a join may give a large tenant to several tasks.
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     start = F.sha2(F.concat(F.lit(GENESIS), F.col("tenant_id").cast("string")), 256)
     if last is not None:
         rows = rows.join(last.select("tenant_id", F.col("event_hash").alias("start")), "tenant_id", "left")
         start = F.coalesce("start", start)
-    sorted_rows = rows.select("tenant_id", "ordinal", "id", "payload", start.alias("start")).repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "ordinal", "id", "payload")
+    sorted_rows = rows.select("tenant_id", "ordinal", "id", "payload", start.alias("start")).repartition(parts, F.xxhash64("tenant_id")).sortWithinPartitions("tenant_id", "ordinal", "id", "payload")
 
     def run(batches):
         tenant, last = None, ""

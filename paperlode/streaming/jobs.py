@@ -17,10 +17,11 @@ from ..operators.staging import folder  # noqa: F401
 FILES_EACH = 16
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    # a batch is bounded by its files, whatever has piled up
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_EACH).parquet(f"{sf_dir}/{table}.parquet*")
+def read(spark: SparkSession, sf_dir: str, table: str, at_once: bool = False) -> DataFrame:
+    """A table as a stream. at_once: all files that are there are one batch, for what is ordered across them."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema)
+    # else a batch is bounded by its files, whatever has piled up
+    return (stream if at_once else stream.option("maxFilesPerTrigger", FILES_EACH)).parquet(f"{sf_dir}/{table}.parquet*")
 
 
 def run(stream: DataFrame, at: str, mode: str = "append") -> DataFrame:
@@ -112,7 +113,7 @@ CHAIN = {
 def audit_chain(stream: DataFrame, at: str, delay: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(chain, late): the audit chain per tenant by time and id, and the rows that came too late to be in it.
 
-    stream: id, tenant_id, created_at, payload. A row is chained once a row of its tenant is `delay` seconds later; until
+    stream: id, tenant_id, created_at, payload; or at, a number that orders rows, in place of created_at. A row is chained once a row of its tenant is `delay` seconds later; until
     then it waits, so rows may come in any order within that time. What comes after its place in the chain was passed
     goes to the late table, as a chain cannot be ordered anew. A row without id tells the time alone.
 
@@ -147,7 +148,7 @@ def audit_chain(stream: DataFrame, at: str, delay: float = 0.0) -> tuple[DataFra
         new = lambda c, old: F.coalesce(f"x.{c}", old).alias(c)
         keep(tails.join(last, "tenant_id", "left").select("tenant_id", new("event_hash", "event_hash"), new("at", "tail_at"), new("id", "tail_id"), "seen"), "tails")
 
-    rows = stream.select("tenant_id", "id", F.unix_micros("created_at").alias("at"), "payload")
+    rows = stream.select("tenant_id", "id", F.col("at") if "at" in stream.columns else F.unix_micros("created_at").alias("at"), "payload")
     rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     made = lambda kind, columns: spark.read.schema(CHAIN[kind]).parquet(f"{at}/{kind}").select(*columns)
     return made("chain", ["id", "tenant_id", "previous_hash", "event_hash"]), made("late", ["id", "tenant_id"])
