@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import folders as FO
@@ -165,7 +166,12 @@ USAGE = "SELECT user_id AS tenant_id, CASE user_id % 4 WHEN 0 THEN 'trial' WHEN
 
 @op("H15", f"SELECT u.tenant_id, u.plan_key, u.docs, u.bytes, CASE WHEN status = 'trialing' AND trial_ends_at < DATE '{AS_OF}' THEN 'expired' WHEN status IN ('expired', 'canceled') THEN status WHEN docs >= max_documents THEN 'document_limit' WHEN bytes >= max_storage_bytes THEN 'storage_limit' ELSE 'allowed' END AS decision FROM ({USAGE}) AS u LEFT JOIN v_plans AS p USING (plan_key)")
 def h15(spark, d):
-    return O.meter(spark_sql(spark, d, USAGE), view(spark, d, "v_plans"), AS_OF)
+    # floor tells sums of doubles apart by the order of addition: values are added one by one, as their ids stand
+    by_id = Window.partitionBy("user_id").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = view(spark, d, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id", "value")).alias("n"), F.sum("value").over(by_id).alias("s"))
+    total = so_far.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("s", "n").alias("s"))
+    usage = USAGE[: USAGE.index("count(*)")] + "n * 2 AS docs, CAST(floor(s) AS BIGINT) * 1000000 AS bytes FROM total) AS u"
+    return O.meter(spark_sql(spark, d, usage, total=total), view(spark, d, "v_plans"), AS_OF)
 
 
 @op("H16", f"SELECT user_id, CASE WHEN NOT ok AND seen + 7 >= DATE '{AS_OF}' THEN 'grace' WHEN NOT ok THEN 'blocked' WHEN expires >= DATE '{AS_OF}' THEN 'valid' WHEN expires + 14 >= DATE '{AS_OF}' THEN 'grace' ELSE 'expired' END AS decision FROM (SELECT user_id, arg_max(event_type <> 'error', (ts, event_id)) AS ok, CAST(max(ts) AS DATE) AS seen, CAST(arg_max(ts, (ts, event_id)) AS DATE) - 20 + CAST(user_id % 40 AS INT) AS expires FROM events GROUP BY 1)")
