@@ -25,6 +25,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 8_192, 32_000_000
 MOST_LISTS = 1_024
 #: Rows of one side of a block that is scored at once.
 BLOCK_ROWS = 3_000
+#: Lists that a search by threshold meets in one block, and the queries of such a block; a score matrix stays far smaller.
+GROUP, GROUP_QUERIES = 16, 12_000
 #: Lists of an index for which no number is asked: these, or as many as leave a tenant a block in each.
 LISTS = 64
 #: What angles may be off by, in radians.
@@ -136,6 +138,9 @@ class VectorIndex:
     def within(self, queries: DataFrame, least: float) -> DataFrame:
         """All lists that may hold a vector with a cosine of at least `least` to the query. A vector's centroid is its
         nearest, so it also lies on its centroid's side of the plane between any two."""
+        return self._probes(queries, self._within(least), [])
+
+    def _within(self, least: float):
         c = self.centroids
         apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
         reach, chord = math.acos(min(1.0, least)), math.sqrt(2 - 2 * min(1.0, least))
@@ -145,7 +150,61 @@ class VectorIndex:
             beyond = np.take_along_axis(cos, own[:, None], axis=1) - cos  # how far the query lies on the own side
             return (a <= radii + reach + SLACK) & (beyond <= apart[own] * chord + SLACK) & (sizes > 0)
 
-        return self._probes(queries, choose, [])
+        return choose
+
+    def near(self, queries: DataFrame, k: int, least: float, decimals: int = 6) -> DataFrame:
+        """What score(within(queries, least), k, least) finds. A query goes once to each group of lists, with a bit for
+        each list that may hold a vector that near, and a group is met by many queries at once: vectors that travel for
+        every pair of lists would take many times the disk."""
+        groups, bits, choose = -(-len(self.centroids) // GROUP), 2 ** np.arange(GROUP), self._within(least)
+        c, sizes, radii = self.centroids, self.sizes, self.radii
+
+        def probe(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, BLOCK_ROWS):
+                    some = batch.slice(a, BLOCK_ROWS)
+                    picked = choose(angles(some.column(3).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1), c), sizes, radii)
+                    wanted = np.pad(picked, ((0, 0), (0, groups * GROUP - picked.shape[1]))).reshape(len(picked), groups, GROUP) @ bits
+                    for g in np.flatnonzero(wanted.any(axis=0)):
+                        own = np.flatnonzero(wanted[:, g])
+                        columns = [some.column(i).take(pa.array(own)) for i in range(4)]
+                        yield pa.record_batch([*columns, pa.array(np.full(len(own), g, np.int32)), pa.array(wanted[own, g].astype(np.int32))], names=[*some.schema.names, "g", "lists"])
+
+        rows = queries.select("query_id", F.col("variant").cast("int").alias("variant"), F.col("tenant_id").cast("long").alias("tenant_id"), "u")
+        probes = rows.mapInArrow(probe, "query_id long, variant int, tenant_id long, u array<double>, g int, lists int")
+        # parts of a group: a list that is dealt to several parts has one in each of as many blocks
+        items = self.items.filter("first IS NOT NULL").withColumn("g", F.floor(F.col("list") / GROUP).cast("int"))
+        most = queries.groupBy(F.col("tenant_id").cast("long").alias("tenant_id")).agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("js"))
+        most = stage(most, "vector-parts")
+        parts = stage(items.groupBy("tenant_id", "g").agg((F.max("part") + 1).alias("parts")), "vector-groups")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = items.join(most, "tenant_id").select("tenant_id", "g", "part", every("js").alias("j"), "list", "item_id", "first", "u")
+        right = probes.join(most, "tenant_id").join(parts, ["tenant_id", "g"]).select("tenant_id", "g", every("parts").alias("part"), F.pmod(F.xxhash64("query_id", "variant"), "js").cast("int").alias("j"), "query_id", "variant", "u", "lists")
+
+        def run(some: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(some) and len(asking):
+                some = some.sort_values("first", kind="stable")
+                u, lists, asked = np.stack(some.u.to_list()), some.list.to_numpy(), asking.lists.to_numpy()
+                off = np.stack(asking.u.to_list())
+                for own in np.unique(lists):
+                    here, queries_ = np.flatnonzero(lists == own), np.flatnonzero(asked & bits[own % GROUP])
+                    for a in range(0, len(queries_), 1_000):
+                        q = queries_[a : a + 1_000]
+                        s = off[q] @ u[here].T
+                        near = s >= least
+                        for r in np.flatnonzero(near.sum(axis=1) > k):  # of more than k the first by score, then as they stand
+                            held = np.flatnonzero(near[r])
+                            near[r, held[np.argsort(-np.round(s[r, held], decimals), kind="stable")[k:]]] = False
+                        i, j = np.nonzero(near)
+                        found.append((q[i], here[j], s[i, j]))
+            if not found:
+                return pd.DataFrame({"query_id": [], "variant": [], "tenant_id": [], "item_id": [], "s": []})
+            i, j, s = (np.concatenate(x) for x in zip(*found))
+            return pd.DataFrame({"query_id": asking.query_id.to_numpy()[i], "variant": asking.variant.to_numpy()[i], "tenant_id": some.tenant_id.iloc[0], "item_id": some.item_id.to_numpy()[j], "s": s})
+
+        block = ["tenant_id", "g", "part", "j"]
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(run, "query_id long, variant int, tenant_id long, item_id long, s double")
 
     def search(self, queries: DataFrame, k: int, share: float = 0.1, exact: bool = True) -> DataFrame:
         """query_id, variant, item_id, s: candidates that hold the k best of each query (exact), or those that the
